@@ -1,10 +1,10 @@
 """Column functions over model text.
 
-Everything here is a built-in expression: it runs inside the JVM, takes part in
-whole-stage code generation and reads its input once.  The patterns are written
-so that their cost stays linear in the text, also for hostile input such as
-thousands of opened but never closed sections: they are anchored, and use
-atomic groups and possessive runs instead of backtracking.
+Everything here is a built-in expression: it runs inside the JVM and
+reads its input once.  The cost stays linear in the text, also for hostile input:
+a section that is opened but never closed swallows the rest of the text, so that
+thousands of such openings are not each searched to the end, and white space is
+trimmed by character set instead of by backtracking.
 """
 
 from __future__ import annotations
@@ -18,17 +18,10 @@ from pyspark.sql import types as T
 
 from gradewell.fixed import WHITESPACE
 
-_SPACE = "[" + WHITESPACE + "]"
-_SPACE_IN_LINE = "[" + WHITESPACE.replace("\n", "") + "]"
-
-# A run of white space holding a line break.  The run starts either at a line
-# break or at the first of the blanks before one, never in the middle.
-_LINE_BREAKS = f"(?<!{_SPACE_IN_LINE}){_SPACE_IN_LINE}*+\n{_SPACE}*+"
-
-_BOXED = r"(?s)\A.*\\boxed\{([^{}]+)\}"
+_BOXED = r"\\boxed\{([^{}]+)\}"
 
 # The captured body keeps its last line break, so a match is never empty.
-_CODE = r"(?s)\A(?>.*?```python\n)(.*?\n)```"
+_CODE = r"(?s)```python\n(?:(.*?\n)```|.*+)"
 
 
 def _col(c: Column | str) -> Column:
@@ -42,17 +35,18 @@ def strip(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Drop blank lines, strip each line and the whole; null becomes ''."""
-    return F.coalesce(strip(F.regexp_replace(_col(c), _LINE_BREAKS, "\n")), F.lit(""))
+    lines = F.transform(F.split(_col(c), "\n"), strip)
+    return F.coalesce(F.array_join(F.filter(lines, lambda line: line != ""), "\n"), F.lit(""))
 
 
 def tagged_section(c: Column | str, tag: str) -> Column:
     """Stripped body of the first ``<tag>…</tag>``, '' without one, null for null.
 
-    Tag names match in any case.  The first opening is final: when it is never
-    closed, no later one is closed either, so nothing is searched twice.
+    Tag names match in any case.  The first opening decides: when it is never
+    closed, no later one is closed either.
     """
     t = re.escape(tag)
-    return strip(F.regexp_extract(_col(c), rf"(?isu)\A(?>.*?<{t}>)(.*?)</{t}>", 1))
+    return strip(F.regexp_extract(_col(c), rf"(?s)<(?iu:{t})>(?:([^<]*+.*?)</(?iu:{t})>|.*+)", 1))
 
 
 def boxed_answer(c: Column | str) -> Column:
@@ -61,7 +55,8 @@ def boxed_answer(c: Column | str) -> Column:
     Bodies with braces never match and neither does an empty one; a blank body
     gives ''.
     """
-    return strip(F.nullif(F.regexp_extract(_col(c), _BOXED, 1), F.lit("")))
+    found = F.regexp_extract_all(_col(c), F.lit(_BOXED), F.lit(1))
+    return strip(F.try_element_at(found, F.lit(-1)))
 
 
 def code_block(c: Column | str) -> Column:
@@ -122,14 +117,39 @@ def stringify(c: Column | str, dtype: T.DataType | None = None, null_text: str |
     return text if null_text is None else F.coalesce(text, F.lit(null_text))
 
 
-def render(template: Column | str, values: Mapping[str, Column]) -> Column:
+def _expanded(slot: str, values: Mapping[str, Column]) -> Column:
+    """The value of a slot with the slots that come after it filled in."""
+    later = list(values)[list(values).index(slot) + 1:]
+    text = value = values[slot]
+    for other in later:
+        text = F.replace(text, F.lit("{{" + other + "}}"), values[other])
+    return F.when(value.contains("{{"), text).otherwise(value) if later else value
+
+
+def render(template: str, values: Mapping[str, Column]) -> Column:
     """Replace every ``{{slot}}`` by its value, slot after slot in the given order.
 
     Replacement is literal.  A value that itself holds a later slot is expanded
     too; slots without a value stay as they are.  A null value makes the text
     null, so pass values through ``stringify`` first.
+
+    The pieces of the template and the values are put together in one step, and
+    a value is searched for slots only where it holds "{{".  Where a mark could
+    form across the end of a value, because slots touch or the template goes on
+    with braces or letters, the slots are replaced one by one instead.
     """
-    text = F.lit(template) if isinstance(template, str) else template
-    for slot, value in values.items():
-        text = F.replace(text, F.lit("{{" + slot + "}}"), value)
+    marks = {"{{" + slot + "}}": slot for slot in values}
+    if not marks:
+        return F.lit(template)
+    pieces = re.split("(" + "|".join(map(re.escape, marks)) + ")", template)
+    inside_marks = set("".join(marks))
+    # Every second piece is a mark; the first and last literal may be empty.
+    joints = [piece[0] for piece in pieces[2::2] if piece] + [piece[-1] for piece in pieces[:-1:2] if piece]
+    apart = all(pieces[2:-1:2]) and inside_marks.isdisjoint(joints)
+    if apart:
+        return F.concat(*[
+            _expanded(marks[piece], values) if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)])
+    text = F.lit(template)
+    for mark, slot in marks.items():
+        text = F.replace(text, F.lit(mark), values[slot])
     return text
