@@ -218,7 +218,7 @@ QUESTION_SLOT_COLUMNS = 'PRE_TEXT, "TABLE", POST_TEXT, QUESTION, ANSWER, GOLD_EV
     FROM ({QUESTION_SOURCE}) WHERE GOLD_EVIDENCE <> 'None'
 """)
 def question_records(spark, sf):
-    requests = question_requests(question_source(spark, sf), batch_size=8, order_by=["id"])
+    requests = question_requests(question_source(spark, sf), batch_size=8)
     question = F.when(
         F.col("GOLD_EVIDENCE") != "fr", F.concat(F.lit("<new_question>\n"), "QUESTION", F.lit(" </new_question>")))
     text = F.concat(F.lit("<analysis>"), "PRE_TEXT", F.lit("</analysis>"), F.coalesce(question, F.lit("")))
@@ -257,7 +257,7 @@ def graded_documents(spark, sf):
 """)
 def feedback_records(spark, sf):
     wrong = grading.wrong_answers(graded_documents(spark, sf)).withColumnRenamed("response", "cot_response")
-    requests = feedback_requests(wrong, order_by=["doc_id"], id_col="doc_id")
+    requests = feedback_requests(wrong, id_col="doc_id")
     return parse_feedback(requests, corrections(requests), template=FEEDBACK_TEMPLATE)
 
 
@@ -281,5 +281,4 @@ def preference_pairs(spark, sf):
 @query(f"SELECT {prompt_sql('QUESTION')} AS prompt, CORRECTED_RESPONSE AS chosen, COT_RESPONSE AS rejected FROM ({CORRECTED_SQL})")
 def preference_set(spark, sf):
     graded = graded_documents(spark, sf)
-    return triples(
-        graded, corrections, "doc_id", "question", "answer", "response", order_by=["doc_id"], unique_ids=True)
+    return triples(graded, corrections, "doc_id", "question", "answer", "response", unique_ids=True)

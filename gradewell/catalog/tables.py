@@ -39,7 +39,7 @@ NUMBERED_SQL = "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM
 """)
 def batch_assign(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey")
-    return numbering.assign_batches(orders, 7, ["o_orderkey"])
+    return numbering.assign_batches(orders, 7, ["o_orderkey"], stored_input=True)
 
 
 @query("""
@@ -48,12 +48,12 @@ def batch_assign(spark, sf):
 def row_index_hot_key(spark, sf):
     # Five event types hold all rows: the index must not put a type into one task.
     events = table(spark, sf, "events").select("event_type", "event_id")
-    return numbering.with_row_index(events, ["event_type", "event_id"]).select("event_id", "row_index")
+    return numbering.with_row_index(events, ["event_type", "event_id"], stored_input=True).select("event_id", "row_index")
 
 
 @query(f"SELECT concat('q', i) AS id, o_orderkey FROM ({NUMBERED_SQL})")
 def synthetic_ids(spark, sf):
-    return numbering.with_ids(table(spark, sf, "orders").select("o_orderkey"), "q", ["o_orderkey"])
+    return numbering.with_ids(table(spark, sf, "orders").select("o_orderkey"), "q", ["o_orderkey"], stored_input=True)
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
@@ -68,7 +68,7 @@ def sample_limit(spark, sf):
 def order_requests(spark, sf):
     """Orders as numbered requests; their keys are unique."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return numbering.assign_batches(orders, BATCH, ["o_orderkey"])
+    return numbering.assign_batches(orders, BATCH, ["o_orderkey"], stored_input=True)
 
 
 def raw_results(requests):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradewell.session import scratch_path
+from gradewell.operators.schema import require_distinct
 
 MakeFn = Callable[[], Callable[..., Sequence]]
 
@@ -106,18 +106,12 @@ def model_output(
     return run.asNondeterministic()(text)
 
 
-def materialize(df: DataFrame, path: str | None = None, label: str = "rows") -> DataFrame:
-    """Write ``df`` and read it back, so that model output is made only once."""
-    path = path or scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def answer_requests(requests: DataFrame, make_fn: MakeFn, batch_size: int, prompt: str = "PROMPT") -> DataFrame:
     """Requests with ``MODEL_OUTPUT``, ``status`` and ``error`` from a model run here.
 
     The output stays in its row: no custom id has to be matched.
     """
+    require_distinct([*requests.columns, "MODEL_OUTPUT", "status", "error"])
     out = requests.withColumn("_out", model_output(make_fn, F.col(prompt), batch_size))
     return out.select(
         *requests.columns,

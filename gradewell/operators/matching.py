@@ -1,9 +1,4 @@
-"""Bringing model results back to the rows they belong to.
-
-Each join below reads both sides straight from a shuffle, or from a broadcast
-where Spark finds a side small at run time.  That is what lets adaptive
-execution split a hot key: it leaves a join alone whose input is an aggregate.
-"""
+"""Bringing model results back to the rows they belong to."""
 
 from __future__ import annotations
 
@@ -30,6 +25,18 @@ def last_wins(df: DataFrame, key: str | list[str], seq: Column | str) -> DataFra
         quoted(c) if c in keys else F.col("_best").getField(c).alias(c) for c in df.columns])
 
 
+def _join_grouped(df: DataFrame, grouped: DataFrame, key: str, how: str) -> DataFrame:
+    """Join with a table that was grouped by the same key.
+
+    Such a table would be joined where its groups lie.  Adaptive execution
+    splits a hot key only between two shuffles made for the join, so the key's
+    hash joins in: the grouped side is shuffled once more, and a key that holds
+    very many rows of ``df`` is spread over several tasks.
+    """
+    hashed = F.xxhash64(quoted(key))
+    return df.withColumn("_hash", hashed).join(grouped.withColumn("_hash", hashed), [key, "_hash"], how).drop("_hash")
+
+
 def match_results(requests: DataFrame, results: DataFrame, seq: str | None = None) -> DataFrame:
     """Requests with their results, by ``custom_id``; either alone is dropped.
 
@@ -63,10 +70,9 @@ def attach_responses(
     require_distinct([*df.columns, output_col])
     found = responses.select(id_col, quoted(response_col).alias(output_col), *([quoted(seq).alias("_order")] if seq else []))
     if seq:
-        # The extra shuffle puts the aggregate behind an exchange of its own,
-        # so that an id shared by very many input rows can still be split.
-        found = last_wins(found, id_col, "_order").drop("_order").repartition(quoted(id_col))
-    joined = df.join(found, id_col, "left")
+        joined = _join_grouped(df, last_wins(found, id_col, "_order").drop("_order"), id_col, "left")
+    else:
+        joined = df.join(found, id_col, "left")
     return joined.select(*[quoted(c) for c in df.columns], F.coalesce(quoted(output_col), F.lit(default)).alias(output_col))
 
 
@@ -74,8 +80,7 @@ def of_ended_batches(results: DataFrame, status: DataFrame) -> DataFrame:
     """Results whose batch has ended, by ``batch_no``; ``status`` is one row per batch."""
     require_columns(results, "batch_no")
     require_columns(status, "batch_no", "ended")
-    ended = status.where("ended").select("batch_no").repartition("batch_no")
-    return results.join(ended, "batch_no", "left_semi")
+    return _join_grouped(results, status.where("ended").select("batch_no"), "batch_no", "left_semi")
 
 
 def pair_scores(candidates: DataFrame, scores: DataFrame, question_id: str = "question_id") -> DataFrame:

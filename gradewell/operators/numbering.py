@@ -5,7 +5,7 @@ rows are sorted by range into one table in the shared scratch folder, each row
 with its partition and its place there; the rows per partition then give each
 partition its first number.  The only thing summed up in one place is one count
 per partition.  The written table also fixes the numbers: an executor lost later
-re-reads files instead of sorting again, perhaps with other range bounds.
+re-reads files instead of sorting again with other range bounds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.operators.schema import quoted, require_columns
-from gradewell.session import scratch_path
+from gradewell.session import materialize, scratch_path
 
 # ``monotonically_increasing_id`` holds the partition above this bit.
 _PLACE_BITS = 33
@@ -23,22 +23,35 @@ _PLACE_BITS = 33
 TOP_N_LIMIT = 10_000
 
 
-def with_row_index(df: DataFrame, order_by: list[str] | None = None, name: str = "row_index", path: str | None = None) -> DataFrame:
+def with_row_index(
+    df: DataFrame,
+    order_by: list[str] | None = None,
+    name: str = "row_index",
+    path: str | None = None,
+    stored_input: bool = False,
+) -> DataFrame:
     """``df`` with a dense index from 0 in the order of ``order_by``.
 
-    Rows that tie on ``order_by`` keep the order they are read in, and a key
-    shared by very many rows is spread over several partitions.  Without
-    ``order_by`` rows keep the order they are read in and nothing is shuffled.
-    The sorted table goes to ``path``, by default a new one in the scratch folder.
+    Without ``order_by`` rows keep the order they are read in and nothing is
+    shuffled.  With it, rows that tie keep that order, which also spreads a key
+    shared by very many rows over several partitions.
+
+    The numbered table goes to ``path``, by default a new one in the scratch
+    folder.  Before sorting, ``df`` is stored once with its reading order: a
+    task run again must find the same order, and looking for the ranges must
+    not run what made ``df`` (a model, say) a second time.  ``stored_input``
+    spares this copy where ``df`` is read straight from stored files.
     """
     require_columns(df, *(order_by or []))
     spark = df.sparkSession
     path = path or scratch_path(spark, "rows")
     if order_by:
         keys = [quoted(k) for k in order_by]
-        tied = df.withColumn("_read_order", F.monotonically_increasing_id())
+        read = df.withColumn("_read_order", F.monotonically_increasing_id())
+        if not stored_input:
+            read = materialize(read, f"{path}-read")
         df = (
-            tied.repartitionByRange(*keys, "_read_order")
+            read.repartitionByRange(*keys, "_read_order")
             .sortWithinPartitions(*keys, "_read_order")
             .drop("_read_order")
         )
@@ -46,10 +59,11 @@ def with_row_index(df: DataFrame, order_by: list[str] | None = None, name: str =
 
     rows = spark.read.parquet(path)
     partition = F.shiftrightunsigned("_place", _PLACE_BITS)
-    # One row per written partition, whatever the table's size.
+    # One row per written partition, whatever the table's size; stored, so that
+    # using the numbers again does not count again.
     counts = rows.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_partition", F.coalesce(before, F.lit(0)).alias("_start"))
+    starts = materialize(counts.select("_partition", F.coalesce(before, F.lit(0)).alias("_start")), f"{path}-starts")
     place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return (
         rows.withColumn("_partition", partition)
@@ -59,15 +73,21 @@ def with_row_index(df: DataFrame, order_by: list[str] | None = None, name: str =
     )
 
 
-def with_ids(df: DataFrame, prefix: str = "q", order_by: list[str] | None = None, name: str = "id") -> DataFrame:
+def with_ids(
+    df: DataFrame,
+    prefix: str = "q",
+    order_by: list[str] | None = None,
+    name: str = "id",
+    stored_input: bool = False,
+) -> DataFrame:
     """``df`` with ids ``q0, q1, …``; an input that has ``name`` is refused."""
     if name.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"column {name!r} exists")
-    indexed = with_row_index(df, order_by, name="_index")
+    indexed = with_row_index(df, order_by, "_index", stored_input=stored_input)
     return indexed.withColumn(name, F.concat(F.lit(prefix), "_index")).drop("_index")
 
 
-def first_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
+def first_rows(df: DataFrame, n: int | None, order_by: list[str], stored_input: bool = False) -> DataFrame:
     """The first ``n`` rows by ``order_by``; all of them for none or zero.
 
     ``order_by`` must tell rows apart for the choice to be the same every time.
@@ -77,7 +97,7 @@ def first_rows(df: DataFrame, n: int | None, order_by: list[str]) -> DataFrame:
         return df
     if n <= TOP_N_LIMIT:
         return df.orderBy(*[quoted(k) for k in order_by]).limit(n)
-    return with_row_index(df, order_by, name="_index").where(F.col("_index") < n).drop("_index")
+    return with_row_index(df, order_by, "_index", stored_input=stored_input).where(F.col("_index") < n).drop("_index")
 
 
 def batch_columns(index: Column, batch_size: int) -> dict[str, Column]:
@@ -92,16 +112,22 @@ def batch_columns(index: Column, batch_size: int) -> dict[str, Column]:
 
 def custom_id(batch_no: Column | str = "batch_no", pos: Column | str = "pos") -> Column:
     """Request id that no other batch uses."""
-    return F.format_string("b%d-%d", batch_no, pos)
+    return F.concat(F.lit("b"), batch_no, F.lit("-"), pos)
 
 
-def assign_batches(df: DataFrame, batch_size: int, order_by: list[str] | None = None, total: int | None = None) -> DataFrame:
+def assign_batches(
+    df: DataFrame,
+    batch_size: int,
+    order_by: list[str] | None = None,
+    total: int | None = None,
+    stored_input: bool = False,
+) -> DataFrame:
     """``df`` cut into runs of ``batch_size`` rows; only the last may be short.
 
     Adds ``batch_no``, ``pos`` and ``custom_id``.  ``total`` keeps the first
     rows only.
     """
-    rows = with_row_index(df, order_by, name="_index")
+    rows = with_row_index(df, order_by, "_index", stored_input=stored_input)
     if total:
         rows = rows.where(F.col("_index") < total)
     rows = rows.withColumns(batch_columns(F.col("_index"), batch_size)).drop("_index")

@@ -23,6 +23,7 @@ def feedback_requests(
     batch_size: int = FEEDBACK_BATCH_SIZE,
     order_by: list[str] | None = None,
     id_col: str = "id",
+    stored_input: bool = False,
 ) -> DataFrame:
     """One request per wrong answer: ids, ``PROMPT`` and each slot's value, upper-cased.
 
@@ -34,7 +35,7 @@ def feedback_requests(
     # Only the named columns are sorted and written.
     names = list(dict.fromkeys([id_col, *mapping.values(), *(order_by or [])]))
     narrow = df.select(*[quoted(c) for c in names])
-    requests = assign_batches(narrow, batch_size, order_by).select(
+    requests = assign_batches(narrow, batch_size, order_by, stored_input=stored_input).select(
         *REQUEST_COLUMNS,
         text_column(df, id_col).alias("id"),
         *[text_column(df, column).alias(slot.upper()) for slot, column in mapping.items()],

@@ -57,7 +57,8 @@ def preference_set(
 
     Wrong answers become correction requests, ``respond`` turns the requests
     into ``custom_id, MODEL_OUTPUT``, and the corrections are paired with the
-    responses they correct.
+    responses they correct.  Without ``order_by`` the graded rows are evaluated
+    just once, when the numbered requests are stored.
     """
     mapping = {
         "question": question_col,

@@ -25,16 +25,18 @@ def question_requests(
     total_samples: int | None = None,
     order_by: list[str] | None = None,
     id_col: str = "id",
+    stored_input: bool = False,
 ) -> DataFrame:
     """One request per row: ids, ``PROMPT`` and every field as text, upper-cased.
 
     Slots are filled in column order.  ``order_by`` fixes which rows come first;
-    without it they keep the order they are read in.
+    without it they keep the order they are read in.  For it and
+    ``stored_input`` see ``with_row_index``.
     """
     require_columns(df, id_col)
     names = {c: "id" if c == id_col else c.upper() for c in df.columns}
     require_distinct(names.values(), [*RESERVED_QUESTION_FIELDS, *REQUEST_COLUMNS])
-    requests = assign_batches(df, batch_size, order_by, total_samples).select(
+    requests = assign_batches(df, batch_size, order_by, total_samples, stored_input).select(
         *REQUEST_COLUMNS, *[text_column(df, c).alias(name) for c, name in names.items()])
     return with_prompt(requests, template)
 
@@ -101,9 +103,9 @@ def collect_records(
         matched = match_results(requests.select(*kept), found, seq).drop(*([seq] if seq else []))
     names = [c for c in matched.columns if c not in carried]
     if not unique_ids:
-        matched = last_wins(matched, "id", F.struct("batch_no", "pos"))
+        matched = last_wins(matched.drop("custom_id"), "id", F.struct("batch_no", "pos"))
     if template is not None:
-        matched = fill(matched.select(*names, *[quoted(c) for c in carried]), template)
+        matched = fill(matched.drop(*REQUEST_COLUMNS), template)
     fields = [c for c in carried if c not in (*REQUEST_COLUMNS, "id", "PROMPT")]
     return matched.select(*names, "id", "PROMPT", *[quoted(c) for c in fields])
 

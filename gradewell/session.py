@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only for local runs: on a cluster these come from its own configuration.
 LOCAL_SETTINGS = {
@@ -47,3 +47,11 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, never used before."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, path: str | None = None, label: str = "rows") -> DataFrame:
+    """Write ``df`` and read it back: what it took to make is not done again, also
+    not when an executor is lost.  The path is new unless one is given."""
+    path = path or scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
