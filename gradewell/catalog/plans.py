@@ -18,6 +18,8 @@ from gradewell.fixed import FEEDBACK_TEMPLATE, QUESTION_TEMPLATE, SYSTEM_MESSAGE
 from gradewell.functions.chat import CHATML
 from gradewell.functions.verdict import is_correct
 from gradewell.operators import grading
+from gradewell.operators.inference import answer_requests
+from gradewell.operators.numbering import read_numbered
 from gradewell.plans.evaluation import evaluate, grade, write_graded
 from gradewell.plans.execution import best_of_n_responses, execute, response_records
 from gradewell.plans.feedback import feedback_requests, parse_feedback
@@ -75,6 +77,11 @@ def make_judge_with_logits():
     return lambda chats: [("Correct", 2.0, 0.5) if _judged(c) else ("Wrong", -1.0, 0.5) for c in chats]
 
 
+def make_corrector():
+    """Corrects a response unless the prompt is long."""
+    return lambda prompts: ["" if len(p) > 5000 else "<corrected_response>Fixed.</corrected_response>" for p in prompts]
+
+
 # --- metrics, filters and flags ----------------------------------------------
 
 GRADED_SQL = f"""
@@ -218,7 +225,8 @@ QUESTION_SLOT_COLUMNS = 'PRE_TEXT, "TABLE", POST_TEXT, QUESTION, ANSWER, GOLD_EV
     FROM ({QUESTION_SOURCE}) WHERE GOLD_EVIDENCE <> 'None'
 """)
 def question_records(spark, sf):
-    requests = question_requests(question_source(spark, sf), batch_size=8)
+    source = question_source(read_numbered(spark, f"{sf}/documents.parquet"), "row_index")
+    requests = question_requests(source, batch_size=8, index_col="row_index")
     question = F.when(
         F.col("GOLD_EVIDENCE") != "fr", F.concat(F.lit("<new_question>\n"), "QUESTION", F.lit(" </new_question>")))
     text = F.concat(F.lit("<analysis>"), "PRE_TEXT", F.lit("</analysis>"), F.coalesce(question, F.lit("")))
@@ -261,6 +269,16 @@ def feedback_records(spark, sf):
     return parse_feedback(requests, corrections(requests), template=FEEDBACK_TEMPLATE)
 
 
+@query(f"""
+    SELECT 'Fixed.' AS CORRECTED_RESPONSE, id, {FEEDBACK_PROMPT_SQL} AS PROMPT, QUESTION, ANSWER, COT_RESPONSE, EXTRACTED_ANSWER
+    FROM ({WRONG_SQL}) WHERE length({FEEDBACK_PROMPT_SQL}) <= 5000
+""")
+def feedback_made_in_place(spark, sf):
+    wrong = grading.wrong_answers(graded_documents(spark, sf)).withColumnRenamed("response", "cot_response")
+    answered = answer_requests(feedback_requests(wrong, id_col="doc_id"), make_corrector, batch_size=64)
+    return parse_feedback(answered, template=FEEDBACK_TEMPLATE, unique_ids=True)
+
+
 def prompt_sql(question: str) -> str:
     return chat_sql(question, literal(SYSTEM_MESSAGES["cot"]))
 

@@ -51,6 +51,12 @@ def row_index_hot_key(spark, sf):
     return numbering.with_row_index(events, ["event_type", "event_id"], stored_input=True).select("event_id", "row_index")
 
 
+@query(f"SELECT o_orderkey, i AS row_index FROM ({NUMBERED_SQL})")
+def numbered_scan(spark, sf):
+    # The file is stored in the order of its keys.
+    return numbering.read_numbered(spark, f"{sf}/orders.parquet").select("o_orderkey", "row_index")
+
+
 @query(f"SELECT concat('q', i) AS id, o_orderkey FROM ({NUMBERED_SQL})")
 def synthetic_ids(spark, sf):
     return numbering.with_ids(table(spark, sf, "orders").select("o_orderkey"), "q", ["o_orderkey"], stored_input=True)

@@ -118,10 +118,11 @@ QUESTION_SOURCE = """
 """
 
 
-def question_source(spark, sf):
+def question_source(documents, *more):
     """Documents in the layout of the question rewrite: nested table, null evidence,
     and a value that holds a later slot."""
-    return table(spark, sf, "documents").select(
+    return documents.select(
+        *more,
         F.col("doc_id").alias("id"),
         F.col("text").alias("pre_text"),
         F.array(F.array("lang", "source")).alias("table"),
@@ -147,7 +148,8 @@ QUESTION_PROMPT_SQL = rendered(QUESTION_TEMPLATE, {
 
 @query(f"SELECT id, {QUESTION_PROMPT_SQL} AS PROMPT FROM ({QUESTION_SOURCE})")
 def question_prompt(spark, sf):
-    return with_prompt(upper_fields(question_source(spark, sf), keep="id"), QUESTION_TEMPLATE).select("id", "PROMPT")
+    source = upper_fields(question_source(table(spark, sf, "documents")), keep="id")
+    return with_prompt(source, QUESTION_TEMPLATE).select("id", "PROMPT")
 
 
 FEEDBACK_PROMPT_SQL = rendered(FEEDBACK_TEMPLATE, {

@@ -90,7 +90,6 @@ Format your output as follows:
 
 Ensure that your new question is sufficiently detailed and self-contained so that it can be answered accurately without any additional context.
 """
-QUESTION_SLOTS = ("pre_text", "table", "post_text", "question", "answer", "gold_evidence")
 ANALYSIS_TAG = "analysis"
 NEW_QUESTION_TAG = "new_question"
 
@@ -136,6 +135,7 @@ RESERVED_QUESTION_FIELDS = ("ANALYSIS", "FMT_QUESTION", "PROMPT")
 RESERVED_FEEDBACK_FIELDS = ("CORRECTED_RESPONSE", "PROMPT")
 
 # --- fixed values: request settings and batch sizes --------------------------
+# The request batch size holds where a plan is given no batch size.
 REQUEST_MAX_TOKENS = 4096
 REQUEST_TEMPERATURE = 0.0
 REQUEST_BATCH_SIZE = 1000

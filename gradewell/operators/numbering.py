@@ -10,7 +10,7 @@ re-reads files instead of sorting again with other range bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.operators.schema import quoted, require_columns
@@ -58,19 +58,32 @@ def with_row_index(
     df.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
 
     rows = spark.read.parquet(path)
-    partition = F.shiftrightunsigned("_place", _PLACE_BITS)
-    # One row per written partition, whatever the table's size; stored, so that
-    # using the numbers again does not count again.
-    counts = rows.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1))
-    starts = materialize(counts.select("_partition", F.coalesce(before, F.lit(0)).alias("_start")), f"{path}-starts")
     place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return (
-        rows.withColumn("_partition", partition)
-        .join(F.broadcast(starts), "_partition")
-        .withColumn(name, F.col("_start") + place)
-        .drop("_partition", "_place", "_start")
-    )
+    return _add_index(rows, F.shiftrightunsigned("_place", _PLACE_BITS), place, name, f"{path}-starts").drop("_place")
+
+
+def read_numbered(spark: SparkSession, path: str, name: str = "row_index") -> DataFrame:
+    """Parquet files with a dense index over all rows, in the order of file names.
+
+    Parquet knows each row's place in its file, so nothing is sorted, shuffled
+    or copied: only the rows per file are counted, for which no column is read.
+    """
+    rows = spark.read.parquet(path)
+    return _add_index(rows, F.col("_metadata.file_path"), F.col("_metadata.row_index"), name, scratch_path(spark, "starts"))
+
+
+def _add_index(rows: DataFrame, part: Column, place: Column, name: str, path: str) -> DataFrame:
+    """The dense index, from each row's part of the table and its place there.
+
+    The first number of each part is broadcast: one small row per written
+    partition or listed file, of which the driver holds more for planning.
+    These are stored, so that using the numbers again does not count again.
+    """
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = materialize(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")), path)
+    numbered = rows.select("*", part.alias("_part"), place.alias("_at")).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 def with_ids(
@@ -121,13 +134,19 @@ def assign_batches(
     order_by: list[str] | None = None,
     total: int | None = None,
     stored_input: bool = False,
+    index_col: str | None = None,
 ) -> DataFrame:
     """``df`` cut into runs of ``batch_size`` rows; only the last may be short.
 
     Adds ``batch_no``, ``pos`` and ``custom_id``.  ``total`` keeps the first
-    rows only.
+    rows only.  ``index_col`` names a dense index that is there already, as
+    from ``read_numbered``; it is dropped.
     """
-    rows = with_row_index(df, order_by, "_index", stored_input=stored_input)
+    if index_col:
+        require_columns(df, index_col)
+        rows = df.withColumnRenamed(index_col, "_index")
+    else:
+        rows = with_row_index(df, order_by, "_index", stored_input=stored_input)
     if total:
         rows = rows.where(F.col("_index") < total)
     rows = rows.withColumns(batch_columns(F.col("_index"), batch_size)).drop("_index")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.fixed import (
-    CORRECTED_TAG, FEEDBACK_BATCH_SIZE, FEEDBACK_SLOTS, FEEDBACK_TEMPLATE, RESERVED_FEEDBACK_FIELDS,
+    CORRECTED_TAG, FEEDBACK_BATCH_SIZE, FEEDBACK_SLOTS, FEEDBACK_TEMPLATE, REQUEST_BATCH_SIZE,
+    RESERVED_FEEDBACK_FIELDS,
 )
 from gradewell.functions.text import render, tagged_section
 from gradewell.operators.numbering import assign_batches
@@ -20,7 +21,7 @@ def feedback_requests(
     df: DataFrame,
     column_mapping: Mapping[str, str] | None = None,
     template: str = FEEDBACK_TEMPLATE,
-    batch_size: int = FEEDBACK_BATCH_SIZE,
+    batch_size: int | None = FEEDBACK_BATCH_SIZE,
     order_by: list[str] | None = None,
     id_col: str = "id",
     stored_input: bool = False,
@@ -35,7 +36,7 @@ def feedback_requests(
     # Only the named columns are sorted and written.
     names = list(dict.fromkeys([id_col, *mapping.values(), *(order_by or [])]))
     narrow = df.select(*[quoted(c) for c in names])
-    requests = assign_batches(narrow, batch_size, order_by, stored_input=stored_input).select(
+    requests = assign_batches(narrow, batch_size or REQUEST_BATCH_SIZE, order_by, stored_input=stored_input).select(
         *REQUEST_COLUMNS,
         text_column(df, id_col).alias("id"),
         *[text_column(df, column).alias(slot.upper()) for slot, column in mapping.items()],

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.fixed import (
-    ANALYSIS_TAG, NEW_QUESTION_TAG, QUESTION_BATCH_SIZE, QUESTION_TEMPLATE, RESERVED_QUESTION_FIELDS,
+    ANALYSIS_TAG, NEW_QUESTION_TAG, QUESTION_BATCH_SIZE, QUESTION_TEMPLATE, REQUEST_BATCH_SIZE,
+    RESERVED_QUESTION_FIELDS,
 )
 from gradewell.functions.text import clean_text, render, tagged_section
 from gradewell.operators.matching import last_wins, match_results
@@ -21,23 +22,25 @@ REQUEST_COLUMNS = ("custom_id", "batch_no", "pos")
 def question_requests(
     df: DataFrame,
     template: str = QUESTION_TEMPLATE,
-    batch_size: int = QUESTION_BATCH_SIZE,
+    batch_size: int | None = QUESTION_BATCH_SIZE,
     total_samples: int | None = None,
     order_by: list[str] | None = None,
     id_col: str = "id",
     stored_input: bool = False,
+    index_col: str | None = None,
 ) -> DataFrame:
     """One request per row: ids, ``PROMPT`` and every field as text, upper-cased.
 
     Slots are filled in column order.  ``order_by`` fixes which rows come first;
     without it they keep the order they are read in.  For it and
-    ``stored_input`` see ``with_row_index``.
+    ``stored_input`` see ``with_row_index``; with the ``index_col`` that
+    ``read_numbered`` gives, the rows are not even copied.
     """
     require_columns(df, id_col)
-    names = {c: "id" if c == id_col else c.upper() for c in df.columns}
+    names = {c: "id" if c == id_col else c.upper() for c in df.columns if c != index_col}
     require_distinct(names.values(), [*RESERVED_QUESTION_FIELDS, *REQUEST_COLUMNS])
-    requests = assign_batches(df, batch_size, order_by, total_samples, stored_input).select(
-        *REQUEST_COLUMNS, *[text_column(df, c).alias(name) for c, name in names.items()])
+    batches = assign_batches(df, batch_size or REQUEST_BATCH_SIZE, order_by, total_samples, stored_input, index_col)
+    requests = batches.select(*REQUEST_COLUMNS, *[text_column(df, c).alias(name) for c, name in names.items()])
     return with_prompt(requests, template)
 
 

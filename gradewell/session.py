@@ -45,8 +45,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, never used before."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, never used before.
+
+    All of an application's paths lie in one folder named by its id, which may
+    go when the application has ended.  Give tables that later applications
+    read a path of their own instead.
+    """
+    return f"{scratch_root(spark)}/gradewell-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, path: str | None = None, label: str = "rows") -> DataFrame:

@@ -28,7 +28,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
-WITH_MODEL = {"execute_answers", "response_status", "best_of_n_answers", "grade_answers", "evaluate_model"}
+WITH_MODEL = {"execute_answers", "response_status", "best_of_n_answers", "grade_answers", "feedback_made_in_place"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -83,6 +83,22 @@ def test_numbers_are_fixed_once_written(spark):
     assert "Window" not in planned(indexed)
 
 
+def test_numbered_scan(spark, settings):
+    """Whole files are numbered in order of their names, however the scan is split."""
+    path = session.scratch_path(spark, "scan")
+    spark.range(0, 5000, 1, 5).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).write.option(
+        "parquet.block.size", 20_000).parquet(path)
+    settings(spark__sql__files__maxPartitionBytes="20000")
+    numbered = nb.read_numbered(spark, path)
+    assert numbered.columns == ["id", "t", "row_index"]
+    assert all(r.id == r.row_index for r in numbered.collect())
+    assert "Exchange hashpartitioning" not in planned(numbered) and "rangepartitioning" not in planned(numbered)
+    batches = nb.assign_batches(numbered, 7, index_col="row_index", total=20)
+    assert rows(batches.groupBy("batch_no").count()) == [(0, 7), (1, 7), (2, 6)]
+    assert "t" in batches.columns and "row_index" not in batches.columns
+    assert "t:string" not in planned(batches.select("custom_id")).split("ReadSchema")[1]
+
+
 def test_upstream_runs_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
