@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradewell.catalog.registry import query, table
 from gradewell.operators import grading, matching, numbering, selection
+from gradewell.operators.schema import with_defaults
 from gradewell.session import scratch_path
 from gradewell.sources import batches, tables
 from gradewell.streaming.results import ingest_results, stream_results
@@ -251,6 +252,15 @@ def pair_scores(spark, sf):
     return matching.pair_scores(document_samples(spark, sf), scores, "doc_id")
 
 
+@query("SELECT d.doc_id, coalesce(nullif(d.lang, 'de'), '') AS lang, coalesce(l.quality = 1, false) AS is_correct, "
+       "coalesce(l.toxic::DOUBLE, 0) AS confidence_score FROM documents d LEFT JOIN labels l USING (doc_id)")
+def fill_defaults(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("lang"))
+    labels = table(spark, sf, "labels").select(
+        "doc_id", (F.col("quality") == 1).alias("is_correct"), F.col("toxic").cast("double").alias("confidence_score"))
+    return with_defaults(docs.join(labels, "doc_id", "left"), {"lang": "", "is_correct": False, "confidence_score": 0.0})
+
+
 # --- sources and sinks -------------------------------------------------------
 
 DOCUMENTS_SQL = """

@@ -19,6 +19,10 @@ from gradewell.session import materialize, scratch_path
 # ``monotonically_increasing_id`` holds the partition above this bit.
 _PLACE_BITS = 33
 
+# Up to here the first numbers of partitions or files (some 100 bytes each) are
+# broadcast; beyond, Spark chooses the join.
+BROADCAST_PARTS = 500_000
+
 # Up to here the first rows are taken by a top-n, which keeps n rows per task.
 TOP_N_LIMIT = 10_000
 
@@ -75,14 +79,16 @@ def read_numbered(spark: SparkSession, path: str, name: str = "row_index") -> Da
 def _add_index(rows: DataFrame, part: Column, place: Column, name: str, path: str) -> DataFrame:
     """The dense index, from each row's part of the table and its place there.
 
-    The first number of each part is broadcast: one small row per written
-    partition or listed file, of which the driver holds more for planning.
-    These are stored, so that using the numbers again does not count again.
+    There is one first number per written partition or listed file.  These are
+    stored, so that using the numbers again does not count again, and broadcast
+    unless there are too many.
     """
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts = materialize(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")), path)
-    numbered = rows.select("*", part.alias("_part"), place.alias("_at")).join(F.broadcast(starts), "_part")
+    if starts.count() <= BROADCAST_PARTS:
+        starts = F.broadcast(starts)
+    numbered = rows.select("*", part.alias("_part"), place.alias("_at")).join(starts, "_part")
     return numbered.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 

@@ -11,7 +11,7 @@ from gradewell.functions.text import boxed_answer
 from gradewell.functions.verdict import confidence_from_logits, is_correct
 from gradewell.operators.grading import metric_columns
 from gradewell.operators.inference import JUDGEMENT, TEXT, MakeFn, model_output
-from gradewell.operators.schema import quoted, require_columns
+from gradewell.operators.schema import quoted, require_columns, text_column
 from gradewell.plans.execution import best_of_n_responses, execute
 from gradewell.session import scratch_path
 
@@ -38,7 +38,7 @@ def grade(
     require_columns(df, question_col, response_col, answer_col)
     out = df.withColumn("extracted_answer", boxed_answer(quoted(response_col).cast("string")))
     asked = judge_chat_text(
-        quoted(question_col), F.col("extracted_answer"), quoted(answer_col), system_prompt, fmt)
+        text_column(df, question_col), F.col("extracted_answer"), text_column(df, answer_col), system_prompt, fmt)
     fields = JUDGEMENT if with_confidence else TEXT
     out = out.withColumn("_judged", model_output(make_judge_fn, asked, batch_size, fields))
     out = out.withColumn("model_evaluation", F.coalesce("_judged.response", F.lit("")))

@@ -28,6 +28,8 @@ def preference_pairs(
     Rows without a chosen or rejected text are dropped, or with
     ``null_policy="text"`` kept with the text ``None``.
     """
+    if df is None:
+        raise ValueError("no rows given to make preference triples from")
     require_columns(df, question_col, chosen_col, rejected_col)
     if null_policy not in ("drop", "text"):
         raise ValueError("null_policy is 'drop' or 'text'")

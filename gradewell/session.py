@@ -13,6 +13,8 @@ LOCAL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "8g",
+    # Keeps batches of long texts small on their way to a model.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
 _local_scratch: str | None = None

@@ -53,6 +53,19 @@ def write_requests(records: DataFrame, path: str, batches_per_folder: int = 1000
     records.withColumn("folder", folder).write.partitionBy("folder").json(path)
 
 
+def store_requests(requests: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Requests as a table bucketed by custom id, one sorted file per bucket.
+
+    Results come in over and over: matching them to this table shuffles the
+    results only, never the requests again.  This takes at least as many
+    buckets as ``spark.sql.shuffle.partitions``.
+    """
+    require_columns(requests, "custom_id")
+    writer = requests.repartition(buckets, "custom_id").write.bucketBy(buckets, "custom_id").sortBy("custom_id")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return requests.sparkSession.table(name)
+
+
 def model_text(result: Column | str = "result") -> Column:
     """Text of the first content block; null for a failed or empty result."""
     content = F.col(f"{result}.message.content") if isinstance(result, str) else result["message"]["content"]

@@ -22,8 +22,10 @@ def ingest_results(requests: DataFrame, results: DataFrame, path: str, checkpoin
 
     The join with the stored requests keeps no state.  A later run goes on
     after the files read so far, so results can be picked up as batches end.
-    The written rows may hold several results per request; ``last_wins`` over
-    the table settles them.
+    Each run reads the requests: give it those of the batches still open, by a
+    filter on the stored ``batch_no`` that the scan can use.  The written rows
+    may hold several results per request; ``last_wins`` over the table settles
+    them.
     """
     return (
         match_results(requests, results)

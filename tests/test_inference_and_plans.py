@@ -314,6 +314,8 @@ def test_preference_pairs(spark):
     kept = preference_pairs(df, null_policy="text")
     assert sorted((r.chosen, r.rejected) for r in kept.collect()) == [
         ("None", "bad"), ("good", "None"), ("good", "bad"), ("good", "bad")]
+    with pytest.raises(ValueError, match="no rows given"):
+        preference_pairs(None)
     with pytest.raises(ValueError, match="null_policy"):
         preference_pairs(df, null_policy="keep")
     with pytest.raises(ValueError, match="unknown mode"):

@@ -99,6 +99,16 @@ def test_numbered_scan(spark, settings):
     assert "t:string" not in planned(batches.select("custom_id")).split("ReadSchema")[1]
 
 
+def test_many_parts_are_not_broadcast_by_hint(spark, settings, monkeypatch):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    df = spark.range(50, numPartitions=5)
+    small = nb.with_row_index(df)
+    monkeypatch.setattr(nb, "BROADCAST_PARTS", 4)
+    large = nb.with_row_index(df)
+    assert "BroadcastHashJoin" in planned(small) and "BroadcastHashJoin" not in planned(large)
+    assert rows(small) == rows(large)
+
+
 def test_upstream_runs_once(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import planned, rows
 from gradewell import session
-from gradewell.operators import numbering
+from gradewell.operators import matching, numbering
 from gradewell.sources import batches, tables
 from gradewell.streaming.results import ingest_results, stream_results
 
@@ -28,6 +28,9 @@ def test_csv(spark, awkward, path):
     back = tables.read_csv(spark, path)
     assert back.columns == ["id", "text", "other"] and rows(back) == AWKWARD
     assert rows(tables.read_csv(spark, path, ["id", "text", "other"])) == AWKWARD
+    carriage = spark.createDataFrame([("1", "a\r\nb\rc")], "id string, text string")
+    tables.write_csv(carriage, path + "-cr")
+    assert rows(tables.read_csv(spark, path + "-cr")) == [("1", "a\r\nb\rc")]
     with pytest.raises(Exception, match="(?i)header"):
         tables.read_csv(spark, path, ["id", "other", "text"]).collect()
     assert rows(tables.csv_to_parquet(spark, path, path + "-parquet")) == AWKWARD
@@ -75,6 +78,18 @@ def test_request_files(spark, path):
             "model": "m", "max_tokens": 50, "temperature": 0.25, "messages": [{"role": "user", "content": "prompt 9"}]}}
 
 
+def test_stored_requests_are_not_shuffled_again(spark, path, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    stored = batches.store_requests(requests_of(spark, 100, 4), "stored_requests", 8, path)
+    results = spark.range(200).select(
+        F.concat(F.lit("b"), F.col("id") % 30, F.lit("-0")).alias("custom_id"), F.col("id").alias("n"), F.lit("out").alias("MODEL_OUTPUT"))
+    matched = matching.match_results(stored, results, "n")
+    plan = planned(matched)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert matched.count() == 25
+    spark.sql("DROP TABLE stored_requests")
+
+
 def result_line(custom_id, state="succeeded", texts=("out",)):
     message = None if state != "succeeded" else {"content": [{"type": "text", "text": t} for t in texts]}
     return json.dumps({"custom_id": custom_id, "result": {"type": state, "message": message}})
