@@ -14,7 +14,7 @@ from gradewell.catalog.text import (
     FEEDBACK_PROMPT_SQL, QUESTION_PROMPT_SQL, QUESTION_SOURCE, STRICT_SQL, VERDICTS_SQL, WS, chat_sql, literal,
     question_source, verdicts,
 )
-from gradewell.fixed import FEEDBACK_TEMPLATE, QUESTION_TEMPLATE, SYSTEM_MESSAGES
+from gradewell.fixed import FEEDBACK_TEMPLATE, SYSTEM_MESSAGES
 from gradewell.functions.chat import CHATML
 from gradewell.functions.verdict import is_correct
 from gradewell.operators import grading
@@ -22,12 +22,12 @@ from gradewell.operators.inference import answer_requests
 from gradewell.operators.numbering import read_numbered
 from gradewell.plans.evaluation import evaluate, grade, write_graded
 from gradewell.plans.execution import best_of_n_responses, execute, response_records
-from gradewell.plans.feedback import feedback_requests, parse_feedback
+from gradewell.plans.feedback import correct_answers, feedback_requests, parse_feedback
 from gradewell.plans.feedback import keep_corrected as only_corrected
 from gradewell.plans.preference import preference_pairs as pairs_of
 from gradewell.plans.preference import preference_set as triples
 from gradewell.plans.questions import flag_missing as with_missing
-from gradewell.plans.questions import parse_questions, question_requests
+from gradewell.plans.questions import rewrite_questions
 
 # --- stand-in models ---------------------------------------------------------
 
@@ -216,6 +216,15 @@ def evaluate_model(spark, sf):
 
 # --- records and triples -----------------------------------------------------
 
+
+def rewrites(requests):
+    """Rewritten questions; French sources lack the question, German ones any answer."""
+    question = F.when(
+        F.col("GOLD_EVIDENCE") != "fr", F.concat(F.lit("<new_question>\n"), "QUESTION", F.lit(" </new_question>")))
+    text = F.concat(F.lit("<analysis>"), "PRE_TEXT", F.lit("</analysis>"), F.coalesce(question, F.lit("")))
+    return requests.select("custom_id", F.when(F.col("GOLD_EVIDENCE") != "None", text).alias("MODEL_OUTPUT"))
+
+
 QUESTION_SLOT_COLUMNS = 'PRE_TEXT, "TABLE", POST_TEXT, QUESTION, ANSWER, GOLD_EVIDENCE'
 
 
@@ -226,12 +235,7 @@ QUESTION_SLOT_COLUMNS = 'PRE_TEXT, "TABLE", POST_TEXT, QUESTION, ANSWER, GOLD_EV
 """)
 def question_records(spark, sf):
     source = question_source(read_numbered(spark, f"{sf}/documents.parquet"), "row_index")
-    requests = question_requests(source, batch_size=8, index_col="row_index")
-    question = F.when(
-        F.col("GOLD_EVIDENCE") != "fr", F.concat(F.lit("<new_question>\n"), "QUESTION", F.lit(" </new_question>")))
-    text = F.concat(F.lit("<analysis>"), "PRE_TEXT", F.lit("</analysis>"), F.coalesce(question, F.lit("")))
-    results = requests.select("custom_id", F.when(F.col("GOLD_EVIDENCE") != "None", text).alias("MODEL_OUTPUT"))
-    return parse_questions(requests, results, template=QUESTION_TEMPLATE)
+    return rewrite_questions(source, rewrites, batch_size=8, index_col="row_index")
 
 
 WRONG_SQL = f"""
@@ -265,8 +269,7 @@ def graded_documents(spark, sf):
 """)
 def feedback_records(spark, sf):
     wrong = grading.wrong_answers(graded_documents(spark, sf)).withColumnRenamed("response", "cot_response")
-    requests = feedback_requests(wrong, id_col="doc_id")
-    return parse_feedback(requests, corrections(requests), template=FEEDBACK_TEMPLATE)
+    return correct_answers(wrong, corrections, id_col="doc_id")
 
 
 @query(f"""

@@ -32,27 +32,31 @@ JUDGEMENT = (
 )
 
 
-def _call(fn: Callable, *inputs: list) -> list[tuple]:
-    """(value, error) per row; value is None where the model failed."""
+def _fields_of(value, fields: Sequence[tuple]) -> tuple:
+    """One result as a tuple in the types of the fields."""
+    values = (value,) if len(fields) == 1 else tuple(value)
+    if len(values) != len(fields):
+        raise ValueError(f"model gave {len(values)} values for {len(fields)} fields")
+    return tuple(
+        float(v) if isinstance(dtype, T.DoubleType) and v is not None else v
+        for v, (_, dtype, _) in zip(values, fields))
+
+
+def _call(fn: Callable, fields: Sequence[tuple], *inputs: list) -> list[tuple]:
+    """Fields, status and error of each row."""
     rows = len(inputs[0])
     try:
         values = list(fn(*inputs))
         if len(values) != rows:
             raise ValueError(f"model gave {len(values)} results for {rows} rows")
-        return [(v, None) for v in values]
+        return [(*_fields_of(v, fields), SUCCESS, None) for v in values]
     except Exception as e:
         if rows == 1:
-            return [(None, str(e))]
-        return [_call(fn, *([v] for v in row))[0] for row in zip(*inputs)]
+            return [(*(default for _, _, default in fields), ERROR, str(e))]
+        return [_call(fn, fields, *([v] for v in row))[0] for row in zip(*inputs)]
 
 
-def _columns(results: list[tuple], fields: Sequence[tuple], shape: tuple) -> dict[str, np.ndarray]:
-    rows = []
-    for value, error in results:
-        if error is None:
-            rows.append((*((value,) if len(fields) == 1 else value), SUCCESS, None))
-        else:
-            rows.append((*(default for _, _, default in fields), ERROR, error))
+def _columns(rows: list[tuple], fields: Sequence[tuple], shape: tuple) -> dict[str, np.ndarray]:
     out = {}
     for i, name in enumerate([f[0] for f in fields] + ["status", "error"]):
         double = i < len(fields) and isinstance(fields[i][1], T.DoubleType)
@@ -92,7 +96,7 @@ def model_output(
                 inputs = [[t for t in flat for _ in range(samples)], list(range(samples)) * len(flat)]
             results = []
             for start in range(0, len(inputs[0]), batch_size):
-                results += _call(fn, *(i[start:start + batch_size] for i in inputs))
+                results += _call(fn, fields, *(i[start:start + batch_size] for i in inputs))
             return _columns(results, fields, shape)
 
         return run

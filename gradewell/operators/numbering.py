@@ -10,7 +10,7 @@ re-reads files instead of sorting again with other range bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradewell.operators.schema import quoted, require_columns
@@ -85,8 +85,9 @@ def _add_index(rows: DataFrame, part: Column, place: Column, name: str, path: st
     """
     counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = materialize(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")), path)
-    if starts.count() <= BROADCAST_PARTS:
+    starts, seen = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")), Observation()
+    starts = materialize(starts.observe(seen, F.count(F.lit(1)).alias("parts")), path)
+    if seen.get["parts"] <= BROADCAST_PARTS:
         starts = F.broadcast(starts)
     numbered = rows.select("*", part.alias("_part"), place.alias("_at")).join(starts, "_part")
     return numbered.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")

@@ -27,13 +27,15 @@ def grade(
     system_prompt: str | None = None,
     batch_size: int = GENERATION_BATCH_SIZE,
     fmt: ChatFormat = CHATML,
+    status: bool = False,
 ) -> DataFrame:
     """``df`` with ``extracted_answer, model_evaluation, is_correct`` and, on
     request, ``confidence_score``.
 
     The judge gets its whole chat as text and gives its evaluation, or with
     confidence the evaluation and the logits of "correct" and "wrong".  A failed
-    judgement is '' with neutral confidence and counts as not correct.
+    judgement is '' with neutral confidence and counts as not correct; ``status``
+    adds ``judge_status`` and ``judge_error`` to tell it from a real one.
     """
     require_columns(df, question_col, response_col, answer_col)
     out = df.withColumn("extracted_answer", boxed_answer(quoted(response_col).cast("string")))
@@ -46,6 +48,8 @@ def grade(
     if with_confidence:
         out = out.withColumn(
             "confidence_score", confidence_from_logits(F.col("_judged.correct_logit"), F.col("_judged.wrong_logit")))
+    if status:
+        out = out.withColumns({"judge_status": F.col("_judged.status"), "judge_error": F.col("_judged.error")})
     return out.drop("_judged")
 
 

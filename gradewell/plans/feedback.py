@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,21 @@ def parse_feedback(
     )
 
 
+def correct_answers(
+    df: DataFrame,
+    respond: Callable[[DataFrame], DataFrame],
+    column_mapping: Mapping[str, str] | None = None,
+    template: str = FEEDBACK_TEMPLATE,
+    unique_ids: bool = False,
+    **options,
+) -> DataFrame:
+    """From wrong answers to corrections: ``respond`` turns the requests into
+    ``custom_id, MODEL_OUTPUT``; options are those of ``feedback_requests``."""
+    requests = feedback_requests(df, column_mapping, template, **options)
+    return parse_feedback(
+        requests, respond(requests), template=template, slots=column_mapping or FEEDBACK_SLOTS, unique_ids=unique_ids)
+
+
 def keep_corrected(df: DataFrame) -> DataFrame:
     """Records that have a corrected response."""
     return df.where(F.col("CORRECTED_RESPONSE") != "")

@@ -11,7 +11,7 @@ from gradewell.fixed import FEEDBACK_BATCH_SIZE, FEEDBACK_TEMPLATE
 from gradewell.functions.chat import CHATML, ChatFormat, chat_text, system_message
 from gradewell.operators.grading import wrong_answers
 from gradewell.operators.schema import quoted, require_columns, text_column
-from gradewell.plans.feedback import feedback_requests, parse_feedback
+from gradewell.plans.feedback import correct_answers
 
 
 def preference_pairs(
@@ -68,6 +68,7 @@ def preference_set(
         "cot_response": response_col,
         "extracted_answer": "extracted_answer",
     }
-    requests = feedback_requests(wrong_answers(graded), mapping, template, batch_size, order_by, id_col)
-    feedback = parse_feedback(requests, respond(requests), template=template, unique_ids=unique_ids)
+    feedback = correct_answers(
+        wrong_answers(graded), respond, mapping, template, unique_ids,
+        batch_size=batch_size, order_by=order_by, id_col=id_col)
     return preference_pairs(feedback.withColumn("AI_RESPONSE", F.col("COT_RESPONSE")), mode=mode)

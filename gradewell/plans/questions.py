@@ -113,6 +113,19 @@ def collect_records(
     return matched.select(*names, "id", "PROMPT", *[quoted(c) for c in fields])
 
 
+def rewrite_questions(
+    df: DataFrame,
+    respond: Callable[[DataFrame], DataFrame],
+    template: str = QUESTION_TEMPLATE,
+    unique_ids: bool = False,
+    **options,
+) -> DataFrame:
+    """From source rows to records: ``respond`` turns the requests into
+    ``custom_id, MODEL_OUTPUT``; options are those of ``question_requests``."""
+    requests = question_requests(df, template, **options)
+    return parse_questions(requests, respond(requests), template=template, unique_ids=unique_ids)
+
+
 def flag_missing(df: DataFrame) -> DataFrame:
     """Adds ``missing``: the part a record lacks, ``analysis`` before ``question``, or null."""
     return df.withColumn(

@@ -63,6 +63,15 @@ def test_wrong_number_of_results_is_an_error(spark):
     assert {r.status for r in out.collect()} == {"error"}
 
 
+def test_unusable_values_are_errors_of_their_row(spark):
+    df = spark.createDataFrame([("1",), ("x",), ("2.5",)], "t string").coalesce(1)
+    scored = df.select("t", model_output(lambda: lambda ts: ts, F.col("t"), 5, SCORE).alias("o")).select("t", "o.score", "o.status")
+    assert {(r.t, r.status) for r in scored.collect()} == {("1", "success"), ("x", "error"), ("2.5", "success")}
+    assert scored.where("t = '2.5'").first().score == 2.5
+    judged = df.select(model_output(lambda: lambda ts: [("a", 1.0)] * len(ts), F.col("t"), 5, JUDGEMENT).alias("o"))
+    assert {r.error for r in judged.select("o.*").collect()} == {"model gave 2 values for 3 fields"}
+
+
 def test_several_fields_and_samples(spark):
     df = spark.createDataFrame([("ab",)], "t string")
     judged = df.select(model_output(lambda: lambda ts: [("Wrong", 1, 2.5)] * len(ts), F.col("t"), 5, JUDGEMENT).alias("o"))
@@ -153,7 +162,8 @@ def test_failed_judgement_is_neutral(answers):
 
         return run
 
-    graded = grade(answers, "question", "response", "answer", broken, with_confidence=True)
+    graded = grade(answers, "question", "response", "answer", broken, with_confidence=True, status=True)
+    assert {(r.judge_status, r.judge_error) for r in graded.collect()} == {("error", "out of memory")}
     assert {(r.model_evaluation, r.is_correct, r.confidence_score) for r in graded.collect()} == {("", False, 0.5)}
 
 
