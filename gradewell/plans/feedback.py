@@ -62,10 +62,11 @@ def parse_feedback(
     Output without a corrected response is dropped before anything is matched.
     The arguments are those of ``parse_questions``; ``slots`` goes with ``template``.
     """
-    corrected = tagged_section("MODEL_OUTPUT", CORRECTED_TAG).alias("CORRECTED_RESPONSE")
+    # One value or none.  A filter on the extracted text would be pushed below the
+    # extraction and extract again.
+    corrected = F.explode(F.array_remove(F.array(tagged_section("MODEL_OUTPUT", CORRECTED_TAG)), ""))
     return collect_records(
-        requests, results, [corrected], seq, template, unique_ids,
-        where=F.col("CORRECTED_RESPONSE") != "",
+        requests, results, [corrected.alias("CORRECTED_RESPONSE")], seq, template, unique_ids,
         fill=lambda df, text: fill_slots(df, text, slots),
     )
 

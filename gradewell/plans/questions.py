@@ -88,7 +88,6 @@ def collect_records(
     seq: str | None,
     template: str | None,
     unique_ids: bool,
-    where: Column | None = None,
     fill: Callable[[DataFrame, str], DataFrame] = with_prompt,
 ) -> DataFrame:
     """The parts of the model's output with the request they answer, one row per id."""
@@ -98,11 +97,9 @@ def collect_records(
     kept = [quoted(c) for c in carried]
     if results is None:
         matched = requests.where("MODEL_OUTPUT IS NOT NULL").select(*kept, *parts)
-        matched = matched if where is None else matched.where(where)
     else:
         order = [quoted(seq)] if seq else []
         found = results.where("MODEL_OUTPUT IS NOT NULL").select("custom_id", *parts, *order)
-        found = found if where is None else found.where(where)
         matched = match_results(requests.select(*kept), found, seq).drop(*([seq] if seq else []))
     names = [c for c in matched.columns if c not in carried]
     if not unique_ids:

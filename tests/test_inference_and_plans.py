@@ -289,6 +289,12 @@ def test_feedback(spark, wrong):
         assert rows(records) == [("I say 4", "1", prompt, "2+2?", "4", "I say 5", "5")]
 
 
+def test_corrections_are_extracted_once(spark, wrong):
+    requests = feedback_requests(wrong)
+    results = requests.select("custom_id", F.col("PROMPT").alias("MODEL_OUTPUT"))
+    assert planned(parse_feedback(requests, results, template=FEEDBACK_TEMPLATE)).count("regexp_extract(") == 1
+
+
 def test_feedback_mapping(wrong):
     renamed = wrong.withColumnsRenamed({"question": "q", "cot_response": "r"})
     with pytest.raises(ValueError, match="missing"):
