@@ -83,7 +83,8 @@ def raw_results(requests):
     are errored without a message, the rest come back without any content."""
     text = F.concat("o_orderpriority", F.lit(" for "), "o_orderkey")
     block = F.struct(F.lit("text").alias("type"), text.alias("text"))
-    content = F.when(F.col("o_orderstatus") == "F", F.array(block)).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
+    content = F.when(F.col("o_orderstatus") == "F", F.array(block)).otherwise(
+        F.array().cast("array<struct<type:string,text:string>>"))
     message = F.when(F.col("o_orderstatus") != "O", F.struct(content.alias("content")))
     state = F.when(F.col("o_orderstatus") == "O", F.lit("errored")).otherwise(F.lit("succeeded"))
     return requests.select("custom_id", F.struct(state.alias("type"), message.alias("message")).alias("result"))
@@ -139,6 +140,21 @@ def streamed_results(spark, sf):
     return spark.read.parquet(path).select("o_orderkey", "custom_id", "MODEL_OUTPUT")
 
 
+@query(f"""
+    SELECT concat('b', i // 3, '-', i % 3) AS custom_id, concat(o_orderpriority, ' for ', o_orderkey) AS MODEL_OUTPUT
+    FROM ({NUMBERED_SQL}) WHERE o_orderstatus = 'F'
+    AND i // 3 NOT IN (SELECT i // 3 FROM ({NUMBERED_SQL}) WHERE o_orderstatus NOT IN ('F', 'O'))
+""")
+def ended_results(spark, sf):
+    """Results of batches in which every request has come back."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    requests = numbering.assign_batches(orders, 3, ["o_orderkey"], stored_input=True)
+    raw = raw_results(requests.where(F.col("o_orderstatus").isin("F", "O")))
+    status = grading.batch_status(batches.request_states(requests, raw))
+    results = batches.flat_results(raw).withColumn("batch_no", batches.batch_of("custom_id"))
+    return matching.of_ended_batches(results, status).select("custom_id", "MODEL_OUTPUT")
+
+
 STATES_SQL = """
     SELECT user_id AS batch_no, event_id, CASE event_type WHEN 'error' THEN 'errored' WHEN 'view' THEN 'canceled'
            WHEN 'signup' THEN 'expired' ELSE CASE WHEN value > 110 THEN 'processing' ELSE 'succeeded' END END AS status

@@ -82,6 +82,15 @@ def result_states(raw: DataFrame) -> DataFrame:
     return raw.select("custom_id", batch_of("custom_id").alias("batch_no"), F.col("result.type").alias("status"))
 
 
+def request_states(requests: DataFrame, raw: DataFrame) -> DataFrame:
+    """``custom_id, batch_no, status`` of every request: ``processing`` while it
+    has no result.  Of several results a succeeded one counts."""
+    # Of the state names, "succeeded" is the last in the alphabet.
+    found = raw.groupBy("custom_id").agg(F.max("result.type").alias("status"))
+    states = requests.select("custom_id", "batch_no").join(found, "custom_id", "left")
+    return states.withColumn("status", F.coalesce("status", F.lit("processing")))
+
+
 def batch_of(custom_id: Column | str) -> Column:
     """Batch number inside a request id; null for a foreign id."""
     return F.regexp_extract(custom_id, r"^b(\d+)-\d+$", 1).try_cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import planned, rows
 from gradewell import session
-from gradewell.operators import matching, numbering
+from gradewell.operators import grading, matching, numbering
 from gradewell.sources import batches, tables
 from gradewell.streaming.results import ingest_results, stream_results
 
@@ -111,6 +111,16 @@ def test_results(spark, path):
         ("b0-1", 0, "errored"), ("x", None, "succeeded")]
 
 
+def test_states_of_requests(spark, path):
+    write_lines(spark, path, [*LINES, result_line("b0-1")])
+    raw = spark.read.schema(batches.RESULT_SCHEMA).json(path)
+    states = batches.request_states(requests_of(spark, 5, 3), raw)
+    assert rows(states) == [
+        ("b0-0", 0, "succeeded"), ("b0-1", 0, "succeeded"), ("b0-2", 0, "succeeded"),
+        ("b1-0", 1, "succeeded"), ("b1-1", 1, "processing")]
+    assert rows(grading.batch_status(states).select("batch_no", "ended")) == [(0, True), (1, False)]
+
+
 def test_streaming_gives_what_one_read_gives(spark, path):
     requests = requests_of(spark, 8, 4)
     files, out, progress = path + "-files", path + "-out", path + "-progress"

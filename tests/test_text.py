@@ -60,6 +60,13 @@ def test_tag_with_pattern_characters(spark):
     check(spark, lambda c: tx.tagged_section(c, "a.b"), [("<a.b>x</a.b>", "x"), ("<aXb>x</aXb>", "")])
 
 
+def test_tag_letters_fold_like_python(spark):
+    texts = ["<analy\u017fi\u017f>x</ANALYSIS>", "<analys\u0131s>x</analysis>", "<analys\u0130s>x</analysis>"]
+    pattern = re.compile("<analysis>(.*?)</analysis>", re.I)
+    want = [m.group(1) if (m := pattern.search(t)) else "" for t in texts]
+    assert apply(spark, lambda c: tx.tagged_section(c, "analysis"), texts) == want
+
+
 def test_clean_text(spark):
     check(spark, tx.clean_text, [
         ("a \n\n \n  b\t", "a\nb"),
