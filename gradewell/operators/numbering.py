@@ -66,17 +66,21 @@ def with_row_index(
     return _add_index(rows, F.shiftrightunsigned("_place", _PLACE_BITS), place, name, f"{path}-starts").drop("_place")
 
 
-def read_numbered(spark: SparkSession, path: str, name: str = "row_index") -> DataFrame:
+def read_numbered(spark: SparkSession, path: str, name: str = "row_index", total: int | None = None) -> DataFrame:
     """Parquet files with a dense index over all rows, in the order of file names.
 
     Parquet knows each row's place in its file, so nothing is sorted, shuffled
     or copied: only the rows per file are counted, for which no column is read.
+    With ``total`` only the files that hold the first rows are read.
     """
     rows = spark.read.parquet(path)
-    return _add_index(rows, F.col("_metadata.file_path"), F.col("_metadata.row_index"), name, scratch_path(spark, "starts"))
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return _add_index(rows, file, place, name, scratch_path(spark, "starts"), total)
 
 
-def _add_index(rows: DataFrame, part: Column, place: Column, name: str, path: str) -> DataFrame:
+def _add_index(
+    rows: DataFrame, part: Column, place: Column, name: str, path: str, total: int | None = None,
+) -> DataFrame:
     """The dense index, from each row's part of the table and its place there.
 
     There is one first number per written partition or listed file.  These are
@@ -87,10 +91,14 @@ def _add_index(rows: DataFrame, part: Column, place: Column, name: str, path: st
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     starts, seen = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")), Observation()
     starts = materialize(starts.observe(seen, F.count(F.lit(1)).alias("parts")), path)
+    if total:
+        last = starts.where(F.col("_start") < total).agg(F.max("_part")).first()[0]
+        rows = rows.where(part <= last)
     if seen.get["parts"] <= BROADCAST_PARTS:
         starts = F.broadcast(starts)
     numbered = rows.select("*", part.alias("_part"), place.alias("_at")).join(starts, "_part")
-    return numbered.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    numbered = numbered.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    return numbered.where(F.col(name) < total) if total else numbered
 
 
 def with_ids(
@@ -146,12 +154,16 @@ def assign_batches(
     """``df`` cut into runs of ``batch_size`` rows; only the last may be short.
 
     Adds ``batch_no``, ``pos`` and ``custom_id``.  ``total`` keeps the first
-    rows only.  ``index_col`` names a dense index that is there already, as
-    from ``read_numbered``; it is dropped.
+    rows only; few rows are taken before anything else is done.  ``index_col``
+    names a dense index that is there already, as from ``read_numbered``; it is
+    dropped.
     """
     if index_col:
         require_columns(df, index_col)
         rows = df.withColumnRenamed(index_col, "_index")
+    elif total and total <= TOP_N_LIMIT:
+        # A top-n comes out in its order.
+        rows = with_row_index(first_rows(df, total, order_by) if order_by else df.limit(total), name="_index")
     else:
         rows = with_row_index(df, order_by, "_index", stored_input=stored_input)
     if total:

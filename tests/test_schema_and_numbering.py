@@ -48,6 +48,16 @@ def test_batch_total(spark):
     batches = nb.assign_batches(spark.range(10), 4, ["id"], total=6)
     assert rows(batches.select("id", "batch_no")) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1)]
     assert nb.assign_batches(spark.range(3), 4, ["id"], total=99).count() == 3
+    assert rows(nb.assign_batches(spark.range(10), 4, total=6).select("batch_no", "pos")) == rows(
+        batches.select("batch_no", "pos"))
+
+
+def test_few_rows_are_taken_first(spark, monkeypatch):
+    df = spark.range(1000).select((F.lit(1000) - F.col("id")).alias("k"))
+    few = rows(nb.assign_batches(df.repartition(8), 4, ["k"], total=50))
+    monkeypatch.setattr(nb, "TOP_N_LIMIT", 10)
+    assert few == rows(nb.assign_batches(df.repartition(8), 4, ["k"], total=50))
+    assert min(r[0] for r in few) == 1 and max(r[0] for r in few) == 50
 
 
 def test_index_does_not_depend_on_partitions(spark):
@@ -93,6 +103,9 @@ def test_numbered_scan(spark, settings):
     assert numbered.columns == ["id", "t", "row_index"]
     assert all(r.id == r.row_index for r in numbered.collect())
     assert "Exchange hashpartitioning" not in planned(numbered) and "rangepartitioning" not in planned(numbered)
+    first = nb.read_numbered(spark, path, total=1500)
+    assert rows(first.select("row_index")) == rows(spark.range(1500)) and first.where("id <> row_index").count() == 0
+    assert first.select("id").rdd.getNumPartitions() < numbered.select("id").rdd.getNumPartitions()
     batches = nb.assign_batches(numbered, 7, index_col="row_index", total=20)
     assert rows(batches.groupBy("batch_no").count()) == [(0, 7), (1, 7), (2, 6)]
     assert "t" in batches.columns and "row_index" not in batches.columns
