@@ -102,7 +102,7 @@ def _python_float(text: Column) -> Column:
 def stringify(c: Column | str, dtype: T.DataType | None = None, null_text: str | None = "None") -> Column:
     """Text of any value; null becomes ``null_text`` (``None`` keeps the null).
 
-    Booleans and floating point numbers print as Python prints them.  Arrays,
+    Booleans, floating point numbers and times print as Python prints them.  Arrays,
     structs and maps print as JSON.  Without ``dtype`` the plain cast is used.
     """
     c = _col(c)
@@ -110,6 +110,10 @@ def stringify(c: Column | str, dtype: T.DataType | None = None, null_text: str |
         text = F.when(c, F.lit("True")).when(~c, F.lit("False"))
     elif isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
         text = _python_float(c.cast("string"))
+    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        # A fraction of a second always has six digits.
+        text = c.cast("string")
+        text = F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
     elif isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         text = F.to_json(c)
     else:

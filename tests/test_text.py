@@ -1,5 +1,6 @@
 """Text functions: hand-written edges, then random texts against plain Python."""
 
+import datetime
 import random
 import re
 import time
@@ -143,6 +144,13 @@ def test_stringify(spark):
     assert [r.s for r in kept] == ["007", None]
 
 
+def test_times_print_as_in_python(spark):
+    times = [datetime.datetime(2024, 1, 2, 3, 4, 5, us) for us in (0, 170000, 179575)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t timestamp_ntz")
+    got = df.select("i", tx.stringify(F.col("t"), T.TimestampNTZType()).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [str(t) for t in times]
+
+
 def test_doubles_print_as_in_python(spark):
     pick = random.Random(3)
     numbers = [0.0, -0.0, 1.0, 1e15, 1e16, 1e20, -1e22, 0.001, 1e-4, 1e-5, 1.5e-7, 12345678.9, 1234567.0, 6.06e18,
