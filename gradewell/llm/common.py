@@ -76,17 +76,44 @@ def open_members(members: DataFrame) -> DataFrame:
     return materialize(members.join(materialize(spans, label="buckets"), "key").distinct(), label="members")
 
 
-def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 3) -> DataFrame:
+def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that may reach ``percent`` Jaccard similarity, of ids with different labels.
+
+    ``ids``: ``id, label``; ``sets``: ``id, n, items`` (distinct longs).  With all
+    items in one order, rare ones first, two sets that similar share one of their
+    first ``n - ceil(n * percent / 100) + 1`` items, and the first one they share
+    leaves enough items behind it in both.  Copies that differ from all others
+    have their own items in front and meet nobody, so a large family costs its
+    members, not its pairs; within a shared item the pairs of its most frequent
+    label are left out.  No pair that similar is lost.
+    """
+    rows = ids.join(sets, "id").select("id", "label", "n", F.explode("items").alias("item"))
+    rows = materialize(rows, label="items")
+    often = materialize(rows.groupBy("item").agg(F.count("*").alias("f")), label="item-counts")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
+    ordered = rows.join(often, "item").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("items"))
+    prefix = ordered.select("id", "label", "n", F.posexplode(F.slice("items", F.lit(1), first.cast("int"))).alias("place", "x")).where("x.f > 1")
+    prefix = materialize(prefix.select("id", "label", (F.col("n") - F.col("place")).alias("left"), "n", F.col("x.item").alias("item")), label="prefixes")
+    shares = prefix.groupBy("item", "label").agg(F.count("*").alias("n"))
+    usual = shares.groupBy("item").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    usual = materialize(usual.select("item", F.col("top.label").alias("usual")), label="item-labels")
+    other = prefix.select("item", *[F.col(c).alias(f"{c}_2") for c in ("id", "label", "left", "n")])
+    few = materialize(prefix.join(usual, "item").where("label <> usual").drop("usual"), label="few")
+    need = (F.col("n") + F.col("n_2")) * percent / (100 + percent) - 1e-9
+    near = (F.col("label") != F.col("label_2")) & (F.least("left", "left_2") >= need)
+    return few.join(other, "item").where(near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+
+
+def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
     """Components of the ids that ``verify`` links, with candidates from shared buckets.
 
-    ``members``: stored ``key, id`` rows, distinct.  In small buckets all pairs
-    are compared.  A large one usually holds one family of copies, so its pairs
-    are not listed: in each round every large bucket that still spans several
-    components takes one member as its centre, and the members of other
-    components are compared with that one only.  After ``rounds`` rounds the
-    pairs that are left, those of one bucket and different components, are
-    compared one by one: no link between different components is lost, whatever
-    the size of a bucket.
+    ``members``: stored ``key, id`` rows, distinct; ``sets``: stored ``id, n,
+    items``.  In small buckets all pairs are compared.  A large one usually holds
+    one family of copies, so its pairs are not listed: in each round every large
+    bucket that spans several components takes one member as its centre, and the
+    members of other components are compared with that one only.  What is left
+    of large buckets after ``rounds`` rounds goes through ``prefix_pairs``, which
+    loses no link between different components, whatever the size of a bucket.
 
     Returns ``id, label`` of linked ids.
     """
@@ -108,14 +135,14 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             if centres is None and turn:
                 break
             if centres is not None:
-                rest = rows.join(centres, "key")
-                last = turn == rounds
-                heads = (rest if last else rest.where(order == F.col("first"))).select(
-                    "key", F.col("id").alias("head"), F.col("label").alias("head_label"))
-                heads = materialize(heads, label="heads")
-                apart = F.col("label") < F.col("head_label") if last else F.col("label") != F.col("head_label")
-                star = rest.join(heads, "key").where(apart).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-                pairs = star if turn else pairs.union(star)
+                rest = materialize(rows.join(centres, "key"), label="open-buckets")
+                if turn == rounds:
+                    pairs = prefix_pairs(rest.select("id", "label").distinct(), sets, percent)
+                else:
+                    heads = rest.where(order == F.col("first")).select("key", F.col("id").alias("head"), F.col("label").alias("head_label"))
+                    star = rest.join(materialize(heads, label="heads"), "key").where("label <> head_label")
+                    star = star.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+                    pairs = star if turn else pairs.union(star)
         found = materialize(verify(materialize(pairs.distinct(), label="pairs")).select("a", "b"), label="found")
         links = found if links is None else links.union(found)
         labels = components(links)
