@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import near_dedup
+from gradewell.llm import chat_trees, decontamination, license_scan, near_dedup, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,96 @@ FROM sets s LEFT JOIN least_id l USING (doc_id)""")
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with a Jaccard similarity of four-word shingles of 0.8 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
+@query()
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence family that each document states."""
+    return license_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH texts AS (
+  SELECT doc_id AS id, true AS is_doc, text FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT item_id, false, text FROM benchmark WHERE item_id IS NOT NULL
+), words AS (
+  SELECT id, is_doc, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT id, is_doc, unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(1, len(w) - 3))]) AS g FROM words
+), sizes AS (SELECT id AS item_id, count(*) AS n_item FROM shingles WHERE NOT is_doc GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM shingles d JOIN shingles b ON d.g = b.g AND d.is_doc AND NOT b.is_doc
+  GROUP BY d.id, b.id
+)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM shared JOIN sizes USING (item_id)
+WHERE n_shared >= ceil(n_item * 0.8 - 1e-9)""")
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 0.8 or more of a benchmark item's five-word shingles."""
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + 2 * length(text) - length(regexp_replace(text, '[\\\\#<]', '', 'g'))
+                + 2 * length(role) - length(regexp_replace(role, '[\\\\#<:]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id""")
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as one text, and digests of what is read back from it."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_trees.conversation_digests(rows).drop("formatted")
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS p,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+runs AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest([w[i : i + 2] FOR i IN range(1, len(w) - 1)]) AS run FROM w WHERE len(w) > 2),
+often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS n FROM runs) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+classes AS (
+  SELECT r, lang, length(text) AS n_chars, len(w) AS n_words,
+         [length(text) - length(regexp_replace(text, '\\p{Ll}', '', 'g')), length(text) - length(regexp_replace(text, '\\p{Lu}', '', 'g')),
+          length(text) - length(regexp_replace(text, '\\p{Nd}', '', 'g')), length(text) - length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')),
+          length(text) - length(regexp_replace(text, '[.,;:!?''"()-]', '', 'g'))] AS c FROM w),
+totals AS (SELECT lang, count(*) AS n_docs, sum(n_chars) AS n_chars, sum(n_words) AS n_all,
+                  [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5])] AS c FROM classes GROUP BY lang HAVING count(*) >= 20 AND sum(n_words) > 0),
+counts AS (SELECT r, lang, word, count(*) AS n FROM (SELECT r, lang, unnest(p) AS word FROM w) GROUP BY ALL),
+usual AS (SELECT lang, word, sum(n) / any_value(n_all) AS q FROM counts JOIN totals USING (lang) GROUP BY lang, word HAVING sum(n) * 200 >= any_value(n_all)),
+bins AS (
+  SELECT c.r, coalesce(n, 0) / n_words AS a, q AS b FROM classes c JOIN usual u USING (lang)
+    LEFT JOIN counts k ON k.r = c.r AND k.word = u.word WHERE n_words >= 100
+  UNION ALL
+  SELECT c.r, 1 - (SELECT coalesce(sum(n), 0) FROM counts k JOIN usual u USING (lang, word) WHERE k.r = c.r) / n_words,
+         1 - (SELECT coalesce(sum(q), 0) FROM usual u WHERE u.lang = c.lang) FROM classes c JOIN totals USING (lang) WHERE n_words >= 100),
+wd AS (SELECT r, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) / 2))) AS x
+       FROM bins GROUP BY r),
+cbins AS (
+  SELECT r, unnest([x / c.n_chars FOR x IN list_append(c.c, c.n_chars - list_sum(c.c))]) AS a,
+         unnest([x / t.n_chars FOR x IN list_append(t.c, t.n_chars - list_sum(t.c))]) AS b
+  FROM classes c JOIN totals t USING (lang) WHERE c.n_chars >= 200),
+cd AS (SELECT r, sqrt(greatest(0, sum((CASE WHEN a > 0 THEN a * log2(2 * a / (a + b)) ELSE 0 END + CASE WHEN b > 0 THEN b * log2(2 * b / (a + b)) ELSE 0 END) / 2))) AS x
+       FROM cbins GROUP BY r),
+base AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(wd.x, 0) <= 0.3 AND coalesce(cd.x, 0) <= 0.25 AS kept
+FROM base LEFT JOIN wd USING (r) LEFT JOIN cd USING (r)""")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether the rules keep it."""
+    return quality.quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
