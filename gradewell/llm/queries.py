@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import chat_trees, decontamination, license_scan, near_dedup, quality
+from gradewell.llm import chat_trees, decontamination, license_scan, near_dedup, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,13 @@ def query(sql: str | None = None):
     return register
 
 
+def word_tokenizer() -> str:
+    """Where the public word tokenizer lies; operators take such a path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -144,3 +151,15 @@ FROM base LEFT JOIN wd USING (r) LEFT JOIN cd USING (r)""")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether the rules keep it."""
     return quality.quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+@query()
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), 2048)
+
+
+@query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight contiguous shards of nearly equal bytes."""
+    return sharding.shards(table(spark, sf_dir, "documents"), 8)
