@@ -27,39 +27,62 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each text the place of its first word; one more for the end."""
-    parts = [(t or "").encode("utf-8", "replace").lower() for t in texts]
-    firsts = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) + 1 for p in parts], out=firsts[1:])
-    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(parts) + 1, np.int64)
-    ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if starts[0] == 0 else (
-        np.concatenate((np.zeros(starts[0], np.int64), np.arange(starts[0], len(data))
-                        - np.repeat(starts, np.diff(np.append(starts, len(data)))))))
-    values = _BYTE[data] * _POWERS[place % _STEP]
-    if (ends - starts).max() > _STEP:
-        values *= _BLOCKS[(place // _STEP) % _STEP]
-    values[space] = 0
-    hashes = mix(np.add.reduceat(values, starts) + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, firsts)
+class Words:
+    """All words of some texts: hashes, first and last byte places in ``data``, and each text's first word (and the end)."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "replace") for t in texts]
+        self.first_bytes = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum([len(p) + 1 for p in parts], out=self.first_bytes[1:])
+        raw = b"\n".join(parts) + b"\n"
+        self.data = np.frombuffer(raw, np.uint8)
+        space = _SPACE[self.data]
+        self.starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        self.ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+        self.firsts = np.searchsorted(self.starts, self.first_bytes)
+        self.hashes = np.zeros(0, np.uint64)
+        if len(self.starts):
+            head = self.starts[0]
+            place = np.arange(len(raw) - head) - np.repeat(self.starts - head, np.diff(np.append(self.starts, len(raw))))
+            values = _BYTE[np.frombuffer(raw.lower(), np.uint8)[head:]] * _powers(place)
+            values[space[head:]] = 0
+            sizes = (self.ends - self.starts).astype(np.uint64)
+            self.hashes = mix(np.add.reduceat(values, self.starts - head) + sizes)
+
+
+def _powers(place: np.ndarray) -> np.ndarray:
+    """A factor for each place, for sums that depend on order."""
+    out = _POWERS[place & (_STEP - 1)]
+    if len(place) and place.max() >= _STEP:
+        out = out * _BLOCKS[(place >> 12) & (_STEP - 1)]
+    return out
+
+
+def run_hashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Order-dependent hashes of the runs of words that begin at ``starts``, the first at 0, and reach to the next."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(np.append(starts, len(hashes)))
+    place = np.arange(len(hashes)) - np.repeat(starts, sizes)
+    return mix(np.add.reduceat(hashes * _powers(place), starts) + sizes.astype(np.uint64))
+
+
+def windows(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words."""
+    out = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
+    for k in range(size):
+        out += hashes[k: k + len(out)] * _ORDER[k]
+    return mix(out)
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; with fewer words the whole sequence is one, without words none."""
-    hashes, firsts = word_hashes(texts)
-    windows = np.zeros(max(0, len(hashes) - size + 1), np.uint64)
-    for k in range(size):
-        windows += hashes[k: k + len(windows)] * _ORDER[k]
-    windows = mix(windows)
+    words = Words(texts)
+    hashes, firsts, whole = words.hashes, words.firsts, windows(words.hashes, size)
     out = []
     for a, b in zip(firsts[:-1], firsts[1:]):
         if b - a >= size:
-            out.append(np.unique(windows[a: b - size + 1]))
+            out.append(np.unique(whole[a: b - size + 1]))
         elif b > a:
             short = (hashes[a:b] * _ORDER[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
             out.append(mix(np.array([short], np.uint64)))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.llm import chat_trees, decontamination, license_scan, near_dedup, packing, quality, sharding
+import corpus_pipeline
+from gradewell.llm import chat_trees, decontamination, license_scan, near_dedup, packing, quality, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -163,3 +164,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of nearly equal bytes."""
     return sharding.shards(table(spark, sf_dir, "documents"), 8)
+
+
+@query()
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without passages that an earlier document, or place, holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substring_dedup.drop_repeated(docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0))))
+    left = F.coalesce(F.length("text"), F.lit(0))
+    return cut.select("doc_id", "text", (F.col("n_chars") - left).cast("long").alias("removed_chars"), (F.col("n_chars") > left).alias("changed"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of the corpus pipeline, one after the other, over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
