@@ -14,58 +14,78 @@ from gradewell.session import materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Character classes by pattern; what none of them matches is one more class.
-CLASSES = {
-    "lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": SPACE,
-    "stop": "[.,;:!?'\"()-]",
-}
+CLASSES = {"upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]", "space": SPACE}
 #: A common word makes up at least one in so many words of its language, so there are at most so many.
 COMMON_SHARE = 200
 #: Largest distances of a document that stays.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.3
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.3
 #: Shorter documents are not judged by characters or words.
 MIN_CHARS, MIN_WORDS = 200, 100
 #: A language with fewer documents has no reference, and its documents are not judged.
 MIN_DOCUMENTS = 20
+_PLACE = 24
 
 
-def _count(text: Column, pattern: str) -> Column:
-    """Characters of ``text`` in a class."""
-    return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("long")
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _lang() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """The plain counts of a text; ``words`` and ``windows`` are for the caller's own use."""
+def _count(text: Column, pattern: str) -> Column:
+    """Characters of ``text`` in a class."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("long")
+
+
+def _duplicate_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {
-        "words": _words(text),
-        "word_chars": F.length(text).cast("long") - _count(text, SPACE),
-        "n_symbols": _count(text, "[#*$%&|<>]"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-    }
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def windows(words: Column) -> Column:
-    """All runs of three words."""
+def three_word_runs(words: Column) -> Column:
+    """Hashes of all runs of three words."""
     n = F.greatest(F.size(words) - 2, F.lit(0))
-    runs = F.arrays_zip(*[F.slice(words, F.lit(k), n).alias(f"w{k}") for k in (1, 2, 3)])
-    return F.transform(runs, lambda x: F.concat_ws(" ", x["w1"], x["w2"], x["w3"]))
+    h = F.transform(words, lambda w: F.xxhash64(w))
+    first = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(first, F.slice(h, F.lit(3), n), lambda x, c: F.xxhash64(x, c))
+
 
+def with_repeat_words(df: DataFrame, runs: str, name: str) -> DataFrame:
+    """``df`` with, as ``name`` in place of ``runs``, the words that lie in a run found twice or more.
 
-def repeat_words(runs: Column) -> Column:
-    """Words that lie in a run found twice or more."""
-    ordered = F.sort_array(F.transform(runs, lambda r, i: F.struct(r.alias("r"), i.alias("i"))))
-    nothing = F.array(F.lit(None).cast("struct<r:string,i:int>"))
-    before = F.concat(nothing, F.slice(ordered, F.lit(1), F.greatest(F.size(ordered) - 1, F.lit(0))))
-    after = F.concat(F.slice(ordered, F.lit(2), F.size(ordered)), nothing)
-    beside = F.arrays_zip(ordered.alias("x"), before.alias("b"), after.alias("a"))
-    same = F.filter(beside, lambda x: F.coalesce(x["x"]["r"] == x["b"]["r"], F.lit(False))
-                    | F.coalesce(x["x"]["r"] == x["a"]["r"], F.lit(False)))
-    places = F.flatten(F.transform(same, lambda x: F.array(*[x["x"]["i"] + k for k in range(3)])))
-    return F.when(F.size(runs) == F.size(F.array_distinct(runs)), 0).otherwise(F.size(F.array_distinct(places))).cast("long")
+    Runs are first sorted by the front of their hash with the place in the bits
+    behind it; only those next to an equal front are compared in full.  The steps
+    are columns of their own so that each is worked out once, and empty where no
+    run repeats.
+    """
+    front = lambda x: F.shiftright(x, _PLACE)
+    numbers = F.array().cast("array<bigint>")
+    r = F.col(runs)
+    packed = F.sort_array(F.transform(r, lambda x, i: F.shiftleft(front(x), _PLACE).bitwiseOR(i.cast("long"))))
+    df = df.withColumn("_packed", F.when(F.size(r) == F.size(F.array_distinct(r)), numbers).otherwise(packed))
+    n = F.greatest(F.size("_packed") - 1, F.lit(0))
+    first, second = F.slice("_packed", F.lit(1), n), F.slice("_packed", F.lit(2), n)
+    beside = F.zip_with(first, second, lambda a, b: F.when(front(a) == front(b), F.array(a, b)))
+    near = F.array_distinct(F.flatten(F.filter(beside, lambda x: x.isNotNull())))
+    near = F.transform(near, lambda x: x.bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int"))
+    # Places of longer texts do not fit behind the front: there all runs are compared in full.
+    places = F.when(F.size(r) < (1 << _PLACE), near).otherwise(F.when(n > 0, F.sequence(F.lit(0), n)).otherwise(F.array().cast("array<int>")))
+    held = F.sort_array(F.transform(places, lambda i: F.struct(F.element_at(r, i + 1).alias("r"), i.alias("i"))))
+    df = df.withColumn("_held", held).drop("_packed", runs)
+    nothing = F.array(F.lit(None).cast("struct<r:bigint,i:int>"))
+    m = F.greatest(F.size("_held") - 1, F.lit(0))
+    before, after = F.concat(nothing, F.slice("_held", F.lit(1), m)), F.concat(F.slice("_held", F.lit(2), m), nothing)
+    same = F.filter(
+        F.arrays_zip(F.col("_held").alias("x"), before.alias("b"), after.alias("a")),
+        lambda x: F.coalesce(x["x"]["r"] == x["b"]["r"], F.lit(False)) | F.coalesce(x["x"]["r"] == x["a"]["r"], F.lit(False)))
+    words = F.flatten(F.transform(same, lambda x: F.array(*[x["x"]["i"] + k for k in range(3)])))
+    return df.withColumn(name, F.when(F.size("_held") == 0, 0).otherwise(F.size(F.array_distinct(words))).cast("long")).drop("_held")
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -77,64 +97,61 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)))
 
 
-def language_references(docs: DataFrame) -> DataFrame:
-    """Per language: shares of character classes, its common words, and their shares.
+def common_words(docs: DataFrame) -> DataFrame:
+    """Per language its common words and their shares, from counts over every document.
 
-    Counts cover every document.  Words are counted per task before they are
-    shuffled; a language has at most COMMON_SHARE common words.
+    Words are counted per task before they are shuffled; a language has at most
+    COMMON_SHARE common words.
     """
-    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    source = docs.select(text.alias("text"), lang.alias("ref_lang"))
-    classes = [F.sum(_count(F.col("text"), p)).alias(f"n_{c}") for c, p in CLASSES.items()]
-    totals = source.groupBy("ref_lang").agg(
-        F.count("*").alias("n_docs"), F.sum(F.length("text").cast("long")).alias("n_chars"),
-        F.sum(F.size(_words(F.col("text"))).cast("long")).alias("n_all"), *classes)
-    totals = materialize(totals.where((F.col("n_docs") >= MIN_DOCUMENTS) & (F.col("n_all") > 0)), label="language-totals")
-    counts = source.select("ref_lang", F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).where("word <> ''")
-    counts = counts.groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
-    common = counts.join(totals.select("ref_lang", "n_all"), "ref_lang").where(F.col("n") * COMMON_SHARE >= F.col("n_all"))
+    words = docs.select(_lang().alias("ref_lang"), F.explode(F.split(F.lower(_text()), f"{SPACE}+")).alias("word")).where("word <> ''")
+    counts = materialize(words.groupBy("ref_lang", "word").agg(F.count("*").alias("n")), label="words")
+    totals = materialize(counts.groupBy("ref_lang").agg(F.sum("n").alias("n_all")), label="language-words")
+    common = counts.join(totals, "ref_lang").where(F.col("n") * COMMON_SHARE >= F.col("n_all"))
     common = common.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("n_all")).alias("share")))).alias("common"))
-    shares = [(F.col(f"n_{c}") / F.col("n_chars")) for c in CLASSES]
-    rest = F.greatest(F.lit(0.0), 1 - sum(shares[1:], shares[0]))
-    ref = totals.join(common, "ref_lang", "left").select(
-        "ref_lang", F.array(*shares, rest).alias("ref_classes"),
-        F.coalesce(F.col("common.word"), F.array().cast("array<string>")).alias("ref_words"),
-        F.coalesce(F.col("common.share"), F.array().cast("array<double>")).alias("ref_shares"))
-    return materialize(ref, label="language-references")
+    return materialize(common.select("ref_lang", F.col("common.word").alias("ref_words"), F.col("common.share").alias("ref_shares")), label="common-words")
 
 
-def quality(docs: DataFrame, references: DataFrame | None = None, carry: bool = False) -> DataFrame:
+def quality(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text, lang``) with counts, distances and the verdict.
 
     ``base_failed``: fewer than 50 words, or more than half of the words lie in
     repeated three-word runs.  ``kept``: not that, and neither distance from the
     language's reference is above its limit.  A distance is null, and judges
-    nothing, where the text is too short or the language has no reference.  A
-    null text counts as empty (and fails), a null language is one of its own.
+    nothing, where the text is too short or the language has fewer than
+    MIN_DOCUMENTS documents.  A null text counts as empty (and fails), a null
+    language is one of its own.  Null ids and repeated rows are rows like others.
     With ``carry`` the columns of ``docs`` come as the struct ``row`` as well.
     """
-    references = language_references(docs) if references is None else references
-    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), lang.alias("ref_lang"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     own = ["doc_id", *(["row"] if carry else [])]
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     t = F.col("text")
-    counts = base_counts(t)
-    rows = rows.select(*own, "ref_lang", F.length(t).alias("n_chars"), F.split(F.lower(t), f"{SPACE}+").alias("plain"), *[c.alias(n) for n, c in counts.items()],
-                       F.array(*[_count(t, p) for p in CLASSES.values()]).alias("classes"))
-    rows = rows.join(references, "ref_lang", "left")
-    rows = rows.select("*", windows(F.col("words")).alias("runs"), F.size("words").cast("long").alias("n_words"),
-                       F.filter("plain", lambda w: F.array_contains("ref_words", w)).alias("hits"))
-    total = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
-    held = F.concat("classes", F.array(F.col("n_chars") - total))
-    shares = F.transform(held, lambda x: x / F.col("n_chars"))
+    rows = docs.select("doc_id", _text().alias("text"), _lang().alias("ref_lang"), *row)
+    rows = rows.select(*own, "ref_lang", F.length(t).cast("long").alias("n_chars"), _words(t).alias("words"),
+                       _duplicate_lines(t).alias("n_dup_lines"), *[_count(t, p).alias(f"n_{c}") for c, p in CLASSES.items()])
+    rows = rows.join(common_words(docs), "ref_lang", "left")
+    rows = rows.select("*", three_word_runs(F.col("words")).alias("runs"), F.size("words").cast("long").alias("n_words"),
+                       F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.array_contains("ref_words", w)).alias("hits"))
     found = F.transform("ref_words", lambda r: F.size(F.filter("hits", lambda h: h == r)) / F.col("n_words"))
     found = F.concat(found, F.array(1 - F.size("hits") / F.col("n_words")))
     usual = F.concat("ref_shares", F.array(1 - F.aggregate("ref_shares", F.lit(0.0), lambda s, x: s + x)))
+    classes = [f"n_{c}" for c in CLASSES]
+    rows = rows.select(*own, "ref_lang", "n_chars", "n_words", "n_dup_lines", "runs", *classes,
+                       F.when(F.col("n_words") >= MIN_WORDS, distance(found, usual)).alias("word_distance"))
+    rows = materialize(with_repeat_words(rows, "runs", "n_repeat_words"), label="quality")
+
+    def shares(n: Column, parts: list[Column]) -> Column:
+        return F.array(*[p / n for p in parts], (n - sum(parts[1:], parts[0])) / n)
+
+    totals = rows.groupBy("ref_lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("all_chars"), *[F.sum(c).alias(f"all_{c}") for c in classes])
+    totals = totals.where((F.col("n_docs") >= MIN_DOCUMENTS) & (F.col("all_chars") > 0))
+    usual = shares(F.col("all_chars"), [F.col(f"all_{c}") for c in classes])
+    rows = rows.join(materialize(totals.select("ref_lang", usual.alias("ref_classes")), label="language-classes"), "ref_lang", "left")
+    judged = F.col("ref_classes").isNotNull()
     rows = rows.select(
-        *own, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat_words(F.col("runs")).alias("n_repeat_words"),
-        F.when(F.col("n_chars") >= MIN_CHARS, distance(shares, F.col("ref_classes"))).alias("class_distance"),
-        F.when(F.col("n_words") >= MIN_WORDS, distance(found, usual)).alias("word_distance"))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        *own, "n_words", (F.col("n_chars") - F.col("n_space")).alias("word_chars"), F.col("n_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        F.when(judged & (F.col("n_chars") >= MIN_CHARS), distance(shares(F.col("n_chars"), [F.col(c) for c in classes]), F.col("ref_classes"))).alias("class_distance"),
+        F.when(judged, F.col("word_distance")).alias("word_distance"),
+        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"))
     close = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
     return rows.withColumn("kept", ~F.col("base_failed") & close)
 

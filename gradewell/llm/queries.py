@@ -119,9 +119,9 @@ often AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM often, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 classes AS (
   SELECT r, lang, length(text) AS n_chars, len(w) AS n_words,
-         [length(text) - length(regexp_replace(text, '\\p{Ll}', '', 'g')), length(text) - length(regexp_replace(text, '\\p{Lu}', '', 'g')),
-          length(text) - length(regexp_replace(text, '\\p{Nd}', '', 'g')), length(text) - length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')),
-          length(text) - length(regexp_replace(text, '[.,;:!?''"()-]', '', 'g'))] AS c FROM w),
+         [length(text) - length(regexp_replace(text, '\\p{Lu}', '', 'g')), length(text) - length(regexp_replace(text, '\\p{Nd}', '', 'g')),
+          length(text) - length(regexp_replace(text, '[.,;:!?''"()-]', '', 'g')), length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')),
+          length(text) - length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))] AS c FROM w),
 totals AS (SELECT lang, count(*) AS n_docs, sum(n_chars) AS n_chars, sum(n_words) AS n_all,
                   [sum(c[1]), sum(c[2]), sum(c[3]), sum(c[4]), sum(c[5])] AS c FROM classes GROUP BY lang HAVING count(*) >= 20 AND sum(n_words) > 0),
 counts AS (SELECT r, lang, word, count(*) AS n FROM (SELECT r, lang, unnest(p) AS word FROM w) GROUP BY ALL),
@@ -147,7 +147,7 @@ base AS (
   FROM w LEFT JOIN rep USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(wd.x, 0) <= 0.3 AND coalesce(cd.x, 0) <= 0.25 AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(wd.x, 0) <= 0.3 AND coalesce(cd.x, 0) <= 0.3 AS kept
 FROM base LEFT JOIN wd USING (r) LEFT JOIN cd USING (r)""")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and whether the rules keep it."""
