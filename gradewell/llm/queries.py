@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradewell.llm import chat_trees, decontamination, license_scan, near_dedup, packing, quality, sharding, substring_dedup
+from gradewell.llm import chat_trees, decontamination, language_id, license_scan, near_dedup, packing, quality, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -175,6 +175,18 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", (F.col("n_chars") - left).cast("long").alias("removed_chars"), (F.col("n_chars") > left).alias("changed"))
 
 
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, learned from labels outside one fold of three."""
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those outside one fold of four."""
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline, one after the other, over all documents."""
