@@ -6,6 +6,8 @@ same results can be put in SQL.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gradewell.catalog.registry import query, table
@@ -19,8 +21,8 @@ from gradewell.functions.chat import CHATML
 from gradewell.functions.verdict import is_correct
 from gradewell.operators import grading
 from gradewell.operators.inference import answer_requests
-from gradewell.operators.numbering import read_numbered
-from gradewell.plans.evaluation import evaluate, grade, write_graded
+from gradewell.operators.numbering import first_rows, read_numbered
+from gradewell.plans.evaluation import evaluate_with_metrics, grade
 from gradewell.plans.execution import best_of_n_responses, execute, response_records
 from gradewell.plans.feedback import correct_answers, feedback_requests, parse_feedback
 from gradewell.plans.feedback import keep_corrected as only_corrected
@@ -31,18 +33,29 @@ from gradewell.plans.questions import rewrite_questions
 
 # --- stand-in models ---------------------------------------------------------
 
+# Failures go by the source or id of a document, so texts of every length get through.
+FAILING = "src13: "
+
+
+def sourced(spark, sf):
+    """Documents with their source in front of the text."""
+    return table(spark, sf, "documents").withColumn("text", F.concat("source", F.lit(": "), "text"))
+
+
+SOURCED_SQL = "(SELECT * REPLACE (concat(source, ': ', text) AS text), source = 'src13' AS refused FROM documents)"
+
 
 def _last_turn(chat: str, role: str) -> str:
     return chat.rsplit(f"{CHATML.open}{role}\n", 1)[1].rsplit(CHATML.close, 1)[0]
 
 
 def make_answerer():
-    """Answers with the length of the question; texts over 3000 characters fail."""
+    """Answers with the length of the question; questions from one source fail."""
 
     def answer(chats):
         questions = [_last_turn(c, "user") for c in chats]
-        if any(len(q) > 3000 for q in questions):
-            raise ValueError("too long")
+        if any(q.startswith(FAILING) for q in questions):
+            raise ValueError("refused")
         return [f"It has \\boxed{{{len(q)}}} characters." for q in questions]
 
     return answer
@@ -57,6 +70,15 @@ def make_sampler():
     return draw
 
 
+def make_boxed_sampler():
+    draw = make_sampler()
+    return lambda chats, numbers: [f"\\boxed{{{x}}}" for x in draw(chats, numbers)]
+
+
+def make_boxed_scorer():
+    return lambda chats: [float(_last_turn(c, "assistant")[7:-1]) for c in chats]
+
+
 def make_scorer():
     """Scores an answer by its own value."""
     return lambda chats: [float(_last_turn(c, "assistant")) for c in chats]
@@ -73,13 +95,25 @@ def make_judge():
     return lambda chats: ["Correct" if _judged(c) else "Wrong" for c in chats]
 
 
+def make_failing_judge():
+    """Fails for the questions about ids that end with 7."""
+
+    def judge(chats):
+        if any(re.search(r"How long is -?\d*7\?", c) for c in chats):
+            raise ValueError("no judgement")
+        return make_judge()(chats)
+
+    return judge
+
+
 def make_judge_with_logits():
     return lambda chats: [("Correct", 2.0, 0.5) if _judged(c) else ("Wrong", -1.0, 0.5) for c in chats]
 
 
 def make_corrector():
-    """Corrects a response unless the prompt is long."""
-    return lambda prompts: ["" if len(p) > 5000 else "<corrected_response>Fixed.</corrected_response>" for p in prompts]
+    """Corrects a response unless the id asked about ends with 3."""
+    return lambda prompts: [
+        "" if re.search(r"How long is -?\d*3\?", p) else "<corrected_response>Fixed.</corrected_response>" for p in prompts]
 
 
 # --- metrics, filters and flags ----------------------------------------------
@@ -138,20 +172,20 @@ ANSWER_SQL = "concat('It has \\boxed{', length(text), '} characters.')"
 
 
 @query(f"""
-    SELECT doc_id, lang, CASE WHEN length(text) > 3000 THEN '' ELSE {ANSWER_SQL} END AS model_response FROM documents
+    SELECT doc_id, lang, CASE WHEN refused THEN '' ELSE {ANSWER_SQL} END AS model_response FROM {SOURCED_SQL}
 """)
 def execute_answers(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = sourced(spark, sf).select("doc_id", "lang", "text")
     return execute(docs, "text", make_answerer, batch_size=64).drop("text")
 
 
 @query(f"""
-    SELECT doc_id::VARCHAR AS id, text AS question, CASE WHEN long THEN '' ELSE {ANSWER_SQL} END AS response,
-           CASE WHEN long THEN 'error' ELSE 'success' END AS status, CASE WHEN long THEN 'too long' END AS error
-    FROM (SELECT *, length(text) > 3000 AS long FROM documents)
+    SELECT doc_id::VARCHAR AS id, text AS question, CASE WHEN refused THEN '' ELSE {ANSWER_SQL} END AS response,
+           CASE WHEN refused THEN 'error' ELSE 'success' END AS status, CASE WHEN refused THEN 'refused' END AS error
+    FROM {SOURCED_SQL}
 """)
 def response_status(spark, sf):
-    return response_records(table(spark, sf, "documents"), "text", "doc_id", make_answerer, batch_size=64)
+    return response_records(sourced(spark, sf), "text", "doc_id", make_answerer, batch_size=64)
 
 
 @query("""
@@ -204,14 +238,35 @@ def grade_answers(spark, sf):
 
 
 @query(f"""
-    SELECT round(avg((NOT long)::INT), 9) AS accuracy, count(*) AS total_samples,
-           count(*) FILTER (NOT long) AS correct_samples, NULL::DOUBLE AS average_confidence
-    FROM (SELECT length(text) > 3000 AS long FROM documents)
+    SELECT round(avg((NOT refused)::INT), 9) AS accuracy, count(*) AS total_samples,
+           count(*) FILTER (NOT refused) AS correct_samples, NULL::DOUBLE AS average_confidence
+    FROM {SOURCED_SQL}
 """)
 def evaluate_model(spark, sf):
-    docs = table(spark, sf, "documents").select("text", F.length("text").cast("string").alias("answer"))
-    graded, _ = write_graded(evaluate(docs, "text", "answer", make_judge, make_fn=make_answerer, batch_size=64))
-    return grading.metrics(graded).withColumn("accuracy", F.round("accuracy", 9))
+    """The metrics that are summed up while the graded rows are written."""
+    docs = sourced(spark, sf).select("text", F.length("text").cast("string").alias("answer"))
+    _, seen = evaluate_with_metrics(docs, "text", "answer", make_judge, make_fn=make_answerer, batch_size=64)
+    return metrics_row(spark, seen)
+
+
+def metrics_row(spark, seen):
+    kinds = {"accuracy": "double", "total_samples": "long", "correct_samples": "long", "average_confidence": "double"}
+    row = spark.range(1).select(*[F.lit(seen[name]).cast(kind).alias(name) for name, kind in kinds.items()])
+    return row.withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query("""
+    SELECT round(avg((best = expected)::INT), 9) AS accuracy, count(*) AS total_samples,
+           count(*) FILTER (best = expected) AS correct_samples, NULL::DOUBLE AS average_confidence
+    FROM (SELECT max(length(text) * (n + 3) % 11) AS best, any_value(length(text) * 4 % 11) AS expected
+          FROM documents, range(5) AS samples(n) GROUP BY doc_id)
+""")
+def evaluate_best_of_n(spark, sf):
+    """Metrics of the best of five answers, where the second one is right."""
+    docs = table(spark, sf, "documents").select("text", (F.length("text") * 4 % 11).cast("string").alias("answer"))
+    _, seen = evaluate_with_metrics(
+        docs, "text", "answer", make_judge, make_fn=make_boxed_sampler, make_score_fn=make_boxed_scorer, batch_size=64)
+    return metrics_row(spark, seen)
 
 
 # --- records and triples -----------------------------------------------------
@@ -238,6 +293,18 @@ def question_records(spark, sf):
     return rewrite_questions(source, rewrites, batch_size=8, index_col="row_index")
 
 
+@query(f"""
+    SELECT trim(PRE_TEXT, {WS}) AS ANALYSIS, CASE WHEN GOLD_EVIDENCE = 'fr' THEN '' ELSE QUESTION END AS FMT_QUESTION,
+           id, {QUESTION_PROMPT_SQL} AS PROMPT, {QUESTION_SLOT_COLUMNS}
+    FROM (SELECT * FROM ({QUESTION_SOURCE}) ORDER BY ANSWER::BIGINT DESC, id LIMIT 60) WHERE GOLD_EVIDENCE <> 'None'
+""")
+def question_sample(spark, sf):
+    """Rewrites of the sixty longest documents."""
+    docs = table(spark, sf, "documents").withColumn("rank", -F.col("n_chars")).withColumn("text_id", F.col("doc_id").cast("string"))
+    source = question_source(first_rows(docs, 60, ["rank", "text_id"], stored_input=True))
+    return rewrite_questions(source, rewrites, batch_size=8)
+
+
 WRONG_SQL = f"""
     SELECT doc_id::VARCHAR AS id, question AS QUESTION, answer AS ANSWER, response AS COT_RESPONSE,
            extracted_answer AS EXTRACTED_ANSWER FROM ({JUDGED_SQL}) WHERE NOT is_correct
@@ -245,17 +312,17 @@ WRONG_SQL = f"""
 
 
 def corrections(requests):
-    """Corrections that state the reference answer; very long responses get none."""
+    """Corrections that state the reference answer; ids that end with 3 get none."""
     text = F.concat(
         F.lit("Sure. <corrected_response>\n"), "COT_RESPONSE", F.lit(r" so \boxed{"), "ANSWER",
         F.lit("}\n</corrected_response>"))
-    short = F.length("COT_RESPONSE") <= 5000
-    return requests.select("custom_id", F.when(short, text).otherwise(F.lit("no idea")).alias("MODEL_OUTPUT"))
+    known = ~F.col("QUESTION").endswith("3?")
+    return requests.select("custom_id", F.when(known, text).otherwise(F.lit("no idea")).alias("MODEL_OUTPUT"))
 
 
 CORRECTED_SQL = f"""
     SELECT trim(concat(COT_RESPONSE, ' so \\boxed{{', ANSWER, '}}'), {WS}) AS CORRECTED_RESPONSE, *
-    FROM ({WRONG_SQL}) WHERE length(COT_RESPONSE) <= 5000
+    FROM ({WRONG_SQL}) WHERE NOT ends_with(QUESTION, '3?')
 """
 
 
@@ -274,7 +341,7 @@ def feedback_records(spark, sf):
 
 @query(f"""
     SELECT 'Fixed.' AS CORRECTED_RESPONSE, id, {FEEDBACK_PROMPT_SQL} AS PROMPT, QUESTION, ANSWER, COT_RESPONSE, EXTRACTED_ANSWER
-    FROM ({WRONG_SQL}) WHERE length({FEEDBACK_PROMPT_SQL}) <= 5000
+    FROM ({WRONG_SQL}) WHERE NOT ends_with(QUESTION, '3?')
 """)
 def feedback_made_in_place(spark, sf):
     wrong = grading.wrong_answers(graded_documents(spark, sf)).withColumnRenamed("response", "cot_response")
@@ -289,17 +356,24 @@ def prompt_sql(question: str) -> str:
 @query(f"""
     SELECT {prompt_sql("u.text")} AS prompt, a.text AS chosen, concat(a.text, ' (draft)') AS rejected
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-    WHERE u.role = 'user' AND a.role = 'assistant' AND length(a.text) > 100
+    WHERE u.role = 'user' AND a.role = 'assistant' AND u.turn <> 2
 """)
 def preference_pairs(spark, sf):
     answers = qa_pairs(spark, sf).select(
         F.col("question").alias("QUESTION"),
-        F.when(F.length("response") > 100, F.col("response")).alias("CORRECTED_RESPONSE"),
+        F.when(~F.col("pair_id").endswith("-2"), F.col("response")).alias("CORRECTED_RESPONSE"),
         F.concat("response", F.lit(" (draft)")).alias("AI_RESPONSE"))
     return pairs_of(answers)
 
 
-@query(f"SELECT {prompt_sql('QUESTION')} AS prompt, CORRECTED_RESPONSE AS chosen, COT_RESPONSE AS rejected FROM ({CORRECTED_SQL})")
+@query(f"""
+    SELECT {prompt_sql('QUESTION')} AS prompt, CORRECTED_RESPONSE AS chosen, COT_RESPONSE AS rejected
+    FROM ({CORRECTED_SQL}) WHERE id::BIGINT % 10 NOT IN (1, 5, 7)
+""")
 def preference_set(spark, sf):
-    graded = graded_documents(spark, sf)
+    """Ids that end with 1 have no response, with 5 an empty one, and with 7 the judge fails."""
+    last = F.col("doc_id") % 10
+    answers = document_answers(spark, sf).withColumn(
+        "response", F.when(last == 5, F.lit("")).when(last != 1, F.col("response")))
+    graded = grade(answers, "question", "response", "answer", make_failing_judge, batch_size=64, status=True)
     return triples(graded, corrections, "doc_id", "question", "answer", "response", unique_ids=True)

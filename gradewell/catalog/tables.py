@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradewell.catalog.registry import query, table
@@ -69,6 +71,17 @@ def sample_limit(spark, sf):
     return numbering.first_rows(orders, 100, ["rank", "o_orderkey"]).drop("rank")
 
 
+@query("""
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents ORDER BY doc_id LIMIT 75
+""")
+def numbered_sample(spark, sf):
+    """The first rows of a table in several files, numbered in the order of the files."""
+    path = scratch_path(spark, "files")
+    docs = table(spark, sf, "documents").select("doc_id")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return numbering.read_numbered(spark, path, total=75).select("doc_id", "row_index")
+
+
 # --- request and result files ------------------------------------------------
 
 
@@ -106,8 +119,8 @@ def request_files(spark, sf):
     records = batches.request_records(requests, "a-model", 64, 0.5, prompt="o_orderpriority")
     path = scratch_path(spark, "requests")
     batches.write_requests(records, path, batches_per_folder=10)
-    return spark.read.schema(records.schema).json(path).select(
-        "custom_id", "batch_no", "params.model", "params.max_tokens", "params.temperature",
+    return spark.read.schema(records.drop("batch_no").schema).json(path).select(
+        "custom_id", batches.batch_of("custom_id").alias("batch_no"), "params.model", "params.max_tokens", "params.temperature",
         F.col("params.messages")[0]["role"].alias("role"), F.col("params.messages")[0]["content"].alias("content"))
 
 
@@ -132,10 +145,13 @@ def match_results(spark, sf):
 
 @query(f"SELECT o_orderkey, custom_id, MODEL_OUTPUT FROM ({RESULTS_SQL}) WHERE o_orderstatus = 'F'")
 def streamed_results(spark, sf):
+    """Result files of which two are taken up at a time, matched to a bucketed table of requests."""
     requests = order_requests(spark, sf)
-    files, path = result_files(spark, requests), scratch_path(spark, "matched")
-    # A folder of several files, taken up a few at a time.
-    ingest = ingest_results(requests, stream_results(spark, files, 4), path, scratch_path(spark, "progress"))
+    files, path = scratch_path(spark, "results"), scratch_path(spark, "matched")
+    raw_results(requests).repartition(6).write.json(files)
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = batches.store_requests(requests, f"requests_{uuid.uuid4().hex}", buckets, scratch_path(spark, "stored"))
+    ingest = ingest_results(stored, stream_results(spark, files, 2), path, scratch_path(spark, "progress"))
     ingest.awaitTermination()
     return spark.read.parquet(path).select("o_orderkey", "custom_id", "MODEL_OUTPUT")
 
@@ -157,18 +173,21 @@ def ended_results(spark, sf):
 
 STATES_SQL = """
     SELECT user_id AS batch_no, event_id, CASE event_type WHEN 'error' THEN 'errored' WHEN 'view' THEN 'canceled'
-           WHEN 'signup' THEN 'expired' ELSE CASE WHEN value > 110 THEN 'processing' ELSE 'succeeded' END END AS status
+           WHEN 'signup' THEN 'expired' ELSE CASE WHEN value > 110 THEN 'processing' ELSE 'succeeded' END END AS known,
+           CASE WHEN event_id % 97 = 5 THEN 'paused' WHEN event_id % 89 <> 7 THEN known END AS status
     FROM events
 """
 
 
 def request_states(spark, sf):
-    """Events as request states: users are batches, very large values still run."""
+    """Events as request states: users are batches, very large values still run; some states are new or missing."""
     kind = F.col("event_type")
     status = (
         F.when(kind == "error", F.lit("errored")).when(kind == "view", F.lit("canceled"))
         .when(kind == "signup", F.lit("expired")).when(F.col("value") > 110, F.lit("processing"))
         .otherwise(F.lit("succeeded")))
+    number = F.col("event_id")
+    status = F.when(number % 97 == 5, F.lit("paused")).when(number % 89 != 7, status)
     return table(spark, sf, "events").select(F.col("user_id").alias("batch_no"), "event_id", status.alias("status"))
 
 
@@ -176,7 +195,8 @@ def request_states(spark, sf):
     SELECT batch_no, count(*) FILTER (status = 'succeeded') AS n_succeeded,
            count(*) FILTER (status = 'processing') AS n_processing, count(*) FILTER (status = 'errored') AS n_errored,
            count(*) FILTER (status = 'canceled') AS n_canceled, count(*) FILTER (status = 'expired') AS n_expired,
-           count(*) FILTER (status = 'processing') = 0 AS ended
+           count(*) FILTER (status IS NULL OR status = 'paused') AS n_other,
+           count(*) FILTER (status IS NULL OR status IN ('paused', 'processing')) = 0 AS ended
     FROM ({STATES_SQL}) GROUP BY batch_no
 """)
 def batch_status(spark, sf):
@@ -185,7 +205,7 @@ def batch_status(spark, sf):
 
 @query(f"""
     SELECT event_id, batch_no, status FROM ({STATES_SQL})
-    WHERE batch_no NOT IN (SELECT batch_no FROM ({STATES_SQL}) WHERE status = 'processing')
+    WHERE batch_no NOT IN (SELECT batch_no FROM ({STATES_SQL}) WHERE status IS NULL OR status IN ('paused', 'processing'))
 """)
 def ended_batches(spark, sf):
     states = request_states(spark, sf)

@@ -34,12 +34,14 @@ def metrics(df: DataFrame) -> DataFrame:
 def batch_status(df: DataFrame, state: str = "status") -> DataFrame:
     """Requests per state and batch, and whether the batch has ended.
 
-    A batch has ended once nothing in it is processing; its errors are counted
-    apart and do not keep it open.
+    A batch has ended once all its requests have a final state; errors are
+    counted apart and do not keep it open.  A null state, or one that is not
+    known, counts as ``n_other`` and does: nothing says that it is final.
     """
     require_columns(df, "batch_no", state)
     counts = [F.count_if(F.col(state) == s).alias(f"n_{s}") for s in REQUEST_STATES]
-    return df.groupBy("batch_no").agg(*counts).withColumn("ended", F.col("n_processing") == 0)
+    other = F.count_if(~F.coalesce(F.col(state).isin(*REQUEST_STATES), F.lit(False))).alias("n_other")
+    return df.groupBy("batch_no").agg(*counts, other).withColumn("ended", (F.col("n_processing") + F.col("n_other")) == 0)
 
 
 def wrong_answers(df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradewell.operators.schema import require_distinct
+from gradewell.operators.schema import fresh, quoted, require_distinct
 
 MakeFn = Callable[[], Callable[..., Sequence]]
 
@@ -116,10 +116,11 @@ def answer_requests(requests: DataFrame, make_fn: MakeFn, batch_size: int, promp
     The output stays in its row: no custom id has to be matched.
     """
     require_distinct([*requests.columns, "MODEL_OUTPUT", "status", "error"])
-    out = requests.withColumn("_out", model_output(make_fn, F.col(prompt), batch_size))
+    made = fresh(requests, "_out")
+    out = requests.withColumn(made, model_output(make_fn, quoted(prompt), batch_size))
     return out.select(
-        *requests.columns,
-        F.when(F.col("_out.status") == SUCCESS, F.col("_out.response")).alias("MODEL_OUTPUT"),
-        "_out.status",
-        "_out.error",
+        *[quoted(c) for c in requests.columns],
+        F.when(F.col(f"{made}.status") == SUCCESS, F.col(f"{made}.response")).alias("MODEL_OUTPUT"),
+        f"{made}.status",
+        f"{made}.error",
     )

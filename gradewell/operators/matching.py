@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.operators.schema import quoted, require_columns, require_distinct
+from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct
 
 
 def last_wins(df: DataFrame, key: str | list[str], seq: Column | str) -> DataFrame:
@@ -19,10 +19,11 @@ def last_wins(df: DataFrame, key: str | list[str], seq: Column | str) -> DataFra
     require_columns(df, *keys, *([seq] if isinstance(seq, str) else []))
     seq = quoted(seq) if isinstance(seq, str) else seq
     rest = [c for c in df.columns if c not in keys]
+    best_name = fresh(df, "_best")
     best = df.groupBy(*[quoted(k) for k in keys]).agg(
-        F.max(F.struct(seq.alias("_seq"), *[quoted(c) for c in rest])).alias("_best"))
+        F.max(F.struct(seq.alias(fresh(df, "_seq")), *[quoted(c) for c in rest])).alias(best_name))
     return best.select(*[
-        quoted(c) if c in keys else F.col("_best").getField(c).alias(c) for c in df.columns])
+        quoted(c) if c in keys else F.col(best_name).getField(c).alias(c) for c in df.columns])
 
 
 def _join_grouped(df: DataFrame, grouped: DataFrame, key: str, how: str) -> DataFrame:
@@ -34,7 +35,8 @@ def _join_grouped(df: DataFrame, grouped: DataFrame, key: str, how: str) -> Data
     very many rows of ``df`` is spread over several tasks.
     """
     hashed = F.xxhash64(quoted(key))
-    return df.withColumn("_hash", hashed).join(grouped.withColumn("_hash", hashed), [key, "_hash"], how).drop("_hash")
+    name = fresh(df, fresh(grouped, "_hash"))
+    return df.withColumn(name, hashed).join(grouped.withColumn(name, hashed), [key, name], how).drop(name)
 
 
 def match_results(requests: DataFrame, results: DataFrame, seq: str | None = None) -> DataFrame:
@@ -68,7 +70,7 @@ def attach_responses(
     require_columns(df, id_col)
     require_columns(responses, id_col, response_col)
     require_distinct([*df.columns, output_col])
-    found = responses.select(id_col, quoted(response_col).alias(output_col), *([quoted(seq).alias("_order")] if seq else []))
+    found = responses.select(quoted(id_col), quoted(response_col).alias(output_col), *([quoted(seq).alias("_order")] if seq else []))
     if seq:
         joined = _join_grouped(df, last_wins(found, id_col, "_order").drop("_order"), id_col, "left")
     else:

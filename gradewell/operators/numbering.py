@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradewell.operators.schema import quoted, require_columns
+from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct
 from gradewell.session import materialize, scratch_path
 
 # ``monotonically_increasing_id`` holds the partition above this bit.
@@ -23,7 +23,8 @@ _PLACE_BITS = 33
 # broadcast; beyond, Spark chooses the join.
 BROADCAST_PARTS = 500_000
 
-# Up to here the first rows are taken by a top-n, which keeps n rows per task.
+# Up to here the first rows are found by a top-n over their keys alone; beyond,
+# all rows are numbered.  Both order ties by reading order and give the same rows.
 TOP_N_LIMIT = 10_000
 
 
@@ -47,23 +48,26 @@ def with_row_index(
     spares this copy where ``df`` is read straight from stored files.
     """
     require_columns(df, *(order_by or []))
+    require_distinct([*df.columns, name])
     spark = df.sparkSession
     path = path or scratch_path(spark, "rows")
     if order_by:
         keys = [quoted(k) for k in order_by]
-        read = df.withColumn("_read_order", F.monotonically_increasing_id())
+        tie = fresh(df, "_read_order")
+        read = df.withColumn(tie, F.monotonically_increasing_id())
         if not stored_input:
             read = materialize(read, f"{path}-read")
         df = (
-            read.repartitionByRange(*keys, "_read_order")
-            .sortWithinPartitions(*keys, "_read_order")
-            .drop("_read_order")
+            read.repartitionByRange(*keys, tie)
+            .sortWithinPartitions(*keys, tie)
+            .drop(tie)
         )
-    df.withColumn("_place", F.monotonically_increasing_id()).write.parquet(path)
+    at = fresh(df, "_place")
+    df.withColumn(at, F.monotonically_increasing_id()).write.parquet(path)
 
     rows = spark.read.parquet(path)
-    place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return _add_index(rows, F.shiftrightunsigned("_place", _PLACE_BITS), place, name, f"{path}-starts").drop("_place")
+    place = F.col(at).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return _add_index(rows, F.shiftrightunsigned(at, _PLACE_BITS), place, name, f"{path}-starts").drop(at)
 
 
 def read_numbered(spark: SparkSession, path: str, name: str = "row_index", total: int | None = None) -> DataFrame:
@@ -87,18 +91,19 @@ def _add_index(
     stored, so that using the numbers again does not count again, and broadcast
     unless there are too many.
     """
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts, seen = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_start")), Observation()
+    key, at, start = (fresh(rows, c) for c in ("_part", "_at", "_start"))
+    counts = rows.groupBy(part.alias(key)).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    starts, seen = counts.select(key, F.coalesce(before, F.lit(0)).alias(start)), Observation()
     starts = materialize(starts.observe(seen, F.count(F.lit(1)).alias("parts")), path)
     if total:
-        last = starts.where(F.col("_start") < total).agg(F.max("_part")).first()[0]
+        last = starts.where(F.col(start) < total).agg(F.max(key)).first()[0]
         rows = rows.where(part <= last)
     if seen.get["parts"] <= BROADCAST_PARTS:
         starts = F.broadcast(starts)
-    numbered = rows.select("*", part.alias("_part"), place.alias("_at")).join(starts, "_part")
-    numbered = numbered.withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
-    return numbered.where(F.col(name) < total) if total else numbered
+    numbered = rows.select("*", part.alias(key), place.alias(at)).join(starts, key)
+    numbered = numbered.withColumn(name, F.col(start) + F.col(at)).drop(key, at, start)
+    return numbered.where(quoted(name) < total) if total else numbered
 
 
 def with_ids(
@@ -111,21 +116,32 @@ def with_ids(
     """``df`` with ids ``q0, q1, …``; an input that has ``name`` is refused."""
     if name.lower() in (c.lower() for c in df.columns):
         raise ValueError(f"column {name!r} exists")
-    indexed = with_row_index(df, order_by, "_index", stored_input=stored_input)
-    return indexed.withColumn(name, F.concat(F.lit(prefix), "_index")).drop("_index")
+    index = fresh(df, "_index")
+    indexed = with_row_index(df, order_by, index, stored_input=stored_input)
+    return indexed.withColumn(name, F.concat(F.lit(prefix), index)).drop(index)
 
 
 def first_rows(df: DataFrame, n: int | None, order_by: list[str], stored_input: bool = False) -> DataFrame:
     """The first ``n`` rows by ``order_by``; all of them for none or zero.
 
-    ``order_by`` must tell rows apart for the choice to be the same every time.
+    Rows that tie keep their reading order.  Only keys are compared; the rows
+    stay in the tasks that read them.  For ``stored_input`` see ``with_row_index``.
     """
     require_columns(df, *order_by)
     if not n:
         return df
     if n <= TOP_N_LIMIT:
-        return df.orderBy(*[quoted(k) for k in order_by]).limit(n)
-    return with_row_index(df, order_by, "_index", stored_input=stored_input).where(F.col("_index") < n).drop("_index")
+        read = fresh(df, "_read_order")
+        rows = df.withColumn(read, F.monotonically_increasing_id())
+        if not stored_input:
+            rows = materialize(rows, label="rows")
+        keys = [quoted(k) for k in order_by]
+        first = rows.select(*keys, read).orderBy(*keys, read).limit(n).select(read)
+        first = materialize(first, label="first")
+        # At most TOP_N_LIMIT numbers.
+        return rows.join(F.broadcast(first), read, "left_semi").drop(read)
+    index = fresh(df, "_index")
+    return with_row_index(df, order_by, index, stored_input=stored_input).where(F.col(index) < n).drop(index)
 
 
 def batch_columns(index: Column, batch_size: int) -> dict[str, Column]:
@@ -154,19 +170,22 @@ def assign_batches(
     """``df`` cut into runs of ``batch_size`` rows; only the last may be short.
 
     Adds ``batch_no``, ``pos`` and ``custom_id``.  ``total`` keeps the first
-    rows only; few rows are taken before anything else is done.  ``index_col``
-    names a dense index that is there already, as from ``read_numbered``; it is
-    dropped.
+    rows only, and needs ``order_by`` or ``index_col`` to say which these are;
+    few rows are taken before anything else is done.  ``index_col`` names a
+    dense index that is there already, as from ``read_numbered``; it is dropped.
     """
+    index = fresh(df, "_index")
+    require_distinct([*[c for c in df.columns if c != index_col], "batch_no", "pos", "custom_id"])
     if index_col:
         require_columns(df, index_col)
-        rows = df.withColumnRenamed(index_col, "_index")
+        rows = df.withColumnRenamed(index_col, index)
+    elif total and not order_by:
+        raise ValueError("total needs order_by or index_col: rows have no order of their own")
     elif total and total <= TOP_N_LIMIT:
-        # A top-n comes out in its order.
-        rows = with_row_index(first_rows(df, total, order_by) if order_by else df.limit(total), name="_index")
+        rows = with_row_index(first_rows(df, total, order_by, stored_input), order_by, index)
     else:
-        rows = with_row_index(df, order_by, "_index", stored_input=stored_input)
+        rows = with_row_index(df, order_by, index, stored_input=stored_input)
     if total:
-        rows = rows.where(F.col("_index") < total)
-    rows = rows.withColumns(batch_columns(F.col("_index"), batch_size)).drop("_index")
+        rows = rows.where(F.col(index) < total)
+    rows = rows.withColumns(batch_columns(F.col(index), batch_size)).drop(index)
     return rows.withColumn("custom_id", custom_id())

@@ -29,6 +29,14 @@ def require_distinct(names: Iterable[str], reserved: Iterable[str] = ()) -> None
         seen.add(name.lower())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` or a longer one that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def quoted(name: str) -> Column:
     """A top-level column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

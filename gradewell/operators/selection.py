@@ -73,15 +73,16 @@ def group_candidates(
     """The ``n`` responses of each question as one array in sample order.
 
     There is one place per sample number, so a group holds n texts at most,
-    however many rows carry the same question.  Of several rows for one place
-    the greatest text stays; a missing sample is null; a sample number outside
-    0 to n-1 fails the query.
+    however many rows carry the same question.  A missing sample is null; two
+    rows for one place, or a sample number outside 0 to n-1, fail the query.
     """
     require_columns(df, question_id, response, sample_no)
     number = quoted(sample_no)
     places = [F.max(F.when(number == i, quoted(response))).alias(f"_{i}") for i in range(n)]
     outside = F.count_if(~number.between(0, n - 1) | number.isNull()).alias("_outside")
-    grouped = df.groupBy(quoted(question_id)).agg(outside, *places)
+    twice = F.greatest(F.lit(0), *[F.count_if(number == i) for i in range(n)]).alias("_rows")
+    grouped = df.groupBy(quoted(question_id)).agg(outside, twice, *places)
     checked = F.when(F.col("_outside") > 0, F.raise_error(F.lit(f"sample number outside 0 to {n - 1}")).cast("array<string>"))
+    checked = checked.when(F.col("_rows") > 1, F.raise_error(F.lit("two rows for one sample number")).cast("array<string>"))
     return grouped.select(
         quoted(question_id), checked.otherwise(F.array(*[f"_{i}" for i in range(n)])).alias("responses"))

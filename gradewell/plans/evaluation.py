@@ -11,7 +11,7 @@ from gradewell.functions.text import boxed_answer
 from gradewell.functions.verdict import confidence_from_logits, is_correct
 from gradewell.operators.grading import metric_columns
 from gradewell.operators.inference import JUDGEMENT, TEXT, MakeFn, model_output
-from gradewell.operators.schema import quoted, require_columns, text_column
+from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct, text_column
 from gradewell.plans.execution import best_of_n_responses, execute
 from gradewell.session import scratch_path
 
@@ -38,19 +38,23 @@ def grade(
     adds ``judge_status`` and ``judge_error`` to tell it from a real one.
     """
     require_columns(df, question_col, response_col, answer_col)
+    added = ["extracted_answer", "model_evaluation", "is_correct"]
+    added += ["confidence_score"] * with_confidence + ["judge_status", "judge_error"] * status
+    require_distinct([*df.columns, *added])
+    judged = fresh(df, "_judged")
     out = df.withColumn("extracted_answer", boxed_answer(quoted(response_col).cast("string")))
     asked = judge_chat_text(
         text_column(df, question_col), F.col("extracted_answer"), text_column(df, answer_col), system_prompt, fmt)
     fields = JUDGEMENT if with_confidence else TEXT
-    out = out.withColumn("_judged", model_output(make_judge_fn, asked, batch_size, fields))
-    out = out.withColumn("model_evaluation", F.coalesce("_judged.response", F.lit("")))
+    out = out.withColumn(judged, model_output(make_judge_fn, asked, batch_size, fields))
+    out = out.withColumn("model_evaluation", F.coalesce(f"{judged}.response", F.lit("")))
     out = out.withColumn("is_correct", is_correct("model_evaluation", rule))
     if with_confidence:
         out = out.withColumn(
-            "confidence_score", confidence_from_logits(F.col("_judged.correct_logit"), F.col("_judged.wrong_logit")))
+            "confidence_score", confidence_from_logits(F.col(f"{judged}.correct_logit"), F.col(f"{judged}.wrong_logit")))
     if status:
-        out = out.withColumns({"judge_status": F.col("_judged.status"), "judge_error": F.col("_judged.error")})
-    return out.drop("_judged")
+        out = out.withColumns({"judge_status": F.col(f"{judged}.status"), "judge_error": F.col(f"{judged}.error")})
+    return out.drop(judged)
 
 
 def evaluate(
@@ -70,7 +74,9 @@ def evaluate(
     """Graded rows, of existing responses or of ones made first.
 
     Without ``response_col`` the model behind ``make_fn`` answers; with
-    ``make_score_fn`` too, the best of ``n_samples`` answers is graded.
+    ``make_score_fn`` too, the best of ``n_samples`` answers is graded.  With
+    ``status=True`` the judge's status is kept, and that of a single answer too, as
+    ``response_status`` and ``response_error``: a failed one is no wrong answer.
     """
     if response_col is None:
         if make_fn is None:
@@ -78,12 +84,18 @@ def evaluate(
         response_col = "model_response"
         options = {"output_col": response_col, "mode": mode, "batch_size": batch_size, "fmt": fmt}
         if make_score_fn is None:
-            df = execute(df, question_col, make_fn, **options)
+            require_distinct([*df.columns, response_col, *(["response_status", "response_error"] if grading.get("status") else [])])
+            df = execute(df, question_col, make_fn, status=bool(grading.get("status")), status_prefix="response_", **options)
         else:
             df = best_of_n_responses(df, question_col, make_fn, make_score_fn, n_samples, **options)
     return grade(df, question_col, response_col, answer_col, make_judge_fn, batch_size=batch_size, fmt=fmt, **grading)
 
 
+def evaluate_with_metrics(*args, path: str | None = None, **options) -> tuple[DataFrame, dict]:
+    """``evaluate``, written to ``path``: the graded rows and their metrics from one run of the models."""
+    return write_graded(evaluate(*args, **options), path)
+
+
 def write_graded(graded: DataFrame, path: str | None = None) -> tuple[DataFrame, dict]:
     """Write graded rows and give them back with their metrics.
 

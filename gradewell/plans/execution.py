@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradewell.fixed import BEST_OF_N, GENERATION_BATCH_SIZE, SYSTEM_MESSAGES
 from gradewell.functions.chat import CHATML, ChatFormat, chat_text, system_message
 from gradewell.operators.inference import SCORE, MakeFn, model_output
-from gradewell.operators.schema import quoted, require_columns, text_column
+from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct, text_column
 from gradewell.operators.selection import best_candidate
 
 
@@ -27,17 +27,21 @@ def execute(
     batch_size: int = GENERATION_BATCH_SIZE,
     fmt: ChatFormat = CHATML,
     status: bool = False,
+    status_prefix: str = "",
 ) -> DataFrame:
     """``df`` with the model's answer to each row, '' where the model failed.
 
     The answer stays in its row: no ids, no join and no shuffle.  ``status``
-    adds the columns ``status`` and ``error``.
+    adds the columns ``status`` and ``error``, with a prefix if given.
     """
+    names = [f"{status_prefix}status", f"{status_prefix}error"] if status else []
+    require_distinct([*df.columns, *names], [] if output_col in df.columns else [output_col])
+    made = fresh(df, "_out")
     answer = model_output(make_fn, question_text(df, input_col, mode, fmt), batch_size)
-    out = df.withColumn("_out", answer).withColumn(output_col, F.coalesce("_out.response", F.lit("")))
+    out = df.withColumn(made, answer).withColumn(output_col, F.coalesce(f"{made}.response", F.lit("")))
     if status:
-        out = out.withColumns({"status": F.col("_out.status"), "error": F.col("_out.error")})
-    return out.drop("_out")
+        out = out.withColumns({names[0]: F.col(f"{made}.status"), names[1]: F.col(f"{made}.error")})
+    return out.drop(made)
 
 
 def response_records(df: DataFrame, input_col: str, id_col: str, make_fn: MakeFn, **options) -> DataFrame:
@@ -66,15 +70,16 @@ def best_of_n_responses(
     samples are left unscored and lose against any that has a score.
     """
     asked = question_text(df, input_col, mode, fmt)
-    out = df.withColumn("_out", model_output(make_fn, asked, batch_size, samples=n_samples))
+    made, scores, best = (fresh(df, c) for c in ("_out", "_scores", "_best"))
+    out = df.withColumn(made, model_output(make_fn, asked, batch_size, samples=n_samples))
     question, system = text_column(df, input_col), SYSTEM_MESSAGES["cot"]
     scored = F.array(*[
-        chat_text(question, system, F.col("_out.response")[i], fmt=fmt, reply=False) for i in range(n_samples)])
-    out = out.withColumn("_scores", model_output(make_score_fn, scored, batch_size, SCORE, places=n_samples))
+        chat_text(question, system, F.col(f"{made}.response")[i], fmt=fmt, reply=False) for i in range(n_samples)])
+    out = out.withColumn(scores, model_output(make_score_fn, scored, batch_size, SCORE, places=n_samples))
     score = F.zip_with(
-        F.col("_scores.score"), F.col("_out.status"), lambda s, status: F.when(status == "success", s))
-    out = out.withColumn("_best", best_candidate(F.col("_out.response"), score))
-    out = out.withColumn(output_col, F.coalesce("_best.response", F.lit("")))
+        F.col(f"{scores}.score"), F.col(f"{made}.status"), lambda s, status: F.when(status == "success", s))
+    out = out.withColumn(best, best_candidate(F.col(f"{made}.response"), score))
+    out = out.withColumn(output_col, F.coalesce(f"{best}.response", F.lit("")))
     if score_col:
-        out = out.withColumn(score_col, F.col("_best.score"))
-    return out.drop("_out", "_scores", "_best")
+        out = out.withColumn(score_col, F.col(f"{best}.score"))
+    return out.drop(made, scores, best)

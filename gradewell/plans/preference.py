@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradewell.fixed import FEEDBACK_BATCH_SIZE, FEEDBACK_TEMPLATE
 from gradewell.functions.chat import CHATML, ChatFormat, chat_text, system_message
 from gradewell.operators.grading import wrong_answers
+from gradewell.operators.inference import ERROR
 from gradewell.operators.schema import quoted, require_columns, text_column
 from gradewell.plans.feedback import correct_answers
 
@@ -54,6 +55,7 @@ def preference_set(
     order_by: list[str] | None = None,
     template: str = FEEDBACK_TEMPLATE,
     unique_ids: bool = False,
+    null_policy: str = "drop",
 ) -> DataFrame:
     """From graded answers to preference triples.
 
@@ -61,7 +63,18 @@ def preference_set(
     into ``custom_id, MODEL_OUTPUT``, and the corrections are paired with the
     responses they correct.  Without ``order_by`` the graded rows are evaluated
     just once, when the numbered requests are stored.
+
+    Only answers found wrong are corrected: where the judge or the model failed
+    (``judge_status``, ``response_status`` or ``status`` is an error) nothing is known, and an
+    empty response is nothing to reject.  Rows without a response are dropped
+    too, unless ``null_policy="text"`` keeps them with the text ``None``.
     """
+    wrong = wrong_answers(graded)
+    for name in ("judge_status", "response_status", "status"):
+        if name in graded.columns:
+            wrong = wrong.where(F.coalesce(quoted(name) != ERROR, F.lit(True)))
+    response = quoted(response_col).cast("string")
+    wrong = wrong.where((response != "") | response.isNull() if null_policy == "text" else response != "")
     mapping = {
         "question": question_col,
         "answer": answer_col,
@@ -69,6 +82,6 @@ def preference_set(
         "extracted_answer": "extracted_answer",
     }
     feedback = correct_answers(
-        wrong_answers(graded), respond, mapping, template, unique_ids,
+        wrong, respond, mapping, template, unique_ids,
         batch_size=batch_size, order_by=order_by, id_col=id_col)
-    return preference_pairs(feedback.withColumn("AI_RESPONSE", F.col("COT_RESPONSE")), mode=mode)
+    return preference_pairs(feedback.withColumn("AI_RESPONSE", F.col("COT_RESPONSE")), mode=mode, null_policy=null_policy)

@@ -14,7 +14,7 @@ from gradewell.fixed import (
 from gradewell.functions.text import clean_text, render, tagged_section
 from gradewell.operators.matching import last_wins, match_results
 from gradewell.operators.numbering import assign_batches
-from gradewell.operators.schema import quoted, require_columns, require_distinct, text_column
+from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct, text_column
 
 REQUEST_COLUMNS = ("custom_id", "batch_no", "pos")
 
@@ -31,8 +31,8 @@ def question_requests(
 ) -> DataFrame:
     """One request per row: ids, ``PROMPT`` and every field as text, upper-cased.
 
-    Slots are filled in column order.  ``order_by`` fixes which rows come first;
-    without it they keep the order they are read in.  For it and
+    Slots are filled in column order.  ``order_by`` fixes which rows come first,
+    and ``total_samples`` needs it or ``index_col``.  For it and
     ``stored_input`` see ``with_row_index``; with the ``index_col`` that
     ``read_numbered`` gives, the rows are not even copied.
     """
@@ -98,9 +98,11 @@ def collect_records(
     if results is None:
         matched = requests.where("MODEL_OUTPUT IS NOT NULL").select(*kept, *parts)
     else:
-        order = [quoted(seq)] if seq else []
-        found = results.where("MODEL_OUTPUT IS NOT NULL").select("custom_id", *parts, *order)
-        matched = match_results(requests.select(*kept), found, seq).drop(*([seq] if seq else []))
+        # A result delivered twice is one; without ``seq`` the greater one by its parts.
+        order = fresh(requests, "_order")
+        found = results.where("MODEL_OUTPUT IS NOT NULL").select(
+            "custom_id", *parts, (quoted(seq) if seq else F.lit(0)).alias(order))
+        matched = match_results(requests.select(*kept), found, order).drop(order)
     names = [c for c in matched.columns if c not in carried]
     if not unique_ids:
         matched = last_wins(matched.drop("custom_id"), "id", F.struct("batch_no", "pos"))

@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/gradewell-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> bool:
+    """Delete all tables this application has written to the shared folder; none may be in use any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/gradewell-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, path: str | None = None, label: str = "rows") -> DataFrame:
     """Write ``df`` and read it back: what it took to make is not done again, also
     not when an executor is lost.  The path is new unless one is given."""

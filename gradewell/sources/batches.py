@@ -43,14 +43,16 @@ def request_records(
 
 
 def write_requests(records: DataFrame, path: str, batches_per_folder: int = 1000) -> None:
-    """JSON lines, in folders of ``batches_per_folder`` consecutive batches.
+    """JSON lines with ``custom_id`` and ``params`` only, ready to be sent.
 
-    A folder per batch (1) suits few batches; many thousands of them would
-    leave as many small files.  Rows numbered in order lie in order, so a task
-    writes to a few neighbouring folders.
+    Rows are clustered by batch first, so a batch lies in one file, in order,
+    and a task writes to a few neighbouring folders of ``batches_per_folder``
+    consecutive batches.  A folder per batch (1) makes a file one call.
     """
-    folder = F.call_function("div", F.col("batch_no"), F.lit(batches_per_folder))
-    records.withColumn("folder", folder).write.partitionBy("folder").json(path)
+    require_columns(records, "custom_id", "params", "batch_no")
+    folder = F.call_function("div", F.col("batch_no"), F.lit(batches_per_folder)).alias("folder")
+    clustered = records.repartitionByRange("batch_no").sortWithinPartitions("batch_no", "custom_id")
+    clustered.select("custom_id", "params", folder).write.partitionBy("folder").json(path)
 
 
 def store_requests(requests: DataFrame, name: str, buckets: int, path: str | None = None) -> DataFrame:
@@ -96,6 +98,13 @@ def batch_of(custom_id: Column | str) -> Column:
     return F.regexp_extract(custom_id, r"^b(\d+)-\d+$", 1).try_cast("long")
 
 
+def count_unreadable(spark: SparkSession, path: str) -> int:
+    """Lines under ``path`` that are no result: not JSON, or without a ``custom_id``.  ``read_results`` leaves them out."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", RESULT_SCHEMA)
+    return lines.where(F.coalesce(parsed["custom_id"].isNull(), F.lit(True))).count()
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Flat results of all files under ``path``."""
     return flat_results(spark.read.schema(RESULT_SCHEMA).json(path))

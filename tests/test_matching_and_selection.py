@@ -82,9 +82,11 @@ def test_pair_scores(spark):
 
 def test_batch_status(spark):
     df = spark.createDataFrame(
-        [(0, "succeeded"), (0, "errored"), (1, "processing"), (1, "canceled"), (2, "expired")], "batch_no int, status string")
+        [(0, "succeeded"), (0, "errored"), (1, "processing"), (1, "canceled"), (2, "expired"),
+         (3, "in_progress"), (4, None), (4, "succeeded")], "batch_no int, status string")
     assert rows(gr.batch_status(df)) == [
-        (0, 1, 0, 1, 0, 0, True), (1, 0, 1, 0, 1, 0, False), (2, 0, 0, 0, 0, 1, True)]
+        (0, 1, 0, 1, 0, 0, 0, True), (1, 0, 1, 0, 1, 0, 0, False), (2, 0, 0, 0, 0, 1, 0, True),
+        (3, 0, 0, 0, 0, 0, 1, False), (4, 1, 0, 0, 0, 0, 1, False)]
 
 
 # --- selection ---------------------------------------------------------------
@@ -138,3 +140,9 @@ def test_metrics(spark):
     assert rows(gr.metrics(df.drop("confidence_score"))) == [(0.5, 4, 2, None)]
     assert rows(gr.metrics(df.where("false"))) == [(None, 0, 0, None)]
     assert gr.wrong_answers(df).count() == 2
+
+
+def test_two_rows_for_one_sample_fail(spark):
+    df = spark.createDataFrame([("q", 0, "a"), ("q", 0, "b")], "question_id string, sample_no int, response string")
+    with pytest.raises(Exception, match="two rows for one sample number"):
+        se.group_candidates(df, 2).collect()

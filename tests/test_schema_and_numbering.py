@@ -48,7 +48,9 @@ def test_batch_total(spark):
     batches = nb.assign_batches(spark.range(10), 4, ["id"], total=6)
     assert rows(batches.select("id", "batch_no")) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 1)]
     assert nb.assign_batches(spark.range(3), 4, ["id"], total=99).count() == 3
-    assert rows(nb.assign_batches(spark.range(10), 4, total=6).select("batch_no", "pos")) == rows(
+    with pytest.raises(ValueError):
+        nb.assign_batches(spark.range(10), 4, total=6)
+    assert rows(nb.assign_batches(spark.range(10), 4, ["id"], total=6).select("batch_no", "pos")) == rows(
         batches.select("batch_no", "pos"))
 
 
@@ -145,10 +147,9 @@ def test_first_rows(spark, monkeypatch):
     df = spark.range(50).select((F.lit(50) - F.col("id")).alias("k"))
     assert nb.first_rows(df, None, ["k"]).count() == nb.first_rows(df, 0, ["k"]).count() == 50
     few = nb.first_rows(df, 5, ["k"])
-    assert "TakeOrdered" in planned(few)
+    assert "SinglePartition" not in planned(few)
     monkeypatch.setattr(nb, "TOP_N_LIMIT", 3)
     many = nb.first_rows(df, 5, ["k"])
-    assert "TakeOrdered" not in planned(many)
     assert rows(few) == rows(many) == [(i,) for i in range(1, 6)]
 
 
@@ -167,3 +168,22 @@ def test_scratch_folder(spark, monkeypatch):
     assert session.scratch_root(Cluster) == session.scratch_root(Cluster)
     Cluster.conf.get = staticmethod(lambda key, default: "hdfs://shared/")
     assert session.scratch_root(Cluster) == "hdfs://shared"
+
+
+def test_ties_are_the_same_rows_either_way(spark, monkeypatch):
+    df = spark.range(0, 3000, 1, 6).select((F.col("id") % 3).alias("k"), "id")
+    few = sorted(nb.first_rows(df, 100, ["k"], stored_input=True).collect())
+    monkeypatch.setattr(nb, "TOP_N_LIMIT", 10)
+    assert few == sorted(nb.first_rows(df, 100, ["k"], stored_input=True).collect()) == [(0, i) for i in range(0, 300, 3)]
+
+
+def test_callers_columns_stay(spark):
+    names = ["_index", "_place", "_start", "_part", "_at", "_read_order", "_hash", "_out", "_best", "_seq"]
+    df = spark.range(6).select("id", *[F.col("id").alias(n) for n in names])
+    for out in (nb.with_ids(df, "q", ["id"], "name"), nb.assign_batches(df, 4, ["id"]), nb.first_rows(df, 6, ["id"]),
+                nb.with_row_index(df, ["id"])):
+        assert out.columns[: len(df.columns)] == df.columns
+        assert out.where(" or ".join(f"{n} <> id" for n in names)).count() == 0 and out.count() == 6
+    for taken in ("pos", "custom_id", "batch_no"):
+        with pytest.raises(ValueError, match="clashes"):
+            nb.assign_batches(df.withColumn(taken, F.lit(1)), 4, ["id"])

@@ -74,10 +74,15 @@ def test_request_files(spark, path):
     lines = [json.loads(r.value) for r in spark.read.text(path + "/folder=1").collect()]
     assert sorted(d["custom_id"] for d in lines) == ["b2-0", "b2-1"]
     assert next(d for d in lines if d["custom_id"] == "b2-1") == {
-        "custom_id": "b2-1", "batch_no": 2, "params": {
+        "custom_id": "b2-1", "params": {
             "model": "m", "max_tokens": 50, "temperature": 0.25, "messages": [{"role": "user", "content": "prompt 9"}]}}
 
 
+def test_unreadable_results_are_counted(spark, path):
+    spark.createDataFrame([('{"custom_id": "b0-0"}',), ("{broken",), ('{"id": 1}',), ("",)], "value string").write.text(path)
+    assert batches.count_unreadable(spark, path) == 2
+
+
 def test_stored_requests_are_not_shuffled_again(spark, path, settings):
     settings(spark__sql__autoBroadcastJoinThreshold="-1")
     stored = batches.store_requests(requests_of(spark, 100, 4), "stored_requests", 8, path)
