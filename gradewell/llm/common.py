@@ -137,12 +137,12 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             if centres is not None:
                 rest = materialize(rows.join(centres, "key"), label="open-buckets")
                 if turn == rounds:
-                    pairs = prefix_pairs(rest.select("id", "label").distinct(), sets, percent)
+                    star = prefix_pairs(rest.select("id", "label").distinct(), sets, percent)
                 else:
                     heads = rest.where(order == F.col("first")).select("key", F.col("id").alias("head"), F.col("label").alias("head_label"))
                     star = rest.join(materialize(heads, label="heads"), "key").where("label <> head_label")
                     star = star.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
-                    pairs = star if turn else pairs.union(star)
+                pairs = star if turn else pairs.union(star)
         found = materialize(verify(materialize(pairs.distinct(), label="pairs")).select("a", "b"), label="found")
         links = found if links is None else links.union(found)
         labels = components(links)
