@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradewell.operators.schema import fresh
 from gradewell.session import materialize
 
 WORDS = 5
@@ -79,5 +80,6 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``docs`` without the rows whose id holds an item, columns as they are; rows without an id stay."""
     pairs = materialize(contained_items(docs, items, threshold), label="contaminated")
-    gone = pairs.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = pairs.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -11,10 +11,8 @@ counts only if one of its notices is contained in the paragraph.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
-import operator
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
@@ -46,6 +44,8 @@ FAMILIES = sorted(NOTICES)
 MAX_NEGATIVES = 3000
 #: Share of a notice's word triples (or pairs, or words, if it is shorter) that a paragraph must hold.
 TEMPLATE_SHARE = 0.75
+#: Share of ordinary paragraphs that may hold a word of the vocabulary.
+MAX_COMMON = 0.005
 #: Weights closer to zero are left out.
 MIN_WEIGHT = 1e-3
 
@@ -78,14 +78,10 @@ def notices(spark: SparkSession) -> DataFrame:
     return out.select("family", "w", size.alias("run"), _runs(F.col("w"), size).alias("runs"))
 
 
-def paragraphs(docs: DataFrame, holding: list[str] | None = None) -> DataFrame:
-    """``doc_id, place`` (from 0) and the words ``w`` of every line; with ``holding`` only lines with one of these words."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("place", "line"))
-    if holding is not None:
-        # As a part of another word it does no harm: the words are compared later.
-        low = F.lower("line")
-        lines = lines.where(functools.reduce(operator.or_, [low.contains(w) for w in holding], F.lit(False)))
-    return lines.select("doc_id", F.col("place").cast("long").alias("place"), words(F.col("line")).alias("w"))
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """``doc_id, place`` (from 0) and the ``line`` of every paragraph."""
+    lines = F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("place", "line")
+    return docs.select("doc_id", lines).withColumn("place", F.col("place").cast("long"))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -98,7 +94,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
     keep = F.filter("w", lambda w, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64(w, i, F.col("copy")), F.lit(12)) > 0))
     positive = copies.select("label", keep.alias("w"))
     triples = known.select(F.explode(_runs(F.col("w"), F.lit(3))).alias("run")).agg(F.collect_set("run").alias("known"))
-    lines = paragraphs(docs).where(F.size("w") > 0).select("w").orderBy(F.xxhash64("w"), "w").limit(MAX_NEGATIVES)
+    lines = paragraphs(docs).where("line <> ''").select("line").orderBy(F.xxhash64("line"), "line").limit(MAX_NEGATIVES)
+    lines = lines.select(words(F.col("line")).alias("w"))
     other = lines.crossJoin(F.broadcast(triples)).where(~F.arrays_overlap(_runs(F.col("w"), F.lit(3)), "known"))  # one row on the right
     negative = other.select(F.lit(0.0).alias("label"), "w")
     rows = positive.unionByName(negative).select("label", _grams("w").alias("grams"))
@@ -111,22 +108,9 @@ class LicenceModel:
     def __init__(self, weights: dict[str, list[float]], intercepts: list[float], least: float):
         self.weights, self.intercepts, self.least = weights, intercepts, least
 
-    def telling(self) -> list[str]:
-        """Words one of which every paragraph above the least probability holds.
-
-        A gram counts once in a paragraph, so grams without these words add up to
-        a bounded sum at most; words are taken by weight until no family can
-        reach the least probability on the others.
-        """
-        odds = math.log(self.least / (1 - self.least))
-        gain = {g: [x - w[0] for x in w[1:]] for g, w in self.weights.items()}
-        by_weight = sorted({w for g in gain for w in g.split(" ")}, key=lambda w: (-max(max(v) for g, v in gain.items() if w in g.split(" ")), w))
-        for n in range(len(by_weight) + 1):
-            rest = [v for g, v in gain.items() if not set(by_weight[:n]) & set(g.split(" "))]
-            most = max(self.intercepts[k + 1] - self.intercepts[0] + sum(max(0.0, v[k]) for v in rest) for k in range(len(self.intercepts) - 1))
-            if most < odds:
-                break
-        return by_weight[:n]
+    def words(self) -> list[str]:
+        """All words of weighted grams; a paragraph without any has the probabilities of the intercepts."""
+        return sorted({w for g in self.weights for w in g.split(" ")})
 
     def known(self, grams: Column) -> Column:
         """The grams that have a weight."""
@@ -147,16 +131,24 @@ class LicenceModel:
 def train(docs: DataFrame) -> LicenceModel:
     """Fit on the bounded training rows and set the least probability on those held back."""
     rows = materialize(training_rows(docs), label="licence-rows")
-    vocabulary = sorted({g for r in notices(docs.sparkSession).select(_grams("w").alias("g")).collect() for g in r["g"]})
+    grams = {g for r in notices(docs.sparkSession).select(_grams("w").alias("g")).collect() for g in r["g"]}
+    # Words that ordinary paragraphs hold, and single letters and digits, say nothing by themselves.
+    negative = rows.where("label = 0")
+    often = negative.select(F.explode("grams").alias("g")).where(F.col("g").isin(*grams)).groupBy("g").count()
+    common = {r["g"] for r in often.where(F.col("count") > MAX_COMMON * negative.count()).collect()}
+    telling = {g for g in grams if " " not in g and len(g) > 1 and g not in common}
+    vocabulary = sorted(g for g in grams if g in telling or " " in g and telling & set(g.split(" ")))
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
-    fit = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60, standardization=False)
+    fit = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.5, maxIter=60, standardization=False)
     model = fit.fit(vectors.transform(rows.where("not held")))
     matrix = model.coefficientMatrix.toArray()
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(vocabulary) if abs(matrix[:, i]).max() > MIN_WEIGHT}
     out = LicenceModel(weights, [float(x) for x in model.interceptVector], 0.0)
     scored = out.with_probabilities(rows.where("held and label = 0").select(out.known(F.col("grams")).alias("grams")))
     worst = scored.agg(F.max(1 - F.col("p")[0])).first()[0]
-    out.least = min(0.9, max(0.5, worst or 0.0))
+    # Not below what the intercepts alone give: paragraphs without a weighted gram are never a licence.
+    powers = [math.exp(x) for x in out.intercepts]
+    out.least = max(min(0.9, max(0.5, worst or 0.0)), 1 - powers[0] / sum(powers))
     return out
 
 
@@ -171,8 +163,10 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     an id share the findings of all of them.
     """
     model = train(docs) if model is None else model
-    w = paragraphs(docs.where("doc_id is not null"), model.telling()).select("doc_id", "place", "w", model.known(_grams("w")).alias("grams"))
-    scored = model.with_probabilities(w.where(F.size("grams") > 0))
+    told = F.array(*[F.lit(w) for w in model.words()])
+    w = paragraphs(docs.where("doc_id is not null")).select("doc_id", "place", words(F.col("line")).alias("w")).where(F.arrays_overlap("w", told))
+    scored = w.select("doc_id", "place", "w", model.known(_grams("w")).alias("grams")).where(F.size("grams") > 0)
+    scored = model.with_probabilities(scored)
     best = F.array_max(F.slice("p", 2, len(FAMILIES)))
     families = F.array(*[F.lit(f) for f in FAMILIES])
     likely = scored.select("doc_id", "place", "w", best.alias("probability"),
@@ -185,8 +179,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     first = F.min(F.when(F.col("confirmed"), F.struct((-F.col("probability")).alias("p"), "place", "family")))
     found = checked.groupBy("doc_id").agg(first.alias("first"), F.count("*").alias("n"), F.count_if("confirmed").alias("n_confirmed"),
                                           F.max("probability").alias("probability"))
-    found = found.withColumnRenamed("doc_id", "_found")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("_found"), "left")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
     return out.select(
         "doc_id", F.coalesce("first.family", F.when(F.col("n") > 0, "unknown"), F.lit("none")).alias("licence"),
         F.coalesce(-F.col("first.p"), F.col("probability")).alias("probability"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
 from gradewell.llm.hashing import mix, pieces, shingle_sets
+from gradewell.operators.schema import fresh
 from gradewell.session import materialize
 
 BANDS, ROWS, MANTISSA = 28, 4, 10
@@ -170,10 +171,11 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     repeat an id are one.
     """
     found = materialize(near_duplicates(docs, shingle_words, percent).select("doc_id", "kept"), label="verdicts")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), label="twice")
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    twice = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), label="twice")
+    out = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
     if twice.isEmpty():
         return out
-    once = out.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.unionByName(out.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    once = out.join(twice, F.col("doc_id") == F.col(name), "left_anti")
+    return once.unionByName(out.join(twice, F.col("doc_id") == F.col(name), "left_semi").dropDuplicates(["doc_id"]))
