@@ -15,6 +15,7 @@ from gradewell.functions.text import clean_text, render, tagged_section
 from gradewell.operators.matching import last_wins, match_results
 from gradewell.operators.numbering import assign_batches
 from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct, text_column
+from gradewell.session import materialize
 
 REQUEST_COLUMNS = ("custom_id", "batch_no", "pos")
 
@@ -71,7 +72,7 @@ def parse_questions(
     Rows with a missing part are kept, see ``flag_missing``.  Without
     ``results`` the requests carry ``MODEL_OUTPUT`` themselves.  ``seq`` orders
     several results of one request.  Of several rows with one id the last by
-    batch and position stays; ``unique_ids`` spares the shuffle this takes.
+    batch and position stays; ``unique_ids`` spares the steps this takes.
 
     Only the parts of the output are shuffled.  The prompt holds every field
     once more: with the ``template`` it was made from it is left behind and
@@ -102,9 +103,15 @@ def collect_records(
         order = fresh(requests, "_order")
         found = results.where("MODEL_OUTPUT IS NOT NULL").select(
             "custom_id", *parts, (quoted(seq) if seq else F.lit(0)).alias(order))
+        if not unique_ids:
+            # The winning request of each id is found on keys alone; wide fields are shuffled once, for winners.
+            found = materialize(found, label="parts")
+            keys = requests.select("custom_id", "id", "batch_no", "pos").join(found.select("custom_id"), "custom_id")
+            last = keys.groupBy("id").agg(F.max_by("custom_id", F.struct("batch_no", "pos")).alias("custom_id"))
+            found = found.join(last.select("custom_id"), "custom_id", "left_semi")
         matched = match_results(requests.select(*kept), found, order).drop(order)
     names = [c for c in matched.columns if c not in carried]
-    if not unique_ids:
+    if results is None and not unique_ids:
         matched = last_wins(matched.drop("custom_id"), "id", F.struct("batch_no", "pos"))
     if template is not None:
         matched = fill(matched.drop(*REQUEST_COLUMNS), template)

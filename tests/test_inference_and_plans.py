@@ -1,3 +1,4 @@
+import re
 import sys
 
 import pytest
@@ -292,7 +293,7 @@ def test_feedback(spark, wrong):
 def test_corrections_are_extracted_once(spark, wrong):
     requests = feedback_requests(wrong)
     results = requests.select("custom_id", F.col("PROMPT").alias("MODEL_OUTPUT"))
-    assert planned(parse_feedback(requests, results, template=FEEDBACK_TEMPLATE)).count("regexp_extract(") == 1
+    assert planned(parse_feedback(requests, results, template=FEEDBACK_TEMPLATE, unique_ids=True)).count("regexp_extract(") == 1
 
 
 def test_feedback_mapping(wrong):
@@ -350,3 +351,33 @@ def test_preference_set(answers, parts):
     path = session.scratch_path(triples.sparkSession, "triples")
     triples.write.parquet(path)
     assert rows(triples.sparkSession.read.parquet(path)) == rows(triples)
+
+
+def test_results_delivered_twice_and_repeated_ids(spark, settings):
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    df = spark.createDataFrame([("a", "x1"), ("b", "x2"), ("a", "x3")], "id string, question string")
+    requests = question_requests(df, "{{QUESTION}}", batch_size=2, order_by=["question"])
+    results = requests.select("custom_id", F.concat(F.lit("<analysis>"), "QUESTION", F.lit("</analysis>")).alias("MODEL_OUTPUT"))
+    twice = results.union(results)
+    for unique in (True, False):
+        out = parse_questions(requests, twice, template="{{QUESTION}}", unique_ids=unique)
+        got = sorted((r.id, r.ANALYSIS) for r in out.collect())
+        assert got == ([("a", "x1"), ("a", "x3"), ("b", "x2")] if unique else [("a", "x3"), ("b", "x2")])
+    plan = planned(parse_questions(requests, twice, template="{{QUESTION}}"))
+    assert not [line for line in plan.split("\n") if "Aggregate" in line and re.search("(?<!_)QUESTION#", line)]
+
+
+def test_only_wrong_answers_are_rejected(spark):
+    columns = "id string, question string, answer string, response string, extracted_answer string, is_correct boolean, judge_status string, response_status string"
+    rows = [(str(i), "q", "a", r, None, False, j, s) for i, (r, j, s) in enumerate([
+        ("wrong", "success", "success"), (None, "success", "success"), ("", "success", "success"),
+        ("unjudged", "error", "success"), ("failed", "success", "error"), ("wrong too", None, None)])]
+    graded = spark.createDataFrame(rows, columns)
+
+    def respond(requests):
+        return requests.select("custom_id", F.lit("<corrected_response>right</corrected_response>").alias("MODEL_OUTPUT"))
+
+    kept = preference_set(graded, respond, "id", "question", "answer", "response")
+    assert sorted(r.rejected for r in kept.collect()) == ["wrong", "wrong too"]
+    kept = preference_set(graded, respond, "id", "question", "answer", "response", null_policy="text")
+    assert sorted(r.rejected for r in kept.collect()) == ["None", "wrong", "wrong too"]
