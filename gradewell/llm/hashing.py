@@ -91,6 +91,10 @@ def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     return out
 
 
+#: Characters worked on at once where arrays hold some fifty bytes for each.
+WORKING_CHARS = 2_000_000
+
+
 def pieces(texts: list[str | None], limit: int = 4_000_000):
     """Runs of texts with about ``limit`` characters, so that working arrays stay small."""
     start = total = 0

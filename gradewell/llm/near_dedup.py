@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
-from gradewell.llm.hashing import mix, pieces, shingle_sets
+from gradewell.llm.hashing import WORKING_CHARS, mix, pieces, shingle_sets
 from gradewell.operators.schema import fresh
 from gradewell.session import materialize
 
@@ -69,7 +69,7 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            for part in pieces(texts):
+            for part in pieces(texts, WORKING_CHARS):
                 sets = shingle_sets(part, size)
                 regs = [registers(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([
@@ -87,7 +87,7 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            for part in pieces(texts):
+            for part in pieces(texts, WORKING_CHARS):
                 sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, len(part)),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
-from gradewell.llm.hashing import Words, mix, pieces, run_hashes, windows
+from gradewell.llm.hashing import WORKING_CHARS, Words, mix, pieces, run_hashes, windows
 from gradewell.session import materialize
 
 MIN_WORDS = 8
@@ -95,7 +95,7 @@ _SETS = "id long, n long, items array<long>"
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), 0
-        for part in pieces(texts):
+        for part in pieces(texts, WORKING_CHARS):
             own = ids[at: at + len(part)]
             at += len(part)
             u = Units(part)
@@ -119,7 +119,7 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted lines of each text."""
     for batch in batches:
         texts, wanted, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-        for part in pieces(texts):
+        for part in pieces(texts, WORKING_CHARS):
             u = Units(part)
             seen: dict[int, np.ndarray] = {}
             if len(u.lines):
