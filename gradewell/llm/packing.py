@@ -31,7 +31,7 @@ CHOICES, FILL_NODES = 3, 400
 #: Steps of the whole search before the incumbent is taken.
 SEARCH_STEPS = 10_000
 #: Words kept with their ids in one worker.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 _PLACE_BITS = 33
 
 _loaded: dict[str, tuple] = {}
@@ -47,7 +47,42 @@ def _tokenizer(path: str) -> tuple:
 
 
 #: Python takes these for white space, the tokenizer does not.
-_ODD_SPACE = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: A sign that words are set apart with when many are encoded at once, and how many.
+_SIGN, _TOGETHER = "~", 50
+#: Signs that often follow a word.
+_TAIL = ".,;:!?%$#&*|"
+
+
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A word as parts that the tokenizer takes apart as well: letters, in lower case, and a run of signs behind them."""
+    core = word.rstrip(_TAIL)
+    if not core.isalpha():
+        return (word,)
+    tail = word[len(core):]
+    core = core.lower() if core.isascii() else core
+    return (core, tail) if tail else (core,)
+
+
+def _encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
+    """Ids of each word; words are encoded many at a time with a sign of one id between them."""
+    sign = tokenizer.encode(_SIGN, add_special_tokens=False).ids
+    plain = [w for w in words if _SIGN not in w] if len(sign) == 1 else []
+    groups = [plain[i: i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+    out = {}
+    between = f" {_SIGN} "
+    for group, found in zip(groups, tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(found.ids, "<u4")
+        data, ends = ids.tobytes(), np.flatnonzero(ids == sign[0]).tolist()
+        if len(ends) == len(group) - 1:
+            out.update(zip(group, [data[4 * a: 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)])]))
+    rest = [w for w in words if w not in out]
+    out.update(zip(rest, (_pack(e.ids) for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+    return out
 
 
 def token_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
@@ -57,22 +92,21 @@ def token_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
     are those of its words in order; each distinct word is encoded once.
     """
     tokenizer, cache = _tokenizer(path)
-
-    def pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
     split = [(t or "").split() for t in texts]
-    new = list({w for ws in split for w in ws}.difference(cache))
+    new = {w: _parts(w) for w in {w for ws in split for w in ws}.difference(cache)}
+    unknown = list({part for parts in new.values() for part in parts}.difference(cache))
     fresh = {}
-    for i in range(0, len(new), 20_000):
-        words = new[i: i + 20_000]
-        fresh.update(zip(words, (pack(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False))))
+    for i in range(0, len(unknown), 20_000):
+        fresh.update(_encode_words(tokenizer, unknown[i: i + 20_000]))
+    for w, parts in new.items():
+        if len(parts) > 1 or parts[0] != w:
+            fresh[w] = b"".join([fresh[p] if p in fresh else cache[p] for p in parts])
     known = cache if not fresh else {**cache, **fresh}
     if len(cache) < CACHED_WORDS:
         cache.update(fresh)
     for text, ws in zip(texts, split):
-        if text and len(text.translate(_ODD_SPACE)) != len(text):
-            yield pack(tokenizer.encode(text, add_special_tokens=False).ids)
+        if text and any(c in text for c in _ODD_SPACE):
+            yield _pack(tokenizer.encode(text, add_special_tokens=False).ids)
         else:
             yield b"".join([known[w] for w in ws])
 
@@ -84,7 +118,7 @@ def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for part in runs(texts):
+            for part in runs(texts, 6_000_000):
                 rows = []
                 for doc, data in zip(ids[at: at + len(part)], token_ids(part, path)):
                     data += b"\0\0\0\0"
