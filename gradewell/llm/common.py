@@ -15,6 +15,8 @@ from gradewell.session import materialize
 
 #: In buckets of up to so many ids all pairs are compared: at most (SMALL - 1) / 2 a member.
 SMALL = 8
+#: Words of 64 parity bits of a set, a power of two.
+PARITY_WORDS = 8
 
 
 def stored_with(df: DataFrame, label: str, **measures: Column) -> tuple[DataFrame, dict]:
@@ -85,22 +87,29 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     leaves enough items behind it in both.  Copies that differ from all others
     have their own items in front and meet nobody, so a large family costs its
     members, not its pairs; within a shared item the pairs of its most frequent
-    label are left out.  No pair that similar is lost.
+    label are left out.  A pair must also be near by parity: of bits that items
+    toggle, as many differ at most as items do.  No pair that similar is lost.
     """
     rows = ids.join(sets, "id").select("id", "label", "n", F.explode("items").alias("item"))
     rows = materialize(rows, label="items")
     often = materialize(rows.groupBy("item").agg(F.count("*").alias("f")), label="item-counts")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
-    ordered = rows.join(often, "item").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("items"))
-    prefix = ordered.select("id", "label", "n", F.posexplode(F.slice("items", F.lit(1), first.cast("int"))).alias("place", "x")).where("x.f > 1")
-    prefix = materialize(prefix.select("id", "label", (F.col("n") - F.col("place")).alias("left"), "n", F.col("x.item").alias("item")), label="prefixes")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("item").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("item", 6).bitwiseAND(F.lit(PARITY_WORDS - 1))
+    parity = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"parity{k}") for k in range(PARITY_WORDS)]
+    bits = [f"parity{k}" for k in range(PARITY_WORDS)]
+    ordered = rows.join(often, "item").groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("items"), *parity)
+    prefix = ordered.select("id", "label", "n", *bits, F.posexplode(F.slice("items", F.lit(1), first.cast("int"))).alias("place", "x")).where("x.f > 1")
+    prefix = materialize(prefix.select("id", "label", *bits, (F.col("n") - F.col("place")).alias("left"), "n", F.col("x.item").alias("item")), label="prefixes")
     shares = prefix.groupBy("item", "label").agg(F.count("*").alias("n"))
     usual = shares.groupBy("item").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     usual = materialize(usual.select("item", F.col("top.label").alias("usual")), label="item-labels")
-    other = prefix.select("item", *[F.col(c).alias(f"{c}_2") for c in ("id", "label", "left", "n")])
+    other = prefix.select("item", *[F.col(c).alias(f"{c}_2") for c in ("id", "label", "left", "n", *bits)])
     few = materialize(prefix.join(usual, "item").where("label <> usual").drop("usual"), label="few")
     need = (F.col("n") + F.col("n_2")) * percent / (100 + percent) - 1e-9
-    near = (F.col("label") != F.col("label_2")) & (F.least("left", "left_2") >= need)
+    differ = [F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in bits]
+    close = sum(differ[1:], differ[0]) <= (F.col("n") + F.col("n_2")) * (100 - percent) / (100 + percent) + 1e-9
+    near = (F.col("label") != F.col("label_2")) & (F.least("left", "left_2") >= need) & close
     return few.join(other, "item").where(near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
 
 
