@@ -2,8 +2,10 @@
 
 Counts of all character 4-grams are taken in the tasks and summed by Spark; lower
 orders follow from them.  A model holds, for several groups of texts at once, the
-interpolated probability of every 4-, 3-, 2- and 1-gram kept, in arrays sorted by
-the hash of the gram, and the weight of every context for grams that are not kept.
+interpolated probability of every 4-, 3-, 2- and 1-gram seen, and the weight of
+every context for grams that were not.  Up to SEND_BYTES it is made of arrays
+sorted by the hash of the gram, which go to the tasks; a larger one is made of
+tables, and the grams of distinct words are joined with them.  Both hold the same.
 Words are runs of letters in lower case with three marks before and one behind.
 """
 
@@ -16,15 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.hashing import mix, pieces
 from gradewell.session import materialize
 
 ORDER = 4
-#: Kept 4-grams per group: the most frequent ones, so that a model stays small enough to send to every task.
-MAX_GRAMS = 60_000
+#: Size of the 4-grams of all groups up to which a model goes to the tasks; a larger one stays in tables.
+SEND_BYTES = 32_000_000
 WORD = re.compile(r"[^\W\d_]+")
 _START, _END = "\x02" * (ORDER - 1), "\x03"
 _MASKS = [np.uint64((1 << 16 * n) - 1) for n in range(ORDER + 1)]
@@ -75,32 +77,35 @@ def _rows(held: dict) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([g] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["grp", "gram", "n"])
 
 
-def gram_counts(texts: DataFrame, max_grams: int = MAX_GRAMS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """4-gram counts over all of ``texts`` (``grp, text``), the most frequent ``max_grams`` or fewer per group.
-
-    The least count kept is found from the number of grams by the logarithm of
-    their count, so nothing is sorted and only kept grams reach the driver.
-    """
+def _summed(texts: DataFrame) -> DataFrame:
+    """``grp, gram, n``: stored counts of all 4-grams of ``texts`` (``grp, text``)."""
     counts = texts.select("grp", "text").mapInArrow(_count, _COUNTS).groupBy("grp", "gram").agg(F.sum("n").alias("n"))
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("long")
-    counts = materialize(counts.withColumn("level", level), label="grams")
-    levels: dict[str, list] = {}
-    for g, at, n in counts.groupBy("grp", "level").agg(F.count("*").alias("n")).collect():
-        levels.setdefault(g, []).append((at, n))
-    least = {}
-    for g, found in levels.items():
-        total = 0
-        for at, n in sorted(found, reverse=True):
-            total += n
-            if total > max_grams:
-                break
-            least[g] = at
-    if not least:
-        return {}
-    keep = F.create_map(*[F.lit(x) for item in least.items() for x in item])
-    rows = counts.where(F.col("level") >= keep[F.col("grp")]).select("grp", "gram", "n").toArrow()
+    return materialize(counts, label="grams")
+
+
+def _collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    rows = counts.select("grp", "gram", "n").toArrow()
     grp, gram, n = (rows.column(c).to_numpy() for c in range(3))
-    return {g: (gram[grp == g].view(np.uint64), n[grp == g]) for g in sorted(least)}
+    return {g: (gram[grp == g].view(np.uint64), n[grp == g]) for g in sorted(set(grp))}
+
+
+def gram_counts(texts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Counts of all 4-grams of ``texts`` (``grp, text``) by group."""
+    return _collected(_summed(texts))
+
+
+def learn(texts: DataFrame) -> CharModel | StoredModel | None:
+    """A model of every group of ``texts`` (``grp, text``); none without a letter.
+
+    All 4-grams count, whatever their number; the size only decides where the model lies.
+    """
+    counts = _summed(texts)
+    sizes = dict(counts.groupBy("grp").count().collect())
+    if not sizes:
+        return None
+    if sum(sizes.values()) * (8 + 4 * len(sizes)) <= SEND_BYTES:
+        return kneser_ney(_collected(counts))
+    return kneser_ney_tables(counts, sorted(sizes))
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,3 +192,85 @@ def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> CharModel:
             store[n] = np.log(np.maximum(values[order], 1e-30)).astype(np.float32)
             (grams if store is logs else contexts)[n] = mix(names)[order]
     return CharModel(groups, grams, logs, contexts, weights, float(unseen))
+
+
+@dataclass
+class StoredModel:
+    """What a CharModel holds, per order in tables: ``gram, p`` and ``head, w``, arrays by group."""
+
+    groups: list[str]
+    grams: dict[int, DataFrame]
+    contexts: dict[int, DataFrame]
+    unseen: float
+
+    def logs(self, keys: DataFrame) -> DataFrame:
+        """``gram, logs`` for the distinct packed 4-grams ``gram`` of ``keys``."""
+        out, logs = keys.select("gram").distinct(), F.array_repeat(F.lit(self.unseen), len(self.groups))
+        none = F.array_repeat(F.lit(0.0), len(self.groups))
+        for n in range(ORDER, 0, -1):
+            out = out.withColumn("own", _low(F.col("gram"), n))
+            out = out.join(self.grams[n].select(F.col("gram").alias("own"), F.transform("p", _log).alias(f"p{n}")), "own", "left")
+            if n > 1:
+                out = out.withColumn("own", F.shiftrightunsigned("own", 16))
+                out = out.join(self.contexts[n].select(F.col("head").alias("own"), F.transform("w", _log).alias(f"w{n}")), "own", "left")
+            out = out.drop("own")
+        for n in range(1, ORDER + 1):
+            below = logs if n == 1 else F.zip_with(F.coalesce(f"w{n}", none), logs, lambda a, b: a + b)
+            logs = F.coalesce(f"p{n}", below)
+        return out.select("gram", logs.alias("logs"))
+
+    def word_scores(self, words: DataFrame) -> DataFrame:
+        """``word, logs, chars``: as of a CharModel, for the distinct words ``word``."""
+        grams = words.select("word").distinct().mapInArrow(_word_grams, "word string, gram long, n long")
+        total = F.array(*[F.sum(F.col("n") * F.col("logs")[j]) for j in range(len(self.groups))])
+        return grams.join(self.logs(grams), "gram").groupBy("word").agg(total.alias("logs"), F.sum("n").alias("chars"))
+
+
+def _log(x: Column) -> Column:
+    return F.log(F.greatest(x, F.lit(1e-30)))
+
+
+def _low(gram: Column, n: int) -> Column:
+    """The last ``n`` letters."""
+    return gram if n == ORDER else gram.bitwiseAND(F.lit((1 << 16 * n) - 1))
+
+
+def _word_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in pieces(batch.column(0).to_pylist()):
+            keys, sizes = gram_keys(words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(words, object), sizes), pa.string()), pa.array(keys.view(np.int64)), pa.array(np.ones(len(keys), np.int64))],
+                ["word", "gram", "n"])
+
+
+def kneser_ney_tables(counts: DataFrame, groups: list[str]) -> StoredModel:
+    """``kneser_ney`` in Spark, over the counts ``grp, gram, n`` of 4-grams."""
+    own = {ORDER: counts.select("grp", "gram", "n")}
+    for n in range(ORDER - 1, 0, -1):
+        first = F.shiftrightunsigned("gram", 16 * (n - 1)).bitwiseAND(F.lit(0xFFFF))
+        seen = F.sum(F.when(first == 2, F.col("n")).otherwise(1))
+        own[n] = materialize(own[n + 1].groupBy("grp", _low(F.col("gram"), n).alias("gram")).agg(seen.cast("long").alias("n")), label=f"grams-{n}")
+    unseen = -float(np.log(own[1].select("gram").distinct().count() + 1.0))
+    grams: dict[int, DataFrame] = {}
+    contexts: dict[int, DataFrame] = {}
+
+    def by_group(df: DataFrame, key: str, value: str, missing: float) -> DataFrame:
+        return df.groupBy(key).agg(F.array(*[F.coalesce(F.max(F.when(F.col("grp") == g, F.col(value))), F.lit(missing)) for g in groups]).alias(value))
+
+    for n in range(1, ORDER + 1):
+        found = {r["grp"]: r for r in own[n].groupBy("grp").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
+        amounts = {g: min(0.95, max(0.05, r["once"] / (r["once"] + 2 * r["twice"]))) if r["once"] + r["twice"] else 0.5 for g, r in found.items()}
+        discount = F.create_map(*[F.lit(x) for item in amounts.items() for x in item])[F.col("grp")]
+        rows = own[n].withColumn("head", F.shiftrightunsigned("gram", 16))
+        heads = materialize(rows.groupBy("grp", "head").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")), label=f"contexts-{n}")
+        contexts[n] = materialize(by_group(heads.withColumn("w", discount * F.col("kinds") / F.col("total")), "head", "w", 1.0), label=f"weights-{n}")
+        p = rows.join(heads, ["grp", "head"]).withColumn("p", F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total"))
+        p = by_group(p, "gram", "p", 0.0).withColumn("head", F.shiftrightunsigned("gram", 16)).join(contexts[n], "head")
+        if n == 1:
+            p = p.withColumn("below", F.array_repeat(F.lit(float(np.exp(unseen))), len(groups)))
+        else:
+            p = p.withColumn("low", _low(F.col("gram"), n - 1)).join(grams[n - 1].select(F.col("gram").alias("low"), F.col("p").alias("below")), "low")
+        full = F.zip_with("p", F.zip_with("w", "below", lambda a, b: a * b), lambda a, b: a + b)
+        grams[n] = materialize(p.select("gram", full.alias("p")), label=f"probabilities-{n}")
+    return StoredModel(groups, grams, contexts, unseen)

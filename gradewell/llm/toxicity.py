@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.charlm import WORD, CharModel, gram_counts, kneser_ney
+from gradewell.llm.charlm import WORD, CharModel, StoredModel, kneser_ney, learn
 from gradewell.llm.hashing import pieces
 from gradewell.llm.language_id import fold
 from gradewell.session import materialize
@@ -93,7 +93,9 @@ class Decoder:
         return best
 
     def words(self, token: str) -> list[str]:
-        """The words of one lower-case token without white space, restored."""
+        """The words of one lower-case token or row of spaced letters, restored."""
+        if " " in token:
+            return [self.decode(token.replace(" ", ""))]
         if not SUSPECT.search(token):
             return WORD.findall(token)
         core = token.rstrip(_EDGE)
@@ -101,33 +103,32 @@ class Decoder:
         return [self.decode(core)] if SUSPECT.search(core) else WORD.findall(core)
 
 
-def restored(texts: list[str | None], decoder: Decoder) -> tuple[list[str], list[np.ndarray], list[list[str]]]:
-    """Distinct tokens; per text the places of its plain ones, and the words of its spaced-out ones."""
+def units(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct tokens and rows of spaced letters of texts, and per text the places of its own."""
     index: dict[str, int] = {}
-    places, spaced = [], []
+    places = []
     for t in texts:
         tokens = (t or "").lower().split()
         own = np.array([index.setdefault(x, len(index)) for x in tokens], np.int64)
         single = np.array([len(x) == 1 and (x.isalpha() or x in LEET) for x in tokens], bool)
-        words: list[str] = []
+        rows: list[int] = []
         if single.sum() >= SPACED:
             edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False]))))
             for a, b in edges.reshape(-1, 2):
                 if b - a >= SPACED and any(x.isalpha() for x in tokens[a:b]):
-                    words.append(decoder.decode("".join(tokens[a:b])))
+                    rows.append(index.setdefault(" ".join(tokens[a:b]), len(index)))
                 else:
                     single[a:b] = False
             own = own[~single]
-        places.append(own)
-        spaced.append(words)
-    return list(index), places, spaced
+        places.append(np.concatenate((own, np.array(rows, np.int64))))
+    return list(index), places
 
 
 def restore(text: str, model: CharModel) -> str:
     """The words of a text as the decoder reads them."""
     decoder = Decoder(model)
-    tokens, places, spaced = restored([text], decoder)
-    return " ".join([w for p in places[0] for w in decoder.words(tokens[p])] + spaced[0])
+    found, places = units([text])
+    return " ".join([w for p in places[0] for w in decoder.words(found[p])])
 
 
 def features(word: str) -> list[int]:
@@ -137,38 +138,106 @@ def features(word: str) -> list[int]:
 
 @dataclass
 class ToxicityModel:
-    letters: CharModel
+    letters: CharModel | StoredModel
     weights: dict[int, float]
     bias: float
 
 
+def _sample(texts: list[list[tuple[list[str], int]]]) -> list[pa.Array]:
+    """Size, hashes of features and their counts, of texts given as words and how often they come."""
+    hashes, counts, sizes = [], [], []
+    for text in texts:
+        words: Counter = Counter()
+        for ws, n in text:
+            for w in ws:
+                words[w] += int(n)
+        found: Counter = Counter()
+        for w, n in words.items():
+            for h in features(w):
+                found[h] += n
+        hashes.append(np.fromiter(found, "<u4", len(found)).tobytes())
+        counts.append(np.fromiter(found.values(), "<u4", len(found)).tobytes())
+        sizes.append(sum(words.values()))
+    return [pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())]
+
+
+_SAMPLES = "toxic int, n long, hashes binary, counts binary"
+
+
 def _samples(letters: CharModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(letters)
         for batch in batches:
             toxic, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
             for part in pieces(texts):
-                tokens, places, spaced = restored(part, decoder)
-                hashes, counts, sizes = [], [], []
-                for own, extra in zip(places, spaced):
-                    words = Counter(extra)
-                    for p, n in zip(*np.unique(own, return_counts=True)):
-                        for w in decoder.words(tokens[p]):
-                            words[w] += int(n)
-                    found: Counter = Counter()
-                    for w, n in words.items():
-                        for h in features(w):
-                            found[h] += n
-                    hashes.append(np.fromiter(found, "<u4", len(found)).tobytes())
-                    counts.append(np.fromiter(found.values(), "<u4", len(found)).tobytes())
-                    sizes.append(sum(words.values()))
-                yield pa.RecordBatch.from_arrays(
-                    [toxic.slice(at, len(part)), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())],
-                    ["toxic", "n", "hashes", "counts"])
+                names, places = units(part)
+                found = [[(decoder.words(names[p]), n) for p, n in zip(*np.unique(own, return_counts=True))] for own in places]
+                yield pa.RecordBatch.from_arrays([toxic.slice(at, len(part)), *_sample(found)], ["toxic", "n", "hashes", "counts"])
                 at += len(part)
     return run
 
 
+def _stored_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [[(x["words"], x["n"]) for x in text or []] for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *_sample(found)], ["toxic", "n", "hashes", "counts"])
+
+
+def _row_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, texts, at = batch.column(0).to_numpy(), batch.column(1).to_pylist(), 0
+        for part in pieces(texts):
+            names, places = units(part)
+            own = [np.unique(p, return_counts=True) for p in places]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(rows[at: at + len(part)], [len(p) for p, _ in own])), pa.array([names[i] for p, _ in own for i in p], pa.string()),
+                pa.array([int(n) for _, c in own for n in c], pa.int64())], ["row", "unit", "n"])
+            at += len(part)
+
+
+class _Asked:
+    """Stands for a model: notes the 4-grams that a lattice asks for; they do not depend on the answers."""
+
+    def __init__(self):
+        self.keys: set[int] = set()
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        self.keys.update(keys.tolist())
+        return np.zeros((len(keys), 1), np.float32)
+
+
+class _Given(dict):
+    """Stands for a model: log-probabilities by 4-gram."""
+
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        return np.array([[self[k]] for k in keys.tolist()])
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for unit in batch.column(0).to_pylist():
+            asked = _Asked()
+            Decoder(asked).words(unit)
+            keys = np.fromiter(asked.keys, np.uint64, len(asked.keys)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([unit] * len(keys), pa.string()), pa.array(keys)], ["unit", "gram"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.column(0).to_pylist()
+        words = [Decoder(_Given({x["gram"] & 0xFFFFFFFFFFFFFFFF: x["log"] for x in known or []})).words(u) for u, known in zip(names, batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["unit", "words"])
+
+
+def stored_units(rows: DataFrame, letters: StoredModel) -> tuple[DataFrame, DataFrame]:
+    """``row, unit, n`` of the texts of ``rows`` (``row, text``), and ``unit, words`` by joins of the grams of all lattices."""
+    own = materialize(rows.select("row", "text").mapInArrow(_row_units, "row long, unit string, n long"), label="text-units")
+    names = materialize(own.select("unit").distinct(), label="distinct-units")
+    asked = materialize(names.mapInArrow(_asked, "unit string, gram long"), label="lattice-grams")
+    known = asked.join(letters.logs(asked), "gram").groupBy("unit").agg(F.collect_list(F.struct("gram", F.col("logs")[0].alias("log"))).alias("known"))
+    return own, materialize(names.join(known, "unit", "left").mapInArrow(_decoded, "unit string, words array<string>"), label="decoded-units")
+
+
 def _fit(toxic: np.ndarray, sizes: np.ndarray, hashes: list[bytes], counts: list[bytes]) -> tuple[dict[int, float], float]:
     """Weights of the FEATURES hashes that tell the classes apart best, by logistic regression with equal classes."""
     row = np.repeat(np.arange(len(toxic)), [len(h) // 4 for h in hashes])
@@ -204,15 +273,22 @@ def train(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
     smallest hashes of their id; the id is no feature.  Without both kinds of
     labels every score is one half.
     """
-    counts = gram_counts(docs.select(F.lit("").alias("grp"), F.col("text").cast("string").alias("text")).where("text is not null"))
-    letters = kneser_ney(counts or {"": (np.array([0x0002000200020003], np.uint64), np.array([1]))})
+    letters = learn(docs.select(F.lit("").alias("grp"), F.col("text").cast("string").alias("text")).where("text is not null"))
+    if letters is None:
+        letters = kneser_ney({"": (np.array([0x0002000200020003], np.uint64), np.array([1]))})
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     order = F.xxhash64("doc_id")
     sample = rows.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC_ROWS).unionByName(
         rows.where("toxic = 0").orderBy(order, "doc_id").limit(CLEAN_ROWS))
     sample = materialize(sample, label="labelled-sample")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("toxic", "text")
-    found = texts.mapInArrow(_samples(letters), "toxic int, n long, hashes binary, counts binary").toArrow()
+    if isinstance(letters, StoredModel):
+        texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), label="sample-texts")
+        own, words = stored_units(texts, letters)
+        own = own.join(words, "unit").groupBy("row").agg(F.collect_list(F.struct("words", "n")).alias("words"))
+        found = texts.select("row", "toxic").join(own, "row", "left").select("toxic", "words").mapInArrow(_stored_samples, _SAMPLES).toArrow()
+    else:
+        found = texts.mapInArrow(_samples(letters), _SAMPLES).toArrow()
     toxic = found.column(0).to_numpy().astype(float)
     if not 0 < toxic.sum() < len(toxic):
         return ToxicityModel(letters, {}, 0.0)
@@ -226,21 +302,37 @@ def _scores(model: ToxicityModel):
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
             for part in pieces(texts):
-                tokens, places, spaced = restored(part, decoder)
-                each = [decoder.words(t) for t in tokens]
+                names, places = units(part)
+                each = [decoder.words(u) for u in names]
                 size = np.array([len(ws) for ws in each], float)
                 weight = np.array([sum(get(h, 0.0) for w in ws for h in features(w)) for ws in each], float)
-                z = []
-                for own, extra in zip(places, spaced):
-                    n = size[own].sum() + len(extra)
-                    s = weight[own].sum() + sum(get(h, 0.0) for w in extra for h in features(w))
-                    z.append(s * 50.0 / max(n, 1.0))
+                z = [weight[own].sum() * 50.0 / max(size[own].sum(), 1.0) for own in places]
                 score = 1 / (1 + np.exp(-np.clip(np.array(z) + model.bias, -500, 500)))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(score)], ["doc_id", "score"])
                 at += len(part)
     return run
 
 
+def _unit_weights(weights: dict[int, float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            weight = [sum(weights.get(h, 0.0) for w in ws for h in features(w)) for ws in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(ws) for ws in words], pa.int64()), pa.array(weight, pa.float64())],
+                                             ["unit", "size", "weight"])
+    return run
+
+
+def _stored_scores(rows: DataFrame, model: ToxicityModel) -> DataFrame:
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), label="numbered-texts")
+    own, words = stored_units(rows, model.letters)
+    each = own.join(words.mapInArrow(_unit_weights(model.weights), "unit string, size long, weight double"), "unit")
+    total = F.sum(F.col("n") * F.col("weight")) * 50.0 / F.greatest(F.sum(F.col("n") * F.col("size")), F.lit(1))
+    z = F.coalesce("z", F.lit(0.0)) + F.lit(model.bias)
+    out = rows.select("row", "doc_id").join(each.groupBy("row").agg(total.alias("z")), "row", "left")
+    return out.select("doc_id", (1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))).alias("score"))
+
+
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs`` (``doc_id, text``).
 
@@ -249,7 +341,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     others.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_scores(model), "doc_id long, score double")
+    stored = isinstance(model.letters, StoredModel)
+    out = _stored_scores(rows, model) if stored else rows.mapInArrow(_scores(model), "doc_id long, score double")
     return out.select("doc_id", "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))
 
 

@@ -44,6 +44,41 @@ def test_counts_are_whole(spark):
     assert dict(zip(keys.tolist(), n.tolist())) == want
 
 
+def test_no_gram_is_left_out(spark):
+    """More 4-grams than any fixed count, most of them seen once."""
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i, " ".join(a + b + letters[i] + a for b in letters)) for i, a in enumerate(letters)]
+    texts = table(spark, rows, extra=False).select(F.lit("").alias("grp"), "text")
+    want = {k for _, t in rows for k in charlm.gram_keys(t.split(" "))[0].tolist()}
+    assert len(want) > 200_000
+    model = charlm.learn(texts)
+    assert len(model.grams[4]) == len(want) and set(charlm.gram_counts(texts)[""][0].tolist()) == want
+
+
+def test_a_stored_model_says_the_same(spark, monkeypatch):
+    rows = [(i, prose(i, 90 + i), "xyz"[i % 3]) for i in range(45)] + ODD
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    texts = rows + [(3000, "th3 1diot s.t.u p i d w0rd aaaand"), (3001, "12 34"), (3002, "qqq ξξξ")]
+
+    def results():
+        learned = language_id.train(table(spark, rows))
+        tongues = language_id.identify(table(spark, texts), learned).collect()
+        model = toxicity.train(table(spark, rows), labels)
+        return learned, sorted(tongues, key=str), sorted(toxicity.score(table(spark, texts), model).collect(), key=str)
+
+    sent, tongues, scores = results()
+    monkeypatch.setattr(charlm, "SEND_BYTES", 0)
+    stored, tongues_2, scores_2 = results()
+    assert isinstance(sent.model, charlm.CharModel) and isinstance(stored.model, charlm.StoredModel)
+    order = lambda r: (str(r.doc_id), r.lang_pred, round(r.score, 3))
+    for a, b in zip(sorted(tongues, key=order), sorted(tongues_2, key=order), strict=True):
+        assert (a.doc_id, a.lang_pred, a.rejected) == (b.doc_id, b.lang_pred, b.rejected)
+        assert (a.score, a.cross_entropy) == pytest.approx((b.score, b.cross_entropy), abs=1e-4, nan_ok=True)
+    order = lambda r: (str(r.doc_id), round(r.score, 4))
+    for a, b in zip(sorted(scores, key=order), sorted(scores_2, key=order), strict=True):
+        assert a.doc_id == b.doc_id and a.score == pytest.approx(b.score, abs=1e-4)
+
+
 def test_held_out_languages(spark):
     out = QUERIES["op8_language_id"](spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
