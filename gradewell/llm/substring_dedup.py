@@ -6,8 +6,14 @@ inside a longer line as well.  Units with the same words are one class.  Lines a
 sketched by 16 minima of their five-word shingles in eight bands of two: two
 lines with a Jaccard similarity of 0.8 share none once in three thousand times.
 Candidates are verified on their shingle sets, linked ones form a component, and
-of each component only the first unit in the order of ids and places stays.  What
-is cut from a text is stretches of repeated units of twenty words or more.
+of each component only the first unit in the order of ids and places stays.
+
+Where a common passage begins or ends inside a sentence, its words decide: every
+run of MIN_STRETCH words that an earlier place holds is found, whatever the lines.
+Anchors are the ANCHOR-word windows with the least hash among all those of some
+MIN_STRETCH words, so equal runs have equal anchors; only runs with an anchor that
+comes twice are compared.  All words of repeated runs go but the first ones.  What
+is cut from a text is stretches of repeated units and runs of twenty words or more.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ MIN_WORDS = 8
 SHINGLE = 5
 #: Fewest words cut out in one place.
 MIN_STRETCH = 20
+#: Words of an anchor.
+ANCHOR = 10
 BANDS, ROWS = 8, 2
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
@@ -135,10 +143,96 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(list(seen.values()), pa.list_(pa.int64()))], ["id", "n", "items"])
 
 
-def without_units(text: str, gone: list[int]) -> str:
-    """``text`` without some units.
+def _sliding(a: np.ndarray, size: int, pick: np.ufunc, fill: int) -> np.ndarray:
+    """``pick`` over the ``size`` values from each place on, with ``fill`` beyond the end."""
+    out, span = np.concatenate((a, np.full(size, fill, a.dtype))), 1
+    while 2 * span <= size:
+        out, span = pick(out, np.concatenate((out[span:], np.full(span, fill, a.dtype)))), 2 * span
+    if span < size:
+        out = pick(out, np.concatenate((out[size - span:], np.full(size - span, fill, a.dtype))))
+    return out[: len(a)]
 
-    Shorter sentences between two removed ones go as well, and a stretch with
+
+class Anchors:
+    """Of all words of some texts: anchor hashes, whether each is an anchor, and whether MIN_STRETCH words follow in its text."""
+
+    def __init__(self, texts: list[str | None]):
+        self.words = w = Words(texts)
+        n, reach = len(w.hashes), MIN_STRETCH - ANCHOR + 1
+        ends = np.repeat(w.firsts[1:], np.diff(w.firsts))
+        self.runs = np.arange(n) + MIN_STRETCH <= ends
+        self.hashes = np.full(n, _MAX)
+        whole = windows(w.hashes, ANCHOR)
+        self.hashes[: len(whole)] = whole
+        self.hashes[np.arange(n) + ANCHOR > ends] = _MAX
+        least = np.where(self.runs, _sliding(self.hashes, reach, np.minimum, _MAX), np.uint64(0))
+        # A window is an anchor if a run of words that holds it has no smaller one.
+        most = _sliding(least[::-1], reach, np.maximum, 0)[::-1]
+        self.chosen = (most == self.hashes) & (self.hashes != _MAX)
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, rows = (batch.column(c).to_numpy() for c in range(2))
+        texts, at = batch.column(2).to_pylist(), 0
+        for part in pieces(texts, WORKING_CHARS):
+            found = Anchors(part)
+            place = np.flatnonzero(found.chosen)
+            text = at + np.searchsorted(found.words.firsts, place, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(found.hashes[place].view(np.int64)), pa.array(ids[text]), pa.array(rows[text])], ["h", "doc_id", "row"])
+            at += len(part)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of MIN_STRETCH words that hold one of the wanted anchors of their text."""
+    for batch in batches:
+        ids, rows = (batch.column(c).to_numpy() for c in range(2))
+        texts, wanted, at = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
+        for part in pieces(texts, WORKING_CHARS):
+            found = Anchors(part)
+            firsts, n = found.words.firsts, len(found.runs)
+            hit = np.zeros(n, bool)
+            for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
+                hit[a:b] = found.chosen[a:b] & np.isin(found.hashes[a:b], np.array(wanted[at + i], np.int64).view(np.uint64))
+            place = np.flatnonzero(_sliding(hit, MIN_STRETCH - ANCHOR + 1, np.maximum, 0) & found.runs)
+            text = np.searchsorted(firsts, place, "right") - 1
+            h = windows(found.words.hashes, MIN_STRETCH)[place].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(ids[at + text]), pa.array(rows[at + text]), pa.array(place - firsts[text])], ["h", "doc_id", "row", "place"])
+            at += len(part)
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """Words to remove: ``doc_id, row`` (the hash of the text) and ``runs``, places of first words and ends.
+
+    Every run of MIN_STRETCH words but the first one with these words in the order
+    of ids, rows and places.  Where a run overlaps its own first one, the words of
+    that stay.  Of equal texts only one is compared; the others go as a whole.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    source = source.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    heads = materialize(source.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), label="texts")
+    one = source.join(heads.select("row", "doc_id"), ["row", "doc_id"]).select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
+    one = materialize(one, label="distinct-texts")
+    anchors = materialize(one.mapInArrow(_anchors, "h long, doc_id long, row long"), label="anchors")
+    shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    wanted = anchors.join(materialize(shared, label="shared-anchors"), "h").groupBy("doc_id", "row").agg(F.collect_set("h").alias("wanted"))
+    runs = one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(_runs, "h long, doc_id long, row long, place long")
+    runs = materialize(runs, label="runs")
+    first = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first")).where("n > 1").drop("n")
+    again = runs.join(materialize(first, label="first-runs"), "h").where(F.struct("doc_id", "row", "place") != F.col("first"))
+    own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.row") == F.col("row"))
+    start = F.when(own, F.greatest("place", F.col("first.place") + MIN_STRETCH)).otherwise(F.col("place"))
+    cut = again.groupBy("doc_id", "row").agg(F.collect_list(F.struct(start.alias("start"), (F.col("place") + MIN_STRETCH).alias("end"))).alias("runs"))
+    copies = source.select("doc_id", "row").distinct().join(heads.where("n > 1").select("row", F.col("doc_id").alias("head")), "row").where("doc_id <> head")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(2**62).alias("end")))
+    return cut.unionByName(copies.select("doc_id", "row", whole.alias("runs")))
+
+
+def without_units(text: str, gone: list[int], runs: list[dict] = ()) -> str:
+    """``text`` without some units and runs of words.
+
+    Shorter sentences between two removed units go as well, and a stretch with
     fewer than MIN_STRETCH words stays: a heading or phrase that many documents
     share is not a passage.  Lines left without words go with their break; all
     else stays as it is.
@@ -147,48 +241,54 @@ def without_units(text: str, gone: list[int]) -> str:
     if not len(u.lines):
         return text
     data = u.words.data.tobytes()
-    cut = np.zeros(len(u.sentences) + 1, bool)
+    cut = np.zeros(len(u.sentences), bool)
     line_of = np.searchsorted(u.line_first, np.arange(len(u.sentences)), "right") - 1
     for unit in gone:
         k = unit // 2
         cut[k: k + 1 if unit % 2 else k + u.line_sentences[line_of[k]]] = True
     # Shorter sentences between removed ones go as well; stretches that stay short after that are left alone.
-    places = np.flatnonzero(cut[:-1])
+    places = np.flatnonzero(cut)
     for p, q in zip(places[:-1], places[1:]):
         if (u.sizes[p + 1: q] < MIN_WORDS).all():
             cut[p: q] = True
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], cut))))
-    for p, q in edges.reshape(-1, 2):
-        if u.sizes[p: q].sum() < MIN_STRETCH:
-            cut[p: q] = False
+    away = np.repeat(cut, u.sizes)
+    for r in runs:
+        away[r["start"]: r["end"]] = True
+    for p, q in _stretches(away):
+        if q - p < MIN_STRETCH:
+            away[p: q] = False
     out, done = [], 0
-    last_words = np.append(u.sentences[1:], len(u.words.hashes)) - 1
-    for a, n in zip(u.line_first, u.line_sentences):
-        own = cut[a: a + n]
+    for a, n in zip(u.lines, u.line_sizes):
+        own = away[a: a + n]
         if not own.any():
             continue
-        starts = u.words.starts[u.sentences[a: a + n]]
+        starts = u.words.starts[a: a + n]
         line_start = data.rfind(b"\n", 0, starts[0]) + 1
-        line_end = data.index(b"\n", u.words.ends[last_words[a + n - 1]] - 1)
+        line_end = data.index(b"\n", u.words.ends[a + n - 1] - 1)
         out.append(data[done: line_start])
         done = line_end
         if own.all():
             done = min(line_end + 1, len(data) - 1)
             continue
-        stops = np.append(starts[1:], line_end)
-        kept = b"".join(data[s: e] for s, e, c in zip(starts, stops, own) if not c)
+        bounds = np.append(starts, line_end)
+        kept = b"".join(data[bounds[p]: bounds[q]] for p, q in _stretches(~own))
         out.append(kept.rstrip() if own[-1] else kept)
     out.append(data[done: len(data) - 1])
     return b"".join(out).decode("utf-8", "replace")
 
 
-def _rewrite(column: int, cut: int):
+def _stretches(flags: np.ndarray) -> np.ndarray:
+    """First places and ends of stretches that are set."""
+    return np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])))).reshape(-1, 2)
+
+
+def _rewrite(column: int, cut: int, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without_units(t, gone) if gone and t else t
-                     for t, gone in zip(batch.column(column).to_pylist(), batch.column(cut).to_pylist())]
-            columns = [pa.array(texts, pa.string()) if i == column else c for i, c in enumerate(batch.columns) if i != cut]
-            yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i != cut])
+            texts = [without_units(t, gone or [], words or []) if (gone or words) and t else t
+                     for t, gone, words in zip(*[batch.column(c).to_pylist() for c in (column, cut, runs)])]
+            columns = [pa.array(texts, pa.string()) if i == column else c for i, c in enumerate(batch.columns) if i not in (cut, runs)]
+            yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i not in (cut, runs)])
     return run
 
 
@@ -226,13 +326,20 @@ def repeated_units(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def drop_repeated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text``: same rows, same columns."""
-    cut, name = "_cut", "_id"
-    while {cut, name} & set(docs.columns):
-        cut, name = f"_{cut}", f"_{name}"
+    """``docs`` with repeated units and runs cut out of ``text``: same rows, same columns."""
+    cut, name, words, row = "_cut", "_id", "_words", "_row"
+    while {cut, name, words, row} & set(docs.columns):
+        cut, name, words, row = f"_{cut}", f"_{name}", f"_{words}", f"_{row}"
     gone = materialize(repeated_units(docs, percent), label="cuts")
-    joined = docs.join(gone.select(F.col("doc_id").alias(name), F.col("units").alias(cut)), F.col("doc_id") == F.col(name), "left").drop(name)
+    runs = materialize(repeated_runs(docs), label="word-cuts")
+    # Per document: its units, and the words by text, since rows may share an id.
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("row", "runs")).alias("runs"))
+    gone = gone.join(runs, "doc_id", "full").select(F.col("doc_id").alias(name), F.col("units").alias(cut), F.col("runs").alias(words))
+    joined = docs.join(gone, F.col("doc_id") == F.col(name), "left").drop(name)
+    joined = joined.withColumn(row, F.xxhash64(F.col("text").cast("string")))
+    own = F.flatten(F.transform(F.filter(words, lambda x: x["row"] == F.col(row)), lambda x: x["runs"]))
+    joined = joined.withColumn(words, own).drop(row)
     joined = joined.select(*[F.col(f"`{c}`") if c != "text" else F.col("text").cast("string").alias("text") for c in joined.columns])
     columns = joined.columns
-    schema = joined.drop(cut).schema
-    return joined.mapInArrow(_rewrite(columns.index("text"), columns.index(cut)), schema)
+    schema = joined.drop(cut, words).schema
+    return joined.mapInArrow(_rewrite(*[columns.index(c) for c in ("text", cut, words)]), schema)

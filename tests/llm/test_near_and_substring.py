@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from helpers import LONG, ODD, prose, table
+from helpers import LONG, ODD, prose, table, words
 from pyspark.sql import functions as F
 
 from gradewell.llm import common, near_dedup, packing, substring_dedup
@@ -112,6 +112,23 @@ def test_short_shared_lines_stay(spark):
     assert sorted(r.text for r in substring_dedup.drop_repeated(table(spark, rows)).collect()) == sorted(t for _, t in rows)
 
 
+def test_passages_that_begin_inside_sentences(spark):
+    """Every run of twenty words stays in one place only, wherever lines and sentences end."""
+    passage = " ".join(words(7, 65))
+    rows = [(1, f"{prose(11, 40)} But here {passage} and on. {prose(12, 40)}"), (2, f"{prose(21, 40)}\nSo {passage}, it said.\n{prose(22, 40)}"),
+            (3, f"{passage[: len(passage) // 2]}\n{passage[len(passage) // 2:]}"), (4, " ".join(words(8, 7) * 20)), (6, "first row of an id"), (6, f"a b c {' '.join(words(7, 65)[10:60])}")]
+    rows += [(10 + i, f"{prose(30 + i, 30)} x{i} {' '.join(words(9, 90)[3 * i: 3 * i + 20 + i])} y{i} {prose(60 + i, 30)}") for i in range(20)]
+    got = [(r.doc_id, r.text) for r in substring_dedup.drop_repeated(table(spark, rows)).orderBy("doc_id").collect()]
+    out = dict(got)
+    assert out[1] == rows[0][1] and out[2].startswith(f"{prose(21, 40)}\nSo ") and out[2].endswith(f"said.\n{prose(22, 40)}")
+    assert len(out[2].split()) < len(rows[1][1].split()) - 60 and len(out[3].split()) < 35 and len(out[4].split()) == 20
+    assert sorted(t for i, t in got if i == 6) == ["a b c", "first row of an id"]
+    runs = [tuple(w[k: k + 20]) for w in (t.lower().split() for _, t in got) for k in range(len(w) - 19)]
+    before = {tuple(w[k: k + 20]) for w in (t.lower().split() for _, t in rows) for k in range(len(w) - 19)}
+    assert len([r for r in runs if r in before]) == len({r for r in runs if r in before})
+    assert {w for _, t in rows for w in t.lower().split()} == {w for _, t in got for w in t.lower().split()}
+
+
 def test_lines_of_brute_force(spark):
     """Lines whose shingle sets are 0.8 alike, in chains: all but the first go."""
     lines = [prose(200 + i, 35, 40) for i in range(10)]
