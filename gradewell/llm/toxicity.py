@@ -1,12 +1,12 @@
 """Toxicity of restored text: a noisy channel decoded by Viterbi, then a linear model.
 
 A disguised token is a lattice: digits and signs stand for letters or for nothing,
-a letter said three times or more for one or two, a row of single letters for a
-word.  The decoder finds the path with the best sum of channel and character
+a letter said twice or more for one or two, separators for nothing or the end of a
+word, a row of single letters for one or more words.  The decoder finds the path with the best sum of channel and character
 language model (Kneser-Ney 4-grams over all documents).  A logistic model over
 words and their fronts then scores the restored text; it is fitted on a bounded
-sample of labelled documents.  A token without such signs has one path only and
-stays as it is.
+sample of labelled documents.  A token without a sign beside a letter, a letter
+said twice or a separator between letters is not decoded and stays as it is.
 """
 
 from __future__ import annotations
@@ -30,18 +30,23 @@ from gradewell.session import materialize
 # Letters that digits and signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
         "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-#: Log-costs of the channel: a sign for a letter, a sign dropped, a separator dropped, a letter repeated.
-SIGN, DROPPED, SEPARATOR, REPEATED = -1.5, -4.0, -0.5, -0.7
-#: A row of so many single letters is read as a word.
-SPACED = 4
+#: Log-costs of the channel: a sign for a letter, a sign dropped, a separator or closing sign dropped, a letter
+#: repeated three times or more, a letter doubled, a word ended at a separator.
+SIGN, DROPPED, SEPARATOR, REPEATED, DOUBLED, BREAK = -1.5, -4.0, -0.5, -0.7, -3.0, -0.5
+#: A row of so many single letters is read as words.
+SPACED = 3
 #: The sample that the classifier is fitted on, and its size.
 TOXIC_ROWS, CLEAN_ROWS, FEATURES = 2500, 5000, 3000
 LEAST_SCORE = 0.7
 
 _signs = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
-SUSPECT = re.compile(rf"{_LETTER}[{_signs}]+{_LETTER}|^[{_signs}]{{1,2}}{_LETTER}{{2}}|({_LETTER})\1\1|^{_LETTER}(?:[.\-_*]{_LETTER}){{2,}}")
+_BETWEEN = r"[.\-_*]"
+SUSPECT = re.compile(rf"{_LETTER}{_BETWEEN}*[{_signs}]|[{_signs}]{_BETWEEN}*{_LETTER}|({_LETTER})\1|{_LETTER}{_BETWEEN}+{_LETTER}")
 _EDGE = ".,;:!?'\"()[]{}#%&*|<>-_=~+$"
+#: Signs at the edge of a token that stand for no letter.
+_PLAIN_EDGE = "".join(c for c in _EDGE if c not in LEET)
+_NEW_WORD = 0x000200020002
 
 
 class Decoder:
@@ -58,49 +63,55 @@ class Decoder:
             self.known[key] = float(self.model.score(np.array([key], np.uint64))[0, 0])
         return self.known[key]
 
-    def decode(self, token: str) -> str:
-        if token in self.done:
-            return self.done[token]
+    def decode(self, token: str, breaks: bool = False) -> str:
+        """The letters of a token; with ``breaks`` its separators may end a word, and spaces part single letters."""
+        if (token, breaks) in self.done:
+            return self.done[token, breaks]
         # Per state (the last three letters): log-probability and text so far.
-        paths = {0x000200020002: (0.0, "")}
-        i = 0
+        paths = {_NEW_WORD: (0.0, "")}
+        i, closing = 0, len(token.rstrip(_EDGE))
         while i < len(token):
             c, j = token[i], i + 1
             while j < len(token) and token[j] == c:
                 j += 1
             if c.isalpha():
-                options = [(c * (j - i), 0.0)] if j - i < 3 else [(c, REPEATED), (c * 2, REPEATED)]
+                options = [(c, 0.0)] if j - i == 1 else [(c * 2, 0.0), (c, DOUBLED)] if j - i == 2 else [(c, REPEATED), (c * 2, REPEATED)]
             elif c in LEET:
-                options = [(x, SIGN) for x in LEET[c]] + [("", DROPPED)]
+                options = [(x * n, SIGN) for x in LEET[c] for n in range(1, min(j - i, 2) + 1)] + [("", SEPARATOR if i >= closing else DROPPED)]
             else:
-                options = [("", SEPARATOR)]
+                options = [("", 0.0 if c == " " else SEPARATOR)] + [(" ", BREAK)] * breaks
             i = j
             after: dict[int, tuple[float, str]] = {}
             for state, (p, text) in paths.items():
                 for letters, cost in options:
                     now, q = state, p + cost
-                    for x in letters:
-                        code = ord(x) if ord(x) < 65536 else (ord(x) ^ (ord(x) >> 16) * 0x9E37) & 0xFFFF
-                        q += self._log(now, code)
-                        now = (now << 16 | code) & 0xFFFFFFFFFFFF
+                    if letters == " ":
+                        if now == _NEW_WORD:
+                            continue
+                        now, q = _NEW_WORD, q + self._log(now, 3)
+                    else:
+                        for x in letters:
+                            code = ord(x) if ord(x) < 65536 else (ord(x) ^ (ord(x) >> 16) * 0x9E37) & 0xFFFF
+                            q += self._log(now, code)
+                            now = (now << 16 | code) & 0xFFFFFFFFFFFF
                     if now not in after or q > after[now][0]:
                         after[now] = q, text + letters
             paths = after
-        best = max(((p + self._log(s, 3), t) for s, (p, t) in paths.items()), default=(0.0, ""))[1]
+        # A path that has just ended a word needs no other end.
+        best = max(((p + (0.0 if t.endswith(" ") else self._log(s, 3)), t) for s, (p, t) in paths.items()), default=(0.0, ""))[1]
         if len(self.done) > 100_000:
             self.done.clear()
-        self.done[token] = best
+        self.done[token, breaks] = best
         return best
 
     def words(self, token: str) -> list[str]:
         """The words of one lower-case token or row of spaced letters, restored."""
         if " " in token:
-            return [self.decode(token.replace(" ", ""))]
+            return self.decode(token, True).split()
         if not SUSPECT.search(token):
             return WORD.findall(token)
-        core = token.rstrip(_EDGE)
-        core = core.lstrip(_EDGE) if len(core) < 2 or not core[1].isalpha() or core[0] not in LEET else core
-        return [self.decode(core)] if SUSPECT.search(core) else WORD.findall(core)
+        core = token.strip(_PLAIN_EDGE)
+        return self.decode(core, True).split() if SUSPECT.search(core) else WORD.findall(core)
 
 
 def units(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:

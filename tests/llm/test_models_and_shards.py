@@ -126,6 +126,18 @@ def test_the_decoder_finds_the_best_path(spark):
     assert decoder.words("plain,") == ["plain"] and decoder.words("###") == []
 
 
+def test_common_disguises_are_read(spark):
+    said = ["useless dumbass kill hate ass idiot stupid you are and letter well known taxi hello moron the of"] * 20
+    texts = table(spark, list(enumerate(said))).select(F.lit("").alias("grp"), "text")
+    model = charlm.learn(texts)
+    disguised = "usele55 dumba55 ki11 hat3 a$$ idio+ id10+ 5.t.u.p.i.d iiddiioott s-t-u-p-i-d kkiillll"
+    assert toxicity.restore(disguised, model) == "useless dumbass kill hate ass idiot idiot stupid idiot stupid kill"
+    assert sorted(toxicity.restore("now a s s end", model).split()) == ["ass", "end", "now"]
+    assert toxicity.restore("y o u i d i o t", model) == "you idiot"
+    plain = "letter hello, well-known kill! (useless)"
+    assert toxicity.restore(plain, model) == "letter hello well known kill useless"
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
