@@ -6,7 +6,8 @@ Training rows are the notices, whole and with words left out or put before them,
 and at most MAX_NEGATIVES paragraphs of the corpus, the ones with the smallest
 hashes that share no word triple with a notice.  Part of these rows is held back
 to set the probability below which the answer is "unknown".  A predicted family
-counts only if one of its notices is contained in the paragraph.
+counts only if one of its notices is contained in the paragraph, or in it and the
+words around it: a notice may be wrapped over lines.
 """
 
 from __future__ import annotations
@@ -158,7 +159,8 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     Returns ``doc_id, licence`` (``none``; ``unknown`` where paragraphs look like
     a licence but match no notice of the family; else the family of the most
     probable confirmed paragraph, ties by its place), ``probability`` (null for
-    none), ``n_paragraphs`` that look like a licence and ``n_confirmed``.  Null
+    none), ``n_paragraphs`` that look like a licence, ``n_confirmed``, and all
+    confirmed families in order, ``licences``.  Null
     and empty texts have none.  Rows without an id have none; rows that repeat
     an id share the findings of all of them.
     """
@@ -174,13 +176,27 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     likely = materialize(likely.where(F.col("probability") > model.least), label="licence-paragraphs")
     texts = notices(docs.sparkSession).groupBy("family").agg(F.collect_list(F.struct("run", "runs")).alias("texts"))
     shares = F.transform("texts", lambda t: F.size(F.array_intersect(t["runs"], F.element_at("own", t["run"]))) / F.size(t["runs"]))
-    checked = likely.withColumn("own", F.array(*[_runs(F.col("w"), F.lit(k)) for k in (1, 2, 3)])).join(texts, "family")
+    # No notice that holds a word of the line reaches further than its own length.
+    reach = max(len(t.split()) for own in NOTICES.values() for t in own) + 8
+    lines = docs.where("doc_id is not null").select("doc_id", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n").alias("lines"))
+    place, after = F.col("place").cast("int"), F.greatest(F.size("lines") - F.col("place").cast("int") - 1, F.lit(0))
+    before = words(F.array_join(F.slice("lines", F.lit(1), place), "\n"))
+    behind = words(F.array_join(F.slice("lines", place + 2, after), "\n"))
+    near = likely.join(lines, "doc_id").where(F.size("lines") > place)
+    # Rows that repeat an id: the line is that of the row whose words it has.
+    near = near.where(words(F.element_at("lines", place + 1)) == F.col("w")).withColumns({"before": before, "behind": behind})
+    start = F.greatest(F.size("before") - reach, F.lit(0)) + 1
+    near = near.withColumn("w", F.concat(F.slice("before", start, F.lit(reach)), "w", F.slice("behind", F.lit(1), F.lit(reach))))
+    near = near.select("doc_id", "place", "w", "probability", "family").dropDuplicates(["doc_id", "place", "w"])
+    checked = near.withColumn("own", F.array(*[_runs(F.col("w"), F.lit(k)) for k in (1, 2, 3)])).join(texts, "family")
     checked = checked.withColumn("confirmed", F.array_max(shares) >= TEMPLATE_SHARE)
     first = F.min(F.when(F.col("confirmed"), F.struct((-F.col("probability")).alias("p"), "place", "family")))
     found = checked.groupBy("doc_id").agg(first.alias("first"), F.count("*").alias("n"), F.count_if("confirmed").alias("n_confirmed"),
-                                          F.max("probability").alias("probability"))
+                                          F.max("probability").alias("probability"),
+                                          F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("licences"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, "doc_id", "left")
     return out.select(
         "doc_id", F.coalesce("first.family", F.when(F.col("n") > 0, "unknown"), F.lit("none")).alias("licence"),
         F.coalesce(-F.col("first.p"), F.col("probability")).alias("probability"),
-        F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"))
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"),
+        F.coalesce("licences", F.array().cast("array<string>")).alias("licences"))

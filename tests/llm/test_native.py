@@ -142,6 +142,15 @@ def test_the_word_filter_loses_nothing(spark, licences):
     assert len(found) > 20 and found == {r.doc_id for r in got}
 
 
+def test_wrapped_and_several_licences(spark, licences):
+    mit = " * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License"
+    rows = [(1, f"First line\n{mit}\nEnd"), (2, f"{prose(3, 30)}\n\n{gpl}"), (3, f"{mit}\n\n{gpl}"), (4, prose(5, 60))]
+    got = {r.doc_id: r for r in license_scan.scan_licences(table(spark, rows), licences).collect()}
+    assert {i: r.licences for i, r in got.items()} == {1: ["mit"], 2: ["gpl"], 3: ["gpl", "mit"], 4: []}
+    assert [got[i].licence for i in (1, 2, 4)] == ["mit", "gpl", "none"]
+
+
 def test_odd_rows_have_no_licence(spark, licences):
     rows = ODD + [(1, "Licensed under the MIT license."), (2, "text\nAll rights reserved.\n" + LONG), (2, "again"), (None, "All rights reserved.")]
     got = license_scan.scan_licences(table(spark, rows), licences).collect()
