@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradewell.llm import chat_trees, decontamination, language_id, license_scan, near_dedup, packing, quality, sharding, substring_dedup, toxicity
+from gradewell.llm import (
+    chat_trees,
+    decontamination,
+    language_id,
+    license_scan,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+    toxicity,
+    vector_codes,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,6 +200,42 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def codes_sql() -> str:
+    """Two rounds of assignments and floored means, then the codes, as one statement for each step."""
+    nearest = """near{0} AS (
+  SELECT vec_id, r, label, p, v, min(struct_pack(d := d, i := i)) AS best FROM (
+    SELECT x.*, i, list_sum(list_transform(list_zip(x.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM cut x JOIN book{0} b USING (p))
+  GROUP BY vec_id, r, label, p, v)"""
+    means = """places{0} AS (SELECT p, best.i AS i, unnest(v) AS c, generate_subscripts(v, 1) AS k FROM near{0}),
+floors{0} AS (SELECT p, i, k, sum(c) AS s, count(*) AS n FROM places{0} GROUP BY p, i, k),
+means{0} AS (SELECT p, i, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY k) AS v FROM floors{0} GROUP BY p, i),
+book{1} AS (SELECT p, i, coalesce(m.v, b.v) AS v FROM book{0} b LEFT JOIN means{0} m USING (p, i))"""
+    return """
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), cut AS (SELECT vec_id, r, label, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS v FROM kept, (SELECT unnest(range(16)) AS p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM (SELECT DISTINCT vec_id FROM kept WHERE vec_id IS NOT NULL) ORDER BY vec_id LIMIT 64),
+book0 AS (SELECT p, i, v FROM cut JOIN firsts USING (vec_id)),
+""" + ",\n".join([nearest.format(0), means.format(0, 1), nearest.format(1), means.format(1, 2), nearest.format(2)]) + """,
+codes AS (SELECT vec_id, r, label, string_agg(format('{:02x}', best.i), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near2 GROUP BY vec_id, r, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, i)) FROM book2) AS codebooks_sha256
+FROM codes"""
+
+
+@query(codes_sql())
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as sixteen codes, with its exact error and that of its label."""
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of the corpus pipeline, one after the other, over all documents."""
