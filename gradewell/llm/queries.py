@@ -13,6 +13,7 @@ from gradewell.llm import (
     decontamination,
     language_id,
     license_scan,
+    lm_scoring,
     near_dedup,
     packing,
     quality,
@@ -230,6 +231,12 @@ def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How probable every document is, learned from those outside one fold of ten."""
+    return lm_scoring.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four leading whitened components of every vector."""
