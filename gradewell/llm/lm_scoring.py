@@ -7,8 +7,9 @@ of that round's documents, from the same weights, and the weights of all tasks a
 averaged by tokens, in levels.  After the last round every training document has
 been learned from once.
 
-Only the FREQUENT words go to the tasks as a table; counts of all others are
-joined, a row for each such word and document, so no count is ever cut off.
+Texts are turned into symbols once and stored for all rounds and the scores.  Only
+the FREQUENT words go to the tasks as a table; counts of all others are joined, a
+row for each such word and document, so no count is ever cut off.
 """
 
 from __future__ import annotations
@@ -148,17 +149,68 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return counts, Vocabulary(words, own, seen["tokens"] or 0, seen["distinct"] or 0, form_tokens, form_distinct)
 
 
-def _learn(vocabulary: Vocabulary, state: np.ndarray):
+_ENCODED = "doc_id long, symbols binary, n_tokens long, n_known long, base double, inner double, rare array<struct<word: binary, n: long>>"
+
+
+def _rare(found: list[list[bytes]]) -> pa.Array:
+    """Each text's rare words with their numbers in it."""
+    counts = [Counter(words) for words in found]
+    words = pa.array([w for c in counts for w in c], pa.binary())
+    n = pa.array([k for c in counts for k in c.values()], pa.int64())
+    ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, n], ["word", "n"]))
+
+
+def _unpacked(symbols: bytes) -> np.ndarray:
+    return np.frombuffer(symbols, "<u2").astype(np.int32)
+
+
+def _encode(vocabulary: Vocabulary):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = vocabulary.opened()
+
+        def encoded() -> pa.RecordBatch:
+            ids, symbols, n, known, base, inner, rare = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(symbols, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                 pa.array(base, pa.float64()), pa.array(inner, pa.float64()), _rare(rare)],
+                ["doc_id", "symbols", "n_tokens", "n_known", "base", "inner", "rare"])
+
+        held, size = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                numbers, rare = tables.numbers(text.as_py())
+                symbols, common = tables.symbols_of(numbers, rare), numbers[numbers >= 0] if rare else numbers
+                inner = tables.inner[common].sum()
+                if rare:
+                    inner -= tables.form_logs[symbols[numbers < 0] - recurrent.WORDS].sum()
+                known = int((tables.counts[common] > 0).sum())
+                held.append((doc_id, symbols.astype("<u2").tobytes(), len(numbers), known, float(tables.seen[common].sum()), float(inner), rare))
+                size += len(numbers)
+                if size >= _TOKENS:
+                    yield encoded()
+                    held, size = [], 0
+        if held:
+            yield encoded()
+    return run
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Stored symbols of every text, what the tables say of its words, its rare words, and a number of the row."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bytes())
+    return materialize(texts.mapInArrow(_encode(vocabulary), _ENCODED).withColumn("row", F.monotonically_increasing_id()), label="encoded-texts")
+
+
+def _learn(state: np.ndarray):
     """One pass over a task's texts; its weights, their past gradients and its tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = vocabulary.opened()
         trainer = recurrent.Trainer(*[recurrent.shaped(half) for half in np.split(state, 2)])
         held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                symbols = tables.symbols_of(*tables.numbers(text.as_py()))
+                symbols = _unpacked(text.as_py())
                 held += [symbols[a: a + _STRETCH] for a in range(0, len(symbols), _STRETCH)]
                 size += len(symbols)
                 if size >= _TOKENS:
@@ -179,97 +231,85 @@ def _average(payloads: list[bytes]) -> bytes:
     return pickle.dumps((tokens, sum(v * np.float32(n / tokens) for n, v in found)))
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of the texts of ``docs``; a null text is empty, other columns are not read.
-
-    Every text is counted and learned from once.  No rows: a model in which all is unseen.
-    """
-    counts, vocabulary = count_words(docs)
+def learn(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Weights of the recurrent part, from every row of an encoded table once."""
     symbols = np.zeros(recurrent.SYMBOLS, np.int64)
     own = vocabulary.counts[: recurrent.WORDS]
     symbols[: len(own)] = own
     symbols[recurrent.WORDS:] = vocabulary.form_tokens
     state = recurrent.flat(recurrent.initial(symbols))
     state = np.concatenate((state, np.ones_like(state)))
-    turn = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        texts = docs.where(F.coalesce(turn, F.lit(0)) == k).select(_bytes())
-        found = combined(texts.mapInArrow(_learn(vocabulary, state), "part long, payload binary"), _average)
+        texts = encoded.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("symbols")
+        found = combined(texts.mapInArrow(_learn(state), "part long, payload binary"), _average)
         if found is not None:
             state = pickle.loads(found)[1]
-    return Model(vocabulary, np.split(state, 2)[0], counts)
-
+    return np.split(state, 2)[0]
 
-_SCORED = "doc_id long, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, n: long>>"
 
+def train(docs: DataFrame) -> Model:
+    """A model of the texts of ``docs``; a null text is empty, other columns are not read.
 
-def _rare(found: list[list[bytes]]) -> pa.Array:
-    """Each text's rare words with their numbers in it."""
-    counts = [Counter(words) for words in found]
-    words = pa.array([w for c in counts for w in c], pa.binary())
-    n = pa.array([k for c in counts for k in c.values()], pa.int64())
-    ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, n], ["word", "n"]))
+    Every text is counted and learned from once.  No rows: a model in which all is unseen.
+    """
+    counts, vocabulary = count_words(docs)
+    return Model(vocabulary, learn(encode(docs.select(F.lit(None).alias("doc_id"), "text"), vocabulary), vocabulary), counts)
 
 
-def _score(vocabulary: Vocabulary, weights: np.ndarray):
-    """All but what counts of rare words add, for texts laid in lanes together."""
+def _likelihoods(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, w = vocabulary.opened(), recurrent.shaped(weights)
+        w = recurrent.shaped(weights)
 
-        def scored(held: list[tuple]) -> pa.RecordBatch:
-            ids, symbols, n, known, base, inner, rare = zip(*held)
-            model = recurrent.likelihoods(w, list(symbols)) + np.array(inner)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model), _rare(rare)],
-                ["doc_id", "n_tokens", "n_known", "base", "model", "rare"])
+        def scored() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(recurrent.likelihoods(w, texts))], ["row", "model"])
 
-        held, size = [], 0
+        rows, texts, size = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                numbers, rare = tables.numbers(text.as_py())
-                symbols, common = tables.symbols_of(numbers, rare), numbers[numbers >= 0] if rare else numbers
-                inner = tables.inner[common].sum()
-                if rare:
-                    inner -= tables.form_logs[symbols[numbers < 0] - recurrent.WORDS].sum()
-                known = int((tables.counts[common] > 0).sum())
-                held.append((doc_id, symbols, len(numbers), known, float(tables.seen[common].sum()), float(inner), rare))
-                size += len(numbers)
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows.append(row)
+                texts.append(_unpacked(text.as_py()))
+                size += len(texts[-1])
                 if size >= _TOKENS:
-                    yield scored(held)
-                    held, size = [], 0
-        if held:
-            yield scored(held)
+                    yield scored()
+                    rows, texts, size = [], [], 0
+        if rows:
+            yield scored()
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
-
-    Tokens are the words and one end; ``n_known`` of them occur in the training
-    texts, which have ``train_tokens``.  ``base_score`` sums up log10 of the words'
-    smoothed shares, ``score`` is log10 of the probability the model gives the whole
-    text.  A null text is empty and has its end only.  Rows without an id and rows
-    that repeat one are scored like all others; other columns are not read.
-    """
+def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
+    """Scores of an encoded table, as ``score``."""
     vocabulary = model.vocabulary
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bytes())
-    scored = texts.mapInArrow(_score(vocabulary, model.weights), _SCORED).withColumn("row", F.monotonically_increasing_id())
-    scored = materialize(scored, label="scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     rare = rare.join(model.counts, "word").groupBy("row").agg(
         F.sum("times").alias("counted"), F.sum(F.col("times") * F.log10(F.col("n") + ADD)).alias("logs"))
-    out = scored.join(rare, "row", "left")
+    model_part = encoded.select("row", "symbols").mapInArrow(_likelihoods(model.weights), "row long, model double")
+    out = encoded.drop("symbols").join(model_part, "row").join(rare, "row", "left")
     counted = F.coalesce("counted", F.lit(0).cast("long"))
     n_rare = F.aggregate("rare", F.lit(0).cast("long"), lambda s, r: s + r["n"])
     logs = F.coalesce("logs", F.lit(0.0)) + (n_rare - counted) * float(np.log10(ADD))
     total = float(np.log10(vocabulary.tokens + ADD * (vocabulary.distinct + 1)))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + counted).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * total).alias("base_score"), (F.col("model") + logs).alias("score"))
+        (F.col("base") + logs - F.col("n_tokens") * total).alias("base_score"), (F.col("inner") + F.col("model") + logs).alias("score"))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs``.
+
+    Tokens are the words and one end; ``n_known`` of them occur in the training
+    texts, which have ``train_tokens``.  ``base_score`` sums up log10 of the words'
+    smoothed shares, ``score`` is log10 of the probability the model gives the whole
+    text.  A null text is empty and has its end only.  Rows without an id and rows
+    that repeat one are scored like all others; other columns are not read.
+    """
+    return score_encoded(encode(docs, model.vocabulary), model)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:
     """Scores of all documents, learned from those outside fold 0 of 10."""
-    model = train(docs.where(fold("doc_id", 10) != 0))
-    return score(docs, model).withColumn("held_out", fold("doc_id", 10) == 0)
+    held_out = fold("doc_id", 10) == 0
+    counts, vocabulary = count_words(docs.where(~held_out))
+    encoded = encode(docs, vocabulary)
+    model = Model(vocabulary, learn(encoded.where(~held_out), vocabulary), counts)
+    return score_encoded(encoded, model).withColumn("held_out", held_out)

@@ -18,15 +18,16 @@ import heapq
 import numpy as np
 
 #: Frequent words with the end, in classes of equal size by frequency, and forms, a class each.
-WORDS, PER_CLASS, FORMS = 2048, 64, 32
+WORDS, PER_CLASS, FORMS = 1024, 64, 32
 WORD_CLASSES = WORDS // PER_CLASS
 CLASSES = WORD_CLASSES + FORMS
 SYMBOLS = WORDS + FORMS
 HIDDEN = 16
 #: Steps between which gradients flow, steps scored at once, and most lanes.
-WINDOW, BLOCK, LANES = 16, 32, 256
+WINDOW, BLOCK, LANES = 16, 32, 512
 RATE = 0.08
 
+# "read" has the parts of the new state, the reset and the update gate, "state" those of reset, update and new state.
 _SHAPES = {
     "read": (SYMBOLS, 3 * HIDDEN),
     "state": (HIDDEN, 3 * HIDDEN),
@@ -110,25 +111,53 @@ class Lanes:
 
 def _gates(x: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Reset and update gates side by side, and the new state they are to mix in."""
-    s = np.tanh((x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]) * np.float32(0.5))
-    s *= np.float32(0.5)
-    s += np.float32(0.5)
-    return s, np.tanh(x[:, 2 * HIDDEN:] + s[:, :HIDDEN] * g[:, 2 * HIDDEN:])
+    s = _sigmoid(x[:, HIDDEN:] + g[:, : 2 * HIDDEN])
+    n = s[:, :HIDDEN] * g[:, 2 * HIDDEN:]
+    n += x[:, :HIDDEN]
+    n *= 2
+    n = _sigmoid(n)
+    n *= 2
+    n -= 1
+    return s, n
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; exponentials of numbers below -80 would overflow."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _bounded(logits: np.ndarray) -> np.ndarray:
+    """In place, shifted by rows where exponentials might not fit."""
+    if logits.size and (logits.max() > 60 or logits.min() < -60):
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Softmax of rows, in place."""
+    np.exp(_bounded(logits), out=logits)
+    logits /= logits @ np.ones((logits.shape[1], 1), np.float32)
     return logits
 
 
+def _log_share(logits: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Logarithm of one number of each row of the softmax."""
+    own = _bounded(logits)[np.arange(len(logits)), goal]
+    np.exp(logits, out=logits)
+    return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
+
+
 def classes(symbols: np.ndarray) -> np.ndarray:
     return np.where(symbols < WORDS, symbols // PER_CLASS, symbols - WORDS + WORD_CLASSES)
 
 
 def _by_class(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """Places of each class of frequent words."""
-    order = np.argsort(c, kind="stable")
+    order = np.argsort(c.astype(np.int16), kind="stable")
     ends = np.searchsorted(c[order], np.arange(WORD_CLASSES + 1))
     return [(k, order[ends[k]: ends[k + 1]]) for k in range(WORD_CLASSES) if ends[k] < ends[k + 1]]
 
@@ -136,10 +165,16 @@ def _by_class(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def log_probabilities(w: Weights, h: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """Natural logarithms of the symbols' probabilities in states ``h``."""
     c = classes(goal)
-    out = _log_softmax(h @ w["class"] + w["class_bias"])[np.arange(len(h)), c]
+    out = _log_share(_logits(h, w["class"], w["class_bias"]), c)
+    place = goal % PER_CLASS
     for k, at in _by_class(c):
-        inner = _log_softmax(h[at] @ w["word"][k] + w["word_bias"][k])
-        out[at] += inner[np.arange(len(at)), goal[at] % PER_CLASS]
+        out[at] += _log_share(_logits(h.take(at, axis=0), w["word"][k], w["word_bias"][k]), place.take(at))
+    return out
+
+
+def _logits(h: np.ndarray, w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    out = h @ w
+    out += bias
     return out
 
 
@@ -150,7 +185,7 @@ def likelihoods(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
     for a, b, n in lanes.windows(BLOCK):
         h = h[:n]
         states = np.empty((b - a, n, HIDDEN), np.float32)
-        x = w["read"][lanes.read[a:b, :n]]
+        x = w["read"].take(lanes.read[a:b, :n], axis=0)
         for t in range(b - a):
             new = lanes.first[a + t, :n]
             if new.any():
@@ -159,8 +194,8 @@ def likelihoods(w: Weights, texts: list[np.ndarray]) -> np.ndarray:
             h = fresh + s[:, HIDDEN:] * (h - fresh)
             states[t] = h
         counts = (np.arange(a, b)[:, None] < lanes.lengths[None, :n]).reshape(-1)
-        logs = log_probabilities(w, states.reshape(-1, HIDDEN)[counts], lanes.goal[a:b, :n].reshape(-1)[counts])
-        total += np.bincount(lanes.text[a:b, :n].reshape(-1)[counts], weights=logs, minlength=len(texts))
+        logs = log_probabilities(w, states.reshape(-1, HIDDEN), lanes.goal[a:b, :n].reshape(-1))
+        total += np.bincount(lanes.text[a:b, :n].reshape(-1), weights=np.where(counts, logs, 0), minlength=len(texts))
     return total / np.log(10)
 
 
@@ -187,7 +222,7 @@ class Trainer:
         w, n, steps = self.w, len(h), b - a
         read, goal = lanes.read[a:b, :n], lanes.goal[a:b, :n].reshape(-1)
         counts = (np.arange(a, b)[:, None] < lanes.lengths[None, :n]).reshape(-1)
-        x = w["read"][read]
+        x = w["read"].take(read, axis=0)
         before, states, fresh = (np.empty((steps, n, HIDDEN), np.float32) for _ in range(3))
         gates, inner = np.empty((steps, n, 2 * HIDDEN), np.float32), np.empty((steps, n, HIDDEN), np.float32)
         first = lanes.first[a:b, :n]
@@ -200,49 +235,53 @@ class Trainer:
             h = fresh[t] + gates[t][:, HIDDEN:] * (h - fresh[t])
             states[t] = h
         flow = self._outputs(states.reshape(-1, HIDDEN), goal, counts).reshape(steps, n, HIDDEN)
-        dx = np.empty((steps, n, 3 * HIDDEN), np.float32)
-        dg = np.empty_like(dx)
-        back = np.zeros((n, HIDDEN), np.float32)
-        turned = np.ascontiguousarray(w["state"].T)
         r, z = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
         slope = gates * (1 - gates)
-        fresh_slope, apart = 1 - fresh * fresh, before - fresh
+        to_new = (1 - z) * (1 - fresh * fresh)
+        to_reset, to_update = inner * slope[:, :, :HIDDEN], (before - fresh) * slope[:, :, HIDDEN:]
+        # Gradients of new state, reset and update for "read", and from the second on, with the last, for "state".
+        grads = np.empty((steps, n, 4 * HIDDEN), np.float32)
+        new, reset, update, last = (grads[:, :, k * HIDDEN: (k + 1) * HIDDEN] for k in range(4))
+        turned = np.ascontiguousarray(w["state"].T)
+        back = np.zeros((n, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
-            dh = flow[t] + back
-            dn = dh * (1 - z[t]) * fresh_slope[t]
-            dx[t, :, :HIDDEN] = dn * inner[t]
-            dx[t, :, HIDDEN: 2 * HIDDEN] = dh * apart[t]
-            dx[t, :, : 2 * HIDDEN] *= slope[t]
-            dx[t, :, 2 * HIDDEN:] = dn
-            dg[t, :, : 2 * HIDDEN] = dx[t, :, : 2 * HIDDEN]
-            dg[t, :, 2 * HIDDEN:] = dn * r[t]
-            back = dh * z[t] + dg[t] @ turned
+            dh = flow[t]
+            dh += back
+            np.multiply(dh, to_new[t], out=new[t])
+            np.multiply(new[t], to_reset[t], out=reset[t])
+            np.multiply(dh, to_update[t], out=update[t])
+            np.multiply(new[t], r[t], out=last[t])
+            back = grads[t, :, HIDDEN:] @ turned
+            dh *= z[t]
+            back += dh
             if first[t].any():
                 back[first[t]] = 0
-        self._move("state", before.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN))
+        flat_grads = grads.reshape(-1, 4 * HIDDEN)
+        self._move("state", before.reshape(-1, HIDDEN).T @ flat_grads[:, HIDDEN:])
         symbols = read.reshape(-1)
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols.astype(np.int16), kind="stable")
         own = symbols[order]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        self._move("read", np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], starts, axis=0), own[starts])
+        self._move("read", np.add.reduceat(flat_grads[:, : 3 * HIDDEN].take(order, axis=0), starts, axis=0), own[starts])
         return h
 
     def _outputs(self, h: np.ndarray, goal: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Moves the output weights; returns the gradients of the states."""
         w, c = self.w, classes(goal)
-        p = np.exp(_log_softmax(h @ w["class"] + w["class_bias"]))
+        p = _shares(_logits(h, w["class"], w["class_bias"]))
         p[np.arange(len(h)), c] -= 1
         if not counts.all():
             p[~counts] = 0
             c = np.where(counts, c, CLASSES)
         flow = p @ w["class"].T
         self._move("class", h.T @ p)
-        self._move("class_bias", p.sum(axis=0))
+        self._move("class_bias", np.ones(len(p), np.float32) @ p)
+        place = goal % PER_CLASS
         for k, at in _by_class(c):
-            own = h[at]
-            q = np.exp(_log_softmax(own @ w["word"][k] + w["word_bias"][k]))
-            q[np.arange(len(at)), goal[at] % PER_CLASS] -= 1
+            own = h.take(at, axis=0)
+            q = _shares(_logits(own, w["word"][k], w["word_bias"][k]))
+            q[np.arange(len(at)), place.take(at)] -= 1
             flow[at] += q @ w["word"][k].T
             self._move("word", own.T @ q, k)
-            self._move("word_bias", q.sum(axis=0), k)
+            self._move("word_bias", np.ones(len(at), np.float32) @ q, k)
         return flow

@@ -27,8 +27,8 @@ def one_by_one(w: recurrent.Weights, text: np.ndarray) -> float:
     h, last, out, size = np.zeros(recurrent.HIDDEN), 0, 0.0, recurrent.HIDDEN
     for goal in text:
         x, g = w["read"][last], h @ w["state"]
-        r, z = (1 / (1 + np.exp(-(x + g)[k * size: (k + 1) * size])) for k in (0, 1))
-        n = np.tanh(x[2 * size:] + r * g[2 * size:])
+        r, z = (1 / (1 + np.exp(-(x[size:] + g[: 2 * size])[k * size: (k + 1) * size])) for k in (0, 1))
+        n = np.tanh(x[:size] + r * g[2 * size:])
         h = (1 - z) * n + z * h
         logits = h @ w["class"] + w["class_bias"]
         c = goal // recurrent.PER_CLASS if goal < recurrent.WORDS else goal - recurrent.WORDS + recurrent.WORD_CLASSES
