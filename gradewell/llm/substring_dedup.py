@@ -2,9 +2,11 @@
 
 Paragraphs are lines of eight words or more; where a line has several sentences,
 those of eight words or more are units of their own, so that a passage is found
-inside a longer line as well.  Units with the same words are one class.  Lines are
-sketched by 16 minima of their five-word shingles in eight bands of two: two
-lines with a Jaccard similarity of 0.8 share none once in three thousand times.
+inside a longer line as well.  Units with the same words are one class.  Bands are
+tuned by size: up to SMALL_SET five-word shingles the smallest hashes of one
+permutation are the keys, as many as any 0.8-alike unit shares one of (recall 1);
+larger units are sketched by 16 minima in eight bands of two, of which two units
+with a Jaccard similarity of 0.8 share none once in three thousand times.
 Candidates are verified on their shingle sets, linked ones form a component, and
 of each component only the first unit in the order of ids and places stays.
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
 from gradewell.llm.hashing import WORKING_CHARS, Words, mix, pieces, run_hashes, windows
-from gradewell.session import materialize
+from gradewell.session import discard, materialize
 
 MIN_WORDS = 8
 SHINGLE = 5
@@ -36,6 +38,8 @@ MIN_STRETCH = 20
 #: Words of an anchor.
 ANCHOR = 10
 BANDS, ROWS = 8, 2
+#: Most distinct shingles of a unit that is found by its smallest hashes.
+SMALL_SET = 35
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False)
@@ -79,64 +83,87 @@ class Units:
         several = np.repeat(self.line_sentences > 1, self.line_sentences)
         return np.flatnonzero((self.sizes >= MIN_WORDS) & several)
 
-    def band_keys(self) -> np.ndarray:
-        """Keys of all lines, one row each."""
-        w = windows(self.words.hashes, SHINGLE)
-        inside = np.ones(len(self.words.hashes), bool)
-        ends = self.lines + self.line_sizes
-        for k in range(1, SHINGLE):
-            inside[np.maximum(ends - k, self.lines)] = False
-        w = np.concatenate((w, np.zeros(len(self.words.hashes) - len(w), np.uint64)))
-        low = np.empty((len(self.lines), BANDS * ROWS), np.uint64)
-        for j in range(BANDS * ROWS):
-            low[:, j] = np.minimum.reduceat(np.where(inside, w * _MULTIPLY[j] + _ADD[j], _MAX), self.lines)
-        keys = np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            keys = mix(low[:, r::ROWS] + keys * np.uint64(0x9E3779B97F4A7C15))
-        return keys.view(np.int64)
+    def band_keys(self, starts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many keys each of these units has, and the keys.
+
+        Units of up to SMALL_SET distinct shingles have their smallest hashes as
+        keys, so many that a similarity of ``percent`` must share one; larger ones,
+        and those that may be that similar to one, have the bands.
+        """
+        empty = np.zeros(0, np.int64)
+        if not len(starts):
+            return empty, empty
+        counts = sizes - SHINGLE + 1
+        unit = np.repeat(np.arange(len(starts)), counts)
+        first = np.cumsum(counts) - counts
+        hashes = windows(self.words.hashes, SHINGLE)[np.arange(len(unit)) - first[unit] + starts[unit]]
+        order = np.lexsort((hashes, unit))
+        own = hashes[order]
+        fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (unit[1:] != unit[:-1])))
+        distinct = np.add.reduceat(fresh, first)
+        rank = np.cumsum(fresh) - 1
+        rank -= rank[first][unit]
+        prefix = distinct + (-distinct * percent) // 100 + 1
+        low = fresh & (rank < prefix[unit]) & (distinct[unit] <= SMALL_SET)
+        banded = np.flatnonzero(100 * distinct >= percent * SMALL_SET)
+        inside = (100 * distinct >= percent * SMALL_SET)[unit]
+        bands = np.zeros((len(banded), BANDS), np.uint64)
+        if len(banded):
+            w = hashes[inside]
+            at = np.cumsum(counts[banded]) - counts[banded]
+            minima = np.stack([np.minimum.reduceat(w * _MULTIPLY[j] + _ADD[j], at) for j in range(BANDS * ROWS)], 1)
+            bands += np.arange(BANDS, dtype=np.uint64)
+            for r in range(ROWS):
+                bands = mix(minima[:, r::ROWS] + bands * np.uint64(0x9E3779B97F4A7C15))
+        whose = np.concatenate((unit[low], np.repeat(banded, BANDS)))
+        keys = np.concatenate((own[low], bands.reshape(-1)))[np.argsort(whose, kind="stable")]
+        return np.bincount(whose, minlength=len(starts)), keys.view(np.int64)
 
 
 _UNITS = "doc_id long, unit long, h long, keys array<long>"
 _SETS = "id long, n long, items array<long>"
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), 0
-        for part in pieces(texts, WORKING_CHARS):
-            own = ids[at: at + len(part)]
-            at += len(part)
-            u = Units(part)
-            if not len(u.lines):
-                continue
-            whole, single = u.long_lines(), u.long_sentences()
-            line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
-            keys = u.band_keys()[whole]
-            first = u.line_first[whole]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(own[np.concatenate((u.text[first], u.text[single]))].astype(np.int64)),
-                pa.array(np.concatenate((2 * u.number[first], 2 * u.number[single] + 1))),
-                pa.array(np.concatenate((line_hash[whole], sentence_hash[single])).view(np.int64)),
-                pa.ListArray.from_arrays(
-                    pa.array(np.concatenate((np.arange(len(whole) + 1) * BANDS, np.full(len(single), len(whole) * BANDS))).astype(np.int32)),
-                    pa.array(keys.reshape(-1))),
-            ], ["doc_id", "unit", "h", "keys"])
+def _units(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), 0
+            for part in pieces(texts, WORKING_CHARS):
+                own = ids[at: at + len(part)]
+                at += len(part)
+                u = Units(part)
+                if not len(u.lines):
+                    continue
+                whole, single = u.long_lines(), u.long_sentences()
+                line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
+                n, keys = u.band_keys(np.concatenate((u.lines[whole], u.sentences[single])), np.concatenate((u.line_sizes[whole], u.sizes[single])), percent)
+                first = u.line_first[whole]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own[np.concatenate((u.text[first], u.text[single]))].astype(np.int64)),
+                    pa.array(np.concatenate((2 * u.number[first], 2 * u.number[single] + 1))),
+                    pa.array(np.concatenate((line_hash[whole], sentence_hash[single])).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys)),
+                ], ["doc_id", "unit", "h", "keys"])
+    return run
 
 
-def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the wanted lines of each text."""
+def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of the wanted units of each text."""
     for batch in batches:
         texts, wanted, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
         for part in pieces(texts, WORKING_CHARS):
             u = Units(part)
             seen: dict[int, np.ndarray] = {}
             if len(u.lines):
-                hashes = run_hashes(u.words.hashes, u.lines).view(np.int64)
                 w = windows(u.words.hashes, SHINGLE)
-                for k in u.long_lines():
-                    if hashes[k] in wanted[at + u.text[u.line_first[k]]]:
-                        a = u.lines[k]
-                        seen[int(hashes[k])] = np.unique(w[a: a + u.line_sizes[k] - SHINGLE + 1]).view(np.int64)
+                for kind, starts, sizes, text in (
+                        (u.long_lines(), u.lines, u.line_sizes, u.text[u.line_first]), (u.long_sentences(), u.sentences, u.sizes, u.text)):
+                    hashes = run_hashes(u.words.hashes, starts).view(np.int64)
+                    for i in np.unique(text[kind]):
+                        mine = kind[np.searchsorted(text[kind], i): np.searchsorted(text[kind], i, "right")]
+                        for k in mine[np.isin(hashes[mine], wanted[at + i])]:
+                            a = starts[k]
+                            seen[int(hashes[k])] = np.unique(w[a: a + sizes[k] - SHINGLE + 1]).view(np.int64)
             at += len(part)
             yield pa.RecordBatch.from_arrays([
                 pa.array(list(seen), pa.int64()), pa.array([len(s) for s in seen.values()], pa.int64()),
@@ -178,52 +205,156 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(texts, WORKING_CHARS):
             found = Anchors(part)
             place = np.flatnonzero(found.chosen)
-            text = at + np.searchsorted(found.words.firsts, place, "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(found.hashes[place].view(np.int64)), pa.array(ids[text]), pa.array(rows[text])], ["h", "doc_id", "row"])
+            text = np.searchsorted(found.words.firsts, place, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.hashes[place].view(np.int64)), pa.array(ids[at + text]), pa.array(rows[at + text]),
+                 pa.array((place - found.words.firsts[text]).astype(np.int32))], ["h", "doc_id", "row", "place"])
             at += len(part)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of MIN_STRETCH words that hold one of the wanted anchors of their text."""
+#: Words before and behind an anchor in the runs that hold it.
+SIDE = MIN_STRETCH - ANCHOR
+_PLACES = "h long, doc_id long, row long, place int, sides binary"
+
+
+def _with_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wanted anchors with the words around them: 32 bits a word, the nearest first, those before and then those behind; 0 beyond the text."""
+    reach = np.arange(SIDE)
     for batch in batches:
         ids, rows = (batch.column(c).to_numpy() for c in range(2))
-        texts, wanted, at = batch.column(2).to_pylist(), batch.column(3).to_pylist(), 0
+        texts, wanted, at = batch.column(2).to_pylist(), batch.column(3), 0
         for part in pieces(texts, WORKING_CHARS):
-            found = Anchors(part)
-            firsts, n = found.words.firsts, len(found.runs)
-            hit = np.zeros(n, bool)
-            for i, (a, b) in enumerate(zip(firsts[:-1], firsts[1:])):
-                hit[a:b] = found.chosen[a:b] & np.isin(found.hashes[a:b], np.array(wanted[at + i], np.int64).view(np.uint64))
-            place = np.flatnonzero(_sliding(hit, MIN_STRETCH - ANCHOR + 1, np.maximum, 0) & found.runs)
-            text = np.searchsorted(firsts, place, "right") - 1
-            h = windows(found.words.hashes, MIN_STRETCH)[place].view(np.int64)
+            w = Words(part)
+            own = wanted.slice(at, len(part))
+            text = np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
+            place = own.flatten().to_numpy()
+            first = w.firsts[text] + place
+            short = np.maximum(w.hashes >> np.uint64(32), 1).astype(np.uint32)
+            sides = np.zeros((len(place), 2 * SIDE), np.uint32)
+            for k, (at_word, inside) in enumerate((
+                    (first[:, None] - 1 - reach, lambda x: x >= w.firsts[text][:, None]),
+                    (first[:, None] + ANCHOR + reach, lambda x: x < w.firsts[text + 1][:, None]))):
+                sides[:, k * SIDE: (k + 1) * SIDE] = np.where(inside(at_word), short[np.clip(at_word, 0, max(0, len(short) - 1))], 0) if len(short) else 0
+            anchors = windows(w.hashes, ANCHOR)[first].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(ids[at + text]), pa.array(rows[at + text]), pa.array(place - firsts[text])], ["h", "doc_id", "row", "place"])
+                [pa.array(anchors), pa.array(ids[at + text]), pa.array(rows[at + text]), pa.array(place),
+                 pa.array([r.tobytes() for r in sides], pa.binary())], ["h", "doc_id", "row", "place", "sides"])
             at += len(part)
 
 
+def _sides(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, 2, SIDE)
+
+
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the nearest words are equal."""
+    differ = np.concatenate(((a != b) | (a == 0), np.ones((len(a), 1), bool)), axis=1)
+    return differ.argmax(axis=1)
+
+
+def _side_key(h: np.ndarray, sides: np.ndarray, side: int, n: np.ndarray) -> np.ndarray:
+    """Hash of the anchor and the ``n`` nearest words of a side."""
+    used = np.arange(SIDE)[None] < n[:, None]
+    words = np.where(used, sides[:, side].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return mix((words * _MULTIPLY[:SIDE]).sum(axis=1) + mix(h.view(np.uint64) + np.uint64(side + 1)) + n.astype(np.uint64))
+
+
+_COMPARED = "h long, doc_id long, row long, place int, sides binary, before int, behind int, start long, end long, keys array<long>"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors against the first place of each: the repeated stretch around it, and keys of what goes on differently.
+
+    A run over the first different word before the anchor, or behind it, is not the
+    first place's; another anchor with the same words up to that one may have it.
+    """
+    for batch in batches:
+        h, doc, row, place, first_doc, first_row, first = (
+            batch.column(c).to_numpy() for c in ("h", "doc_id", "row", "place", "first_doc", "first_row", "first_place"))
+        sides, other = _sides(batch.column("sides")), _sides(batch.column("first_sides"))
+        n = [_same(sides[:, k], other[:, k]) for k in range(2)]
+        found = n[0] + n[1] >= SIDE
+        start = place.astype(np.int64) - n[0]
+        # Where a stretch overlaps its own first place, the first run of that stays.
+        own = (doc == first_doc) & (row == first_row)
+        start = np.where(own, np.maximum(start, first.astype(np.int64) - n[0] + MIN_STRETCH), start)
+        end = place.astype(np.int64) + ANCHOR + n[1]
+        keys, sizes = [], np.zeros(len(h), np.int64)
+        for k in range(2):
+            room = (sides[:, k] != 0).sum(axis=1)
+            more = n[k] < room
+            keys.append(np.where(more, _side_key(h, sides, k, n[k] + 1).view(np.int64), 0))
+            sizes += more
+        both = np.stack(keys, 1)
+        live = np.stack([n[k] < (sides[:, k] != 0).sum(axis=1) for k in range(2)], 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(both[live]))
+        out = pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("h", "doc_id", "row", "place", "sides")], pa.array(n[0].astype(np.int32)), pa.array(n[1].astype(np.int32)),
+             pa.array(start, mask=~(found & (start < end))), pa.array(end, mask=~(found & (start < end))), lists],
+            [f.split()[0] for f in _COMPARED.split(", ")])
+        yield out.filter(pa.array((found & (start < end)) | (sizes > 0)))
+
+
+def _other_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of MIN_STRETCH words over anchors that are not those of the anchors' first places."""
+    for batch in batches:
+        h, doc, row, place, before, behind = (batch.column(c).to_numpy() for c in ("h", "doc_id", "row", "place", "before", "behind"))
+        sides = _sides(batch.column("sides"))
+        room = [(sides[:, k] != 0).sum(axis=1) for k in range(2)]
+        for offset in range(SIDE + 1):
+            rest = SIDE - offset
+            own = np.flatnonzero((offset <= room[0]) & (rest <= room[1]) & ((offset > before) | (rest > behind)))
+            if len(own):
+                key = _side_key(h[own], sides[own], 0, np.full(len(own), offset)) + mix(_side_key(h[own], sides[own], 1, np.full(len(own), rest)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(doc[own]), pa.array(row[own]), pa.array(place[own].astype(np.int64) - offset)],
+                    ["h", "doc_id", "row", "place"])
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Words to remove: ``doc_id, row`` (the hash of the text) and ``runs``, places of first words and ends.
 
     Every run of MIN_STRETCH words but the first one with these words in the order
     of ids, rows and places.  Where a run overlaps its own first one, the words of
     that stay.  Of equal texts only one is compared; the others go as a whole.
+
+    All anchors with the same words are compared with the first of them only, and
+    what is equal around both is one stretch, a row.  Runs that leave that stretch
+    are listed one by one where another anchor leaves it in the same way.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     source = source.select("doc_id", F.xxhash64("text").alias("row"), "text")
     heads = materialize(source.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), label="texts")
     one = source.join(heads.select("row", "doc_id"), ["row", "doc_id"]).select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
     one = materialize(one, label="distinct-texts")
-    anchors = materialize(one.mapInArrow(_anchors, "h long, doc_id long, row long"), label="anchors")
-    shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    wanted = anchors.join(materialize(shared, label="shared-anchors"), "h").groupBy("doc_id", "row").agg(F.collect_set("h").alias("wanted"))
-    runs = one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(_runs, "h long, doc_id long, row long, place long")
+    anchors = materialize(one.mapInArrow(_anchors, "h long, doc_id long, row long, place int"), label="anchors")
+    shared = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), label="shared-anchors")
+    wanted = anchors.join(shared, "h").groupBy("doc_id", "row").agg(F.collect_list("place").alias("wanted"))
+    places = one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(_with_sides, _PLACES)
+    places = materialize(places, label="anchor-places")
+    discard(one, anchors, shared)
+    at = F.struct("doc_id", "row", "place")
+    first = places.groupBy("h").agg(F.min(at).alias("first")).select("h", "first.*")
+    first = places.join(first, ["h", "doc_id", "row", "place"]).select(
+        "h", *[F.col(c).alias(n) for c, n in (("doc_id", "first_doc"), ("row", "first_row"), ("place", "first_place"), ("sides", "first_sides"))])
+    first = materialize(first, label="first-places")
+    others = places.join(first, "h").where(at != F.struct("first_doc", "first_row", "first_place"))
+    compared = materialize(others.mapInArrow(_compare, _COMPARED), label="compared")
+    discard(places, first)
+    stretches = compared.where("start is not null").select("doc_id", "row", "start", "end")
+
+    keys = compared.select("h", "doc_id", "row", "place", F.explode("keys").alias("key"))
+    again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    open_places = keys.join(materialize(again, label="side-keys"), "key").select("h", "doc_id", "row", "place").distinct()
+    runs = compared.join(open_places, ["h", "doc_id", "row", "place"]).mapInArrow(_other_runs, "h long, doc_id long, row long, place long")
     runs = materialize(runs, label="runs")
-    first = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("first")).where("n > 1").drop("n")
-    again = runs.join(materialize(first, label="first-runs"), "h").where(F.struct("doc_id", "row", "place") != F.col("first"))
+    first_run = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
+    again = runs.join(materialize(first_run, label="first-runs"), "h").where(at != F.col("first"))
     own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.row") == F.col("row"))
     start = F.when(own, F.greatest("place", F.col("first.place") + MIN_STRETCH)).otherwise(F.col("place"))
-    cut = again.groupBy("doc_id", "row").agg(F.collect_list(F.struct(start.alias("start"), (F.col("place") + MIN_STRETCH).alias("end"))).alias("runs"))
+    again = again.select("doc_id", "row", start.alias("start"), (F.col("place") + MIN_STRETCH).alias("end"))
+
+    cut = stretches.unionByName(again).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     copies = source.select("doc_id", "row").distinct().join(heads.where("n > 1").select("row", F.col("doc_id").alias("head")), "row").where("doc_id <> head")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(2**62).alias("end")))
     return cut.unionByName(copies.select("doc_id", "row", whole.alias("runs")))
@@ -300,16 +431,15 @@ def repeated_units(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that repeat an id are one document.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    units = materialize(source.mapInArrow(_units, _UNITS), label="units")
+    units = materialize(source.mapInArrow(_units(percent), _UNITS), label="units")
     same = units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
-    lines = units.where(F.size("keys") > 0)
-    members = open_members(lines.select(F.explode("keys").alias("key"), F.col("h").alias("id")))
+    members = open_members(units.select(F.explode("keys").alias("key"), F.col("h").alias("id")))
     wanted = materialize(members.select(F.col("id").alias("h")).distinct(), label="candidates")
-    holders = lines.select("h", "doc_id").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    holders = units.select("h", "doc_id").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     holders = holders.groupBy("doc_id").agg(F.collect_list("h").alias("wanted"))
-    sets = source.join(holders, "doc_id").select("text", "wanted").mapInArrow(_line_sets, _SETS)
-    sets = materialize(sets.dropDuplicates(["id"]), label="line-sets")
+    sets = source.join(holders, "doc_id").select("text", "wanted").mapInArrow(_unit_sets, _SETS)
+    sets = materialize(sets.dropDuplicates(["id"]), label="unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for letter in "ab":

@@ -114,13 +114,14 @@ def test_short_shared_lines_stay(spark):
 
 def test_passages_that_begin_inside_sentences(spark):
     """Every run of twenty words stays in one place only, wherever lines and sentences end."""
-    passage = " ".join(words(7, 65))
-    rows = [(1, f"{prose(11, 40)} But here {passage} and on. {prose(12, 40)}"), (2, f"{prose(21, 40)}\nSo {passage}, it said.\n{prose(22, 40)}"),
+    passage, lead = " ".join(words(7, 65)), " ".join(words(6, 25))
+    # With its lead the second sentence is not 0.8 alike the first, so only its run of words goes.
+    rows = [(1, f"{prose(11, 40)} But here {passage} and on. {prose(12, 40)}"), (2, f"{prose(21, 40)}\nSo {lead} {passage}, it said.\n{prose(22, 40)}"),
             (3, f"{passage[: len(passage) // 2]}\n{passage[len(passage) // 2:]}"), (4, " ".join(words(8, 7) * 20)), (6, "first row of an id"), (6, f"a b c {' '.join(words(7, 65)[10:60])}")]
     rows += [(10 + i, f"{prose(30 + i, 30)} x{i} {' '.join(words(9, 90)[3 * i: 3 * i + 20 + i])} y{i} {prose(60 + i, 30)}") for i in range(20)]
     got = [(r.doc_id, r.text) for r in substring_dedup.drop_repeated(table(spark, rows)).orderBy("doc_id").collect()]
     out = dict(got)
-    assert out[1] == rows[0][1] and out[2].startswith(f"{prose(21, 40)}\nSo ") and out[2].endswith(f"said.\n{prose(22, 40)}")
+    assert out[1] == rows[0][1] and out[2].startswith(f"{prose(21, 40)}\nSo {lead} ") and out[2].endswith(f"said.\n{prose(22, 40)}")
     assert len(out[2].split()) < len(rows[1][1].split()) - 60 and len(out[3].split()) < 35 and len(out[4].split()) == 20
     assert sorted(t for i, t in got if i == 6) == ["a b c", "first row of an id"]
     runs = [tuple(w[k: k + 20]) for w in (t.lower().split() for _, t in got) for k in range(len(w) - 19)]
@@ -139,6 +140,82 @@ def test_lines_of_brute_force(spark):
     assert {i for i, t in out.items() if t == ""} == {i for i, (_, label) in want.items() if label != i}
 
 
+def test_changed_sentences_inside_one_line(spark):
+    """Sentences whose first word was changed are 0.8 alike: they go as lines and inside a longer line."""
+    def sentence(i, first):
+        own = words(500 + i, 19)
+        return " ".join([first, *own[1:]]) + "."
+    whole, other = ([sentence(i, f"{w}{i}") for i in range(6)] for w in ("old", "new"))
+    rows = [(1, " ".join(whole)), (2, " ".join(["Twenty words of its own come first here.", *other, prose(77, 24, 24)])), (3, "\n".join(other[:4] + [prose(78, 30)]))]
+    out = {r.doc_id: r.text for r in substring_dedup.drop_repeated(table(spark, rows)).collect()}
+    assert out[1] == rows[0][1]
+    assert out[2] == "Twenty words of its own come first here. " + prose(77, 24, 24) and out[3] == prose(78, 30)
+
+
+def test_band_keys_of_small_units_lose_no_link():
+    pick = random.Random(5)
+    for n in (4, 9, 20, 34, 40, 60):
+        for _ in range(40):
+            own = words(pick.randrange(10**6), n + 4)
+            other = own[pick.randint(0, max(1, n // 8)):] + words(pick.randrange(10**6), pick.randint(0, n // 8))
+            units = substring_dedup.Units([" ".join(own) + "\n" + " ".join(other)])
+            sizes, keys = units.band_keys(units.lines, units.line_sizes, 80)
+            a, b = shingle_set(" ".join(own), 5), shingle_set(" ".join(other), 5)
+            if len(a & b) >= 0.8 * len(a | b) and len(a) <= 35 and len(b) <= 35:
+                assert set(keys[: sizes[0]]) & set(keys[sizes[0]:])
+
+
+def test_sentences_of_brute_force(spark):
+    """In chains of sentences 0.8 alike, each inside a line of its own words, all but the first go."""
+    base = [words(700 + i, pick) for i, pick in enumerate([20, 22, 26, 31, 40, 47])]
+    rows, own = [], {}
+    for i in range(36):
+        w = list(base[i % 6])
+        for k in range(i // 6 % 3):
+            w[k] = f"z{i}"
+        own[i] = " ".join(w) + "."
+        rows.append((i, f"{prose(900 + i, 9)} {own[i]} {prose(950 + i, 9)}"))
+    want = brute_components([(i, t) for i, t in own.items()], 5)
+    out = {r.doc_id: r.text for r in substring_dedup.drop_repeated(table(spark, rows)).collect()}
+    assert {i for i in own if own[i].split()[10] not in out[i].split()} == {i for i, (_, label) in want.items() if label != i}
+
+
+def words_of_repeated_runs(texts, size=20):
+    """By definition: every run of ``size`` words but the first one with these words, less what overlaps its own first one."""
+    first, gone = {}, {}
+    for i, text in sorted(texts.items()):
+        own = text.lower().split()
+        for place in range(len(own) - size + 1):
+            run = tuple(own[place: place + size])
+            j, at = first.setdefault(run, (i, place))
+            if (j, at) != (i, place):
+                start = max(place, at + size) if j == i else place
+                gone.setdefault(i, set()).update(range(start, place + size))
+    return {i: w for i, w in gone.items() if w}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_runs_of_brute_force(spark, seed):
+    pick = random.Random(seed)
+    vocabulary = words(seed, 300) if seed % 2 else ["a", "b"]
+    passages = [[pick.choice(vocabulary) for _ in range(pick.randint(15, 70))] for _ in range(8)]
+    passages += [[pick.choice(vocabulary)] * 90, passages[0][:30] + passages[1][-25:], passages[2][5:31]]
+    texts = {}
+    for i in range(60):
+        own = []
+        for _ in range(pick.randint(0, 5)):
+            own += [pick.choice(vocabulary) for _ in range(pick.randint(0, 25))]
+            passage = list(pick.choice(passages))
+            if pick.random() < 0.4:
+                passage[pick.randrange(len(passage))] = f"new{i}"
+            own += passage[pick.randrange(6):]
+        texts[i] = pick.choice([" ", "\n"]).join(own) + f" end{i}"
+    got = {}
+    for r in substring_dedup.repeated_runs(table(spark, list(texts.items()))).collect():
+        got.setdefault(r["doc_id"], set()).update(k for run in r["runs"] for k in range(run["start"], run["end"]))
+    assert got == words_of_repeated_runs(texts)
+
+
 def test_odd_rows_keep_their_columns(spark):
     rows = ODD + [(1, LONG)]
     df = table(spark, rows)
