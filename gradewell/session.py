@@ -65,6 +65,22 @@ def drop_scratch(spark: SparkSession) -> bool:
 def materialize(df: DataFrame, path: str | None = None, label: str = "rows") -> DataFrame:
     """Write ``df`` and read it back: what it took to make is not done again, also
     not when an executor is lost.  The path is new unless one is given."""
+    own = path is None
     path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if own:
+        out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` put in the shared folder, once all that was made of them is written.
+
+    A table with a path of its own, or any other DataFrame, is left alone.
+    """
+    for table in tables:
+        path = getattr(table, "scratch", None) if "scratch" in vars(table) else None
+        if path:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
