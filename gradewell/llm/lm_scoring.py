@@ -41,6 +41,8 @@ END = b"\n"
 #: Tokens of texts laid in lanes at once, and most tokens in a row from the same state in training.
 _TOKENS, _STRETCH = 4_000_000, 2048
 _DISTINCT = 400_000
+#: Bytes of text turned into symbols at once.
+_BYTES = 8_000_000
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -83,7 +85,8 @@ class Vocabulary:
 
     def opened(self) -> Vocabulary:
         """With tables for a task."""
-        self.number = dict(zip(self.words, range(1, len(self.words) + 1)))
+        self.number = Numbers(zip(self.words, range(1, len(self.words) + 1)))
+        self.number[END] = 0
         n = len(self.counts)
         self.symbols = np.arange(n, dtype=np.int32)
         beyond = np.arange(min(recurrent.WORDS, n), n)
@@ -94,29 +97,14 @@ class Vocabulary:
         self.inner = np.zeros(n)
         self.form_logs = np.log10(self.form_tokens + ADD * (self.form_distinct + 1))
         self.inner[beyond] = self.seen[beyond] - self.form_logs[forms]
-        self.form_of: dict[bytes, int] = {}
         return self
 
-    def numbers(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-        """Words as numbers with the end (0) last; rare ones are -1 and returned in their order."""
-        words = split(text)
-        get = self.number.get
-        ids = np.fromiter([get(w, -1) for w in words] + [0], np.int32, len(words) + 1)
-        return ids, [words[k] for k in np.flatnonzero(ids < 0)]
-
-    def symbols_of(self, ids: np.ndarray, rare: list[bytes]) -> np.ndarray:
-        out = self.symbols[ids]
-        if rare:
-            known = self.form_of
-            forms = []
-            for w in rare:
-                tail = w[-2:]
-                f = known.get(tail)
-                if f is None:
-                    f = known[tail] = form(w)
-                forms.append(f)
-            out[ids < 0] = np.array(forms, np.int32) + recurrent.WORDS
-        return out
+
+class Numbers(dict):
+    """Numbers of frequent words; of any other word, its form as a number below 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - zlib.crc32(word[-2:]) % recurrent.FORMS
 
 
 @dataclass
@@ -135,7 +123,20 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     counts = docs.select(_bytes()).mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts, seen = stored_with(counts, "word-counts", tokens=F.sum("n"), distinct=F.count(F.lit(1)))
     end = F.col("word") == F.lit(END)
-    top = counts.where(~end).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    # Counts in steps of about four percent: whole steps from the top, and of the next one as many as fit, by hash.
+    step = F.floor(F.log2("n") * 16)
+    sizes = counts.where(~end).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()
+    lowest, room = 0, FREQUENT
+    for r in sizes:
+        lowest = r["step"]
+        if r["n"] > room:
+            break
+        room -= r["n"]
+    size = max([r["n"] for r in sizes if r["step"] == lowest], default=1)
+    share = min(1.0, room / size) if sizes and sum(r["n"] for r in sizes) > FREQUENT else 1.0
+    some = F.pmod(F.xxhash64("word"), F.lit(2**30)) < int(share * 2**30)
+    top = counts.where(~end & ((step > lowest) | ((step == lowest) & some))).collect()
+    top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     ends = sum(r["n"] for r in counts.where(end).collect())
     words = [bytes(r["word"]) for r in top]
     number = F.pmod(F.crc32(F.when(F.octet_length("word") > 2, F.substring("word", -2, 2)).otherwise(F.col("word"))), F.lit(recurrent.FORMS))
@@ -149,7 +150,7 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     return counts, Vocabulary(words, own, seen["tokens"] or 0, seen["distinct"] or 0, form_tokens, form_distinct)
 
 
-_ENCODED = "doc_id long, symbols binary, n_tokens long, n_known long, base double, inner double, rare array<struct<word: binary, n: long>>"
+_ENCODED = "doc_id long, symbols binary, n_tokens long, n_known long, base double, inner double, n_rare long, rare array<struct<word: binary, n: long>>"
 
 
 def _rare(found: list[list[bytes]]) -> pa.Array:
@@ -169,29 +170,42 @@ def _encode(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = vocabulary.opened()
 
-        def encoded() -> pa.RecordBatch:
-            ids, symbols, n, known, base, inner, rare = zip(*held)
+        def encoded(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+            words, sizes = [], []
+            for text in texts:
+                own = text.lower().split()
+                sizes.append(len(own) + 1)
+                words += own
+                words.append(END)
+            numbers = np.fromiter(map(tables.number.__getitem__, words), np.int32, len(words))
+            starts = np.cumsum([0, *sizes[:-1]])
+            far = numbers < 0
+            known_as = np.maximum(numbers, 0)
+            symbols, base, inner = (table[known_as] for table in (tables.symbols, tables.seen, tables.inner))
+            forms = -1 - numbers[far]
+            symbols[far], base[far], inner[far] = recurrent.WORDS + forms, 0, -tables.form_logs[forms]
+            n_rare = np.add.reduceat(far, starts, dtype=np.int64)
+            known = np.array(sizes) - n_rare - (tables.counts[0] == 0)
+            packed = symbols.astype("<u2").tobytes()
+            texts_of = np.split(np.flatnonzero(far), np.cumsum(n_rare)[:-1])
+            ends = np.cumsum(sizes)
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(symbols, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base, pa.float64()), pa.array(inner, pa.float64()), _rare(rare)],
-                ["doc_id", "symbols", "n_tokens", "n_known", "base", "inner", "rare"])
+                [pa.array(ids, pa.int64()), pa.array([packed[2 * a: 2 * b] for a, b in zip(starts, ends)], pa.binary()), pa.array(sizes, pa.int64()),
+                 pa.array(known), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(inner, starts)), pa.array(n_rare),
+                 _rare([[words[k] for k in own.tolist()] for own in texts_of])],
+                ["doc_id", "symbols", "n_tokens", "n_known", "base", "inner", "n_rare", "rare"])
 
-        held, size = [], 0
         for batch in batches:
+            ids, texts, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                numbers, rare = tables.numbers(text.as_py())
-                symbols, common = tables.symbols_of(numbers, rare), numbers[numbers >= 0] if rare else numbers
-                inner = tables.inner[common].sum()
-                if rare:
-                    inner -= tables.form_logs[symbols[numbers < 0] - recurrent.WORDS].sum()
-                known = int((tables.counts[common] > 0).sum())
-                held.append((doc_id, symbols.astype("<u2").tobytes(), len(numbers), known, float(tables.seen[common].sum()), float(inner), rare))
-                size += len(numbers)
-                if size >= _TOKENS:
-                    yield encoded()
-                    held, size = [], 0
-        if held:
-            yield encoded()
+                ids.append(doc_id)
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size >= _BYTES:
+                    yield encoded(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield encoded(ids, texts)
     return run
 
 
@@ -284,10 +298,9 @@ def score_encoded(encoded: DataFrame, model: Model) -> DataFrame:
     rare = rare.join(model.counts, "word").groupBy("row").agg(
         F.sum("times").alias("counted"), F.sum(F.col("times") * F.log10(F.col("n") + ADD)).alias("logs"))
     model_part = encoded.select("row", "symbols").mapInArrow(_likelihoods(model.weights), "row long, model double")
-    out = encoded.drop("symbols").join(model_part, "row").join(rare, "row", "left")
+    out = encoded.drop("symbols", "rare").join(model_part, "row").join(rare, "row", "left")
     counted = F.coalesce("counted", F.lit(0).cast("long"))
-    n_rare = F.aggregate("rare", F.lit(0).cast("long"), lambda s, r: s + r["n"])
-    logs = F.coalesce("logs", F.lit(0.0)) + (n_rare - counted) * float(np.log10(ADD))
+    logs = F.coalesce("logs", F.lit(0.0)) + (F.col("n_rare") - counted) * float(np.log10(ADD))
     total = float(np.log10(vocabulary.tokens + ADD * (vocabulary.distinct + 1)))
     return out.select(
         "doc_id", "n_tokens", (F.col("n_known") + counted).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),

@@ -18,7 +18,7 @@ import heapq
 import numpy as np
 
 #: Frequent words with the end, in classes of equal size by frequency, and forms, a class each.
-WORDS, PER_CLASS, FORMS = 1024, 64, 32
+WORDS, PER_CLASS, FORMS = 1024, 64, 16
 WORD_CLASSES = WORDS // PER_CLASS
 CLASSES = WORD_CLASSES + FORMS
 SYMBOLS = WORDS + FORMS
