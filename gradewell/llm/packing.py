@@ -13,7 +13,10 @@ among the pieces of equal length, from per-partition counts.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,23 +34,45 @@ CHOICES, FILL_NODES = 3, 400
 #: Steps of the whole search before the incumbent is taken.
 SEARCH_STEPS = 10_000
 #: Words kept with their ids in one worker.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 _PLACE_BITS = 33
 
 _loaded: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer at ``path`` and its cache, once per worker."""
+    """The tokenizer at ``path``, its words' ids, and whether a text's ids are those of its words; once per worker."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        _loaded[path] = (tokenizer, {}, by_words(json.loads(tokenizer.to_str())))
     return _loaded[path]
 
 
+#: What the pre-tokenizer's pattern may be for texts to be taken apart at white space: runs of letters, single numbers, runs of other signs.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(spec: dict) -> bool:
+    """Whether a tokenizer drops white space, joins nothing across it, and has lower case and the word pattern above.
+
+    Only then words are encoded once each; with any other tokenizer whole texts are encoded.
+    """
+    def steps(part: dict | None, key: str) -> list[dict]:
+        return part[key] if part and part["type"] == "Sequence" else [part] if part else []
+
+    first = (steps(spec["pre_tokenizer"], "pretokenizers") or [{}])[0]
+    drops = (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True) and first["pattern"] == {"Regex": _WORD_PATTERN}
+    normal = steps(spec["normalizer"], "normalizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    known = [n["type"] in ("NFC", "Lowercase") or n == spaces for n in normal]
+    special = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"])]
+    return drops and all(known) and {"type": "Lowercase"} in normal and not special and not spec["truncation"] and not spec["padding"]
+
+
 #: Python takes these for white space, the tokenizer does not.
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"
+_ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A sign that words are set apart with when many are encoded at once, and how many.
 _SIGN, _TOGETHER = "~", 50
 #: Signs that often follow a word.
@@ -59,13 +84,17 @@ def _pack(ids: list[int]) -> bytes:
 
 
 def _parts(word: str) -> tuple[str, ...]:
-    """A word as parts that the tokenizer takes apart as well: letters, in lower case, and a run of signs behind them."""
+    """A word as parts that the tokenizer takes apart as well: letters, and a run of signs behind them.
+
+    Letters that end in a mark once they are composed or in lower case, as U+0130
+    does, are joined with what follows; such words stay whole.
+    """
     core = word.rstrip(_TAIL)
-    if not core.isalpha():
+    if len(core) == len(word) or not core.isalpha():
         return (word,)
-    tail = word[len(core):]
-    core = core.lower() if core.isascii() else core
-    return (core, tail) if tail else (core,)
+    if not core.isascii() and not unicodedata.normalize("NFC", core).lower().isalpha():
+        return (word,)
+    return (core, word[len(core):])
 
 
 def _encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
@@ -85,30 +114,40 @@ def _encode_words(tokenizer, words: list[str]) -> dict[str, bytes]:
     return out
 
 
+def _words(text: str) -> list[str]:
+    """Words, in lower case where that changes no id: in plain letters without the opening of a special token."""
+    return (text.lower() if text.isascii() and "<|" not in text else text).split()
+
+
 def token_ids(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in order; each distinct word is encoded once.
+    Where the tokenizer drops white space and never joins across it, a text's ids
+    are those of its words in order, and each distinct word is encoded once;
+    otherwise, and for texts with separators that only Python takes for white
+    space, whole texts are encoded.
     """
-    tokenizer, cache = _tokenizer(path)
-    split = [(t or "").split() for t in texts]
-    new = {w: _parts(w) for w in {w for ws in split for w in ws}.difference(cache)}
-    unknown = list({part for parts in new.values() for part in parts}.difference(cache))
-    fresh = {}
+    tokenizer, known, words_do = _tokenizer(path)
+    if not words_do:
+        for i in range(0, len(texts), 1000):
+            for found in tokenizer.encode_batch_fast([t or "" for t in texts[i: i + 1000]], add_special_tokens=False):
+                yield _pack(found.ids)
+        return
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    split = [_words(t) if t else [] for t in texts]
+    new = {w: _parts(w) for w in set().union(*split).difference(known)}
+    unknown = list({part for parts in new.values() for part in parts}.difference(known))
     for i in range(0, len(unknown), 20_000):
-        fresh.update(_encode_words(tokenizer, unknown[i: i + 20_000]))
+        known.update(_encode_words(tokenizer, unknown[i: i + 20_000]))
     for w, parts in new.items():
-        if len(parts) > 1 or parts[0] != w:
-            fresh[w] = b"".join([fresh[p] if p in fresh else cache[p] for p in parts])
-    known = cache if not fresh else {**cache, **fresh}
-    if len(cache) < CACHED_WORDS:
-        cache.update(fresh)
+        if len(parts) > 1:
+            known[w] = known[parts[0]] + known[parts[1]]
     for text, ws in zip(texts, split):
-        if text and any(c in text for c in _ODD_SPACE):
+        if text and _ODD_SPACE.search(text):
             yield _pack(tokenizer.encode(text, add_special_tokens=False).ids)
         else:
-            yield b"".join([known[w] for w in ws])
+            yield b"".join(map(known.__getitem__, ws))
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
