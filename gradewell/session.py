@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,9 +75,49 @@ def materialize(df: DataFrame, path: str | None = None, label: str = "rows") ->
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     if own:
         out.scratch = path
+        if _scopes.get():
+            _scopes.get()[-1].append(out)
     return out
 
 
+#: Tables of the ``temporary`` blocks that are open, the innermost last.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose stored tables are deleted at its end, all but those passed to the function it gives.
+
+    What leaves the block must not be computed from a deleted table any more:
+    store it in the block and keep it.  Shuffle files of plans that nothing refers
+    to any more go as well, as soon as Spark's cleaner gets to them.
+    """
+    tables: list[DataFrame] = []
+    outer = _scopes.get()
+    token = _scopes.set((*outer, tables))
+
+    def keep(table: DataFrame) -> DataFrame:
+        if any(t is table for t in tables):
+            tables[:] = [t for t in tables if t is not table]
+            if outer:
+                outer[-1].append(table)
+        return table
+
+    if not outer:
+        release(spark)
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        discard(*tables)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of plans that are not referred to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` put in the shared folder, once all that was made of them is written.
 
