@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gradewell.session import materialize
+from gradewell.session import materialize, temporary
 
 #: In buckets of up to so many ids all pairs are compared: at most (SMALL - 1) / 2 a member.
 SMALL = 8
@@ -42,7 +42,12 @@ def components(links: DataFrame) -> DataFrame:
     aggregated minimum, and joins read two plain shuffles, which adaptive
     execution can split.  No links: no rows.
     """
-    edges, labels = links.select("a", "b"), None
+    with temporary(links.sparkSession) as keep:
+        return keep(materialize(_contracted(links.select("a", "b")), label="components"))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    labels = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("label"))
@@ -126,6 +131,11 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
 
     Returns ``id, label`` of linked ids.
     """
+    with temporary(members.sparkSession) as keep:
+        return keep(_linked(members, verify, sets, percent, rounds))
+
+
+def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, percent: int, rounds: int) -> DataFrame:
     sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")), label="bucket-sizes")
     other = members.select("key", F.col("id").alias("head"))
     small = members.join(sizes.where(F.col("n") <= SMALL), "key").join(other, "key").where("id < head")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gradewell.llm.common import link_in_buckets, open_members
 from gradewell.llm.hashing import WORKING_CHARS, mix, pieces, shingle_sets
 from gradewell.operators.schema import fresh
-from gradewell.session import materialize
+from gradewell.session import materialize, temporary
 
 BANDS, ROWS, MANTISSA = 28, 4, 10
 BUCKETS = BANDS * ROWS
@@ -123,6 +123,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     occur; if their texts differ, a link of one is a link of the id.  An empty
     table gives no rows.
     """
+    with temporary(docs.sparkSession) as keep:
+        out = keep(_components(docs, shingle_words, percent))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _components(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signatures = materialize(source.mapInArrow(_signatures(shingle_words), _SIGNATURE), label="hyperminhash")
     filled = signatures.where("n_shingles > 0")
@@ -131,7 +137,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     unique = materialize(
         filled.join(first, "doc_id", "left_semi").select("doc_id", "n_shingles", "band_keys", "registers"), label="class-sketches")
     members = open_members(unique.select(F.explode("band_keys").alias("key"), F.col("doc_id").alias("id")))
-
     wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), label="candidates")
     sets = materialize(source.join(wanted, "doc_id").select("doc_id", "text").mapInArrow(_sets(shingle_words), _SETS), label="sets")
     sketches = unique.select("doc_id", F.col("n_shingles"), "registers")
@@ -160,8 +165,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     groups = materialize(groups.select("set_key", F.coalesce("label", "class_id").alias("group_id")), label="groups")
     out = signatures.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
     group = F.when(F.col("n_shingles") > 0, F.col("group_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", group.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return materialize(out.select("doc_id", "n_shingles", group.alias("component_id")), label="components")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -170,7 +174,7 @@ def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int =
     The row with the smallest id stays; rows without an id all stay, rows that
     repeat an id are one.
     """
-    found = materialize(near_duplicates(docs, shingle_words, percent).select("doc_id", "kept"), label="verdicts")
+    found = near_duplicates(docs, shingle_words, percent).select("doc_id", "kept")
     name = fresh(docs, "_gone")
     gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
     twice = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name)), label="twice")

@@ -2,13 +2,14 @@
 
 Paragraphs are lines of eight words or more; where a line has several sentences,
 those of eight words or more are units of their own, so that a passage is found
-inside a longer line as well.  Units with the same words are one class.  Bands are
-tuned by size: up to SMALL_SET five-word shingles the smallest hashes of one
-permutation are the keys, as many as any 0.8-alike unit shares one of (recall 1);
-larger units are sketched by 16 minima in eight bands of two, of which two units
-with a Jaccard similarity of 0.8 share none once in three thousand times.
-Candidates are verified on their shingle sets, linked ones form a component, and
-of each component only the first unit in the order of ids and places stays.
+inside a longer line as well.  Units with the same words are one class.  Lines and
+sentences are sketched by 12 minima of their five-word shingles in six bands of
+two: two units with a Jaccard similarity of 0.8 share none once in 450 times.
+(Sentences of less than BANDED_SENTENCE words are matched by equal words alone: a
+word changed inside leaves none of them 0.8 alike.)  Candidates are verified on
+their shingle sets, linked ones form a component, and of each component only the
+first unit in the order of ids and places stays.  Of equal texts only one is cut
+into units; the others go as a whole.
 
 Where a common passage begins or ends inside a sentence, its words decide: every
 run of MIN_STRETCH words that an earlier place holds is found, whatever the lines.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
 from gradewell.llm.hashing import WORKING_CHARS, Words, mix, pieces, run_hashes, windows
-from gradewell.session import discard, materialize
+from gradewell.operators.schema import fresh, quoted
+from gradewell.session import discard, materialize, release, temporary
 
 MIN_WORDS = 8
 SHINGLE = 5
@@ -37,9 +39,9 @@ SHINGLE = 5
 MIN_STRETCH = 20
 #: Words of an anchor.
 ANCHOR = 10
-BANDS, ROWS = 8, 2
-#: Most distinct shingles of a unit that is found by its smallest hashes.
-SMALL_SET = 35
+BANDS, ROWS = 6, 2
+#: Fewest words of a sentence that is banded: in shorter ones no word can change that leaves them 0.8 alike.
+BANDED_SENTENCE = 13
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False)
@@ -83,68 +85,50 @@ class Units:
         several = np.repeat(self.line_sentences > 1, self.line_sentences)
         return np.flatnonzero((self.sizes >= MIN_WORDS) & several)
 
-    def band_keys(self, starts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """How many keys each of these units has, and the keys.
-
-        Units of up to SMALL_SET distinct shingles have their smallest hashes as
-        keys, so many that a similarity of ``percent`` must share one; larger ones,
-        and those that may be that similar to one, have the bands.
-        """
-        empty = np.zeros(0, np.int64)
+    def band_keys(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keys of these units, one row each."""
         if not len(starts):
-            return empty, empty
+            return np.zeros((0, BANDS), np.int64)
         counts = sizes - SHINGLE + 1
-        unit = np.repeat(np.arange(len(starts)), counts)
         first = np.cumsum(counts) - counts
-        hashes = windows(self.words.hashes, SHINGLE)[np.arange(len(unit)) - first[unit] + starts[unit]]
-        order = np.lexsort((hashes, unit))
-        own = hashes[order]
-        fresh = np.concatenate(([True], (own[1:] != own[:-1]) | (unit[1:] != unit[:-1])))
-        distinct = np.add.reduceat(fresh, first)
-        rank = np.cumsum(fresh) - 1
-        rank -= rank[first][unit]
-        prefix = distinct + (-distinct * percent) // 100 + 1
-        low = fresh & (rank < prefix[unit]) & (distinct[unit] <= SMALL_SET)
-        banded = np.flatnonzero(100 * distinct >= percent * SMALL_SET)
-        inside = (100 * distinct >= percent * SMALL_SET)[unit]
-        bands = np.zeros((len(banded), BANDS), np.uint64)
-        if len(banded):
-            w = hashes[inside]
-            at = np.cumsum(counts[banded]) - counts[banded]
-            minima = np.stack([np.minimum.reduceat(w * _MULTIPLY[j] + _ADD[j], at) for j in range(BANDS * ROWS)], 1)
-            bands += np.arange(BANDS, dtype=np.uint64)
-            for r in range(ROWS):
-                bands = mix(minima[:, r::ROWS] + bands * np.uint64(0x9E3779B97F4A7C15))
-        whose = np.concatenate((unit[low], np.repeat(banded, BANDS)))
-        keys = np.concatenate((own[low], bands.reshape(-1)))[np.argsort(whose, kind="stable")]
-        return np.bincount(whose, minlength=len(starts)), keys.view(np.int64)
-
-
-_UNITS = "doc_id long, unit long, h long, keys array<long>"
+        w = windows(self.words.hashes, SHINGLE)[np.arange(counts.sum()) + np.repeat(starts - first, counts)]
+        low = np.stack([np.minimum.reduceat(w * _MULTIPLY[j] + _ADD[j], first) for j in range(BANDS * ROWS)], 1)
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for r in range(ROWS):
+            keys = mix(low[:, r::ROWS] + keys * np.uint64(0x9E3779B97F4A7C15))
+        return keys.view(np.int64)
+
+
+_UNITS = "doc_id long, row long, unit int, h long, keys binary"
 _SETS = "id long, n long, items array<long>"
 
 
-def _units(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, at = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), 0
-            for part in pieces(texts, WORKING_CHARS):
-                own = ids[at: at + len(part)]
-                at += len(part)
-                u = Units(part)
-                if not len(u.lines):
-                    continue
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, rows = (batch.column(c).to_numpy() for c in range(2))
+        texts, at = batch.column(2).to_pylist(), 0
+        for part in pieces(texts, WORKING_CHARS):
+            u = Units(part)
+            if len(u.lines):
                 whole, single = u.long_lines(), u.long_sentences()
                 line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
-                n, keys = u.band_keys(np.concatenate((u.lines[whole], u.sentences[single])), np.concatenate((u.line_sizes[whole], u.sizes[single])), percent)
-                first = u.line_first[whole]
+                text = at + np.concatenate((u.text[u.line_first[whole]], u.text[single]))
+                keys = [k.tobytes() for k in u.band_keys(u.lines[whole], u.line_sizes[whole])]
+                banded = u.sizes[single] >= BANDED_SENTENCE
+                own = iter(u.band_keys(u.sentences[single[banded]], u.sizes[single[banded]]))
+                keys += [next(own).tobytes() if b else None for b in banded]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(own[np.concatenate((u.text[first], u.text[single]))].astype(np.int64)),
-                    pa.array(np.concatenate((2 * u.number[first], 2 * u.number[single] + 1))),
-                    pa.array(np.concatenate((line_hash[whole], sentence_hash[single])).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(keys)),
-                ], ["doc_id", "unit", "h", "keys"])
-    return run
+                    pa.array(ids[text]), pa.array(rows[text]),
+                    pa.array(np.concatenate((2 * u.number[u.line_first[whole]], 2 * u.number[single] + 1)).astype(np.int32)),
+                    pa.array(np.concatenate((line_hash[whole], sentence_hash[single])).view(np.int64)), pa.array(keys, pa.binary()),
+                ], ["doc_id", "row", "unit", "h", "keys"])
+            at += len(part)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("h").to_numpy(), BANDS))], ["key", "id"])
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,28 +295,40 @@ def _other_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ["h", "doc_id", "row", "place"])
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Words to remove: ``doc_id, row`` (the hash of the text) and ``runs``, places of first words and ends.
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored ``doc_id, row, text`` of each text's first id, ``row`` being its hash, and ``row, doc_id`` of copies with other ids."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    source = source.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    heads = materialize(source.groupBy("row").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), label="texts")
+    first = source.join(heads.select("row", F.col("head").alias("doc_id")), ["row", "doc_id"])
+    first = materialize(first.select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"]), label="distinct-texts")
+    copies = source.select("doc_id", "row").distinct().join(heads.where("n > 1").select("row", "head"), "row").where("doc_id <> head")
+    return first, materialize(copies.select("doc_id", "row"), label="copies")
+
+
+def repeated_runs(texts: DataFrame) -> DataFrame:
+    """Words to remove from distinct texts: ``doc_id, row`` and ``runs``, places of first words and ends.
 
     Every run of MIN_STRETCH words but the first one with these words in the order
     of ids, rows and places.  Where a run overlaps its own first one, the words of
-    that stay.  Of equal texts only one is compared; the others go as a whole.
+    that stay.
 
     All anchors with the same words are compared with the first of them only, and
     what is equal around both is one stretch, a row.  Runs that leave that stretch
     are listed one by one where another anchor leaves it in the same way.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    source = source.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    heads = materialize(source.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), label="texts")
-    one = source.join(heads.select("row", "doc_id"), ["row", "doc_id"]).select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"])
-    one = materialize(one, label="distinct-texts")
+    release(texts.sparkSession)
+    with temporary(texts.sparkSession) as keep:
+        return keep(materialize(_repeated_runs(texts), label="word-cuts"))
+
+
+def _repeated_runs(one: DataFrame) -> DataFrame:
     anchors = materialize(one.mapInArrow(_anchors, "h long, doc_id long, row long, place int"), label="anchors")
     shared = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), label="shared-anchors")
     wanted = anchors.join(shared, "h").groupBy("doc_id", "row").agg(F.collect_list("place").alias("wanted"))
     places = one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(_with_sides, _PLACES)
     places = materialize(places, label="anchor-places")
-    discard(one, anchors, shared)
+    discard(anchors, shared)
     at = F.struct("doc_id", "row", "place")
     first = places.groupBy("h").agg(F.min(at).alias("first")).select("h", "first.*")
     first = places.join(first, ["h", "doc_id", "row", "place"]).select(
@@ -354,10 +350,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     start = F.when(own, F.greatest("place", F.col("first.place") + MIN_STRETCH)).otherwise(F.col("place"))
     again = again.select("doc_id", "row", start.alias("start"), (F.col("place") + MIN_STRETCH).alias("end"))
 
-    cut = stretches.unionByName(again).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
-    copies = source.select("doc_id", "row").distinct().join(heads.where("n > 1").select("row", F.col("doc_id").alias("head")), "row").where("doc_id <> head")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(2**62).alias("end")))
-    return cut.unionByName(copies.select("doc_id", "row", whole.alias("runs")))
+    return stretches.unionByName(again).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
 def without_units(text: str, gone: list[int], runs: list[dict] = ()) -> str:
@@ -423,22 +416,25 @@ def _rewrite(column: int, cut: int, runs: int):
     return run
 
 
-def repeated_units(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Units to remove: ``doc_id`` and the ascending list ``units``; only documents that lose something.
+def repeated_units(texts: DataFrame, percent: int = 80) -> DataFrame:
+    """Units to remove from distinct texts: ``doc_id, row`` and the ascending list ``units``; only texts that lose something.
 
-    ``docs``: ``doc_id, text``; other columns are not read.  Texts without a unit
-    of eight words, null and empty ones lose nothing, nor do rows without an id.
-    Rows that repeat an id are one document.
+    Texts without a unit of eight words lose nothing.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    units = materialize(source.mapInArrow(_units(percent), _UNITS), label="units")
+    with temporary(texts.sparkSession) as keep:
+        return keep(materialize(_repeated_units(texts, percent), label="cuts"))
+
+
+def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
+    units = materialize(texts.mapInArrow(_units, _UNITS), label="units")
     same = units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
-    members = open_members(units.select(F.explode("keys").alias("key"), F.col("h").alias("id")))
+    banded = units.where("keys is not null")
+    members = open_members(banded.select("h", "keys").mapInArrow(_members, "key long, id long"))
     wanted = materialize(members.select(F.col("id").alias("h")).distinct(), label="candidates")
-    holders = units.select("h", "doc_id").join(wanted, "h").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    holders = holders.groupBy("doc_id").agg(F.collect_list("h").alias("wanted"))
-    sets = source.join(holders, "doc_id").select("text", "wanted").mapInArrow(_unit_sets, _SETS)
+    holders = banded.select("h", "doc_id", "row").join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    holders = holders.groupBy("first.doc_id", "first.row").agg(F.collect_list("h").alias("wanted"))
+    sets = texts.join(holders, ["doc_id", "row"]).select("text", "wanted").mapInArrow(_unit_sets, _SETS)
     sets = materialize(sets.dropDuplicates(["id"]), label="unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -448,28 +444,33 @@ def repeated_units(docs: DataFrame, percent: int = 80) -> DataFrame:
         return pairs.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common))
 
     labels = link_in_buckets(members, verify, sets, percent)
+    discard(members, sets)
     classes = same.join(labels.withColumnRenamed("id", "h"), "h", "full").select("h", F.coalesce("label", "h").alias("label"))
-    found = materialize(units.select("doc_id", "unit", "h").join(materialize(classes, label="classes"), "h").select("doc_id", "unit", "label"), label="repeats")
-    first = materialize(found.groupBy("label").agg(F.min(F.struct("doc_id", "unit")).alias("first")), label="firsts")
-    gone = found.join(first, "label").where(F.struct("doc_id", "unit") != F.col("first"))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+    found = materialize(units.select("doc_id", "row", "unit", "h").join(materialize(classes, label="classes"), "h").drop("h"), label="repeats")
+    at = F.struct("doc_id", "row", "unit")
+    first = materialize(found.groupBy("label").agg(F.min(at).alias("first")), label="firsts")
+    gone = found.join(first, "label").where(at != F.col("first"))
+    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("unit")).alias("units"))
 
 
 def drop_repeated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with repeated units and runs cut out of ``text``: same rows, same columns."""
-    cut, name, words, row = "_cut", "_id", "_words", "_row"
-    while {cut, name, words, row} & set(docs.columns):
-        cut, name, words, row = f"_{cut}", f"_{name}", f"_{words}", f"_{row}"
-    gone = materialize(repeated_units(docs, percent), label="cuts")
-    runs = materialize(repeated_runs(docs), label="word-cuts")
-    # Per document: its units, and the words by text, since rows may share an id.
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("row", "runs")).alias("runs"))
-    gone = gone.join(runs, "doc_id", "full").select(F.col("doc_id").alias(name), F.col("units").alias(cut), F.col("runs").alias(words))
-    joined = docs.join(gone, F.col("doc_id") == F.col(name), "left").drop(name)
-    joined = joined.withColumn(row, F.xxhash64(F.col("text").cast("string")))
-    own = F.flatten(F.transform(F.filter(words, lambda x: x["row"] == F.col(row)), lambda x: x["runs"]))
-    joined = joined.withColumn(words, own).drop(row)
-    joined = joined.select(*[F.col(f"`{c}`") if c != "text" else F.col("text").cast("string").alias("text") for c in joined.columns])
+    """``docs`` with repeated units and runs cut out of ``text``: same rows, same columns.
+
+    Null and empty texts and rows without an id stay as they are.  A copy of a
+    whole text goes unless it has the first one's id.  Texts of rows that share an
+    id are told apart.  Columns other than ``doc_id`` and ``text`` are carried along.
+    """
+    with temporary(docs.sparkSession) as keep:
+        texts, copies = distinct_texts(docs)
+        gone = repeated_units(texts, percent).join(repeated_runs(texts), ["doc_id", "row"], "full")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(2**62).alias("end")))
+        gone = gone.unionByName(copies.select("doc_id", "row", whole.alias("runs")), allowMissingColumns=True)
+        gone = keep(materialize(gone, label="gone"))
+    cut, name, words, row, own_row = (fresh(docs, c) for c in ("_cut", "_id", "_words", "_row", "_own"))
+    gone = gone.select(F.col("doc_id").alias(name), F.col("row").alias(row), F.col("units").alias(cut), F.col("runs").alias(words))
+    marked = docs.withColumn(own_row, F.xxhash64(F.col("text").cast("string")))
+    joined = marked.join(gone, (F.col("doc_id") == F.col(name)) & (F.col(own_row) == F.col(row)), "left").drop(name, row, own_row)
+    joined = joined.select(*[quoted(c) if c != "text" else F.col("text").cast("string").alias("text") for c in joined.columns])
     columns = joined.columns
     schema = joined.drop(cut, words).schema
     return joined.mapInArrow(_rewrite(*[columns.index(c) for c in ("text", cut, words)]), schema)
