@@ -12,10 +12,12 @@ said twice or a separator between letters is not decoded and stays as it is.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ SPACED = 3
 #: The sample that the classifier is fitted on, and its size.
 TOXIC_ROWS, CLEAN_ROWS, FEATURES = 2500, 5000, 3000
 LEAST_SCORE = 0.7
+#: Units that a worker keeps the weights of.
+KNOWN_UNITS = 600_000
 
 _signs = re.escape("".join(LEET))
 _LETTER = r"[^\W\d_]"
@@ -114,25 +118,29 @@ class Decoder:
         return self.decode(core, True).split() if SUSPECT.search(core) else WORD.findall(core)
 
 
-def units(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
-    """Distinct tokens and rows of spaced letters of texts, and per text the places of its own."""
-    index: dict[str, int] = {}
+def units(texts: list[str | None], index: dict[str, int] | None = None) -> tuple[list[str], list[np.ndarray]]:
+    """Distinct tokens and rows of spaced letters of texts, and per text the places of its own; an ``index`` goes on being filled."""
+    index = {} if index is None else index
+    before = len(index)
+    place = index.setdefault
     places = []
     for t in texts:
         tokens = (t or "").lower().split()
-        own = np.array([index.setdefault(x, len(index)) for x in tokens], np.int64)
-        single = np.array([len(x) == 1 and (x.isalpha() or x in LEET) for x in tokens], bool)
+        own = np.fromiter([place(x, len(index)) for x in tokens], np.int64, len(tokens))
+        single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
         rows: list[int] = []
         if single.sum() >= SPACED:
+            short = np.flatnonzero(single)
+            single[short] = [tokens[k].isalpha() or tokens[k] in LEET for k in short]
             edges = np.flatnonzero(np.diff(np.concatenate(([False], single, [False]))))
             for a, b in edges.reshape(-1, 2):
                 if b - a >= SPACED and any(x.isalpha() for x in tokens[a:b]):
-                    rows.append(index.setdefault(" ".join(tokens[a:b]), len(index)))
+                    rows.append(place(" ".join(tokens[a:b]), len(index)))
                 else:
                     single[a:b] = False
-            own = own[~single]
-        places.append(np.concatenate((own, np.array(rows, np.int64))))
-    return list(index), places
+            own = np.concatenate((own[~single], np.array(rows, np.int64)))
+        places.append(own)
+    return list(islice(index, before, None)), places
 
 
 def restore(text: str, model: CharModel) -> str:
@@ -249,32 +257,59 @@ def stored_units(rows: DataFrame, letters: StoredModel) -> tuple[DataFrame, Data
     return own, materialize(names.join(known, "unit", "left").mapInArrow(_decoded, "unit string, words array<string>"), label="decoded-units")
 
 
-def _fit(toxic: np.ndarray, sizes: np.ndarray, hashes: list[bytes], counts: list[bytes]) -> tuple[dict[int, float], float]:
-    """Weights of the FEATURES hashes that tell the classes apart best, by logistic regression with equal classes."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's documents, how many of each class hold each feature."""
+    for batch in batches:
+        hashes = batch.column(2).to_pylist()
+        names, column = np.unique(np.frombuffer(b"".join(hashes), "<u4"), return_inverse=True)
+        toxic = np.repeat(batch.column(0).to_numpy(), [len(h) // 4 for h in hashes])
+        n = np.bincount(column, minlength=len(names))
+        with_ = np.bincount(column, toxic, len(names)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(with_), pa.array(n)], ["feature", "toxic", "n"])
+
+
+def _of_features(features: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, counts = [], []
+            for h, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                h, c = np.frombuffer(h, "<u4"), np.frombuffer(c, "<u4")
+                held = np.isin(h, features)
+                names.append(h[held].tobytes())
+                counts.append(c[held].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(counts, pa.binary())], batch.schema.names)
+    return run
+
+
+def chosen_features(samples: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
+    """The samples with the FEATURES hashes only that tell the classes apart best, these hashes in order, and toxic and clean documents."""
+    n1, n0 = samples.select(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    held = samples.mapInArrow(_occurrences, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
+    p = (F.col("n") + 1) / (n1 + n0 + 2)
+    apart = ((F.col("toxic") + 0.5) / (n1 + 1) - (F.col("n") - F.col("toxic") + 0.5) / (n0 + 1)) / F.sqrt(p * (1 - p))
+    best = held.where("n >= 4").orderBy(F.desc(F.abs(apart)), "feature").limit(FEATURES).select("feature").collect()
+    features = np.array(sorted(r["feature"] for r in best), "<u4")
+    return samples.mapInArrow(_of_features(features), _SAMPLES), features, n1, n0
+
+
+def _fit(features: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, hashes: list[bytes], counts: list[bytes]) -> tuple[dict[int, float], float]:
+    """Weights of the features, by logistic regression with equal classes."""
     row = np.repeat(np.arange(len(toxic)), [len(h) // 4 for h in hashes])
-    names, column = np.unique(np.frombuffer(b"".join(hashes), "<u4"), return_inverse=True)
+    column = np.searchsorted(features, np.frombuffer(b"".join(hashes), "<u4"))
     value = np.frombuffer(b"".join(counts), "<u4") * 50.0 / np.maximum(sizes, 1)[row]
-    with_, all_ = np.bincount(column, toxic[row], len(names)), np.bincount(column, minlength=len(names))
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    p = (all_ + 1) / (n1 + n0 + 2)
-    apart = ((with_ + 0.5) / (n1 + 1) - (all_ - with_ + 0.5) / (n0 + 1)) / np.sqrt(p * (1 - p))
-    best = np.argsort(-np.abs(np.where(all_ >= 4, apart, 0.0)), kind="stable")[:FEATURES]
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    held = place[column] >= 0
-    row, column, value = row[held], place[column[held]], value[held]
-    w, b = np.zeros(len(best)), 0.0
-    steps, step = np.full(len(best), 1e-8), 1e-8
+    w, b = np.zeros(len(features)), 0.0
+    steps, step = np.full(len(features), 1e-8), 1e-8
     weight = np.where(toxic == 1, 0.5 / n1, 0.5 / n0)
     for _ in range(200):
         z = np.bincount(row, value * w[column], len(toxic)) + b
         off = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * weight
-        g = np.bincount(column, value * off[row], len(best)) + 5e-4 * w
+        g = np.bincount(column, value * off[row], len(features)) + 5e-4 * w
         steps += g * g
         step += off.sum() ** 2
         w -= 0.5 * g / np.sqrt(steps)
         b -= 0.5 * off.sum() / np.sqrt(step)
-    return dict(zip(names[best].tolist(), w.tolist())), float(b)
+    return dict(zip(features.tolist(), w.tolist())), float(b)
 
 
 def train(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
@@ -297,27 +332,58 @@ def train(docs: DataFrame, labelled: DataFrame) -> ToxicityModel:
         texts = materialize(texts.withColumn("row", F.monotonically_increasing_id()), label="sample-texts")
         own, words = stored_units(texts, letters)
         own = own.join(words, "unit").groupBy("row").agg(F.collect_list(F.struct("words", "n")).alias("words"))
-        found = texts.select("row", "toxic").join(own, "row", "left").select("toxic", "words").mapInArrow(_stored_samples, _SAMPLES).toArrow()
+        samples = texts.select("row", "toxic").join(own, "row", "left").select("toxic", "words").mapInArrow(_stored_samples, _SAMPLES)
     else:
-        found = texts.mapInArrow(_samples(letters), _SAMPLES).toArrow()
-    toxic = found.column(0).to_numpy().astype(float)
-    if not 0 < toxic.sum() < len(toxic):
+        samples = texts.mapInArrow(_samples(letters), _SAMPLES)
+    samples, features, n1, n0 = chosen_features(materialize(samples, label="samples"))
+    if not n1 or not n0:
         return ToxicityModel(letters, {}, 0.0)
-    weights, bias = _fit(toxic, found.column(1).to_numpy(), found.column(2).to_pylist(), found.column(3).to_pylist())
+    # At most FEATURES numbers of each sampled document, however long it is.
+    found = samples.toArrow()
+    toxic = found.column(0).to_numpy().astype(float)
+    weights, bias = _fit(features, toxic, found.column(1).to_numpy(), found.column(2).to_pylist(), found.column(3).to_pylist())
     return ToxicityModel(letters, weights, bias)
 
 
+class _Read:
+    """Numbers of words and weights of the units that a worker has met under one model."""
+
+    def __init__(self, model: ToxicityModel):
+        self.decoder, self.weights = Decoder(model.letters), model.weights
+        self.index: dict[str, int] = {}
+        self.size, self.weight = np.zeros(0), np.zeros(0)
+
+    def places(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.index) > KNOWN_UNITS:
+            self.__init__(ToxicityModel(self.decoder.model, self.weights, 0.0))
+        names, places = units(texts, self.index)
+        get, words = self.weights.get, [self.decoder.words(u) for u in names]
+        self.size = np.append(self.size, np.array([len(ws) for ws in words], float))
+        self.weight = np.append(self.weight, np.array([sum(get(h, 0.0) for w in ws for h in features(w)) for ws in words], float))
+        return places
+
+
+#: What this worker has read, under the key of the model; one model at a time.
+_reads: dict[str, _Read] = {}
+
+
+def _worker_read(key: str, model: ToxicityModel) -> _Read:
+    if key not in _reads:
+        _reads.clear()
+        _reads[key] = _Read(model)
+    return _reads[key]
+
+
 def _scores(model: ToxicityModel):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, get = Decoder(model.letters), model.weights.get
+        read = _worker_read(key, model)
         for batch in batches:
             ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
             for part in pieces(texts):
-                names, places = units(part)
-                each = [decoder.words(u) for u in names]
-                size = np.array([len(ws) for ws in each], float)
-                weight = np.array([sum(get(h, 0.0) for w in ws for h in features(w)) for ws in each], float)
-                z = [weight[own].sum() * 50.0 / max(size[own].sum(), 1.0) for own in places]
+                places = read.places(part)
+                z = [read.weight[own].sum() * 50.0 / max(read.size[own].sum(), 1.0) for own in places]
                 score = 1 / (1 + np.exp(-np.clip(np.array(z) + model.bias, -500, 500)))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(score)], ["doc_id", "score"])
                 at += len(part)
