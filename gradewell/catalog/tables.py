@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gradewell.catalog.registry import query, table
@@ -11,7 +9,7 @@ from gradewell.operators import grading, matching, numbering, selection
 from gradewell.operators.schema import with_defaults
 from gradewell.session import scratch_path
 from gradewell.sources import batches, tables
-from gradewell.streaming.results import ingest_results, stream_results
+from gradewell.streaming.results import ingest_ranges, read_ingested, stream_results
 
 BATCH = 1000
 
@@ -145,15 +143,13 @@ def match_results(spark, sf):
 
 @query(f"SELECT o_orderkey, custom_id, MODEL_OUTPUT FROM ({RESULTS_SQL}) WHERE o_orderstatus = 'F'")
 def streamed_results(spark, sf):
-    """Result files of which two are taken up at a time, matched to a bucketed table of requests."""
+    """Result files of which two are taken up at a time, matched to requests stored by range of batches."""
     requests = order_requests(spark, sf)
     files, path = scratch_path(spark, "results"), scratch_path(spark, "matched")
     raw_results(requests).repartition(6).write.json(files)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored = batches.store_requests(requests, f"requests_{uuid.uuid4().hex}", buckets, scratch_path(spark, "stored"))
-    ingest = ingest_results(stored, stream_results(spark, files, 2), path, scratch_path(spark, "progress"))
-    ingest.awaitTermination()
-    return spark.read.parquet(path).select("o_orderkey", "custom_id", "MODEL_OUTPUT")
+    stored = batches.store_request_ranges(requests, scratch_path(spark, "stored"), 500)
+    ingest_ranges(stored, stream_results(spark, files, 2), path, scratch_path(spark, "progress")).awaitTermination()
+    return read_ingested(spark, path).select("o_orderkey", "custom_id", "MODEL_OUTPUT")
 
 
 @query(f"""

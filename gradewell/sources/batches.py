@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewell.fixed import REQUEST_MAX_TOKENS, REQUEST_TEMPERATURE
 from gradewell.functions.chat import chat
-from gradewell.operators.schema import require_columns
+from gradewell.operators.schema import require_columns, require_distinct
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("custom_id", T.StringType()),
@@ -68,6 +70,34 @@ def store_requests(requests: DataFrame, name: str, buckets: int, path: str | Non
     return requests.sparkSession.table(name)
 
 
+#: Folder column of requests stored by range, with the number of batches in a range.
+RANGE = re.compile(r"batch_range_(\d+)")
+
+
+def store_request_ranges(requests: DataFrame, path: str, batches_per_range: int = 1000) -> DataFrame:
+    """Requests in one folder for each ``batches_per_range`` consecutive batches.
+
+    The id of a result says its batch, so matching a few results reads their
+    folders only.  The width of a range is part of the folder column's name.
+    """
+    require_columns(requests, "custom_id", "batch_no")
+    if batches_per_range < 1:
+        raise ValueError("batches_per_range must be at least 1")
+    name = f"batch_range_{batches_per_range}"
+    require_distinct([*requests.columns, name])
+    ranged = requests.withColumn(name, F.call_function("div", F.col("batch_no"), F.lit(batches_per_range)))
+    ranged.repartitionByRange("batch_no").sortWithinPartitions("batch_no", "custom_id").write.partitionBy(name).parquet(path)
+    return requests.sparkSession.read.parquet(path)
+
+
+def range_of(requests: DataFrame) -> tuple[str, int]:
+    """Folder column of a table stored by range, and the number of batches in a range."""
+    found = [(c, int(m[1])) for c in requests.columns if (m := RANGE.fullmatch(c))]
+    if len(found) != 1:
+        raise ValueError("requests are not stored by range of batches")
+    return found[0]
+
+
 def model_text(result: Column | str = "result") -> Column:
     """Text of the first content block; null for a failed or empty result."""
     content = F.col(f"{result}.message.content") if isinstance(result, str) else result["message"]["content"]

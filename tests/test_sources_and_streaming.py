@@ -8,7 +8,7 @@ from conftest import planned, rows
 from gradewell import session
 from gradewell.operators import grading, matching, numbering
 from gradewell.sources import batches, tables
-from gradewell.streaming.results import ingest_results, stream_results
+from gradewell.streaming.results import ingest_ranges, ingest_results, match_in_ranges, read_ingested, stream_results
 
 AWKWARD = [("007", 'a "quoted", text\nover lines ', "x"), ("008", None, " é\t"), ("009", "back\\slash", '""')]
 
@@ -142,3 +142,57 @@ def test_streaming_gives_what_one_read_gives(spark, path):
     assert got == [("b0-0", 0, "first"), ("b1-0", 4, "out"), ("b1-3", 7, "late")]
     batch = requests.join(batches.read_results(spark, files), "custom_id")
     assert got == rows(batch.select("custom_id", "id", "MODEL_OUTPUT"))
+
+
+def spoil(path):
+    """Make every file of a folder unreadable."""
+    for name in os.listdir(path.removeprefix("file:")):
+        if name.endswith(".parquet"):
+            with open(f"{path.removeprefix('file:')}/{name}", "wb") as f:
+                f.write(b"not parquet")
+
+
+def test_only_the_folders_of_the_results_are_read(spark, path):
+    stored = batches.store_request_ranges(requests_of(spark, 40, 2), path, batches_per_range=5)
+    assert batches.range_of(stored) == ("batch_range_5", 5)
+    results = spark.createDataFrame([("b6-1", "x"), ("b9-0", "y"), ("b12-7", "no such request"), ("foreign", "z"), (None, "n")], "custom_id string, MODEL_OUTPUT string")
+    for folder in (0, 3):
+        spoil(f"{path}/batch_range_5={folder}")
+    got = match_in_ranges(stored, results)
+    assert got.columns == ["id", "PROMPT", "batch_no", "pos", "custom_id", "MODEL_OUTPUT"]
+    assert rows(got.select("id", "custom_id", "MODEL_OUTPUT")) == [(13, "b6-1", "x"), (18, "b9-0", "y")]
+    with pytest.raises(Exception, match="parquet"):
+        stored.collect()
+
+
+def test_micro_batches_read_their_folders_and_overwrite_themselves(spark, path):
+    stored = batches.store_request_ranges(requests_of(spark, 8, 2), path, batches_per_range=1)
+    files, out, progress = path + "-files", path + "-out", path + "-progress"
+    write_lines(spark, files, [result_line("b0-0"), result_line("b0-1", "errored"), result_line("x"), "not json"])
+
+    def ingest():
+        ingest_ranges(stored, stream_results(spark, files, 1), out, progress).awaitTermination()
+        return rows(read_ingested(spark, out).select("custom_id", "id", "MODEL_OUTPUT"))
+
+    assert ingest() == [("b0-0", 0, "out")]
+    # Folders of batches without new results are not read again.
+    spoil(f"{path}/batch_range_1=0")
+    spoil(f"{path}/batch_range_1=3")
+    write_lines(spark, files, [result_line("b2-1", texts=("late",))])
+    want = [("b0-0", 0, "out"), ("b2-1", 5, "late")]
+    assert ingest() == want
+    # A micro-batch whose end was not noted is done again and written once.
+    commits = f"{progress.removeprefix('file:')}/commits"
+    os.remove(f"{commits}/1")
+    if os.path.exists(f"{commits}/.1.crc"):
+        os.remove(f"{commits}/.1.crc")
+    assert ingest() == want
+    with pytest.raises(ValueError, match="another checkpoint"):
+        ingest_ranges(stored, stream_results(spark, files, 1), out, progress + "-new")
+
+
+def test_requests_without_ranges_are_refused(spark, path):
+    with pytest.raises(ValueError, match="by range"):
+        match_in_ranges(requests_of(spark, 4, 2), spark.createDataFrame([("b0-0", "x")], "custom_id string, MODEL_OUTPUT string"))
+    with pytest.raises(ValueError, match="at least 1"):
+        batches.store_request_ranges(requests_of(spark, 4, 2), path, 0)
