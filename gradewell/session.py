@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -21,7 +22,11 @@ LOCAL_SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
 }
 
+#: Seconds between two looks, in a ``temporary`` block, for shuffles that no plan needs any more.
+RELEASE_EVERY = 3.0
+
 _local_scratch: str | None = None
+_released = 0.0
 
 
 def local_session(cores: int | str = 8, name: str = "gradewell", **settings: str) -> SparkSession:
@@ -70,6 +75,8 @@ def materialize(df: DataFrame, path: str | None = None, label: str = "rows") ->
     """Write ``df`` and read it back: what it took to make is not done again, also
     not when an executor is lost.  The path is new unless one is given."""
     own = path is None
+    if _scopes.get() and time.monotonic() - _released > RELEASE_EVERY:
+        release(df.sparkSession)
     path = path or scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -114,6 +121,8 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffles of plans that are not referred to any more."""
+    global _released
+    _released = time.monotonic()
     gc.collect()
     spark._jvm.System.gc()
 
