@@ -78,7 +78,8 @@ def materialize(df: DataFrame, path: str | None = None, label: str = "rows") ->
     if _scopes.get() and time.monotonic() - _released > RELEASE_EVERY:
         release(df.sparkSession)
     path = path or scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    # Scratch tables are read once or twice: a smaller copy is worth some more work.
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     if own:
         out.scratch = path
