@@ -434,7 +434,8 @@ def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
     holders = banded.select("h", "doc_id", "row").join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     holders = holders.groupBy("first.doc_id", "first.row").agg(F.collect_list("h").alias("wanted"))
     sets = texts.join(holders, ["doc_id", "row"]).select("text", "wanted").mapInArrow(_unit_sets, _SETS)
-    sets = materialize(sets.dropDuplicates(["id"]), label="unit-sets")
+    # Every unit has one holder, and a text's sets are made at once: no id comes twice.
+    sets = materialize(sets, label="unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for letter in "ab":
