@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,7 +75,7 @@ def materialize(df: DataFrame, path: str | None = None, label: str = "rows") ->
     """Write ``df`` and read it back: what it took to make is not done again, also
     not when an executor is lost.  The path is new unless one is given."""
     own = path is None
-    if _scopes.get() and time.monotonic() - _released > RELEASE_EVERY:
+    if _scopes.open() and time.monotonic() - _released > RELEASE_EVERY:
         release(df.sparkSession)
     path = path or scratch_path(df.sparkSession, label)
     # Scratch tables are read once or twice: a smaller copy is worth some more work.
@@ -83,13 +83,22 @@ def materialize(df: DataFrame, path: str | None = None, label: str = "rows") ->
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     if own:
         out.scratch = path
-        if _scopes.get():
-            _scopes.get()[-1].append(out)
+        if _scopes.open():
+            _scopes.open()[-1].append(out)
     return out
 
 
-#: Tables of the ``temporary`` blocks that are open, the innermost last.
-_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+class _Scopes(dict):
+    """Tables of the ``temporary`` blocks that are open in each thread, the innermost last.  A pickled one is empty."""
+
+    def open(self) -> tuple[list[DataFrame], ...]:
+        return self.get(threading.get_ident(), ())
+
+    def __reduce__(self):
+        return _Scopes, ()
+
+
+_scopes = _Scopes()
 
 
 @contextmanager
@@ -101,8 +110,8 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     to any more go as well, as soon as Spark's cleaner gets to them.
     """
     tables: list[DataFrame] = []
-    outer = _scopes.get()
-    token = _scopes.set((*outer, tables))
+    outer = _scopes.open()
+    _scopes[threading.get_ident()] = (*outer, tables)
 
     def keep(table: DataFrame) -> DataFrame:
         if any(t is table for t in tables):
@@ -116,7 +125,7 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     try:
         yield keep
     finally:
-        _scopes.reset(token)
+        _scopes[threading.get_ident()] = outer
         discard(*tables)
 
 
