@@ -22,14 +22,15 @@ from gradewell.functions.verdict import is_correct
 from gradewell.operators import grading
 from gradewell.operators.inference import answer_requests
 from gradewell.operators.numbering import first_rows, read_numbered
-from gradewell.plans.evaluation import evaluate_with_metrics, grade
-from gradewell.plans.execution import best_of_n_responses, execute, response_records
+from gradewell.plans.evaluation import evaluate, evaluate_with_metrics, grade
+from gradewell.plans.execution import best_of_n_responses, execute, execute_stored, response_records
 from gradewell.plans.feedback import correct_answers, feedback_requests, parse_feedback
 from gradewell.plans.feedback import keep_corrected as only_corrected
 from gradewell.plans.preference import preference_pairs as pairs_of
 from gradewell.plans.preference import preference_set as triples
 from gradewell.plans.questions import flag_missing as with_missing
 from gradewell.plans.questions import rewrite_questions
+from gradewell.session import scratch_path
 
 # --- stand-in models ---------------------------------------------------------
 
@@ -179,6 +180,25 @@ def execute_answers(spark, sf):
     return execute(docs, "text", make_answerer, batch_size=64).drop("text")
 
 
+@query(f"SELECT doc_id, lang, CASE WHEN refused THEN '' ELSE {ANSWER_SQL} END AS model_response FROM {SOURCED_SQL}")
+def execute_by_length(spark, sf):
+    """Answers from batches of texts of similar length, with at most 100,000 characters when padded."""
+    docs = sourced(spark, sf).select("doc_id", "lang", "text")
+    return execute(docs, "text", make_answerer, batch_size=64, padded=100_000).drop("text")
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN text IN (SELECT text FROM {SOURCED_SQL} WHERE lang = 'en') THEN 'first' ELSE 'second' END AS model_response,
+           'success' AS status FROM {SOURCED_SQL}
+""")
+def resumed_answers(spark, sf):
+    """English questions are answered by a first run; a second one over all answers the rest only."""
+    docs, store = sourced(spark, sf).select("doc_id", "lang", "text"), scratch_path(spark, "answers")
+    execute_stored(docs.where("lang = 'en'"), "text", lambda: lambda chats: ["first"] * len(chats), store, "a-model", batch_size=64, rounds=4)
+    out = execute_stored(docs, "text", lambda: lambda chats: ["second"] * len(chats), store, "a-model", batch_size=64, rounds=4)
+    return out.select("doc_id", "model_response", "status")
+
+
 @query(f"""
     SELECT doc_id::VARCHAR AS id, text AS question, CASE WHEN refused THEN '' ELSE {ANSWER_SQL} END AS response,
            CASE WHEN refused THEN 'error' ELSE 'success' END AS status, CASE WHEN refused THEN 'refused' END AS error
@@ -269,6 +289,34 @@ def evaluate_best_of_n(spark, sf):
     return metrics_row(spark, seen)
 
 
+def make_refusing_sampler():
+    """Draws for a boxed answer; questions from one source fail for every sample."""
+    draw = make_boxed_sampler()
+
+    def sample(chats, numbers):
+        if any(_last_turn(c, "user").startswith(FAILING) for c in chats):
+            raise ValueError("refused")
+        return draw(chats, numbers)
+
+    return sample
+
+
+def make_boxed_scorer_or_zero():
+    return lambda chats: [float(_last_turn(c, "assistant")[7:-1] or 0) for c in chats]
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN refused THEN 'error' ELSE 'success' END AS response_status, CASE WHEN refused THEN 'refused' END AS response_error,
+           NOT refused AND best = length(text) * 4 % 11 AS is_correct
+    FROM {SOURCED_SQL} JOIN (SELECT doc_id, max(length(text) * (n + 3) % 11) AS best FROM {SOURCED_SQL}, range(5) AS samples(n) GROUP BY doc_id) USING (doc_id)
+""")
+def graded_best_of_n(spark, sf):
+    """The best of five answers, graded; a question of which all samples fail is marked, not just wrong."""
+    docs = sourced(spark, sf).select("doc_id", "text", (F.length("text") * 4 % 11).cast("string").alias("answer"))
+    graded = evaluate(docs, "text", "answer", make_judge, make_fn=make_refusing_sampler, make_score_fn=make_boxed_scorer_or_zero, batch_size=64, status=True)
+    return graded.select("doc_id", "response_status", "response_error", "is_correct")
+
+
 # --- records and triples -----------------------------------------------------
 
 

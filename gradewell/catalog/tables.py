@@ -66,7 +66,7 @@ def synthetic_ids(spark, sf):
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def sample_limit(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", (-F.col("o_totalprice")).alias("rank"))
-    return numbering.first_rows(orders, 100, ["rank", "o_orderkey"]).drop("rank")
+    return numbering.first_rows(orders, 100, ["rank", "o_orderkey"], stored_input=True).drop("rank")
 
 
 @query("""
@@ -236,7 +236,7 @@ def attach_last_responses(spark, sf):
        "arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def last_wins(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
-    return matching.last_wins(events, "user_id", "event_id")
+    return matching.last_wins(events, "user_id", "event_id", stored_input=True)
 
 
 @query("""

@@ -2,8 +2,8 @@
 
 The caller gives a function that loads the model and returns the function to
 call; it runs once per Python worker.  Only the text column goes to Python, in
-Arrow batches.  A failing batch is tried again row by row, so a bad row costs
-its own result and no other.
+Arrow batches.  A failing batch is tried again in halves, so a bad row costs its own
+result, some calls that double with the batch's size once each, and no other result.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ MakeFn = Callable[[], Callable[..., Sequence]]
 
 SUCCESS, ERROR = "success", "error"
 
+#: Batches' worth of rows from which batches of similar length are made.
+POOL = 16
+
 # Output fields of a model: name, type and the value a failed row gets.
 TEXT = (("response", T.StringType(), ""),)
 SCORE = (("score", T.DoubleType(), None),)
@@ -53,7 +56,20 @@ def _call(fn: Callable, fields: Sequence[tuple], *inputs: list) -> list[tuple]:
     except Exception as e:
         if rows == 1:
             return [(*(default for _, _, default in fields), ERROR, str(e))]
-        return [_call(fn, fields, *([v] for v in row))[0] for row in zip(*inputs)]
+        half = rows // 2
+        return _call(fn, fields, *(i[:half] for i in inputs)) + _call(fn, fields, *(i[half:] for i in inputs))
+
+
+def _by_length(texts: list, most: int, padded: int, length: Callable[[str], int]) -> list[list[int]]:
+    """Places of texts in batches of similar length: at most ``most``, and at most ``padded`` when all are as long as the longest."""
+    sizes = [length(t) if t is not None else 0 for t in texts]
+    batches: list[list[int]] = []
+    for i in sorted(range(len(texts)), key=sizes.__getitem__):
+        if batches and len(batches[-1]) < most and (len(batches[-1]) + 1) * sizes[i] <= padded:
+            batches[-1].append(i)
+        else:
+            batches.append([i])
+    return batches
 
 
 def _columns(rows: list[tuple], fields: Sequence[tuple], shape: tuple) -> dict[str, np.ndarray]:
@@ -73,41 +89,67 @@ def model_output(
     fields: Sequence[tuple] = TEXT,
     samples: int | None = None,
     places: int | None = None,
+    padded: int | None = None,
+    length: Callable[[str], int] = len,
+    before: Column | None = None,
+    after: str = "",
 ) -> Column:
     """Struct of the model's fields plus ``status`` and ``error``.
 
     With ``samples`` each text is given that often, and the model gets the
     sample numbers as its second argument, to seed each draw: a task run again
     after a lost executor then draws the same.  With ``places`` the column is an
-    array of that many texts.  In both cases every field is an array.  The
+    array of that many texts.  In both cases every field is an array.
+
+    ``before``, with ``places``, is text that stands before each of the row's texts,
+    and ``after`` text behind them: sent once a row, put together in the worker.
+
+    A model pads a batch to its longest text.  With ``padded`` batches are made of
+    texts of similar ``length`` instead of neighbours, POOL batches' worth at a
+    time, so that rows times the longest length stay within it; a longer text goes
+    alone.  Results come back in the order of the rows all the same.  The
     result is marked as not repeatable: write it before using it twice.
     """
-    if batch_size < 1:
-        raise ValueError("batch_size must be at least 1")
+    if before is not None and not places:
+        raise ValueError("before needs places")
+    if batch_size < 1 or (padded is not None and padded < 1):
+        raise ValueError("batch_size and padded must be at least 1")
+
+    framed = before is not None
 
     def make():
         fn = make_fn()
 
-        def run(texts: np.ndarray) -> dict[str, np.ndarray]:
+        def run(texts: np.ndarray, heads: np.ndarray | None = None) -> dict[str, np.ndarray]:
             shape = texts.shape + ((samples,) if samples else ())
             flat = texts.reshape(-1).tolist()
+            if heads is not None:
+                given = zip(np.repeat(heads, places).tolist(), flat)
+                flat = [None if head is None or text is None else head + text + after for head, text in given]
             inputs = [flat]
             if samples:
                 inputs = [[t for t in flat for _ in range(samples)], list(range(samples)) * len(flat)]
+            if padded:
+                results: list = [None] * len(inputs[0])
+                for batch in _by_length(inputs[0], batch_size, padded, length):
+                    for i, result in zip(batch, _call(fn, fields, *([column[i] for i in batch] for column in inputs))):
+                        results[i] = result
+                return _columns(results, fields, shape)
             results = []
             for start in range(0, len(inputs[0]), batch_size):
                 results += _call(fn, fields, *(i[start:start + batch_size] for i in inputs))
             return _columns(results, fields, shape)
 
-        return run
+        # The number of parameters is the number of columns.
+        return run if framed else lambda texts: run(texts)
 
     many = samples or places
     wrap = T.ArrayType if many else (lambda t: t)
     extra = [("status", T.StringType()), ("error", T.StringType())]
     schema = T.StructType([T.StructField(n, wrap(t)) for n, t in [f[:2] for f in fields] + extra])
     run = predict_batch_udf(
-        make, return_type=schema, batch_size=batch_size, input_tensor_shapes=[[places]] if places else None)
-    return run.asNondeterministic()(text)
+        make, return_type=schema, batch_size=batch_size * (POOL if padded else 1), input_tensor_shapes={0: [places]} if places else None)
+    return run.asNondeterministic()(text, *([] if before is None else [before]))
 
 
 def answer_requests(requests: DataFrame, make_fn: MakeFn, batch_size: int, prompt: str = "PROMPT") -> DataFrame:

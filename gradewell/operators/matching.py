@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct
+from gradewell.session import materialize
 
 
-def last_wins(df: DataFrame, key: str | list[str], seq: Column | str) -> DataFrame:
+#: Up to here the places of winning rows (8 bytes each) are broadcast; beyond, Spark chooses the join.
+BROADCAST_WINNERS = 500_000
+
+
+def last_wins(df: DataFrame, key: str | list[str], seq: Column | str, stored_input: bool = False) -> DataFrame:
     """One row per key, the one with the highest ``seq``.
 
     Each task first keeps its own best row per key, so a key with very many
     rows costs one row per task in the shuffle.  Rows that tie on ``seq`` are
     told apart by their other columns, so the result does not depend on order.
+
+    Where ``df`` is read straight from stored files, ``stored_input`` compares
+    keys, ``seq`` and reading places alone and then reads the winning rows by
+    their places, so wide columns are neither sorted nor aggregated; of rows that
+    tie, the last one read wins.
     """
     keys = [key] if isinstance(key, str) else list(key)
     require_columns(df, *keys, *([seq] if isinstance(seq, str) else []))
     seq = quoted(seq) if isinstance(seq, str) else seq
+    if stored_input:
+        return _last_read(df, keys, seq)
     rest = [c for c in df.columns if c not in keys]
     best_name = fresh(df, "_best")
     best = df.groupBy(*[quoted(k) for k in keys]).agg(
@@ -26,6 +38,18 @@ def last_wins(df: DataFrame, key: str | list[str], seq: Column | str) -> DataFra
         quoted(c) if c in keys else F.col(best_name).getField(c).alias(c) for c in df.columns])
 
 
+def _last_read(df: DataFrame, keys: list[str], seq: Column) -> DataFrame:
+    place = fresh(df, "_place")
+    rows = df.withColumn(place, F.monotonically_increasing_id())
+    best = F.max(F.struct(seq.alias("seq"), F.col(place).alias("place")))
+    winners = rows.groupBy(*[quoted(k) for k in keys]).agg(best.alias("best")).select(F.col("best.place").alias(place))
+    seen = Observation()
+    winners = materialize(winners.observe(seen, F.count(F.lit(1)).alias("n")), label="winners")
+    if seen.get["n"] <= BROADCAST_WINNERS:
+        winners = F.broadcast(winners)
+    return rows.join(winners, place, "left_semi").drop(place)
+
+
 def _join_grouped(df: DataFrame, grouped: DataFrame, key: str, how: str) -> DataFrame:
     """Join with a table that was grouped by the same key.
 

@@ -10,8 +10,9 @@ re-reads files instead of sorting again with other range bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradewell.operators.schema import fresh, quoted, require_columns, require_distinct
 from gradewell.session import materialize, scratch_path
@@ -23,8 +24,8 @@ _PLACE_BITS = 33
 # broadcast; beyond, Spark chooses the join.
 BROADCAST_PARTS = 500_000
 
-# Up to here the first rows are found by a top-n over their keys alone; beyond,
-# all rows are numbered.  Both order ties by reading order and give the same rows.
+# Up to here the n-th key is found by a top-n over keys alone; beyond, by counts of
+# ranges of keys.  Both order ties by reading order and give the same rows.
 TOP_N_LIMIT = 10_000
 
 
@@ -124,24 +125,53 @@ def with_ids(
 def first_rows(df: DataFrame, n: int | None, order_by: list[str], stored_input: bool = False) -> DataFrame:
     """The first ``n`` rows by ``order_by``; all of them for none or zero.
 
-    Rows that tie keep their reading order.  Only keys are compared; the rows
-    stay in the tasks that read them.  For ``stored_input`` see ``with_row_index``.
+    Rows that tie keep their reading order.  The keys of the n-th row are found
+    first, from keys alone; the rows are then filtered by them where they are
+    read, without a join, a sort or a shuffle.  For ``stored_input`` see
+    ``with_row_index``.
     """
     require_columns(df, *order_by)
     if not n:
         return df
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if any(not isinstance(kinds.get(k), _PLAIN) for k in order_by):
+        index = fresh(df, "_index")
+        return with_row_index(df, order_by, index, stored_input=stored_input).where(F.col(index) < n).drop(index)
+    read = fresh(df, "_read_order")
+    rows = df.withColumn(read, F.monotonically_increasing_id())
+    if not stored_input:
+        rows = materialize(rows, label="rows")
+    # Times are compared as numbers: these pass through the driver unchanged.
+    keys = [F.unix_micros(quoted(k)) if isinstance(kinds[k], T.TimestampType) else quoted(k) for k in order_by]
+    keys = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(read).alias("read"))
+    last = _nth(rows.select(keys.alias("key")), n)
+    if last is None:
+        return rows.drop(read)
+    values = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last, rows.select(keys.alias("key")).schema["key"].dataType.fields)]
+    return rows.where(keys <= F.struct(*values)).drop(read)
+
+
+#: Key types whose values pass through the driver unchanged.
+_PLAIN = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.BinaryType)
+
+
+def _nth(rows: DataFrame, n: int) -> Row | None:
+    """The ``n``-th smallest ``key``; none if there are no more rows than ``n``.
+
+    Up to TOP_N_LIMIT each task keeps its first keys.  Beyond, keys are dealt out
+    by range and counted, and only the range that holds the n-th one is sorted.
+    """
     if n <= TOP_N_LIMIT:
-        read = fresh(df, "_read_order")
-        rows = df.withColumn(read, F.monotonically_increasing_id())
-        if not stored_input:
-            rows = materialize(rows, label="rows")
-        keys = [quoted(k) for k in order_by]
-        first = rows.select(*keys, read).orderBy(*keys, read).limit(n).select(read)
-        first = materialize(first, label="first")
-        # At most TOP_N_LIMIT numbers.
-        return rows.join(F.broadcast(first), read, "left_semi").drop(read)
-    index = fresh(df, "_index")
-    return with_row_index(df, order_by, index, stored_input=stored_input).where(F.col(index) < n).drop(index)
+        found = rows.orderBy("key").limit(n).collect()
+        return found[-1]["key"] if len(found) == n else None
+    dealt = materialize(rows.repartitionByRange("key").withColumn("part", F.spark_partition_id()), label="ranges")
+    before = 0
+    # One row per partition of a shuffle.
+    for r in sorted(dealt.groupBy("part").count().collect()):
+        if before + r["count"] >= n:
+            return dealt.where(F.col("part") == r["part"]).orderBy("key").offset(n - before - 1).limit(1).first()["key"]
+        before += r["count"]
+    return None
 
 
 def batch_columns(index: Column, batch_size: int) -> dict[str, Column]:

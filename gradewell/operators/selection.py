@@ -72,17 +72,23 @@ def group_candidates(
 ) -> DataFrame:
     """The ``n`` responses of each question as one array in sample order.
 
-    There is one place per sample number, so a group holds n texts at most,
-    however many rows carry the same question.  A missing sample is null; two
-    rows for one place, or a sample number outside 0 to n-1, fail the query.
+    A missing sample is null; two rows for one place, or a sample number outside
+    0 to n-1, fail the query.  Numbers are checked first, by counts alone, so a
+    group that texts are collected for has n rows at most, however many rows
+    carry the same question.
     """
     require_columns(df, question_id, response, sample_no)
-    number = quoted(sample_no)
-    places = [F.max(F.when(number == i, quoted(response))).alias(f"_{i}") for i in range(n)]
-    outside = F.count_if(~number.between(0, n - 1) | number.isNull()).alias("_outside")
-    twice = F.greatest(F.lit(0), *[F.count_if(number == i) for i in range(n)]).alias("_rows")
-    grouped = df.groupBy(quoted(question_id)).agg(outside, twice, *places)
-    checked = F.when(F.col("_outside") > 0, F.raise_error(F.lit(f"sample number outside 0 to {n - 1}")).cast("array<string>"))
-    checked = checked.when(F.col("_rows") > 1, F.raise_error(F.lit("two rows for one sample number")).cast("array<string>"))
-    return grouped.select(
-        quoted(question_id), checked.otherwise(F.array(*[f"_{i}" for i in range(n)])).alias("responses"))
+    rows = df.select(quoted(question_id).alias("question"), quoted(sample_no).alias("number"), quoted(response).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("question"))
+    wrong = F.count_if(~F.col("number").between(0, n - 1) | F.col("number").isNull())
+    twice = F.greatest(F.lit(0), *[F.count_if(F.col("number") == i) for i in range(n)])
+    checked = rows.groupBy("hash", "question").agg(wrong.alias("wrong"), twice.alias("twice"))
+    fine = F.when(F.col("wrong") > 0, F.raise_error(F.lit(f"sample number outside 0 to {n - 1}")).cast("boolean"))
+    fine = fine.when(F.col("twice") > 1, F.raise_error(F.lit("two rows for one sample number")).cast("boolean")).otherwise(True)
+    checked = checked.where(fine).select(F.col("hash").alias("of_hash"), F.col("question").alias("of"))
+    same = (F.col("hash") == F.col("of_hash")) & F.col("question").eqNullSafe(F.col("of"))
+    texts = rows.join(checked, same).groupBy("hash", "question").agg(
+        F.map_from_entries(F.collect_list(F.struct("number", "text"))).alias("texts"))
+    at = dict(rows.dtypes)["number"]
+    return texts.select(
+        F.col("question").alias(question_id), F.array(*[F.try_element_at("texts", F.lit(i).cast(at)) for i in range(n)]).alias("responses"))

@@ -75,17 +75,19 @@ def evaluate(
 
     Without ``response_col`` the model behind ``make_fn`` answers; with
     ``make_score_fn`` too, the best of ``n_samples`` answers is graded.  With
-    ``status=True`` the judge's status is kept, and that of a single answer too, as
-    ``response_status`` and ``response_error``: a failed one is no wrong answer.
+    ``status=True`` the judge's status is kept, and that of the answer too, as
+    ``response_status`` and ``response_error``: a failed one is no wrong answer, and
+    of several answers all must have failed.
     """
     if response_col is None:
         if make_fn is None:
             raise ValueError("give response_col, or make_fn to make responses")
         response_col = "model_response"
         options = {"output_col": response_col, "mode": mode, "batch_size": batch_size, "fmt": fmt}
+        options |= {"status": bool(grading.get("status")), "status_prefix": "response_"}
+        require_distinct([*df.columns, response_col, *(["response_status", "response_error"] if grading.get("status") else [])])
         if make_score_fn is None:
-            require_distinct([*df.columns, response_col, *(["response_status", "response_error"] if grading.get("status") else [])])
-            df = execute(df, question_col, make_fn, status=bool(grading.get("status")), status_prefix="response_", **options)
+            df = execute(df, question_col, make_fn, **options)
         else:
             df = best_of_n_responses(df, question_col, make_fn, make_score_fn, n_samples, **options)
     return grade(df, question_col, response_col, answer_col, make_judge_fn, batch_size=batch_size, fmt=fmt, **grading)
