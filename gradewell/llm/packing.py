@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm.hashing import pieces as runs
+from gradewell.llm.workers import kept
 from gradewell.session import materialize
 
 CAPACITY = 2048
@@ -37,17 +38,15 @@ SEARCH_STEPS = 10_000
 CACHED_WORDS = 900_000
 _PLACE_BITS = 33
 
-_loaded: dict[str, tuple] = {}
-
-
 def _tokenizer(path: str) -> tuple:
     """The tokenizer at ``path``, its words' ids, and whether a text's ids are those of its words; once per worker."""
-    if path not in _loaded:
+    loaded = kept("tokenizers")
+    if path not in loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        _loaded[path] = (tokenizer, {}, by_words(json.loads(tokenizer.to_str())))
-    return _loaded[path]
+        loaded[path] = (tokenizer, {}, by_words(json.loads(tokenizer.to_str())))
+    return loaded[path]
 
 
 #: What the pre-tokenizer's pattern may be for texts to be taken apart at white space: runs of letters, single numbers, runs of other signs.

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from gradewell.llm.charlm import WORD, CharModel, StoredModel, kneser_ney, learn
 from gradewell.llm.hashing import pieces
 from gradewell.llm.language_id import fold
+from gradewell.llm.workers import kept
 from gradewell.session import materialize
 
 # Letters that digits and signs stand for.
@@ -363,15 +364,13 @@ class _Read:
         return places
 
 
-#: What this worker has read, under the key of the model; one model at a time.
-_reads: dict[str, _Read] = {}
-
-
 def _worker_read(key: str, model: ToxicityModel) -> _Read:
-    if key not in _reads:
-        _reads.clear()
-        _reads[key] = _Read(model)
-    return _reads[key]
+    """What this worker has read under the model of that key; one model at a time."""
+    reads = kept("toxicity")
+    if key not in reads:
+        reads.clear()
+        reads[key] = _Read(model)
+    return reads[key]
 
 
 def _scores(model: ToxicityModel):

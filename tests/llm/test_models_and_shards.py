@@ -235,3 +235,19 @@ def test_units_of_one_text():
     u = substring_dedup.Units([text, LONG])
     assert u.number[:3].tolist() == [0, 1, 2] and u.line_sizes[:2].tolist() == [9, 10]
     assert substring_dedup.without_units(text, []) == text
+
+
+def test_workers_keep_what_they_have_read(spark):
+    """From task to task, although the package travels by value."""
+    from gradewell.llm.workers import kept
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = kept("test")
+        for batch in batches:
+            own["rows"] = own.get("rows", 0) + batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([own["rows"]])], ["n"])
+
+    counts = [r.n for r in spark.range(0, 4000, 1, 40).mapInArrow(run, "n long").collect()]
+    assert max(counts) > 100
