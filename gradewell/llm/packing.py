@@ -2,13 +2,12 @@
 
 Bins of one capacity are filled from a histogram of piece lengths, which has at
 most ``capacity`` entries however many documents there are.  A step takes the
-largest length left, enumerates the undominated fillings of the room beside it
-(nothing left would still fit, and no smaller length stands where a larger one
-fits as well), and applies the chosen filling as often as the counts allow.  The
-search goes depth first over steps; its first solution is best fit, which is the
-incumbent, and a branch ends when the waste of its closed bins exceeds what a
-better solution could afford.  Pieces then find their sequence by their rank
-among the pieces of equal length, from per-partition counts.
+largest length left, enumerates the undominated fillings of the room beside it,
+and applies the chosen filling as often as the counts allow.  The search goes
+depth first over steps; its first solution is best fit, which is the incumbent,
+and a branch ends when the waste of its closed bins exceeds what a better
+solution could afford.  Pieces then find their sequence by their rank among the
+pieces of equal length, from per-partition counts.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ import os
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from gradewell.session import materialize
 
 CAPACITY = 2048
 #: Fillings tried beside one largest length, and nodes of their enumeration.
-CHOICES, FILL_NODES = 3, 400
+CHOICES, FILL_NODES = 6, 600
 #: Steps of the whole search before the incumbent is taken.
 SEARCH_STEPS = 10_000
 #: Words kept with their ids in one worker.
@@ -172,48 +172,57 @@ def _cut(path: str, capacity: int, with_ids: bool):
 
 
 def fillings(left: np.ndarray, room: int, largest: int) -> list[tuple[list[int], int]]:
-    """Undominated fillings of ``room`` from the histogram ``left``, by waste; at most CHOICES.
+    """Undominated fillings of ``room`` from the histogram ``left``, by waste; the CHOICES best of those met in FILL_NODES steps.
 
-    The first one tried takes the largest length that fits, again and again.
+    A filling is dominated if a length that is left could be added, or could take
+    the place of a smaller one in it.  The first one tried takes the largest length
+    that fits, again and again.
     """
-    lengths = np.flatnonzero(left[: min(room, largest) + 1])
+    lengths = np.flatnonzero(left[: min(room, largest) + 1]).tolist()
     found: list[tuple[list[int], int]] = []
-    nodes = 0
     used: dict[int, int] = {}
+    nodes = 0
 
-    def below(most: int) -> int:
-        """Place after the last length of at most ``most``."""
-        return int(np.searchsorted(lengths, most, "right"))
+    def dominated(chosen: list[int], space: int) -> bool:
+        """Whether some length left is more than one of ``chosen``, or than nothing, by ``space`` at most."""
+        for c in {0, *chosen}:
+            for k in range(bisect_right(lengths, c), len(lengths)):
+                if lengths[k] - c > space:
+                    break
+                if left[lengths[k]] > used.get(lengths[k], 0):
+                    return True
+        return False
 
     def descend(chosen: list[int], space: int, place: int) -> bool:
+        """Whether enough was found."""
         nonlocal nodes
         nodes += 1
-        place = min(place, below(space))
-        tried = 0
-        while place > 0:
-            length = int(lengths[place - 1])
+        if not dominated(chosen, space):
+            found.append((chosen, space))
+            if sum(waste == 0 for _, waste in found) >= CHOICES:
+                return True
+        place = min(place, bisect_right(lengths, space))
+        while place > 0 and nodes < FILL_NODES:
+            length = lengths[place - 1]
             place -= 1
             if left[length] <= used.get(length, 0):
                 continue
-            tried += 1
             used[length] = used.get(length, 0) + 1
             done = descend([*chosen, length], space - length, place + 1)
             used[length] -= 1
-            if done or nodes >= FILL_NODES:
-                return done
-            if length * 2 <= space and tried:
-                # Below half the room a smaller length here only repeats fillings in another order or is dominated.
-                break
-        if not tried:
-            if not found or space < found[-1][1] or len(found) < CHOICES:
-                found.append((chosen, space))
-                found.sort(key=lambda x: (x[1], len(x[0])))
-                del found[CHOICES:]
-            return space == 0
-        return False
+            if done:
+                return True
+        return nodes >= FILL_NODES
 
     descend([], room, len(lengths))
-    return found
+    if not found:
+        # Out of steps: the largest that fits, again and again.
+        chosen, space, rest = [], room, left.copy()
+        for length in reversed(lengths):
+            n = min(int(rest[length]), space // length)
+            chosen, space = chosen + [length] * n, space - length * n
+        found.append((chosen, space))
+    return sorted(found, key=lambda x: (x[1], len(x[0])))[:CHOICES]
 
 
 def _times(left: np.ndarray, bin_: list[int]) -> int:
@@ -221,49 +230,76 @@ def _times(left: np.ndarray, bin_: list[int]) -> int:
     return int((left[lengths] // uses).min())
 
 
+def least_bins(histogram: np.ndarray, capacity: int) -> int:
+    """Fewest bins there can be: by total length, and by pieces that no bin holds two of with the room they leave."""
+    lengths = np.arange(len(histogram))
+    best = -(-int((histogram * lengths).sum()) // capacity)
+    for small in range(1, capacity // 2 + 1):
+        # Pieces above capacity - small and above half have bins of their own; what lies from small to half fills the room of the latter.
+        alone = int(histogram[capacity - small + 1:].sum())
+        half = slice(capacity // 2 + 1, capacity - small + 1)
+        middle = slice(small, capacity // 2 + 1)
+        halves = int(histogram[half].sum())
+        room = halves * capacity - int((histogram[half] * lengths[half]).sum())
+        rest = int((histogram[middle] * lengths[middle]).sum()) - room
+        best = max(best, alone + halves + max(0, -(-rest // capacity)))
+    return best
+
+
 def plan_bins(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Bins as (lengths, how often), packing ``histogram[length]`` pieces into as few bins as found."""
+    """Bins as (lengths, how often), packing ``histogram[length]`` pieces into as few bins as found.
+
+    Depth first; the first solution, best fit throughout, is the incumbent.  Then
+    solutions with one choice that is not the first are looked at, then two, four
+    and so on, until the lower bound is met, nothing is left to try, or
+    SEARCH_STEPS steps are done.
+    """
     total = int((histogram * np.arange(len(histogram))).sum())
-    least = max(-(-total // capacity), int(histogram[capacity // 2 + 1:].sum()))
+    least = least_bins(histogram, capacity)
     best: list[tuple[list[int], int]] | None = None
-    best_bins = 0
-    steps = 0
-    # Each entry: histogram left, waste so far, bins so far, plan as a linked list, how many choices were not the first.
-    stack = [(histogram.copy(), 0, 0, None, 0)]
-    while stack and steps < SEARCH_STEPS:
-        left, waste, bins, plan, turns = stack.pop()
-        while True:
-            steps += 1
-            allowed = None if best is None else (best_bins - 1) * capacity - total
-            if allowed is not None and waste > allowed:
-                break
-            lengths = np.flatnonzero(left)
-            if not len(lengths):
-                if best is None or bins < best_bins:
+    best_bins = steps = 0
+    most_turns, cut = 0, True
+
+    def after(plan: tuple | None) -> np.ndarray:
+        left = histogram.copy()
+        while plan:
+            np.subtract.at(left, plan[0][0], plan[0][1])
+            plan = plan[1]
+        return left
+
+    while cut and (best is None or (best_bins > least and steps < SEARCH_STEPS)):
+        cut = False
+        # Each entry: waste and bins so far, plan as a linked list, how many choices were not the first.
+        stack: list[tuple] = [(0, 0, None, 0)]
+        while stack and (best is None or (best_bins > least and steps < SEARCH_STEPS)):
+            waste, bins, plan, turns = stack.pop()
+            left = after(plan)
+            while best is None or waste <= (best_bins - 1) * capacity - total:
+                steps += 1
+                lengths = np.flatnonzero(left)
+                if not len(lengths):
                     best, best_bins, node = [], bins, plan
                     while node:
                         best.append(node[0])
                         node = node[1]
-                break
-            largest = int(lengths[-1])
-            left[largest] -= 1
-            options = fillings(left, capacity - largest, largest)
-            left[largest] += 1
-            for other, room in reversed(options[1:] if turns < 2 else []):
-                bin_ = [largest, *other]
-                n = _times(left, bin_)
-                rest = left.copy()
-                np.subtract.at(rest, bin_, n)
-                stack.append((rest, waste + room * n, bins + n, ((bin_, n), plan), turns + 1))
-            other, room = options[0]
-            bin_ = [largest, *other]
-            n = _times(left, bin_)
-            np.subtract.at(left, bin_, n)
-            waste, bins, plan = waste + room * n, bins + n, ((bin_, n), plan)
-        if best is not None and best_bins <= least:
-            break
-        # Only branches near the end of the search are worth the memory.
-        del stack[:-500]
+                    break
+                if best is not None and steps >= SEARCH_STEPS:
+                    break
+                largest = int(lengths[-1])
+                left[largest] -= 1
+                options = fillings(left, capacity - largest, largest)
+                left[largest] += 1
+                moves = [([largest, *other], room, _times(left, [largest, *other])) for other, room in options]
+                # The first filling as often as it can be; or another one, or any of them once only.
+                others = moves[1:] + [(bin_, room, 1) for bin_, room, n in moves if n > 1]
+                if others and turns >= most_turns:
+                    cut = True
+                else:
+                    stack += [(waste + room * n, bins + n, ((bin_, n), plan), turns + 1) for bin_, room, n in reversed(others)]
+                bin_, room, n = moves[0]
+                np.subtract.at(left, bin_, n)
+                waste, bins, plan = waste + room * n, bins + n, ((bin_, n), plan)
+        most_turns = max(1, 2 * most_turns)
     return best or []
 
 

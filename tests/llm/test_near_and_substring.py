@@ -274,3 +274,67 @@ def test_pieces_are_the_tokenizers_ids(spark):
         docs[-1] += tuple(np.frombuffer(r.ids, "<u4").tolist())
     assert sorted(docs) == want and not text
     assert packing.pack(table(spark, []), path).count() == 0
+
+def exact_bins(items: list[int], capacity: int) -> int:
+    """Fewest bins, by trying every place of every item."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(i: int, bins: list[int]) -> None:
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + items[i] <= capacity}.values():
+            bins[k] += items[i]
+            place(i + 1, bins)
+            bins[k] -= items[i]
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def planned_bins(items: list[int], capacity: int) -> int:
+    histogram = [0] * (capacity + 1)
+    for i in items:
+        histogram[i] += 1
+    import numpy as np
+    plan = packing.plan_bins(np.array(histogram), capacity)
+    assert sorted(x for b, n in plan for x in b * n) == sorted(items) and all(sum(b) <= capacity for b, _ in plan)
+    n = sum(n for _, n in plan)
+    assert packing.least_bins(np.array(histogram), capacity) <= n
+    return n
+
+
+def test_many_small_cases_are_optimal():
+    assert planned_bins([39, 52, 58, 47, 58, 43, 14, 32, 14, 21, 13], 100) == 4
+    assert planned_bins([5, 5, 5, 5], 4 + 6) == 2 and planned_bins([10, 5, 4, 4, 2], 20) == 2
+    pick = random.Random(6)
+    for _ in range(400):
+        capacity = pick.choice([10, 30, 100])
+        items = [pick.randint(1, max(1, capacity * pick.choice([3, 6, 9]) // 10)) for _ in range(pick.randint(1, 11))]
+        assert planned_bins(items, capacity) == exact_bins(items, capacity)
+
+
+def test_fillings_are_undominated():
+    import numpy as np
+    left = np.zeros(11, np.int64)
+    left[[5, 2]] = 1
+    left[4] = 2
+    found = packing.fillings(left, 10, 10)
+    assert found[0] == ([4, 4, 2], 0) and ([5, 4], 1) in found and all(sorted(f) != [2, 5] for f, _ in found)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_hostile_texts_get_the_tokenizers_ids(name):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    pick, tokenizer = random.Random(1), Tokenizer.from_file(public_tokenizers.path(name))
+    signs = [*"abcXYZ .,;:!?%$#&*|~<>|'0 1\t\n\r\x0b\x0c\x1c\x1d\x1f\x85", "İ", "ß", "Σ", "ς", "ǅ", "ﬁ", "é", "é", "́", "क़", " ",
+             "　", "​", "ñ", "Å", "Ω", "½", "中", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'S", "'ll", "K", "ſ", "the", "The.", "ẞ", "ͅ", "ᾳ"]
+    texts = ["".join(pick.choice(signs) for _ in range(pick.randint(0, 30))) for _ in range(5000)] + ["İ.", "İ%", "word, İ,", None, ""]
+    for text, found in zip(texts, packing.token_ids(texts, public_tokenizers.path(name)), strict=True):
+        assert np.frombuffer(found, "<u4").tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
