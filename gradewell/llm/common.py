@@ -83,10 +83,10 @@ def open_members(members: DataFrame) -> DataFrame:
     return materialize(members.join(materialize(spans, label="buckets"), "key").distinct(), label="members")
 
 
-def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(ids: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Pairs ``a, b`` that may reach ``percent`` Jaccard similarity, of ids with different labels.
 
-    ``ids``: ``id, label``; ``sets``: ``id, n, items`` (distinct longs).  With all
+    ``ids``: ``id, label``; ``sets`` gives ``id, n, items`` (distinct longs) of ids.  With all
     items in one order, rare ones first, two sets that similar share one of their
     first ``n - ceil(n * percent / 100) + 1`` items, and the first one they share
     leaves enough items behind it in both.  Copies that differ from all others
@@ -95,7 +95,7 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     label are left out.  A pair must also be near by parity: of bits that items
     toggle, as many differ at most as items do.  No pair that similar is lost.
     """
-    rows = ids.join(sets, "id").select("id", "label", "n", F.explode("items").alias("item"))
+    rows = ids.join(sets(ids.select("id")), "id").select("id", "label", "n", F.explode("items").alias("item"))
     rows = materialize(rows, label="items")
     often = materialize(rows.groupBy("item").agg(F.count("*").alias("f")), label="item-counts")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1
@@ -118,11 +118,11 @@ def prefix_pairs(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return few.join(other, "item").where(near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
 
 
-def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
     """Components of the ids that ``verify`` links, with candidates from shared buckets.
 
-    ``members``: stored ``key, id`` rows, distinct; ``sets``: stored ``id, n,
-    items``.  In small buckets all pairs are compared.  A large one usually holds
+    ``members``: stored ``key, id`` rows, distinct; ``sets`` gives the ``id, n,
+    items`` of a table of distinct ids.  In small buckets all pairs are compared.  A large one usually holds
     one family of copies, so its pairs are not listed: in each round every large
     bucket that spans several components takes one member as its centre, and the
     members of other components are compared with that one only.  What is left
@@ -135,7 +135,7 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         return keep(_linked(members, verify, sets, percent, rounds))
 
 
-def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame:
     sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")), label="bucket-sizes")
     other = members.select("key", F.col("id").alias("head"))
     small = members.join(sizes.where(F.col("n") <= SMALL), "key").join(other, "key").where("id < head")

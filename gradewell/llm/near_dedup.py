@@ -160,7 +160,7 @@ def _components(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
         return likely.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common))
 
     items = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("shingles").alias("items"))
-    labels = link_in_buckets(members, verify, items, percent)
+    labels = link_in_buckets(members, verify, lambda _: items, percent)
     groups = classes.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left")
     groups = materialize(groups.select("set_key", F.coalesce("label", "class_id").alias("group_id")), label="groups")
     out = signatures.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")

@@ -40,6 +40,8 @@ MIN_STRETCH = 20
 #: Words of an anchor.
 ANCHOR = 10
 BANDS, ROWS = 6, 2
+#: Words of 64 bits that shingles set, a power of two.
+BIT_WORDS = 2
 #: Fewest words of a sentence that is banded: in shorter ones no word can change that leaves them 0.8 alike.
 BANDED_SENTENCE = 13
 _rng = np.random.default_rng(11)
@@ -85,10 +87,10 @@ class Units:
         several = np.repeat(self.line_sentences > 1, self.line_sentences)
         return np.flatnonzero((self.sizes >= MIN_WORDS) & several)
 
-    def band_keys(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Keys of these units, one row each."""
+    def sketches(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Band keys of these units, the bits that their shingles set, and how many shingles there are; one row each."""
         if not len(starts):
-            return np.zeros((0, BANDS), np.int64)
+            return np.zeros((0, BANDS + BIT_WORDS + 1), np.int64)
         counts = sizes - SHINGLE + 1
         first = np.cumsum(counts) - counts
         w = windows(self.words.hashes, SHINGLE)[np.arange(counts.sum()) + np.repeat(starts - first, counts)]
@@ -96,7 +98,9 @@ class Units:
         keys = np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
             keys = mix(low[:, r::ROWS] + keys * np.uint64(0x9E3779B97F4A7C15))
-        return keys.view(np.int64)
+        bit, word = np.uint64(1) << (w & np.uint64(63)), (w >> np.uint64(6)) & np.uint64(BIT_WORDS - 1)
+        bits = [np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), first) for k in range(BIT_WORDS)]
+        return np.column_stack((keys, *bits, counts.astype(np.uint64))).view(np.int64)
 
 
 _UNITS = "doc_id long, row long, unit int, h long, keys binary"
@@ -113,9 +117,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 whole, single = u.long_lines(), u.long_sentences()
                 line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
                 text = at + np.concatenate((u.text[u.line_first[whole]], u.text[single]))
-                keys = [k.tobytes() for k in u.band_keys(u.lines[whole], u.line_sizes[whole])]
+                keys = [k.tobytes() for k in u.sketches(u.lines[whole], u.line_sizes[whole])]
                 banded = u.sizes[single] >= BANDED_SENTENCE
-                own = iter(u.band_keys(u.sentences[single[banded]], u.sizes[single[banded]]))
+                own = iter(u.sketches(u.sentences[single[banded]], u.sizes[single[banded]]))
                 keys += [next(own).tobytes() if b else None for b in banded]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[text]), pa.array(rows[text]),
@@ -125,12 +129,25 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(part)
 
 
+def _sketched(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, BANDS + BIT_WORDS + 1)
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
+        keys = _sketched(batch)[:, :BANDS].reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("h").to_numpy(), BANDS))], ["key", "id"])
 
 
+_BITS = ", ".join(["id long", *[f"bits{k} long" for k in range(BIT_WORDS)], "size long"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = np.ascontiguousarray(_sketched(batch)[:, BANDS:].T)
+        yield pa.RecordBatch.from_arrays([batch.column("h"), *[pa.array(c) for c in own]], [f.split()[0] for f in _BITS.split(", ")])
+
+
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted units of each text."""
     for batch in batches:
@@ -431,20 +448,34 @@ def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
     banded = units.where("keys is not null")
     members = open_members(banded.select("h", "keys").mapInArrow(_members, "key long, id long"))
     wanted = materialize(members.select(F.col("id").alias("h")).distinct(), label="candidates")
-    holders = banded.select("h", "doc_id", "row").join(wanted, "h").groupBy("h").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    holders = holders.groupBy("first.doc_id", "first.row").agg(F.collect_list("h").alias("wanted"))
-    sets = texts.join(holders, ["doc_id", "row"]).select("text", "wanted").mapInArrow(_unit_sets, _SETS)
-    # Every unit has one holder, and a text's sets are made at once: no id comes twice.
-    sets = materialize(sets, label="unit-sets")
+    # One unit stands for all with the same words.
+    holders = banded.join(wanted, "h").select("doc_id", "row", "h", "keys").groupBy("h").agg(F.min(F.struct("doc_id", "row", "keys")).alias("first"))
+    holders = materialize(holders.select("h", "first.*"), label="holders")
+    bits = materialize(holders.select("h", "keys").mapInArrow(_bits, _BITS), label="bits")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = holders.join(ids.select(F.col("id").alias("h")), "h").groupBy("doc_id", "row").agg(F.collect_list("h").alias("wanted"))
+        sets = texts.join(asked, ["doc_id", "row"]).select("text", "wanted").mapInArrow(_unit_sets, _SETS)
+        # A text's sets are made at once: no id comes twice.
+        return materialize(sets, label="unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        # Each bit that is set on one side only takes a shingle of its own that the other lacks.
+        words = [f"bits{k}" for k in range(BIT_WORDS)]
+        for letter in "ab":
+            pairs = pairs.join(bits.select(F.col("id").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in (*words, "size")]), letter)
+        differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in words), F.lit(0))
+        likely = pairs.where(differ <= (F.col("a_size") + F.col("b_size")) * (100 - percent) / (100 + percent) + 1e-9).select("a", "b")
+        likely = materialize(likely, label="likely")
+        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets, pairs = sets_of(materialize(ids, label="likely-units")), likely
         for letter in "ab":
             pairs = pairs.join(sets.select(F.col("id").alias(letter), F.col("n").alias(f"{letter}_n"), F.col("items").alias(f"{letter}_set")), letter)
         common = F.size(F.array_intersect("a_set", "b_set"))
         return pairs.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common))
 
-    labels = link_in_buckets(members, verify, sets, percent)
-    discard(members, sets)
+    labels = link_in_buckets(members, verify, sets_of, percent)
+    discard(members, holders, bits)
     classes = same.join(labels.withColumnRenamed("id", "h"), "h", "full").select("h", F.coalesce("label", "h").alias("label"))
     found = materialize(units.select("doc_id", "row", "unit", "h").join(materialize(classes, label="classes"), "h").drop("h"), label="repeats")
     at = F.struct("doc_id", "row", "unit")
