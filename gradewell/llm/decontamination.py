@@ -2,10 +2,12 @@
 
 An item's sketch is its smallest shingle hashes (bottom-k MinHash).  The share of
 a sketch that a document holds estimates how much of the item the document
-contains, however long the document is.  Items are partitioned by size: small
-ones are their own sketch and must be found to the threshold, large ones have
-SKETCH hashes and must be found to five standard errors below it.  What passes
-is verified on all shingles, as text.  Built-in functions only.
+contains, however long the document is.  Items are partitioned by size: the
+smallest are their own sketch and must be found to the threshold, those of the
+other SIZES have sketches smaller than themselves and must be found to five
+standard errors below it, which loses an item at the threshold less than once in
+100,000 times.  What passes is verified on all shingles, as text.  Built-in
+functions only.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from gradewell.operators.schema import fresh
 from gradewell.session import materialize
 
 WORDS = 5
-SKETCH = 64
+#: Size partitions: most shingles of an item, and hashes of its sketch; beyond the last one, LARGE hashes.
+SIZES, LARGE = ((12, 12), (24, 16), (64, 20)), 32
 
 
 def words(text: Column) -> Column:
@@ -42,6 +45,14 @@ def shingles(column: str) -> Column:
         F.transform(F.arrays_zip(*_shifted(column)), lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(WORDS)])))
 
 
+def sketch_size(n: Column) -> Column:
+    """Hashes in the sketch of an item of ``n`` shingles."""
+    out = F.lit(LARGE)
+    for most, size in reversed(SIZES):
+        out = F.when(n <= most, size).otherwise(out)
+    return out
+
+
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of a document and an item of which it holds ``threshold`` or more of the shingles.
 
@@ -58,10 +69,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
     sizes = full.groupBy("item_id").agg(F.count("*").alias("n_item"))
 
     hashed = items.select("item_id", F.explode(F.array_distinct(shingle_hashes("w"))).alias("h")).groupBy("item_id")
-    sketch = hashed.agg(F.slice(F.sort_array(F.collect_set("h")), 1, SKETCH).alias("sketch"), F.count("*").alias("n"))
+    sketch = hashed.agg(F.sort_array(F.collect_set("h")).alias("all")).withColumn("n", F.size("all"))
+    sketch = sketch.withColumn("sketch", F.slice("all", F.lit(1), F.least("n", sketch_size(F.col("n")))))
     k = F.size("sketch")
-    # The size partitions: up to SKETCH shingles the sketch is the item, beyond it a sample.
-    slack = F.when(F.col("n") > SKETCH, 5 * F.sqrt(k * threshold * (1 - threshold))).otherwise(0.0)
+    slack = F.when(F.col("n") > k, 5 * F.sqrt(k * threshold * (1 - threshold))).otherwise(0.0)
     sketch = sketch.select("item_id", F.ceil(k * threshold - slack - 1e-9).alias("needed"), F.explode("sketch").alias("h"))
     sketch = materialize(sketch, label="item-sketches")
 

@@ -3,7 +3,7 @@ import re
 
 import duckdb
 import pytest
-from helpers import LONG, ODD, prose, table
+from helpers import LONG, ODD, prose, table, words
 from pyspark.sql import functions as F
 
 from gradewell.llm import chat_trees, decontamination, license_scan, quality
@@ -212,3 +212,22 @@ def test_digest_of_the_added_conversation(spark):
     assert (row.n_turns, row.loss_chars) == (2, len(text))
     want = duckdb.sql(f"select sha256('{text}'), sha256(concat('user', chr(10), '{text}', chr(10), 'assistant', chr(10), '{text}', chr(10)))").fetchall()[0]
     assert (row.loss_sha256, row.turns_sha256) == want
+
+
+def test_sketches_smaller_than_items_find_what_the_exact_join_finds(spark):
+    """Items of all sizes, held to between half and all of their words: recall against brute force, and nothing else."""
+    pick = random.Random(8)
+    items = [(i, " ".join(words(3000 + i, pick.choice([8, 14, 20, 30, 50, 80, 200])))) for i in range(60)]
+    rows = []
+    for k in range(300):
+        own = items[k % 60][1].split()
+        cut = int(len(own) * pick.choice([0.5, 0.7, 0.84, 0.9, 1.0]))
+        at = pick.randint(0, len(own) - cut)
+        rows.append((k, f"{prose(k, 60)} {' '.join(own[at: at + cut])} {prose(5000 + k, 60)}"))
+    sizes = spark.range(1, 300).select(decontamination.sketch_size(F.col("id")).alias("k"), "id").collect()
+    assert any(r.k < r.id <= 24 for r in sizes) and any(r.k < r.id <= 64 for r in sizes)
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontamination.contained_items(table(spark, rows), df).collect()}
+    want = contained(rows, items)
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
+    assert got == want
