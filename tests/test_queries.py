@@ -30,7 +30,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
 
 
-WITH_MODEL = {"execute_answers", "response_status", "best_of_n_answers", "grade_answers", "feedback_made_in_place"}
+WITH_MODEL = {"execute_answers", "execute_by_length", "graded_best_of_n", "response_status", "best_of_n_answers", "grade_answers", "feedback_made_in_place"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
