@@ -2,9 +2,9 @@
 
 Every language of the labelled documents has an interpolated Kneser-Ney model
 (``charlm``); a text belongs to the one with the lowest cross-entropy per
-character.  A bounded sample of the labelled documents sets how fast the score
-rises with the distance to the next language, and from which cross-entropy on a
-text is flagged as none of the known ones.
+character.  All labelled documents together set how fast the score rises with the
+distance to the next language, and from which cross-entropy on a text is flagged
+as none of the known ones.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm.charlm import WORD, CharModel, StoredModel, learn
@@ -23,10 +23,10 @@ from gradewell.llm.hashing import pieces
 from gradewell.session import materialize
 
 UNKNOWN = "und"
-#: Labelled documents used to calibrate, about.
-CALIBRATION_ROWS = 2000
 #: Share of labelled documents of a language that may be flagged.
 REJECTED = 0.001
+#: Labelled documents below which a language has no limit.
+MIN_LABELLED = 20
 
 
 @dataclass
@@ -55,14 +55,25 @@ def entropies(texts: list[str | None], model: CharModel) -> tuple[np.ndarray, np
     return -total / np.maximum(chars, 1)[:, None], chars
 
 
-def _entropy_rows(model: CharModel):
+def _has_letter(text: str | None) -> bool:
+    return any(c.isalpha() for c in text or "")
+
+
+def _scored(model: CharModel | None):
+    """Id, group and measures of rows; without a model their entropies and characters come with them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
+            texts, at = batch.column(2).to_pylist(), 0
             for part in pieces(texts):
-                found, chars = entropies(part, model)
-                own = langs.slice(at, len(part)).filter(pa.array(chars > 0))
-                yield pa.RecordBatch.from_arrays([own, pa.array(list(found[chars > 0]), pa.list_(pa.float64()))], ["lang", "entropies"])
+                if model is None:
+                    found, chars = (batch.column(c).slice(at, len(part)) for c in (3, 4))
+                else:
+                    values, n = entropies(part, model)
+                    found, chars = pa.array(list(values), pa.list_(pa.float64())), pa.array(n)
+                letters = [n > 0 and _has_letter(t) for t, n in zip(part, chars.to_pylist())]
+                own = [batch.column(c).slice(at, len(part)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, found, chars, pa.array(letters, pa.bool_())], ["doc_id", "grp", "entropies", "chars", "letters"])
                 at += len(part)
     return run
 
@@ -89,71 +100,108 @@ def stored_entropies(rows: DataFrame, model: StoredModel) -> DataFrame:
     return rows.join(found, "row", "left").drop("row").withColumns({"entropies": F.coalesce("entropies", none), "chars": F.coalesce("chars", F.lit(0).cast("long"))})
 
 
+def measured(rows: DataFrame, model: CharModel | StoredModel) -> DataFrame:
+    """``doc_id, grp, entropies, chars, letters`` of ``rows`` (``doc_id, grp, text``); ``letters``: the text holds one."""
+    rows, schema = rows.select("doc_id", "grp", "text"), "doc_id long, grp string, entropies array<double>, chars long, letters boolean"
+    if isinstance(model, StoredModel):
+        with_values = stored_entropies(rows, model).select("doc_id", "grp", "text", "entropies", "chars")
+        return with_values.mapInArrow(_scored(None), schema)
+    return rows.mapInArrow(_scored(model), schema)
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where("grp is not null and text is not null")
+
+
 def train(labelled: DataFrame) -> LanguageModel | None:
     """Models of all languages in ``labelled`` (``text, lang``); none without a labelled text that holds a letter.
 
-    Counts cover every row; the calibration takes about CALIBRATION_ROWS of them
-    by the hash of the text.
+    Counts and calibration cover every row.
     """
-    rows = labelled.select(F.col("lang").cast("string").alias("grp"), F.col("text").cast("string").alias("text")).where("grp is not null and text is not null")
+    text, grp = F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("grp")
+    rows = _labelled(labelled.select(F.lit(None).cast("long").alias("doc_id"), grp, text))
     model = learn(rows)
-    if model is None:
-        return None
-    total = rows.count()
-    parts = max(1, round(total / CALIBRATION_ROWS))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0) if parts > 1 else rows
-    if isinstance(model, StoredModel):
-        found = stored_entropies(sample, model).where("chars > 0").select("grp", "entropies")
-    else:
-        found = sample.mapInArrow(_entropy_rows(model), "lang string, entropies array<double>")
-    found = found.limit(10 * CALIBRATION_ROWS).toArrow()
-    langs = np.array(found.column(0).to_pylist(), object)
-    values = np.array(found.column(1).to_pylist(), float).reshape(-1, len(model.groups))
+    return None if model is None else calibrate(materialize(measured(rows, model), label="entropies"), model)
+
+
+def calibrate(rows: DataFrame, model: CharModel | StoredModel) -> LanguageModel:
+    """What all of ``rows`` (stored, as ``measured`` has them) with a group say of limits and sharpness.
+
+    Only sums over the rows and a row for each language come to the driver.
+    """
+    place = F.array_position(F.array(*[F.lit(g) for g in model.groups]), F.col("grp"))
+    known = rows.where("grp is not null and chars > 0").withColumn("place", place).where("place > 0")
+    known = known.withColumn("own", F.element_at("entropies", F.col("place").cast("int")))
     limits = np.full(len(model.groups), np.inf)
-    true = np.array([model.groups.index(x) if x in model.groups else -1 for x in langs], np.int64)
-    for j in range(len(model.groups)):
-        if (true == j).sum() >= 20:
-            limits[j] = np.quantile(values[true == j, j], 1 - REJECTED) * 1.02
-    best, likelihood = 1.0, -np.inf
-    known = true >= 0
-    for sharpness in 2.0 ** np.arange(0, 8):
-        p = posterior(values[known], sharpness)
-        if known.any() and (now := np.log(p[np.arange(known.sum()), true[known]].clip(1e-6)).sum()) > likelihood:
-            best, likelihood = float(sharpness), now
-    return LanguageModel(model, best, limits)
-
-
-def posterior(values: np.ndarray, sharpness: float) -> np.ndarray:
-    """Shares of the languages from cross-entropies."""
-    p = np.exp(-sharpness * (values - values.min(axis=1, keepdims=True))) if values.size else values
-    return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-
-
-def _predict(trained: LanguageModel, stored: bool):
-    names = np.array(trained.model.groups, object)
-    if stored:  # tables stay with the driver
-        trained = LanguageModel(None, trained.sharpness, trained.limits)
+    for grp, value in highest_usual(known.select("grp", "own")).items():
+        limits[model.groups.index(grp)] = value * 1.02
+    # Sums of whole numbers are the same in any order.
+    least, choices = F.array_min("entropies"), [2.0 ** k for k in range(8)]
+    likelihoods = [F.greatest(F.log(_share("entropies", "own", s)), F.lit(np.log(1e-6))) for s in choices]
+    sums = known.withColumn("least", least).agg(*[F.sum(F.round(x * 2 ** 20).cast("long")) for x in likelihoods]).first()
+    best = max(range(len(choices)), key=lambda k: (sums[k], -k)) if sums[0] is not None else 0
+    return LanguageModel(model, choices[best], limits)
+
+
+def _share(entropies: str, own: str, sharpness: float) -> Column:
+    """Share among all languages of the one with the cross-entropy ``own``; ``least`` is the lowest of all."""
+    weight = lambda x: F.exp((F.col("least") - x) * sharpness)
+    return weight(F.col(own)) / F.aggregate(entropies, F.lit(0.0), lambda total, x: total + weight(x))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            for part in pieces(texts):
-                if stored:
-                    values = np.array(batch.column(2).slice(at, len(part)).to_pylist(), float).reshape(len(part), -1)
-                    chars = batch.column(3).slice(at, len(part)).to_numpy()
-                else:
-                    values, chars = entropies(part, trained.model)
-                best = values.argmin(axis=1)
-                row = np.arange(len(part))
-                letters = np.array([n > 0 and any(c.isalpha() for c in t) for t, n in zip(part, chars)], bool)
-                score = np.where(letters, posterior(values, trained.sharpness)[row, best], 0.0)
-                entropy = values[row, best]
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(at, len(part)), pa.array(np.where(letters, names[best], UNKNOWN), pa.string()), pa.array(score),
-                    pa.array(np.where(letters, entropy, np.nan)), pa.array(letters & (entropy > trained.limits[best])),
-                ], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
-                at += len(part)
-    return run
+
+def highest_usual(rows: DataFrame) -> dict[str, float]:
+    """By ``grp`` the lowest value of ``own`` (at least 0) that no more than the share REJECTED of the rows exceed.
+
+    It is found among all rows by counts in ever finer bins, of which only that
+    with the sought rank is looked into further; the last are 2**-44 wide.  Groups of
+    fewer than MIN_LABELLED rows have none.
+    """
+    found: dict[str, float] = {}
+    want: dict[str, tuple[int, int | None]] = {}
+    for bits in (8, 20, 32, 44):
+        binned = rows.withColumn("bin", F.floor(F.col("own") * 2.0 ** bits))
+        if bits > 8:
+            if not want:
+                break
+            inside = F.create_map(*[F.lit(x) for g, (_, b) in want.items() for x in (g, b)])
+            binned = binned.where(F.floor(F.col("own") * 2.0 ** (bits - 12)) == inside[F.col("grp")])
+        counts = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high"))
+        here = Window.partitionBy("grp")
+        counts = counts.withColumns({"upto": F.sum("n").over(here.orderBy("bin")), "total": F.sum("n").over(here)})
+        if bits == 8:
+            rank = F.col("total") - F.floor(F.col("total") * REJECTED)
+            counts = counts.where(F.col("total") >= MIN_LABELLED)
+        else:
+            rank = F.create_map(*[F.lit(x) for g, (k, _) in want.items() for x in (g, k)])[F.col("grp")]
+        counts = counts.withColumn("rank", rank).where("upto >= rank and upto - n < rank")
+        want = {}
+        for r in counts.select("grp", "bin", "low", "high", (F.col("rank") - F.col("upto") + F.col("n")).alias("rest")).collect():
+            if r["low"] == r["high"] or bits == 44:
+                found[r["grp"]] = r["high"]
+            else:
+                want[r["grp"]] = r["rest"], r["bin"]
+    return found
+
+
+def predicted(rows: DataFrame, trained: LanguageModel) -> DataFrame:
+    """``rows`` as ``measured`` has them, with ``lang_pred, score, cross_entropy, rejected``."""
+    names, limits = (F.array(*[F.lit(x) for x in values]) for values in (trained.model.groups, trained.limits.tolist()))
+    rows = rows.withColumn("least", F.array_min("entropies"))
+    best = F.array_position("entropies", F.col("least")).cast("int")
+    return rows.withColumns({
+        "lang_pred": F.when(F.col("letters"), F.element_at(names, best)).otherwise(UNKNOWN),
+        "score": F.when(F.col("letters"), _share("entropies", "least", trained.sharpness)).otherwise(0.0),
+        "cross_entropy": F.when(F.col("letters"), F.col("least")).otherwise(float("nan")),
+        "rejected": F.col("letters") & (F.col("least") > F.element_at(limits, best)),
+    }).drop("least")
+
+
+def _nothing_learned(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
+        "lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "cross_entropy": F.lit(float("nan")), "rejected": F.lit(False)})
+
+
+_RESULT = ["lang_pred", "score", "cross_entropy", "rejected"]
 
 
 def identify(docs: DataFrame, trained: LanguageModel | None) -> DataFrame:
@@ -165,15 +213,9 @@ def identify(docs: DataFrame, trained: LanguageModel | None) -> DataFrame:
     labelled texts of its language.  Rows without an id and repeated rows are
     rows like others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
-    if trained is None:
-        nothing = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(float("nan")).alias("cross_entropy"), F.lit(False).alias("rejected")]
-        return rows.select("doc_id", *nothing)
-    stored = isinstance(trained.model, StoredModel)
-    if stored:
-        rows = stored_entropies(rows, trained.model)
-    return rows.mapInArrow(_predict(trained, stored), schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("string").alias("grp"), F.col("text").cast("string").alias("text"))
+    out = _nothing_learned(rows) if trained is None else predicted(measured(rows, trained.model), trained)
+    return out.select("doc_id", *_RESULT)
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -183,7 +225,16 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
-    """Languages of all documents, learned from those outside fold 2 of 4."""
-    trained = train(docs.where(fold("doc_id", 4) != 2).select("text", "lang"))
-    out = identify(docs, trained)
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    """Languages of all documents, learned from those outside fold 2 of 4.
+
+    Every document is measured once, for the calibration and for its prediction.
+    """
+    learned_from = F.when(fold("doc_id", 4) != 2, F.col("lang").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), learned_from.alias("grp"), F.col("text").cast("string").alias("text"))
+    model = learn(_labelled(rows))
+    if model is None:
+        out = _nothing_learned(rows)
+    else:
+        stored = materialize(measured(rows, model), label="entropies")
+        out = predicted(stored, calibrate(stored, model))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), *_RESULT)

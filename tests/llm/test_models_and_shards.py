@@ -87,6 +87,18 @@ def test_held_out_languages(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out.collect())
 
 
+def test_every_labelled_row_is_calibrated_on(spark):
+    """Of a thousand rows one may exceed the limit, wherever it lies among more rows than a sample would hold."""
+    values = [2 + (i * 7919 % 30_011) / 30_011 for i in range(30_000)] + [9.5] * 31
+    data = spark.createDataFrame([("x", v) for v in values] + [("y", 5.25)] * 40 + [("z", 1.0)] * 19, "grp string, own double")
+    got = language_id.highest_usual(data.repartition(7))
+    assert got == {"x": sorted(values)[len(values) - len(values) // 1000 - 1], "y": 5.25} and got["x"] == 9.5
+    learned = language_id.train(table(spark, [(i, f"{prose(i, 30)} {i}", "xy"[i % 2]) for i in range(4200)]))
+    rows = [(i, f"{prose(i, 30)} {i}") for i in range(0, 4200, 2)]
+    own = language_id.measured(table(spark, rows).select("doc_id", F.lit("x").alias("grp"), "text"), learned.model).collect()
+    assert learned.limits[0] == 1.02 * sorted(r.entropies[0] for r in own)[2100 - 2 - 1]
+
+
 def test_odd_texts_have_no_language(spark):
     learned = language_id.train(table(spark, [(i, prose(i, 90), "xy"[i % 2]) for i in range(12)] + [(50, "no language", None)]))
     rows = ODD + [(1, "12 34 !?"), (2, "½ ²"), (3, "a")]
