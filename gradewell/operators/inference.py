@@ -8,10 +8,12 @@ result, some calls that double with the batch's size once each, and no other res
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+import types
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ MakeFn = Callable[[], Callable[..., Sequence]]
 
 SUCCESS, ERROR = "success", "error"
 
+#: Models a Python worker keeps loaded.
+MODELS_KEPT = 3
+
 #: Batches' worth of rows from which batches of similar length are made.
 POOL = 16
 
@@ -35,13 +40,19 @@ JUDGEMENT = (
 )
 
 
+def _number(value) -> float | None:
+    """A double; none stands for NaN too."""
+    number = None if value is None else float(value)
+    return number if number == number else None
+
+
 def _fields_of(value, fields: Sequence[tuple]) -> tuple:
     """One result as a tuple in the types of the fields."""
     values = (value,) if len(fields) == 1 else tuple(value)
     if len(values) != len(fields):
         raise ValueError(f"model gave {len(values)} values for {len(fields)} fields")
     return tuple(
-        float(v) if isinstance(dtype, T.DoubleType) and v is not None else v
+        _number(v) if isinstance(dtype, T.DoubleType) else v
         for v, (_, dtype, _) in zip(values, fields))
 
 
@@ -72,14 +83,27 @@ def _by_length(texts: list, most: int, padded: int, length: Callable[[str], int]
     return batches
 
 
-def _columns(rows: list[tuple], fields: Sequence[tuple], shape: tuple) -> dict[str, np.ndarray]:
-    out = {}
-    for i, name in enumerate([f[0] for f in fields] + ["status", "error"]):
-        double = i < len(fields) and isinstance(fields[i][1], T.DoubleType)
-        column = np.empty(len(rows), dtype=float if double else object)
-        column[:] = [row[i] for row in rows]
-        out[name] = column.reshape(shape)
-    return out
+def _struct(rows: list[tuple], schema: pa.StructType, many: int | None) -> pa.Array:
+    """Rows as one struct each, or with ``many`` that number of rows as arrays in one struct."""
+    columns = []
+    for i, field in enumerate(schema):
+        values = [row[i] for row in rows]
+        if many:
+            values = [values[at:at + many] for at in range(0, len(values), many)]
+        columns.append(pa.array(values, field.type))
+    return pa.StructArray.from_arrays(columns, fields=list(schema))
+
+
+def _loaded(name: str, make_fn: MakeFn) -> Callable:
+    """The model this worker has loaded under ``name``; it keeps the last MODELS_KEPT.
+
+    They hang on a module of the worker itself: what travels with a task goes with it.
+    """
+    kept = sys.modules.setdefault("gradewell_models", types.ModuleType("gradewell_models")).__dict__.setdefault("kept", {})
+    kept[name] = kept.pop(name) if name in kept else make_fn()
+    while len(kept) > MODELS_KEPT:
+        del kept[next(iter(kept))]
+    return kept[name]
 
 
 def model_output(
@@ -115,41 +139,54 @@ def model_output(
     if batch_size < 1 or (padded is not None and padded < 1):
         raise ValueError("batch_size and padded must be at least 1")
 
-    framed = before is not None
-
-    def make():
-        fn = make_fn()
-
-        def run(texts: np.ndarray, heads: np.ndarray | None = None) -> dict[str, np.ndarray]:
-            shape = texts.shape + ((samples,) if samples else ())
-            flat = texts.reshape(-1).tolist()
-            if heads is not None:
-                given = zip(np.repeat(heads, places).tolist(), flat)
-                flat = [None if head is None or text is None else head + text + after for head, text in given]
-            inputs = [flat]
-            if samples:
-                inputs = [[t for t in flat for _ in range(samples)], list(range(samples)) * len(flat)]
-            if padded:
-                results: list = [None] * len(inputs[0])
-                for batch in _by_length(inputs[0], batch_size, padded, length):
-                    for i, result in zip(batch, _call(fn, fields, *([column[i] for i in batch] for column in inputs))):
-                        results[i] = result
-                return _columns(results, fields, shape)
-            results = []
-            for start in range(0, len(inputs[0]), batch_size):
-                results += _call(fn, fields, *(i[start:start + batch_size] for i in inputs))
-            return _columns(results, fields, shape)
-
-        # The number of parameters is the number of columns.
-        return run if framed else lambda texts: run(texts)
-
-    many = samples or places
-    wrap = T.ArrayType if many else (lambda t: t)
+    name, many = uuid.uuid4().hex, samples or places
+    step = batch_size * (POOL if padded else 1)
+    wrap = pa.list_ if many else (lambda t: t)
+    kinds = [pa.float64() if isinstance(dtype, T.DoubleType) else pa.string() for _, dtype, _ in fields] + [pa.string()] * 2
+    names = [field for field, *_ in fields] + ["status", "error"]
+    arrow = pa.struct([pa.field(n, wrap(kind)) for n, kind in zip(names, kinds)])
+
+    def results(fn: Callable, texts: list, heads: list | None) -> list[tuple]:
+        if places:
+            if any(row is None or len(row) != places for row in texts):
+                raise ValueError(f"a row has not {places} texts")
+            texts = [t for row in texts for t in row]
+        if heads is not None:
+            given = zip([head for head in heads for _ in range(places)], texts)
+            texts = [None if head is None or text is None else head + text + after for head, text in given]
+        inputs = [texts]
+        if samples:
+            inputs = [[t for t in texts for _ in range(samples)], list(range(samples)) * len(texts)]
+        if padded:
+            out: list = [None] * len(inputs[0])
+            for batch in _by_length(inputs[0], batch_size, padded, length):
+                for i, result in zip(batch, _call(fn, fields, *([column[i] for i in batch] for column in inputs))):
+                    out[i] = result
+            return out
+        out = []
+        for start in range(0, len(inputs[0]), batch_size):
+            out += _call(fn, fields, *(i[start:start + batch_size] for i in inputs))
+        return out
+
+    # Texts stay in Arrow until their turn: as Python's they are never more than one step of them.
+    def stepwise(columns: Sequence[pa.Array]) -> Iterator[pa.Array]:
+        fn = _loaded(name, make_fn)
+        for at in range(0, len(columns[0]), step):
+            texts, *heads = (column.slice(at, step).to_pylist() for column in columns)
+            yield _struct(results(fn, texts, heads[0] if heads else None), arrow, many)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from stepwise([batch])
+
+    def two(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from stepwise(batch)
+
     extra = [("status", T.StringType()), ("error", T.StringType())]
-    schema = T.StructType([T.StructField(n, wrap(t)) for n, t in [f[:2] for f in fields] + extra])
-    run = predict_batch_udf(
-        make, return_type=schema, batch_size=batch_size * (POOL if padded else 1), input_tensor_shapes={0: [places]} if places else None)
-    return run.asNondeterministic()(text, *([] if before is None else [before]))
+    schema = T.StructType([T.StructField(n, T.ArrayType(t) if many else t) for n, t in [f[:2] for f in fields] + extra])
+    columns = [text] if before is None else [text, before]
+    return F.arrow_udf(one if before is None else two, schema).asNondeterministic()(*columns)
 
 
 def answer_requests(requests: DataFrame, make_fn: MakeFn, batch_size: int, prompt: str = "PROMPT") -> DataFrame:

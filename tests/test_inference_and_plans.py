@@ -58,6 +58,37 @@ def test_batches_and_loading(spark):
     assert len(loads) == len({load.split("/")[0] for load in loads})
 
 
+def test_texts_wait_in_arrow_for_their_batch(spark):
+    """A worker makes Python's texts of one batch at a time, not of all rows it was sent."""
+
+    def make():
+        import tracemalloc
+
+        tracemalloc.start()
+
+        def held(texts):
+            most = tracemalloc.get_traced_memory()[1]
+            if "end" in texts:
+                tracemalloc.stop()
+            return [str(most)] * len(texts)
+
+        return held
+
+    df = spark.range(2000, numPartitions=1).select(F.when(F.col("id") == 1999, "end").otherwise(F.repeat(F.col("id").cast("string"), 3000)).alias("t"))
+    most = df.select(model_output(make, F.col("t"), 8)["response"].cast("long").alias("r")).agg(F.max("r"), F.count("r")).first()
+    assert most[1] == 2000 and most[0] < 4_000_000
+
+
+def test_no_number_is_no_score(spark):
+    df = spark.createDataFrame([("1",), ("nan",)], "t string").coalesce(1)
+    make = lambda: lambda texts: [float(t) for t in texts]
+    assert rows(df.select(model_output(make, F.col("t"), 5, SCORE)["score"])) == [(1.0,), (None,)]
+    both = df.select(model_output(make, F.array(F.lit("nan"), "t"), 5, SCORE, places=2)["score"])
+    assert rows(both) == [([None, 1.0],), ([None, None],)]
+    with pytest.raises(Exception, match="a row has not 3 texts"):
+        df.select(model_output(make, F.array("t"), 5, SCORE, places=3)["score"]).collect()
+
+
 def test_wrong_number_of_results_is_an_error(spark):
     out = spark.createDataFrame([("a",), ("b",)], "t string").select(
         model_output(lambda: lambda texts: ["x"] * 3, F.col("t"), 5).alias("o")).select("o.*")
