@@ -8,6 +8,7 @@ result, some calls that double with the batch's size once each, and no other res
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -24,6 +25,10 @@ MakeFn = Callable[[], Callable[..., Sequence]]
 
 SUCCESS, ERROR = "success", "error"
 
+#: Bytes from which a worker's buffers are returned to the system at once.
+LARGE_BUFFER = 1 << 20
+_M_MMAP_THRESHOLD = -3
+
 #: Models a Python worker keeps loaded.
 MODELS_KEPT = 3
 
@@ -94,11 +99,24 @@ def _struct(rows: list[tuple], schema: pa.StructType, many: int | None) -> pa.Ar
     return pa.StructArray.from_arrays(columns, fields=list(schema))
 
 
+def _return_large_buffers() -> None:
+    """Let what an Arrow batch took go back to the system when the batch is done with.
+
+    Otherwise glibc raises its limit with the first one it frees, and later batches
+    leave holes in the heap: a worker then holds several times a batch.
+    """
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None) if sys.platform == "linux" else None
+    if mallopt is not None:
+        mallopt(_M_MMAP_THRESHOLD, LARGE_BUFFER)
+
+
 def _loaded(name: str, make_fn: MakeFn) -> Callable:
     """The model this worker has loaded under ``name``; it keeps the last MODELS_KEPT.
 
     They hang on a module of the worker itself: what travels with a task goes with it.
     """
+    if "gradewell_models" not in sys.modules:
+        _return_large_buffers()
     kept = sys.modules.setdefault("gradewell_models", types.ModuleType("gradewell_models")).__dict__.setdefault("kept", {})
     kept[name] = kept.pop(name) if name in kept else make_fn()
     while len(kept) > MODELS_KEPT:
