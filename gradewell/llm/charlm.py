@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.llm.hashing import mix, pieces
+from gradewell.llm.hashing import mix, mix_one, pieces
 from gradewell.session import materialize
 
 ORDER = 4
@@ -142,6 +142,22 @@ class CharModel:
         out[todo] += self.unseen
         return out
 
+    def log(self, key: int) -> float:
+        """``score`` of one packed 4-gram in the first group, without arrays."""
+        out = np.float32(0)
+        for n in range(ORDER, 0, -1):
+            own = key & (1 << 16 * n) - 1
+            table, name = self.grams[n], np.uint64(mix_one(own))
+            place = table.searchsorted(name)
+            if place < len(table) and table[place] == name:
+                return float(out + self.logs[n][place, 0])
+            if n > 1:
+                table, name = self.contexts[n], np.uint64(mix_one(own >> 16))
+                place = table.searchsorted(name)
+                if place < len(table) and table[place] == name:
+                    out = out + self.weights[n][place, 0]
+        return float(out + np.float32(self.unseen))
+
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each word per group, and its number of grams."""
         if not words:

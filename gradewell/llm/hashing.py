@@ -27,6 +27,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mix_one(h: int) -> int:
+    """``mix`` of one number."""
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return h ^ h >> 31
+
+
 class Words:
     """All words of some texts: hashes, first and last byte places in ``data``, and each text's first word (and the end)."""
 

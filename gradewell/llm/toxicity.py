@@ -65,7 +65,7 @@ class Decoder:
         if key not in self.known:
             if len(self.known) > 500_000:
                 self.known.clear()
-            self.known[key] = float(self.model.score(np.array([key], np.uint64))[0, 0])
+            self.known[key] = self.model.log(key)
         return self.known[key]
 
     def decode(self, token: str, breaks: bool = False) -> str:
@@ -221,16 +221,16 @@ class _Asked:
     def __init__(self):
         self.keys: set[int] = set()
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        self.keys.update(keys.tolist())
-        return np.zeros((len(keys), 1), np.float32)
+    def log(self, key: int) -> float:
+        self.keys.add(key)
+        return 0.0
 
 
 class _Given(dict):
     """Stands for a model: log-probabilities by 4-gram."""
 
-    def score(self, keys: np.ndarray) -> np.ndarray:
-        return np.array([[self[k]] for k in keys.tolist()])
+    def log(self, key: int) -> float:
+        return self[key]
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

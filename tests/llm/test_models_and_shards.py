@@ -33,6 +33,13 @@ def test_probabilities_sum_to_one(spark):
         assert np.allclose(np.exp(model.score(keys).astype(float)).sum(axis=0), 1, atol=0.02)
 
 
+def test_one_gram_is_scored_as_many(spark):
+    rows = [(i, prose(i, 80)) for i in range(20)]
+    model = charlm.kneser_ney(charlm.gram_counts(table(spark, rows).select(F.lit("").alias("grp"), "text")))
+    keys, _ = charlm.gram_keys([*prose(3, 200).lower().split(), "zzqx", "äöü", "the"])
+    assert [model.log(k) for k in keys.tolist()] == model.score(keys)[:, 0].astype(float).tolist()
+
+
 def test_counts_are_whole(spark):
     rows = [(i, "Ab ab, 3ab" if i % 2 else "b") for i in range(50)]
     keys, n = charlm.gram_counts(table(spark, rows).select(F.lit("").alias("grp"), "text"))[""]
