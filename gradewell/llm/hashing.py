@@ -17,6 +17,8 @@ _POWERS = np.full(_STEP, 0x9E3779B97F4A7C15, np.uint64)
 _POWERS[0] = 1
 _POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 _BLOCKS = _rng.integers(1, 2**64, _STEP, np.uint64, endpoint=False) | np.uint64(1)
+# The first block is 1, so that a hash is the same beside longer words or runs.
+_BLOCKS[0] = 1
 _ORDER = _rng.integers(1, 2**64, 64, np.uint64, endpoint=False) | np.uint64(1)
 
 

@@ -203,6 +203,16 @@ def test_runs_of_brute_force(spark, seed):
     assert got == words_of_repeated_runs(texts)
 
 
+def test_hashes_do_not_depend_on_longer_neighbours():
+    """The same words and runs beside a word of 5,000 letters and a line of 5,000 words."""
+    from gradewell.llm.hashing import Words, run_hashes
+
+    text = prose(3, 40)
+    alone, beside = Words([text]), Words([text, "x" * 5000, " ".join(["y"] * 5000)])
+    assert (alone.hashes == beside.hashes[: len(alone.hashes)]).all()
+    assert (run_hashes(alone.hashes, [0, 20]) == run_hashes(beside.hashes, [0, 20, 40])[:2]).all()
+
+
 def test_odd_rows_keep_their_columns(spark):
     rows = ODD + [(1, LONG)]
     df = table(spark, rows)
