@@ -25,11 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
 from gradewell.llm.hashing import WORKING_CHARS, Words, mix, pieces, run_hashes, windows
+from gradewell.operators.numbering import with_row_index
 from gradewell.operators.schema import fresh, quoted
 from gradewell.session import discard, materialize, temporary
 
@@ -44,9 +46,13 @@ BANDS, ROWS = 6, 2
 BIT_WORDS = 2
 #: Fewest words of a sentence that is banded: in shorter ones no word can change that leaves them 0.8 alike.
 BANDED_SENTENCE = 13
+#: Bits of a place in a text, words or units: a text has less than 2 ** 31 bytes.  Above them stands the number of the text.
+PLACE_BITS = 31
+_PLACE = (1 << PLACE_BITS) - 1
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(1, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
 _ADD = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False)
+_AROUND = _rng.integers(1, 2**64, (2, MIN_STRETCH - ANCHOR), np.uint64, endpoint=False) | np.uint64(1)
 _MAX = np.uint64(np.iinfo(np.uint64).max)
 
 
@@ -103,72 +109,82 @@ class Units:
         return np.column_stack((keys, *bits, counts.astype(np.uint64))).view(np.int64)
 
 
-_UNITS = "doc_id long, row long, unit int, h long, keys binary"
+_BITS = [f"bits{k}" for k in range(BIT_WORDS)]
+_UNITS = ", ".join(["at long, h long, keys array<long>", *[f"{c} long" for c in _BITS], "size long"])
 _SETS = "id long, n long, items array<long>"
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, rows = (batch.column(c).to_numpy() for c in range(2))
-        texts, at = batch.column(2).to_pylist(), 0
-        for part in pieces(texts, WORKING_CHARS):
-            u = Units(part)
-            if len(u.lines):
-                whole, single = u.long_lines(), u.long_sentences()
-                line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
-                text = at + np.concatenate((u.text[u.line_first[whole]], u.text[single]))
-                keys = [k.tobytes() for k in u.sketches(u.lines[whole], u.line_sizes[whole])]
-                banded = u.sizes[single] >= BANDED_SENTENCE
-                own = iter(u.sketches(u.sentences[single[banded]], u.sizes[single[banded]]))
-                keys += [next(own).tobytes() if b else None for b in banded]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[text]), pa.array(rows[text]),
-                    pa.array(np.concatenate((2 * u.number[u.line_first[whole]], 2 * u.number[single] + 1)).astype(np.int32)),
-                    pa.array(np.concatenate((line_hash[whole], sentence_hash[single])).view(np.int64)), pa.array(keys, pa.binary()),
-                ], ["doc_id", "row", "unit", "h", "keys"])
-            at += len(part)
-
-
-def _sketched(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(-1, BANDS + BIT_WORDS + 1)
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = _sketched(batch)[:, :BANDS].reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column("h").to_numpy(), BANDS))], ["key", "id"])
+def _at(text: np.ndarray, place: np.ndarray) -> pa.Array:
+    """Places that sort by text number and place."""
+    return pa.array((text << PLACE_BITS) | place)
+
 
+def _text(at: Column | str) -> Column:
+    return F.shiftrightunsigned(at, PLACE_BITS)
 
-_BITS = ", ".join(["id long", *[f"bits{k} long" for k in range(BIT_WORDS)], "size long"])
 
+def _place(at: Column | str) -> Column:
+    return (F.col(at) if isinstance(at, str) else at).bitwiseAND(F.lit(_PLACE))
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[str | None], np.ndarray]]:
+    """Parts of batches of ``t, text``: the batch, the part's first row, its texts and their numbers."""
     for batch in batches:
-        own = np.ascontiguousarray(_sketched(batch)[:, BANDS:].T)
-        yield pa.RecordBatch.from_arrays([batch.column("h"), *[pa.array(c) for c in own]], [f.split()[0] for f in _BITS.split(", ")])
+        numbers, texts, first = batch.column(0).to_numpy(), batch.column(1).to_pylist(), 0
+        for part in pieces(texts, WORKING_CHARS):
+            yield batch, first, part, numbers[first: first + len(part)]
+            first += len(part)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["at", "h", "keys", *_BITS, "size"]
+    for _, _, part, numbers in _numbered(batches):
+        u = Units(part)
+        if not len(u.lines):
+            continue
+        whole, single = u.long_lines(), u.long_sentences()
+        single_banded = u.sizes[single] >= BANDED_SENTENCE
+        # Banded units come first.
+        plain = single[~single_banded]
+        single = single[single_banded]
+        line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
+        sketch = np.concatenate((u.sketches(u.lines[whole], u.line_sizes[whole]), u.sketches(u.sentences[single], u.sizes[single])))
+        first = u.line_first[whole]
+        text = numbers[np.concatenate((u.text[first], u.text[single], u.text[plain]))]
+        unit = np.concatenate((2 * u.number[first], 2 * u.number[single] + 1, 2 * u.number[plain] + 1))
+        h = np.concatenate((line_hash[whole], sentence_hash[single], sentence_hash[plain])).view(np.int64)
+        bare, n = np.zeros(len(plain), np.int64), len(sketch)
+        empty = np.arange(n + len(plain)) >= n
+        places = pa.array(np.minimum(np.arange(n + len(plain) + 1) * BANDS, n * BANDS).astype(np.int32), mask=np.append(empty, False))
+        keys = pa.ListArray.from_arrays(places, pa.array(np.ascontiguousarray(sketch[:, :BANDS]).reshape(-1)))
+        rest = [pa.array(np.concatenate((np.ascontiguousarray(c), bare)), mask=empty) for c in sketch[:, BANDS:].T]
+        yield pa.RecordBatch.from_arrays([_at(text, unit), pa.array(h), keys, *rest], names)
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of the wanted units of each text."""
-    for batch in batches:
-        texts, wanted, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-        for part in pieces(texts, WORKING_CHARS):
-            u = Units(part)
-            seen: dict[int, np.ndarray] = {}
-            if len(u.lines):
-                w = windows(u.words.hashes, SHINGLE)
-                for kind, starts, sizes, text in (
-                        (u.long_lines(), u.lines, u.line_sizes, u.text[u.line_first]), (u.long_sentences(), u.sentences, u.sizes, u.text)):
-                    hashes = run_hashes(u.words.hashes, starts).view(np.int64)
-                    for i in np.unique(text[kind]):
-                        mine = kind[np.searchsorted(text[kind], i): np.searchsorted(text[kind], i, "right")]
-                        for k in mine[np.isin(hashes[mine], wanted[at + i])]:
-                            a = starts[k]
-                            seen[int(hashes[k])] = np.unique(w[a: a + sizes[k] - SHINGLE + 1]).view(np.int64)
-            at += len(part)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(list(seen), pa.int64()), pa.array([len(s) for s in seen.values()], pa.int64()),
-                pa.array(list(seen.values()), pa.list_(pa.int64()))], ["id", "n", "items"])
+    for batch, at, part, _ in _numbered(batches):
+        own = batch.column(2).slice(at, len(part))
+        unit, text = own.flatten().to_numpy(), np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
+        u = Units(part)
+        if not len(unit):
+            continue
+        sentence = np.searchsorted(u.sentences, u.words.firsts[text]) + unit // 2
+        line = np.searchsorted(u.line_first, sentence, "right") - 1
+        single = unit % 2 == 1
+        line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
+        h = np.where(single, sentence_hash[sentence], line_hash[line]).view(np.int64)
+        start = np.where(single, u.sentences[sentence], u.lines[line])
+        counts = np.where(single, u.sizes[sentence], u.line_sizes[line]) - SHINGLE + 1
+        number = np.repeat(np.arange(len(unit)), counts)
+        shingle = windows(u.words.hashes, SHINGLE)[np.arange(counts.sum()) + np.repeat(start - (np.cumsum(counts) - counts), counts)]
+        order = np.lexsort((shingle, number))
+        shingle, number = shingle[order], number[order]
+        new = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (number[1:] != number[:-1])))
+        sizes = np.bincount(number[new], minlength=len(unit))
+        places = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h), pa.array(sizes), pa.ListArray.from_arrays(places, pa.array(shingle[new].view(np.int64)))], ["id", "n", "items"])
 
 
 def _sliding(a: np.ndarray, size: int, pick: np.ufunc, fill: int) -> np.ndarray:
@@ -199,48 +215,57 @@ class Anchors:
         self.chosen = (most == self.hashes) & (self.hashes != _MAX)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, rows = (batch.column(c).to_numpy() for c in range(2))
-        texts, at = batch.column(2).to_pylist(), 0
-        for part in pieces(texts, WORKING_CHARS):
-            found = Anchors(part)
-            place = np.flatnonzero(found.chosen)
-            text = np.searchsorted(found.words.firsts, place, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.hashes[place].view(np.int64)), pa.array(ids[at + text]), pa.array(rows[at + text]),
-                 pa.array((place - found.words.firsts[text]).astype(np.int32))], ["h", "doc_id", "row", "place"])
-            at += len(part)
-
-
 #: Words before and behind an anchor in the runs that hold it.
 SIDE = MIN_STRETCH - ANCHOR
-_PLACES = "h long, doc_id long, row long, place int, sides binary"
+
+
+def _room(found: Words, text: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Words before and behind the anchors that begin at words ``first``, SIDE at most."""
+    return [np.minimum(first - found.firsts[text], SIDE), np.minimum(found.firsts[text + 1] - first - ANCHOR, SIDE)]
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors with a hash of the words around them; its last byte is how many there are before and behind."""
+    for _, _, part, numbers in _numbered(batches):
+        found = Anchors(part)
+        first = np.flatnonzero(found.chosen)
+        text = np.searchsorted(found.words.firsts, first, "right") - 1
+        room = _room(found.words, text, first)
+        around = np.zeros(len(first), np.uint64)
+        for k in range(SIDE):
+            before, behind = k < room[0], k < room[1]
+            around[before] += found.words.hashes[first[before] - 1 - k] * _AROUND[0, k]
+            around[behind] += found.words.hashes[first[behind] + ANCHOR + k] * _AROUND[1, k]
+        around = mix(around) & ~np.uint64(255) | (room[0] << 4 | room[1]).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found.hashes[first].view(np.int64)), pa.array(around.view(np.int64)),
+             _at(numbers[text], first - found.words.firsts[text])], ["h", "around", "at"])
+
+
+_PLACES = "h long, at long, sides binary"
 
 
 def _with_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Wanted anchors with the words around them: 32 bits a word, the nearest first, those before and then those behind; 0 beyond the text."""
     reach = np.arange(SIDE)
-    for batch in batches:
-        ids, rows = (batch.column(c).to_numpy() for c in range(2))
-        texts, wanted, at = batch.column(2).to_pylist(), batch.column(3), 0
-        for part in pieces(texts, WORKING_CHARS):
-            w = Words(part)
-            own = wanted.slice(at, len(part))
-            text = np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
-            place = own.flatten().to_numpy()
-            first = w.firsts[text] + place
-            short = np.maximum(w.hashes >> np.uint64(32), 1).astype(np.uint32)
-            sides = np.zeros((len(place), 2 * SIDE), np.uint32)
-            for k, (at_word, inside) in enumerate((
-                    (first[:, None] - 1 - reach, lambda x: x >= w.firsts[text][:, None]),
-                    (first[:, None] + ANCHOR + reach, lambda x: x < w.firsts[text + 1][:, None]))):
-                sides[:, k * SIDE: (k + 1) * SIDE] = np.where(inside(at_word), short[np.clip(at_word, 0, max(0, len(short) - 1))], 0) if len(short) else 0
-            anchors = windows(w.hashes, ANCHOR)[first].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors), pa.array(ids[at + text]), pa.array(rows[at + text]), pa.array(place),
-                 pa.array([r.tobytes() for r in sides], pa.binary())], ["h", "doc_id", "row", "place", "sides"])
-            at += len(part)
+    for batch, at, part, numbers in _numbered(batches):
+        own = batch.column(2).slice(at, len(part))
+        place, text = own.flatten().to_numpy(), np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
+        if not len(place):
+            continue
+        w = Words(part)
+        first = w.firsts[text] + place
+        short = np.maximum(w.hashes >> np.uint64(32), 1).astype(np.uint32)
+        sides = np.zeros((len(place), 2, SIDE), np.uint32)
+        for k, (room, word) in enumerate(zip(_room(w, text, first), (first[:, None] - 1 - reach, first[:, None] + ANCHOR + reach))):
+            sides[:, k] = np.where(reach < room[:, None], short[np.clip(word, 0, len(short) - 1)], 0)
+        anchors = windows(w.hashes, ANCHOR)[first].view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), _at(numbers[text], place), _packed(sides)], ["h", "at", "sides"])
+
+
+def _packed(sides: np.ndarray) -> pa.Array:
+    ends = np.arange(len(sides) + 1, dtype=np.int32) * np.int32(8 * SIDE)
+    return pa.Array.from_buffers(pa.binary(), len(sides), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(sides))])
 
 
 def _sides(column: pa.Array) -> np.ndarray:
@@ -260,7 +285,7 @@ def _side_key(h: np.ndarray, sides: np.ndarray, side: int, n: np.ndarray) -> np.
     return mix((words * _MULTIPLY[:SIDE]).sum(axis=1) + mix(h.view(np.uint64) + np.uint64(side + 1)) + n.astype(np.uint64))
 
 
-_COMPARED = "h long, doc_id long, row long, place int, sides binary, before int, behind int, start long, end long, keys array<long>"
+_COMPARED = "h long, at long, sides binary, before int, behind int, start long, end long, keys array<long>"
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,36 +295,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first place's; another anchor with the same words up to that one may have it.
     """
     for batch in batches:
-        h, doc, row, place, first_doc, first_row, first = (
-            batch.column(c).to_numpy() for c in ("h", "doc_id", "row", "place", "first_doc", "first_row", "first_place"))
+        h, at, first = (batch.column(c).to_numpy() for c in ("h", "at", "first"))
+        place, first_place = at & _PLACE, first & _PLACE
         sides, other = _sides(batch.column("sides")), _sides(batch.column("first_sides"))
         n = [_same(sides[:, k], other[:, k]) for k in range(2)]
-        found = n[0] + n[1] >= SIDE
-        start = place.astype(np.int64) - n[0]
+        start = place - n[0]
         # Where a stretch overlaps its own first place, the first run of that stays.
-        own = (doc == first_doc) & (row == first_row)
-        start = np.where(own, np.maximum(start, first.astype(np.int64) - n[0] + MIN_STRETCH), start)
-        end = place.astype(np.int64) + ANCHOR + n[1]
-        keys, sizes = [], np.zeros(len(h), np.int64)
-        for k in range(2):
-            room = (sides[:, k] != 0).sum(axis=1)
-            more = n[k] < room
-            keys.append(np.where(more, _side_key(h, sides, k, n[k] + 1).view(np.int64), 0))
-            sizes += more
-        both = np.stack(keys, 1)
-        live = np.stack([n[k] < (sides[:, k] != 0).sum(axis=1) for k in range(2)], 1)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(both[live]))
+        own = at >> PLACE_BITS == first >> PLACE_BITS
+        start = np.where(own, np.maximum(start, first_place - n[0] + MIN_STRETCH), start)
+        end = place + ANCHOR + n[1]
+        found = (n[0] + n[1] >= SIDE) & (start < end)
+        more = np.stack([n[k] < (sides[:, k] != 0).sum(axis=1) for k in range(2)], 1)
+        keys = np.stack([_side_key(h, sides, k, n[k] + 1).view(np.int64) for k in range(2)], 1)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(more.sum(axis=1))).astype(np.int32)), pa.array(keys[more]))
         out = pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("h", "doc_id", "row", "place", "sides")], pa.array(n[0].astype(np.int32)), pa.array(n[1].astype(np.int32)),
-             pa.array(start, mask=~(found & (start < end))), pa.array(end, mask=~(found & (start < end))), lists],
-            [f.split()[0] for f in _COMPARED.split(", ")])
-        yield out.filter(pa.array((found & (start < end)) | (sizes > 0)))
+            [*[batch.column(c) for c in ("h", "at", "sides")], pa.array(n[0].astype(np.int32)), pa.array(n[1].astype(np.int32)),
+             pa.array(start, mask=~found), pa.array(end, mask=~found), lists], [f.split()[0] for f in _COMPARED.split(", ")])
+        yield out.filter(pa.array(found | more.any(axis=1)))
 
 
 def _other_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of MIN_STRETCH words over anchors that are not those of the anchors' first places."""
     for batch in batches:
-        h, doc, row, place, before, behind = (batch.column(c).to_numpy() for c in ("h", "doc_id", "row", "place", "before", "behind"))
+        h, at, before, behind = (batch.column(c).to_numpy() for c in ("h", "at", "before", "behind"))
         sides = _sides(batch.column("sides"))
         room = [(sides[:, k] != 0).sum(axis=1) for k in range(2)]
         for offset in range(SIDE + 1):
@@ -307,20 +325,27 @@ def _other_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.flatnonzero((offset <= room[0]) & (rest <= room[1]) & ((offset > before) | (rest > behind)))
             if len(own):
                 key = _side_key(h[own], sides[own], 0, np.full(len(own), offset)) + mix(_side_key(h[own], sides[own], 1, np.full(len(own), rest)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc[own]), pa.array(row[own]), pa.array(place[own].astype(np.int64) - offset)],
-                    ["h", "doc_id", "row", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at[own] - offset)], ["h", "at"])
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored ``doc_id, row, text`` of each text's first id, ``row`` being its hash, and ``row, doc_id`` of copies with other ids."""
+    """Stored ``doc_id, row, t, text`` of each text's first id, and ``row, doc_id`` of copies with other ids.
+
+    ``row`` is the text's hash, ``t`` its number in the order of ids and hashes.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     source = source.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    heads = materialize(source.groupBy("row").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")), label="texts")
-    first = source.join(heads.select("row", F.col("head").alias("doc_id")), ["row", "doc_id"])
-    first = materialize(first.select("doc_id", "row", "text").dropDuplicates(["doc_id", "row"]), label="distinct-texts")
-    copies = source.select("doc_id", "row").distinct().join(heads.where("n > 1").select("row", "head"), "row").where("doc_id <> head")
-    return first, materialize(copies.select("doc_id", "row"), label="copies")
+    heads = materialize(source.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), label="texts")
+    numbered = materialize(with_row_index(heads, ["doc_id", "row"], "t", stored_input=True), label="text-numbers")
+    copies = source.select("doc_id", "row").join(numbered.where("n > 1").select("row", F.col("doc_id").alias("head"), "t"), "row")
+    copies = materialize(copies.distinct(), label="copies")
+    # An id that repeats a text holds it once.
+    again = numbered.where("n > 1").select("row", "t", "n").join(copies.groupBy("t").agg(F.count("*").alias("ids")), "t").where("n > ids").select("t")
+    again = materialize(again, label="repeated-rows")
+    first = source.join(numbered.select("doc_id", "row", "t"), ["row", "doc_id"]).select("doc_id", "row", "t", "text")
+    if not again.isEmpty():
+        first = first.join(again, "t", "left_anti").unionByName(first.join(again, "t", "left_semi").dropDuplicates(["t"]))
+    return materialize(first, label="distinct-texts"), copies.where("doc_id <> head").select("doc_id", "row")
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -330,43 +355,58 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     of ids, rows and places.  Where a run overlaps its own first one, the words of
     that stay.
 
-    All anchors with the same words are compared with the first of them only, and
-    what is equal around both is one stretch, a row.  Runs that leave that stretch
-    are listed one by one where another anchor leaves it in the same way.
+    Of anchors with the same words around them, as far as runs reach, only the
+    first one is looked at; those in later texts lose all these words.  The
+    firsts are compared with the anchor's first place only, and what is equal
+    around both is one stretch, a row.  Runs that leave that stretch are listed one
+    by one where another anchor leaves it in the same way.
     """
     with temporary(texts.sparkSession) as keep:
         return keep(materialize(_repeated_runs(texts), label="word-cuts"))
 
 
 def _repeated_runs(one: DataFrame) -> DataFrame:
-    anchors = materialize(one.mapInArrow(_anchors, "h long, doc_id long, row long, place int"), label="anchors")
+    anchors = materialize(one.select("t", "text").mapInArrow(_anchors, "h long, around long, at long"), label="anchors")
     shared = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), label="shared-anchors")
-    wanted = anchors.join(shared, "h").groupBy("doc_id", "row").agg(F.collect_list("place").alias("wanted"))
-    places = one.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted").mapInArrow(_with_sides, _PLACES)
-    places = materialize(places, label="anchor-places")
+    places = materialize(anchors.join(shared, "h"), label="shared-places")
     discard(anchors, shared)
-    at = F.struct("doc_id", "row", "place")
-    first = places.groupBy("h").agg(F.min(at).alias("first")).select("h", "first.*")
-    first = places.join(first, ["h", "doc_id", "row", "place"]).select(
-        "h", *[F.col(c).alias(n) for c, n in (("doc_id", "first_doc"), ("row", "first_row"), ("place", "first_place"), ("sides", "first_sides"))])
+    alike = materialize(places.groupBy("h", "around").agg(F.min("at").alias("first"), F.count("*").alias("n")), label="surroundings")
+    later = places.join(alike.where("n > 1").select("h", "around", "first"), ["h", "around"]).where(F.col("at") != F.col("first"))
+    later = materialize(later, label="later-places")
+    in_text = _text("at") == _text("first")
+    before, behind = F.shiftright("around", 4).bitwiseAND(F.lit(15)), F.col("around").bitwiseAND(F.lit(15))
+    copied = later.where(~in_text).select(
+        _text("at").alias("t"), (_place("at") - before).alias("start"), (_place("at") + ANCHOR + behind).alias("end"))
+
+    # A later place in the text of the first one may overlap it.
+    looked = alike.select("h", F.col("first").alias("at")).unionByName(later.where(in_text).select("h", "at"))
+    firsts = looked.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    firsts = materialize(firsts, label="firsts")
+    looked = materialize(looked.join(firsts, "h").groupBy(_text("at").alias("t")).agg(F.collect_list(_place("at")).alias("wanted")), label="looked-at")
+    sided = one.select("t", "text").join(looked, "t").select("t", "text", "wanted").mapInArrow(_with_sides, _PLACES)
+    sided = materialize(sided, label="anchor-places")
+    discard(places, alike, looked)
+    first = sided.withColumnRenamed("at", "first").join(firsts, ["h", "first"]).select("h", "first", F.col("sides").alias("first_sides"))
     first = materialize(first, label="first-places")
-    others = places.join(first, "h").where(at != F.struct("first_doc", "first_row", "first_place"))
+    others = sided.join(first, "h").where(F.col("at") != F.col("first"))
     compared = materialize(others.mapInArrow(_compare, _COMPARED), label="compared")
-    discard(places, first)
-    stretches = compared.where("start is not null").select("doc_id", "row", "start", "end")
+    discard(sided, first)
+    stretches = compared.where("start is not null").select(_text("at").alias("t"), "start", "end")
 
-    keys = compared.select("h", "doc_id", "row", "place", F.explode("keys").alias("key"))
+    keys = compared.select("h", "at", F.explode("keys").alias("key"))
     again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    open_places = keys.join(materialize(again, label="side-keys"), "key").select("h", "doc_id", "row", "place").distinct()
-    runs = compared.join(open_places, ["h", "doc_id", "row", "place"]).mapInArrow(_other_runs, "h long, doc_id long, row long, place long")
+    open_places = keys.join(materialize(again, label="side-keys"), "key").select("h", "at").distinct()
+    runs = compared.join(open_places, ["h", "at"]).mapInArrow(_other_runs, "h long, at long")
     runs = materialize(runs, label="runs")
-    first_run = runs.groupBy("h").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1").drop("n")
-    again = runs.join(materialize(first_run, label="first-runs"), "h").where(at != F.col("first"))
-    own = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.row") == F.col("row"))
-    start = F.when(own, F.greatest("place", F.col("first.place") + MIN_STRETCH)).otherwise(F.col("place"))
-    again = again.select("doc_id", "row", start.alias("start"), (F.col("place") + MIN_STRETCH).alias("end"))
+    first_run = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
+    again = runs.join(materialize(first_run, label="first-runs"), "h").where(F.col("at") != F.col("first"))
+    start = F.when(in_text, F.greatest(_place("at"), _place("first") + MIN_STRETCH)).otherwise(_place("at"))
+    again = again.select(_text("at").alias("t"), start.alias("start"), (_place("at") + MIN_STRETCH).alias("end"))
 
-    return stretches.unionByName(again).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    packed = F.shiftleft("start", PLACE_BITS).bitwiseOR(F.col("end"))
+    gone = copied.unionByName(stretches).unionByName(again).groupBy("t").agg(F.collect_set(packed).alias("runs"))
+    runs = F.transform("runs", lambda x: F.struct(_text(x).alias("start"), _place(x).alias("end")))
+    return one.select("doc_id", "row", "t").join(gone, "t").select("doc_id", "row", runs.alias("runs"))
 
 
 def without_units(text: str, gone: list[int], runs: list[dict] = ()) -> str:
@@ -377,57 +417,92 @@ def without_units(text: str, gone: list[int], runs: list[dict] = ()) -> str:
     share is not a passage.  Lines left without words go with their break; all
     else stays as it is.
     """
-    u = Units([text])
-    if not len(u.lines):
-        return text
-    data = u.words.data.tobytes()
-    cut = np.zeros(len(u.sentences), bool)
-    line_of = np.searchsorted(u.line_first, np.arange(len(u.sentences)), "right") - 1
-    for unit in gone:
-        k = unit // 2
-        cut[k: k + 1 if unit % 2 else k + u.line_sentences[line_of[k]]] = True
+    at, bounds = np.zeros(len(runs), np.int64), np.array([[r["start"], r["end"]] for r in runs], np.int64).reshape(-1, 2)
+    return _without([text], np.zeros(len(gone), np.int64), np.array(gone, np.int64), at, *bounds.T)[0].as_py()
+
+
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in one of these spans."""
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
+def _without(texts: list[str], unit_text: np.ndarray, units: np.ndarray, run_text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Texts without units and runs of words, each given with its text's place in the list."""
+    u = Units(texts)
+    w, n_lines, n_sentences = u.words, len(u.lines), len(u.sentences)
+    if not n_lines:
+        return pa.array(texts, pa.string())
+    n_words = len(w.hashes)
+    # A text without words has no units, and its runs end where they start.
+    k = np.searchsorted(u.sentences, w.firsts[unit_text]) + units // 2
+    line_of = np.repeat(np.arange(n_lines), u.line_sentences)
+    cut = _covered(n_sentences, k, k + np.where(units % 2 == 1, 1, u.line_sentences[line_of[k]]))
     # Shorter sentences between removed ones go as well; stretches that stay short after that are left alone.
     places = np.flatnonzero(cut)
-    for p, q in zip(places[:-1], places[1:]):
-        if (u.sizes[p + 1: q] < MIN_WORDS).all():
-            cut[p: q] = True
-    away = np.repeat(cut, u.sizes)
-    for r in runs:
-        away[r["start"]: r["end"]] = True
-    for p, q in _stretches(away):
-        if q - p < MIN_STRETCH:
-            away[p: q] = False
-    out, done = [], 0
-    for a, n in zip(u.lines, u.line_sizes):
-        own = away[a: a + n]
-        if not own.any():
-            continue
-        starts = u.words.starts[a: a + n]
-        line_start = data.rfind(b"\n", 0, starts[0]) + 1
-        line_end = data.index(b"\n", u.words.ends[a + n - 1] - 1)
-        out.append(data[done: line_start])
-        done = line_end
-        if own.all():
-            done = min(line_end + 1, len(data) - 1)
-            continue
-        bounds = np.append(starts, line_end)
-        kept = b"".join(data[bounds[p]: bounds[q]] for p, q in _stretches(~own))
-        out.append(kept.rstrip() if own[-1] else kept)
-    out.append(data[done: len(data) - 1])
-    return b"".join(out).decode("utf-8", "replace")
-
-
-def _stretches(flags: np.ndarray) -> np.ndarray:
-    """First places and ends of stretches that are set."""
-    return np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])))).reshape(-1, 2)
+    if len(places) > 1:
+        long_before = np.append(0, np.cumsum((u.sizes >= MIN_WORDS) & ~cut))
+        p, q = places[:-1], places[1:]
+        joined = (u.text[p] == u.text[q]) & (long_before[p] == long_before[q])
+        cut |= _covered(n_sentences, p[joined], q[joined])
+    first, last = w.firsts[run_text], w.firsts[run_text + 1]
+    size = last - first
+    away = np.repeat(cut, u.sizes) | _covered(n_words, first + np.minimum(starts, size), first + np.minimum(ends, size))
+    text_of = np.repeat(np.arange(len(texts)), np.diff(w.firsts))
+    new = np.concatenate(([True], (away[1:] != away[:-1]) | (text_of[1:] != text_of[:-1])))
+    stretch = np.flatnonzero(new)
+    sizes = np.diff(np.append(stretch, n_words))
+    away &= np.repeat(sizes >= MIN_STRETCH, sizes)
+
+    # A line that loses words is made anew of the words that stay, each with the space behind it.
+    gone_words = np.add.reduceat(away.astype(np.int64), u.lines)
+    touched, whole = gone_words > 0, gone_words == u.line_sizes
+    breaks = np.flatnonzero(w.data == 10)
+    last_word = np.append(u.lines[1:], n_words) - 1
+    at_break = np.searchsorted(breaks, w.ends[last_word])
+    line_end = breaks[at_break]
+    line_start = np.append(-1, breaks)[at_break] + 1
+    # The break behind each text's last line is not its own.
+    final = np.zeros(len(w.data), bool)
+    final[w.first_bytes[1:] - 1] = True
+    drop = _covered(len(w.data), line_start[touched], line_end[touched] + whole[touched] * ~final[line_end[touched]])
+    kept = np.flatnonzero(~away & np.repeat(touched, u.line_sizes))
+    word_line = np.repeat(np.arange(n_lines), u.line_sizes)
+    own = word_line[kept]
+    behind = np.where(kept == last_word[own], line_end[own], w.starts[np.minimum(kept + 1, n_words - 1)])
+    # Where the line's last words go, the space before them goes as well.
+    closing = np.append(own[1:] != own[:-1], True) if len(own) else np.zeros(0, bool)
+    behind = np.where(closing & away[last_word[own]], w.ends[kept], behind)
+    left = ~drop | _covered(len(w.data), w.starts[kept], behind)
+    left &= ~final
+    offsets = np.append(0, np.cumsum(left))[w.first_bytes]
+    return pa.Array.from_buffers(
+        pa.large_string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(w.data[left].tobytes())]).cast(pa.string())
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Rows and items of lists, null ones empty."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
 
 
 def _rewrite(column: int, cut: int, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without_units(t, gone or [], words or []) if (gone or words) and t else t
-                     for t, gone, words in zip(*[batch.column(c).to_pylist() for c in (column, cut, runs)])]
-            columns = [pa.array(texts, pa.string()) if i == column else c for i, c in enumerate(batch.columns) if i not in (cut, runs)]
+            texts, out, at = batch.column(column), [], 0
+            listed = pc.or_(pc.is_valid(batch.column(cut)), pc.is_valid(batch.column(runs)))
+            change = pc.and_(listed, pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0))
+            rows = pc.indices_nonzero(change)
+            if len(rows):
+                old = texts.take(rows).to_pylist()
+                for part in pieces(old, WORKING_CHARS):
+                    own = rows.slice(at, len(part))
+                    unit_text, units = _lists(batch.column(cut).take(own))
+                    run_text, spans = _lists(batch.column(runs).take(own))
+                    out.append(_without(part, unit_text, units.to_numpy().astype(np.int64), run_text, *[spans.field(k).to_numpy() for k in range(2)]))
+                    at += len(part)
+                texts = pc.replace_with_mask(texts, change, pa.concat_arrays(out).cast(texts.type))
+            columns = [texts if i == column else c for i, c in enumerate(batch.columns) if i not in (cut, runs)]
             yield pa.RecordBatch.from_arrays(columns, [n for i, n in enumerate(batch.schema.names) if i not in (cut, runs)])
     return run
 
@@ -442,29 +517,29 @@ def repeated_units(texts: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
-    units = materialize(texts.mapInArrow(_units, _UNITS), label="units")
+    units = materialize(texts.select("t", "text").mapInArrow(_units, _UNITS), label="units")
     same = units.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
 
-    banded = units.where("keys is not null")
-    members = open_members(banded.select("h", "keys").mapInArrow(_members, "key long, id long"))
+    banded = units.where("size is not null")
+    members = open_members(banded.select(F.explode("keys").alias("key"), F.col("h").alias("id")))
     wanted = materialize(members.select(F.col("id").alias("h")).distinct(), label="candidates")
     # One unit stands for all with the same words.
-    holders = banded.join(wanted, "h").select("doc_id", "row", "h", "keys").groupBy("h").agg(F.min(F.struct("doc_id", "row", "keys")).alias("first"))
-    holders = materialize(holders.select("h", "first.*"), label="holders")
-    bits = materialize(holders.select("h", "keys").mapInArrow(_bits, _BITS), label="bits")
+    one = [F.min(c).alias(c) for c in ("at", *_BITS, "size")]
+    holders = materialize(banded.select("h", "at", *_BITS, "size").join(wanted, "h").groupBy("h").agg(*one), label="holders")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        asked = holders.join(ids.select(F.col("id").alias("h")), "h").groupBy("doc_id", "row").agg(F.collect_list("h").alias("wanted"))
-        sets = texts.join(asked, ["doc_id", "row"]).select("text", "wanted").mapInArrow(_unit_sets, _SETS)
+        asked = holders.join(ids.select(F.col("id").alias("h")), "h").groupBy(_text("at").alias("t")).agg(F.collect_list(_place("at")).alias("wanted"))
+        # Stored, so that few of them are sent to the texts.
+        asked = materialize(asked, label="asked")
+        sets = texts.join(asked, "t").select("t", "text", "wanted").mapInArrow(_unit_sets, _SETS)
         # A text's sets are made at once: no id comes twice.
         return materialize(sets, label="unit-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         # Each bit that is set on one side only takes a shingle of its own that the other lacks.
-        words = [f"bits{k}" for k in range(BIT_WORDS)]
         for letter in "ab":
-            pairs = pairs.join(bits.select(F.col("id").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in (*words, "size")]), letter)
-        differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in words), F.lit(0))
+            pairs = pairs.join(holders.select(F.col("h").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in (*_BITS, "size")]), letter)
+        differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS), F.lit(0))
         likely = pairs.where(differ <= (F.col("a_size") + F.col("b_size")) * (100 - percent) / (100 + percent) + 1e-9).select("a", "b")
         likely = materialize(likely, label="likely")
         ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -475,13 +550,13 @@ def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
         return pairs.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common))
 
     labels = link_in_buckets(members, verify, sets_of, percent)
-    discard(members, holders, bits)
+    discard(members, holders)
     classes = same.join(labels.withColumnRenamed("id", "h"), "h", "full").select("h", F.coalesce("label", "h").alias("label"))
-    found = materialize(units.select("doc_id", "row", "unit", "h").join(materialize(classes, label="classes"), "h").drop("h"), label="repeats")
-    at = F.struct("doc_id", "row", "unit")
-    first = materialize(found.groupBy("label").agg(F.min(at).alias("first")), label="firsts")
-    gone = found.join(first, "label").where(at != F.col("first"))
-    return gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+    found = materialize(units.select("at", "h").join(materialize(classes, label="classes"), "h").drop("h"), label="repeats")
+    first = materialize(found.groupBy("label").agg(F.min("at").alias("first")), label="firsts")
+    gone = found.join(first, "label").where("at <> first")
+    gone = gone.groupBy(_text("at").alias("t")).agg(F.sort_array(F.collect_set(_place("at").cast("int"))).alias("units"))
+    return texts.select("doc_id", "row", "t").join(gone, "t").select("doc_id", "row", "units")
 
 
 def drop_repeated(docs: DataFrame, percent: int = 80) -> DataFrame:

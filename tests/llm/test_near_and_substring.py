@@ -213,6 +213,21 @@ def test_hashes_do_not_depend_on_longer_neighbours():
     assert (run_hashes(alone.hashes, [0, 20]) == run_hashes(beside.hashes, [0, 20, 40])[:2]).all()
 
 
+def test_copied_places_are_not_compared(spark, monkeypatch):
+    """Of a passage in forty texts only places with other words around them get their sides."""
+    rows, real = {}, substring_dedup.materialize
+
+    def counted(df, path=None, label="rows"):
+        out = real(df, path, label=label)
+        rows[label] = out.count()
+        return out
+    passage = " ".join(words(7, 400))
+    texts = substring_dedup.distinct_texts(table(spark, [(i, f"{prose(100 + i, 30)} {passage} {prose(300 + i, 30)}") for i in range(40)]))[0]
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    cut = {r.doc_id: r.runs for r in substring_dedup.repeated_runs(texts).collect()}
+    assert sorted(cut) == list(range(1, 40)) and rows["anchor-places"] < 40 * 10 < rows["anchors"] / 4
+
+
 def test_odd_rows_keep_their_columns(spark):
     rows = ODD + [(1, LONG)]
     df = table(spark, rows)
