@@ -78,9 +78,15 @@ def _follow(pointers: DataFrame) -> DataFrame:
 
 
 def open_members(members: DataFrame) -> DataFrame:
-    """The distinct ``key, id`` rows of buckets that hold more than one id, stored."""
-    spans = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    return materialize(members.join(materialize(spans, label="buckets"), "key").distinct(), label="members")
+    """The distinct ``key, id`` rows of buckets that hold more than one id, stored, with ``other``.
+
+    ``other`` is the other id of a bucket of two rows, and null elsewhere.  Rows are
+    shuffled once, for the buckets' spans and for the rows themselves.
+    """
+    rows = members.where("key is not null").repartition("key")
+    spans = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    other = F.when(F.col("n") == 2, F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("other")
+    return materialize(rows.join(spans, "key").select("key", "id", other).distinct(), label="members")
 
 
 def prefix_pairs(ids: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -118,12 +124,13 @@ def prefix_pairs(ids: DataFrame, sets: Callable[[DataFrame], DataFrame], percent
     return few.join(other, "item").where(near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
 
 
-def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
+def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame, DataFrame | None], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
     """Components of the ids that ``verify`` links, with candidates from shared buckets.
 
-    ``members``: stored ``key, id`` rows, distinct; ``sets`` gives the ``id, n,
-    items`` of a table of distinct ids.  In small buckets all pairs are compared.  A large one usually holds
-    one family of copies, so its pairs are not listed: in each round every large
+    ``members``: what ``open_members`` gives; ``sets`` gives the ``id, n, items`` of
+    a table of distinct ids.  ``verify`` gets pairs and, the first time, the distinct
+    ids that later pairs and ``sets`` are limited to (none if nothing follows).
+    In small buckets all pairs are compared.  A large one usually holds one family of copies, so its pairs are not listed: in each round every large
     bucket that spans several components takes one member as its centre, and the
     members of other components are compared with that one only.  What is left
     of large buckets after ``rounds`` rounds goes through ``prefix_pairs``, which
@@ -135,12 +142,15 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
         return keep(_linked(members, verify, sets, percent, rounds))
 
 
-def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame:
-    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("n")), label="bucket-sizes")
-    other = members.select("key", F.col("id").alias("head"))
-    small = members.join(sizes.where(F.col("n") <= SMALL), "key").join(other, "key").where("id < head")
-    large = stored_or_none(members.join(sizes.where(F.col("n") > SMALL).select("key"), "key"), "large-buckets")
-    pairs = small.select(F.col("id").alias("a"), F.col("head").alias("b"))
+def _linked(members: DataFrame, verify: Callable[[DataFrame, DataFrame | None], DataFrame], sets: Callable[[DataFrame], DataFrame], percent: int, rounds: int) -> DataFrame:
+    twos = members.where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    more = members.where("other is null").select("key", "id")
+    sizes = materialize(more.groupBy("key").agg(F.count("*").alias("n")), label="bucket-sizes")
+    other = more.select("key", F.col("id").alias("head"))
+    small = more.join(sizes.where(F.col("n") <= SMALL), "key").join(other, "key").where("id < head")
+    large = stored_or_none(more.join(sizes.where(F.col("n") > SMALL).select("key"), "key"), "large-buckets")
+    pairs = twos.unionByName(small.select(F.col("id").alias("a"), F.col("head").alias("b")))
+    rest_ids = None if large is None else materialize(large.select("id").distinct(), label="large-ids")
     links, labels = None, None
     for turn in range(rounds + 1):
         if large is not None:
@@ -162,7 +172,7 @@ def _linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sets:
                     star = rest.join(materialize(heads, label="heads"), "key").where("label <> head_label")
                     star = star.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
                 pairs = star if turn else pairs.union(star)
-        found = materialize(verify(materialize(pairs.distinct(), label="pairs")).select("a", "b"), label="found")
+        found = materialize(verify(materialize(pairs.distinct(), label="pairs"), None if turn else rest_ids).select("a", "b"), label="found")
         links = found if links is None else links.union(found)
         labels = components(links)
         if large is None:

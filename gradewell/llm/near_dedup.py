@@ -148,7 +148,7 @@ def _components(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     j = percent / 100
     least = j - 5 * (j * (1 - j) / BUCKETS) ** 0.5
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, _: DataFrame | None) -> DataFrame:
         likely = pairs
         for letter in "ab":
             likely = likely.join(side(sketches, letter, regs="registers", n="n_shingles"), letter)

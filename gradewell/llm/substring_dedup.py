@@ -143,22 +143,25 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(u.lines):
             continue
         whole, single = u.long_lines(), u.long_sentences()
-        single_banded = u.sizes[single] >= BANDED_SENTENCE
-        # Banded units come first.
-        plain = single[~single_banded]
-        single = single[single_banded]
-        line_hash, sentence_hash = run_hashes(u.words.hashes, u.lines), run_hashes(u.words.hashes, u.sentences)
-        sketch = np.concatenate((u.sketches(u.lines[whole], u.line_sizes[whole]), u.sketches(u.sentences[single], u.sizes[single])))
         first = u.line_first[whole]
-        text = numbers[np.concatenate((u.text[first], u.text[single], u.text[plain]))]
-        unit = np.concatenate((2 * u.number[first], 2 * u.number[single] + 1, 2 * u.number[plain] + 1))
-        h = np.concatenate((line_hash[whole], sentence_hash[single], sentence_hash[plain])).view(np.int64)
-        bare, n = np.zeros(len(plain), np.int64), len(sketch)
-        empty = np.arange(n + len(plain)) >= n
-        places = pa.array(np.minimum(np.arange(n + len(plain) + 1) * BANDS, n * BANDS).astype(np.int32), mask=np.append(empty, False))
+        text = u.text[np.concatenate((first, single))]
+        unit = np.concatenate((2 * u.number[first], 2 * u.number[single] + 1))
+        starts = np.concatenate((u.lines[whole], u.sentences[single]))
+        sizes = np.concatenate((u.line_sizes[whole], u.sizes[single]))
+        h = np.concatenate((run_hashes(u.words.hashes, u.lines)[whole], run_hashes(u.words.hashes, u.sentences)[single])).view(np.int64)
+        # Of banded units with the same words here, one is sketched; those come first.
+        banded = np.flatnonzero(np.concatenate((np.ones(len(whole), bool), u.sizes[single] >= BANDED_SENTENCE)))
+        sketched = banded[np.unique(h[banded], return_index=True)[1]]
+        bare = np.ones(len(h), bool)
+        bare[sketched] = False
+        order = np.concatenate((sketched, np.flatnonzero(bare)))
+        sketch = u.sketches(starts[sketched], sizes[sketched])
+        n, rest = len(sketched), np.zeros(len(h) - len(sketched), np.int64)
+        empty = np.arange(len(h)) >= n
+        places = pa.array(np.minimum(np.arange(len(h) + 1) * BANDS, n * BANDS).astype(np.int32), mask=np.append(empty, False))
         keys = pa.ListArray.from_arrays(places, pa.array(np.ascontiguousarray(sketch[:, :BANDS]).reshape(-1)))
-        rest = [pa.array(np.concatenate((np.ascontiguousarray(c), bare)), mask=empty) for c in sketch[:, BANDS:].T]
-        yield pa.RecordBatch.from_arrays([_at(text, unit), pa.array(h), keys, *rest], names)
+        others = [pa.array(np.concatenate((np.ascontiguousarray(c), rest)), mask=empty) for c in sketch[:, BANDS:].T]
+        yield pa.RecordBatch.from_arrays([_at(numbers[text[order]], unit[order]), pa.array(h[order]), keys, *others], names)
 
 
 def _unit_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,22 +538,28 @@ def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
         # A text's sets are made at once: no id comes twice.
         return materialize(sets, label="unit-sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    made = []
+
+    def verify(pairs: DataFrame, later: DataFrame | None) -> DataFrame:
         # Each bit that is set on one side only takes a shingle of its own that the other lacks.
         for letter in "ab":
             pairs = pairs.join(holders.select(F.col("h").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in (*_BITS, "size")]), letter)
         differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS), F.lit(0))
         likely = pairs.where(differ <= (F.col("a_size") + F.col("b_size")) * (100 - percent) / (100 + percent) + 1e-9).select("a", "b")
         likely = materialize(likely, label="likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets, pairs = sets_of(materialize(ids, label="likely-units")), likely
+        if not made:
+            # Texts are read once: the sets of all that may be compared later are made with the first ones.
+            ids = likely.select(F.explode(F.array("a", "b")).alias("id"))
+            ids = ids if later is None else ids.unionByName(later)
+            made.append(sets_of(materialize(ids.distinct(), label="likely-units")))
+        sets, pairs = made[0], likely
         for letter in "ab":
             pairs = pairs.join(sets.select(F.col("id").alias(letter), F.col("n").alias(f"{letter}_n"), F.col("items").alias(f"{letter}_set")), letter)
         common = F.size(F.array_intersect("a_set", "b_set"))
         return pairs.where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common))
 
-    labels = link_in_buckets(members, verify, sets_of, percent)
-    discard(members, holders)
+    labels = link_in_buckets(members, verify, lambda ids: made[0] if made else sets_of(ids), percent)
+    discard(members, holders, *made)
     classes = same.join(labels.withColumnRenamed("id", "h"), "h", "full").select("h", F.coalesce("label", "h").alias("label"))
     found = materialize(units.select("at", "h").join(materialize(classes, label="classes"), "h").drop("h"), label="repeats")
     first = materialize(found.groupBy("label").agg(F.min("at").alias("first")), label="firsts")

@@ -228,6 +228,37 @@ def test_copied_places_are_not_compared(spark, monkeypatch):
     assert sorted(cut) == list(range(1, 40)) and rows["anchor-places"] < 40 * 10 < rows["anchors"] / 4
 
 
+def test_texts_are_read_once_for_sets(spark, monkeypatch):
+    """A family of near copies goes through all rounds; their sets come from one pass over the texts."""
+    made, real = [], substring_dedup.materialize
+
+    def counted(df, path=None, label="rows"):
+        made.append(label)
+        return real(df, path, label)
+
+    monkeypatch.setattr(substring_dedup, "materialize", counted)
+    line = prose(41, 40)
+    rows = [(i, edited(line, 700 + i, i % 6)) for i in range(40)]
+    substring_dedup.repeated_units(substring_dedup.distinct_texts(table(spark, rows))[0]).collect()
+    assert made.count("unit-sets") == 1
+
+
+def test_buckets_of_two_know_the_other(spark):
+    rows = [(1, 10), (1, 11), (2, 10), (2, 10), (3, 10), (3, 11), (3, 12), (4, 10), (4, 10), (4, 13), (None, 1), (None, 2)]
+    got = common.open_members(spark.createDataFrame(rows, "key long, id long")).collect()
+    assert sorted((r.key, r.id, r.other) for r in got if r.other is not None) == [(1, 10, 11), (1, 11, 10)]
+    assert sorted((r.key, r.id) for r in got if r.other is None) == [(3, 10), (3, 11), (3, 12), (4, 10), (4, 13)]
+
+
+def test_equal_units_of_a_part_are_sketched_once(spark):
+    line = prose(42, 30)
+    units = table(spark, [(i, f"{line}\n{prose(800 + i, 20)}") for i in range(6)]).coalesce(1).selectExpr("doc_id as t", "text")
+    units = units.mapInArrow(substring_dedup._units, substring_dedup._UNITS).collect()
+    sketched = [r.h for r in units if r["keys"] is not None]
+    assert len(sketched) == len(set(sketched))
+    assert {r.h for r in units} == set(sketched)
+
+
 def test_odd_rows_keep_their_columns(spark):
     rows = ODD + [(1, LONG)]
     df = table(spark, rows)
