@@ -23,6 +23,10 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.3
 MIN_CHARS, MIN_WORDS = 200, 100
 #: A language with fewer documents has no reference, and its documents are not judged.
 MIN_DOCUMENTS = 20
+#: What no class but "space" counts and most of a text consists of.
+_PLAIN = r"[a-z\x20\x09-\x0D\p{Ll}\p{Lo}]+"
+#: Common words of a language are looked up in so many parts, a power of two.
+_PARTS = 64
 _PLACE = 24
 
 
@@ -43,6 +47,10 @@ def _count(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("long")
 
 
+def _part(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(_PARTS - 1)).cast("int")
+
+
 def _duplicate_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
@@ -101,14 +109,15 @@ def common_words(docs: DataFrame) -> DataFrame:
     """Per language its common words and their shares, from counts over every document.
 
     Words are counted per task before they are shuffled; a language has at most
-    COMMON_SHARE common words.
+    COMMON_SHARE common words, in ascending order; ``ref_parts`` holds them by ``_part``.
     """
     words = docs.select(_lang().alias("ref_lang"), F.explode(F.split(F.lower(_text()), f"{SPACE}+")).alias("word")).where("word <> ''")
     counts = materialize(words.groupBy("ref_lang", "word").agg(F.count("*").alias("n")), label="words")
     totals = materialize(counts.groupBy("ref_lang").agg(F.sum("n").alias("n_all")), label="language-words")
     common = counts.join(totals, "ref_lang").where(F.col("n") * COMMON_SHARE >= F.col("n_all"))
     common = common.groupBy("ref_lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("n_all")).alias("share")))).alias("common"))
-    return materialize(common.select("ref_lang", F.col("common.word").alias("ref_words"), F.col("common.share").alias("ref_shares")), label="common-words")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(_PARTS - 1)), lambda k: F.filter("common.word", lambda w: _part(w) == k))
+    return materialize(common.select("ref_lang", F.col("common.word").alias("ref_words"), F.col("common.share").alias("ref_shares"), parts.alias("ref_parts")), label="common-words")
 
 
 def quality(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -127,11 +136,19 @@ def quality(docs: DataFrame, carry: bool = False) -> DataFrame:
     t = F.col("text")
     rows = docs.select("doc_id", _text().alias("text"), _lang().alias("ref_lang"), *row)
     rows = rows.select(*own, "ref_lang", F.length(t).cast("long").alias("n_chars"), _words(t).alias("words"),
-                       _duplicate_lines(t).alias("n_dup_lines"), *[_count(t, p).alias(f"n_{c}") for c, p in CLASSES.items()])
+                       _duplicate_lines(t).alias("n_dup_lines"), F.regexp_replace(t, _PLAIN, "").alias("rest"))
+    # Spaces are what words leave, all other classes are counted in what is left of the text.
+    space = (F.col("n_chars") - F.length(F.array_join("words", ""))).cast("long").alias("n_space")
+    counts = [space if c == "space" else _count(F.col("rest"), p).alias(f"n_{c}") for c, p in CLASSES.items()]
+    rows = rows.select(*own, "ref_lang", "n_chars", "words", "n_dup_lines", *counts)
     rows = rows.join(common_words(docs), "ref_lang", "left")
     rows = rows.select("*", three_word_runs(F.col("words")).alias("runs"), F.size("words").cast("long").alias("n_words"),
-                       F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.array_contains("ref_words", w)).alias("hits"))
-    found = F.transform("ref_words", lambda r: F.size(F.filter("hits", lambda h: h == r)) / F.col("n_words"))
+                       F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.array_contains(F.element_at("ref_parts", _part(w) + 1), w)).alias("hits"))
+    # Sorted with each common word added once, hits stand in as many stretches as there are common words.
+    rows = rows.withColumn("stretches", F.sort_array(F.concat("hits", "ref_words")))
+    rows = rows.withColumn("starts", F.transform("ref_words", lambda r: F.array_position("stretches", r)))
+    ends = F.concat(F.slice("starts", F.lit(2), F.greatest(F.size("starts"), F.lit(0))), F.array(F.size("stretches").cast("long") + 1))
+    found = F.transform(F.zip_with("starts", ends, lambda a, b: b - a - 1), lambda n: n / F.col("n_words"))
     found = F.concat(found, F.array(1 - F.size("hits") / F.col("n_words")))
     usual = F.concat("ref_shares", F.array(1 - F.aggregate("ref_shares", F.lit(0.0), lambda s, x: s + x)))
     classes = [f"n_{c}" for c in CLASSES]

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -69,6 +70,23 @@ def test_empty_sides(spark):
 
 # --- quality ------------------------------------------------------------------
 
+def test_common_words_are_found_by_parts(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(120 + i)).title() + " \u0416 \u4e2d #1.") for i in range(25)]
+    docs = table(spark, rows).selectExpr("doc_id", "text", "'x' as lang")
+    r = quality.common_words(docs).collect()[0]
+    assert [w for part in r.ref_parts for w in part] != r.ref_words and sorted(w for part in r.ref_parts for w in part) == r.ref_words
+    assert max(map(len, r.ref_parts)) < len(r.ref_words) / 4
+    share = dict(zip(r.ref_words, r.ref_shares))
+
+    def divergence(p, q):
+        return sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q)) / 2
+    for got in quality.quality(docs).collect():
+        own = dict(rows)[got.doc_id].lower().split()
+        p, q = [own.count(w) / len(own) for w in share], list(share.values())
+        want = math.sqrt(max(0, divergence([*p, 1 - sum(p)], [*q, 1 - sum(q)])))
+        assert abs(got.word_distance - want) < 1e-6
+
+
 
 def brute_counts(text):
     t = text or ""
