@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gradewell.llm.dealing import by_key, repeated, starts
 from gradewell.session import materialize, temporary
 
 #: In buckets of up to so many ids all pairs are compared: at most (SMALL - 1) / 2 a member.
@@ -81,12 +84,24 @@ def open_members(members: DataFrame) -> DataFrame:
     """The distinct ``key, id`` rows of buckets that hold more than one id, stored, with ``other``.
 
     ``other`` is the other id of a bucket of two rows, and null elsewhere.  Rows are
-    shuffled once, for the buckets' spans and for the rows themselves.
+    shuffled once, many of them in one Spark row.
     """
-    rows = members.where("key is not null").repartition("key")
-    spans = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    other = F.when(F.col("n") == 2, F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))).alias("other")
-    return materialize(rows.join(spans, "key").select("key", "id", other).distinct(), label="members")
+    rows = members.where("key is not null")
+    return materialize(by_key(rows, ["key", "id"], _open, "key long, id long, other long"), label="members")
+
+
+def _open(key: np.ndarray, ids: np.ndarray) -> pa.Table:
+    rows = repeated(key)
+    rows = rows[np.lexsort((ids[rows], key[rows]))]
+    key, ids = key[rows], ids[rows]
+    first = np.flatnonzero(starts(key))
+    sizes = np.diff(np.append(first, len(key)))
+    last = first + sizes - 1
+    several = np.repeat(ids[first] < ids[last], sizes)
+    two = np.repeat(sizes == 2, sizes)
+    other = np.repeat(ids[first] + ids[last], sizes) - ids
+    keep = several & starts(key, ids)
+    return pa.table({"key": key[keep], "id": ids[keep], "other": pa.array(other[keep], mask=~two[keep])})
 
 
 def prefix_pairs(ids: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

@@ -30,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import link_in_buckets, open_members
+from gradewell.llm.dealing import by_key, repeated, starts
 from gradewell.llm.hashing import WORKING_CHARS, Words, mix, pieces, run_hashes, windows
 from gradewell.operators.numbering import with_row_index
 from gradewell.operators.schema import fresh, quoted
-from gradewell.session import discard, materialize, temporary
+from gradewell.session import discard, materialize, materialize_by, temporary
 
 MIN_WORDS = 8
 SHINGLE = 5
@@ -245,7 +246,30 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              _at(numbers[text], first - found.words.firsts[text])], ["h", "around", "at"])
 
 
-_PLACES = "h long, at long, sides binary"
+_SHARED = "h long, at long, first long, start long, end long"
+
+
+def _shared(h: np.ndarray, around: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Places of anchors that come twice: ``start, end`` of the words to remove, or ``h, first`` where it must be looked at."""
+    rows = repeated(h)
+    rows = rows[np.lexsort((at[rows], around[rows], h[rows]))]
+    h, around, at = h[rows], around[rows], at[rows]
+    new = starts(h, around)
+    alike = at[new][np.cumsum(new) - 1]
+    # A later place in the text of the first one may overlap it.
+    copied = alike >> PLACE_BITS != at >> PLACE_BITS
+    anchors = np.flatnonzero(starts(h))
+    of = np.cumsum(starts(h)) - 1
+    looked = ~copied & (np.bincount(of[~copied], minlength=len(anchors))[of] > 1)
+    first = np.minimum.reduceat(at, anchors)[of] if len(at) else at
+    place, room = at & _PLACE, [around >> 4 & 15, around & 15]
+    out = copied | looked
+    columns = [pa.array(c[out], mask=~m[out]) for c, m in (
+        (h, looked), (at, out), (first, looked), (place - room[0], copied), (place + ANCHOR + room[1], copied))]
+    return pa.Table.from_arrays(columns, [f.split()[0] for f in _SHARED.split(", ")])
+
+
+_PLACES = "h long, at long, first long, sides binary"
 
 
 def _with_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,17 +277,17 @@ def _with_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reach = np.arange(SIDE)
     for batch, at, part, numbers in _numbered(batches):
         own = batch.column(2).slice(at, len(part))
-        place, text = own.flatten().to_numpy(), np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
-        if not len(place):
+        wanted, text = own.flatten(), np.repeat(np.arange(len(part)), np.diff(own.offsets.to_numpy()))
+        if not len(wanted):
             continue
-        w = Words(part)
+        place, w = wanted.field(0).to_numpy(), Words(part)
         first = w.firsts[text] + place
         short = np.maximum(w.hashes >> np.uint64(32), 1).astype(np.uint32)
         sides = np.zeros((len(place), 2, SIDE), np.uint32)
         for k, (room, word) in enumerate(zip(_room(w, text, first), (first[:, None] - 1 - reach, first[:, None] + ANCHOR + reach))):
             sides[:, k] = np.where(reach < room[:, None], short[np.clip(word, 0, len(short) - 1)], 0)
         anchors = windows(w.hashes, ANCHOR)[first].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(anchors), _at(numbers[text], place), _packed(sides)], ["h", "at", "sides"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchors), _at(numbers[text], place), wanted.field(1), _packed(sides)], ["h", "at", "first", "sides"])
 
 
 def _packed(sides: np.ndarray) -> pa.Array:
@@ -331,10 +355,39 @@ def _other_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at[own] - offset)], ["h", "at"])
 
 
+def _later_runs(h: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Words of all runs with equal words but the first one."""
+    rows = repeated(h)
+    rows = rows[np.lexsort((at[rows], h[rows]))]
+    new, at = starts(h[rows]), at[rows]
+    first = at[new][np.cumsum(new) - 1]
+    place, own = at & _PLACE, at >> PLACE_BITS == first >> PLACE_BITS
+    start = np.where(own, np.maximum(place, (first & _PLACE) + MIN_STRETCH), place)
+    again = at != first
+    return pa.table({"t": (at >> PLACE_BITS)[again], "start": start[again], "end": (place + MIN_STRETCH)[again]})
+
+
+def _joined_spans(t: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    """A list of spans for each text, those that overlap as one."""
+    order = np.lexsort((start, t))
+    t, start, end = t[order], start[order], end[order]
+    # Spans of a text lie behind all those of the text before.
+    behind = (np.cumsum(starts(t)) - 1) << PLACE_BITS + 1
+    reach = np.maximum.accumulate(behind + end)
+    new = np.append(True, (behind + start)[1:] > reach[:-1])[: len(t)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(t)) - 1
+    t, spans = t[first], pa.StructArray.from_arrays([pa.array(start[first]), pa.array((reach - behind)[last])], ["start", "end"])
+    texts = np.flatnonzero(starts(t))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(texts, len(t)).astype(np.int32)), spans)
+    return pa.table({"t": t[texts], "runs": lists})
+
+
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored ``doc_id, row, t, text`` of each text's first id, and ``row, doc_id`` of copies with other ids.
+    """Stored ``doc_id, row, t, key, text`` of each text's first id, and ``row, doc_id`` of copies with other ids.
 
-    ``row`` is the text's hash, ``t`` its number in the order of ids and hashes.
+    ``row`` is the text's hash, ``t`` its number in the order of ids and hashes.  Texts
+    are shuffled once, by ``key``, a hash of id and row, and stored in its buckets.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     source = source.select("doc_id", F.xxhash64("text").alias("row"), "text")
@@ -345,10 +398,23 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # An id that repeats a text holds it once.
     again = numbered.where("n > 1").select("row", "t", "n").join(copies.groupBy("t").agg(F.count("*").alias("ids")), "t").where("n > ids").select("t")
     again = materialize(again, label="repeated-rows")
-    first = source.join(numbered.select("doc_id", "row", "t"), ["row", "doc_id"]).select("doc_id", "row", "t", "text")
+    n, key = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row", "doc_id").alias("key")
+    heads = numbered.select(key, "t", F.col("row").alias("head_row"), F.col("doc_id").alias("head")).hint("shuffle_hash")
+    first = source.select("doc_id", "row", key, "text").repartition(n, "key").join(heads, "key")
+    # Not as equalities: joined by them as well, texts would be shuffled by all three.
+    same = F.col("head_row").bitwiseXOR(F.col("row")).bitwiseOR(F.col("head").bitwiseXOR(F.col("doc_id"))) == 0
+    first = first.where(same).select("doc_id", "row", "t", "key", "text")
     if not again.isEmpty():
-        first = first.join(again, "t", "left_anti").unionByName(first.join(again, "t", "left_semi").dropDuplicates(["t"]))
-    return materialize(first, label="distinct-texts"), copies.where("doc_id <> head").select("doc_id", "row")
+        once = first.join(again, "t", "left_semi").dropDuplicates(["t"])
+        first = first.join(again, "t", "left_anti").unionByName(once).repartition(n, "key")
+    return materialize_by(first, "key", label="distinct-texts"), copies.where("doc_id <> head").select("doc_id", "row")
+
+
+def _asked_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``t, text, wanted`` of the texts in ``asked`` (``t, wanted``); only what is asked is shuffled."""
+    asked = asked.join(texts.select("t", "key"), "t").select("key", F.col("t").alias("asked_t"), "wanted")
+    both = texts.select("key", "t", "text").join(asked.hint("shuffle_hash"), "key")
+    return both.where(F.col("t").bitwiseXOR(F.col("asked_t")) == 0).select("t", "text", "wanted")
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
@@ -369,47 +435,30 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
 
 
 def _repeated_runs(one: DataFrame) -> DataFrame:
-    anchors = materialize(one.select("t", "text").mapInArrow(_anchors, "h long, around long, at long"), label="anchors")
-    shared = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), label="shared-anchors")
-    places = materialize(anchors.join(shared, "h"), label="shared-places")
-    discard(anchors, shared)
-    alike = materialize(places.groupBy("h", "around").agg(F.min("at").alias("first"), F.count("*").alias("n")), label="surroundings")
-    later = places.join(alike.where("n > 1").select("h", "around", "first"), ["h", "around"]).where(F.col("at") != F.col("first"))
-    later = materialize(later, label="later-places")
-    in_text = _text("at") == _text("first")
-    before, behind = F.shiftright("around", 4).bitwiseAND(F.lit(15)), F.col("around").bitwiseAND(F.lit(15))
-    copied = later.where(~in_text).select(
-        _text("at").alias("t"), (_place("at") - before).alias("start"), (_place("at") + ANCHOR + behind).alias("end"))
+    places = by_key(one.select("t", "text"), ["h", "around", "at"], _shared, _SHARED, rows=_anchors)
+    places = materialize(places, label="anchors")
+    copied = places.where("start is not null").select(_text("at").alias("t"), "start", "end")
 
-    # A later place in the text of the first one may overlap it.
-    looked = alike.select("h", F.col("first").alias("at")).unionByName(later.where(in_text).select("h", "at"))
-    firsts = looked.groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    firsts = materialize(firsts, label="firsts")
-    looked = materialize(looked.join(firsts, "h").groupBy(_text("at").alias("t")).agg(F.collect_list(_place("at")).alias("wanted")), label="looked-at")
-    sided = one.select("t", "text").join(looked, "t").select("t", "text", "wanted").mapInArrow(_with_sides, _PLACES)
+    wanted = F.collect_list(F.struct(_place("at").alias("place"), "first"))
+    looked = materialize(places.where("first is not null").groupBy(_text("at").alias("t")).agg(wanted.alias("wanted")), label="looked-at")
+    sided = _asked_texts(one, looked).mapInArrow(_with_sides, _PLACES)
     sided = materialize(sided, label="anchor-places")
-    discard(places, alike, looked)
-    first = sided.withColumnRenamed("at", "first").join(firsts, ["h", "first"]).select("h", "first", F.col("sides").alias("first_sides"))
-    first = materialize(first, label="first-places")
-    others = sided.join(first, "h").where(F.col("at") != F.col("first"))
+    discard(looked)
+    first = sided.where("at = first").select("h", F.col("sides").alias("first_sides"))
+    others = sided.where("at <> first").join(first, "h")
     compared = materialize(others.mapInArrow(_compare, _COMPARED), label="compared")
-    discard(sided, first)
+    discard(sided)
     stretches = compared.where("start is not null").select(_text("at").alias("t"), "start", "end")
 
     keys = compared.select("h", "at", F.explode("keys").alias("key"))
     again = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     open_places = keys.join(materialize(again, label="side-keys"), "key").select("h", "at").distinct()
-    runs = compared.join(open_places, ["h", "at"]).mapInArrow(_other_runs, "h long, at long")
-    runs = materialize(runs, label="runs")
-    first_run = runs.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
-    again = runs.join(materialize(first_run, label="first-runs"), "h").where(F.col("at") != F.col("first"))
-    start = F.when(in_text, F.greatest(_place("at"), _place("first") + MIN_STRETCH)).otherwise(_place("at"))
-    again = again.select(_text("at").alias("t"), start.alias("start"), (_place("at") + MIN_STRETCH).alias("end"))
+    runs = compared.join(open_places, ["h", "at"])
+    again = by_key(runs, ["h", "at"], _later_runs, "t long, start long, end long", rows=_other_runs)
 
-    packed = F.shiftleft("start", PLACE_BITS).bitwiseOR(F.col("end"))
-    gone = copied.unionByName(stretches).unionByName(again).groupBy("t").agg(F.collect_set(packed).alias("runs"))
-    runs = F.transform("runs", lambda x: F.struct(_text(x).alias("start"), _place(x).alias("end")))
-    return one.select("doc_id", "row", "t").join(gone, "t").select("doc_id", "row", runs.alias("runs"))
+    spans = copied.unionByName(stretches).unionByName(again)
+    gone = by_key(spans, ["t", "start", "end"], _joined_spans, "t long, runs array<struct<start: long, end: long>>")
+    return one.select("doc_id", "row", "t").join(gone, "t").select("doc_id", "row", "runs")
 
 
 def without_units(text: str, gone: list[int], runs: list[dict] = ()) -> str:
@@ -534,7 +583,7 @@ def _repeated_units(texts: DataFrame, percent: int) -> DataFrame:
         asked = holders.join(ids.select(F.col("id").alias("h")), "h").groupBy(_text("at").alias("t")).agg(F.collect_list(_place("at")).alias("wanted"))
         # Stored, so that few of them are sent to the texts.
         asked = materialize(asked, label="asked")
-        sets = texts.join(asked, "t").select("t", "text", "wanted").mapInArrow(_unit_sets, _SETS)
+        sets = _asked_texts(texts, asked).mapInArrow(_unit_sets, _SETS)
         # A text's sets are made at once: no id comes twice.
         return materialize(sets, label="unit-sets")
 

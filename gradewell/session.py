@@ -88,6 +88,21 @@ def materialize(df: DataFrame, path: str | None = None, label: str = "rows") ->
     return out
 
 
+def materialize_by(df: DataFrame, column: str, label: str = "rows") -> DataFrame:
+    """``materialize`` for rows dealt out by ``column`` to the session's shuffle partitions: in as many buckets, so
+    that joins on it do not shuffle them again.  The table has a name until ``discard``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    out.scratch, out.table_name = path, name
+    if _scopes.open():
+        _scopes.open()[-1].append(out)
+    return out
+
+
 class _Scopes(dict):
     """Tables of the ``temporary`` blocks that are open in each thread, the innermost last.  A pickled one is empty."""
 
@@ -144,6 +159,8 @@ def discard(*tables: DataFrame) -> None:
     """
     for table in tables:
         path = getattr(table, "scratch", None) if "scratch" in vars(table) else None
+        if "table_name" in vars(table):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.table_name}")
         if path:
             path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

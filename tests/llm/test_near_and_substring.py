@@ -1,11 +1,14 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import LONG, ODD, prose, table, words
 from pyspark.sql import functions as F
 
-from gradewell.llm import common, near_dedup, packing, substring_dedup
+from gradewell.llm import common, dealing, near_dedup, packing, substring_dedup
 from gradewell.llm.near_dedup import drop_near_duplicates, near_duplicates
 
 
@@ -260,6 +263,38 @@ def test_equal_units_of_a_part_are_sketched_once(spark):
     assert set(lines) <= set(sketched) and len(lines) > len(set(lines))
 
 
+def test_texts_are_not_shuffled_for_what_is_asked_of_them(spark, settings):
+    """Texts lie in buckets of their key: sets and surroundings are made without another shuffle of them."""
+    settings(spark__sql__autoBroadcastJoinThreshold="-1")
+    rows = [(i, prose(900 + i, 20)) for i in range(30)] + [(90, prose(900, 20)), (3, prose(903, 20)), (3, prose(950, 20))]
+    texts, copies = substring_dedup.distinct_texts(table(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in texts.collect()) == sorted(rows[:30] + rows[-1:]) and [r.doc_id for r in copies.collect()] == [90]
+    asked = texts.where("t % 2 = 0").selectExpr("t", "array(t) as wanted")
+    got = substring_dedup._asked_texts(texts, asked)
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    shuffled = [step for step in plan.split("\n\n") if re.match(r"\(\d+\) Exchange", step.strip())]
+    assert shuffled and not any("text#" in step for step in shuffled)
+    want = {r.t: r.text for r in texts.collect() if r.t % 2 == 0}
+    assert {r.t: r.text for r in got.collect()} == want and all(r.wanted == [r.t] for r in got.collect())
+
+
+def test_shares_hold_all_rows_of_a_key(spark):
+    """Keys that come once, twice and 9,000 times, in several tasks; few Spark rows are shuffled."""
+    keys = [7] * 9000 + list(range(100, 9000)) + list(range(100, 9000, 9))
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key long, id long").repartition(4)
+
+    def counted(key, ids):
+        rows = dealing.repeated(key)
+        found, n = np.unique(key[rows], return_counts=True)
+        return pa.table({"key": found, "n": n.astype(np.int64)})
+
+    got = dealing.by_key(df, ["key", "id"], counted, "key long, n long").collect()
+    want = {k: n for k, n in Counter(keys).items() if n > 1}
+    assert len(got) == len(want) and {r.key: r.n for r in got} == want
+    shares = dealing.SHARES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert df.mapInArrow(dealing._deal(None, ["c0", "c1"], shares), "share int, c0 binary, c1 binary").count() <= 4 * shares
+
+
 def test_odd_rows_keep_their_columns(spark):
     rows = ODD + [(1, LONG)]
     df = table(spark, rows)
